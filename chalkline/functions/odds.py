@@ -124,23 +124,27 @@ def is_whole(line: Column) -> Column:
     return F.abs(line - F.round(line)) < 1e-9
 
 
+def _poisson_terms(k: Column, lam: Column) -> Column:
+    """struct(total = P(X <= k), term = P(X = k)) for k >= 0, by the term recurrence."""
+    first = F.exp(-lam)
+
+    def add(acc: Column, i: Column) -> Column:
+        term = acc["term"] * lam / i
+        return F.struct((acc["total"] + term).alias("total"), term.alias("term"))
+
+    start = F.struct(first.alias("total"), first.alias("term"))
+    # slice() drops the zeroth element, which is the start value.
+    return F.aggregate(F.slice(F.sequence(F.lit(0), F.greatest(k, F.lit(0))), F.lit(2), F.greatest(k, F.lit(0))), start, add)
+
+
 def poisson_pmf(k: Column, lam: Column) -> Column:
     """P(X = k); 0 for k < 0. `k` is an integer column."""
-    term = F.aggregate(F.sequence(F.lit(0), F.greatest(k, F.lit(0))), F.exp(-lam),
-                       lambda acc, i: F.when(i == 0, acc).otherwise(acc * lam / i))
-    return F.when(k < 0, F.lit(0.0)).otherwise(term)
+    return F.when(k < 0, F.lit(0.0)).otherwise(_poisson_terms(k, lam)["term"])
 
 
 def poisson_cdf(k: Column, lam: Column) -> Column:
-    """P(X <= k) by the term recurrence; 0 for k < 0."""
-    start = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("term"))
-
-    def add(acc: Column, i: Column) -> Column:
-        term = F.when(i == 0, F.exp(-lam)).otherwise(acc["term"] * lam / i)
-        return F.struct((acc["total"] + term).alias("total"), term.alias("term"))
-
-    total = F.aggregate(F.sequence(F.lit(0), F.greatest(k, F.lit(0))), start, add, lambda acc: acc["total"])
-    return F.when(k < 0, F.lit(0.0)).otherwise(total)
+    """P(X <= k); 0 for k < 0."""
+    return F.when(k < 0, F.lit(0.0)).otherwise(_poisson_terms(k, lam)["total"])
 
 
 def outcome_probs(model: Column, param: Column, sd: Column, line: Column) -> Column:
@@ -161,8 +165,8 @@ def outcome_probs(model: Column, param: Column, sd: Column, line: Column) -> Col
     return F.struct(over.alias("over"), under.alias("under"), push.alias("push"))
 
 
-def fit_normal_mean(line: Column, sd: Column, p_over: Column, steps: int = 8) -> Column:
-    """Mean at which the no-push P(over) equals p_over: closed form on half lines, Newton on whole lines."""
+def fit_normal_mean(line: Column, sd: Column, p_over: Column, steps: int = 4) -> Column:
+    """Mean at which the no-push P(over) equals p_over: closed form on half lines, Newton from it on whole lines."""
     start = line + sd * normal_ppf(p_over)
 
     def step(mu: Column, _: Column) -> Column:
@@ -174,29 +178,39 @@ def fit_normal_mean(line: Column, sd: Column, p_over: Column, steps: int = 8) ->
         slope = (d_over * under - over * d_under) / (both * both)
         return mu - (over / both - p_over) / F.greatest(slope, F.lit(1e-12))
 
-    refined = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)
-    return F.when(is_whole(line), refined).otherwise(start)
+    return F.when(is_whole(line), F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)).otherwise(start)
+
 
+def fit_poisson_rate(line: Column, p_over: Column, steps: int = 6) -> Column:
+    """Rate at which the no-push P(over) equals p_over: Newton on the log-odds as a function of the log rate, which is
+    close to a straight line in both tails, from a cube-root start.
 
-def fit_poisson_rate(line: Column, p_over: Column, steps: int = 14) -> Column:
-    """Rate at which the no-push P(over) equals p_over, by damped Newton from a cube-root start."""
+    One pass over the terms gives P(X <= k) and P(X = k); the push and both derivatives follow from these two."""
     whole = is_whole(line)
     k = F.floor(line + F.when(whole, F.lit(0.5)).otherwise(F.lit(0.0))).cast("int")
-    below = F.when(whole, k - 1).otherwise(k)
     shape = (k + 1).cast("double")
     start = F.greatest(
         shape * F.pow(1.0 - 1.0 / (9.0 * shape) + normal_ppf(p_over) / (3.0 * F.sqrt(shape)), F.lit(3.0)),
         F.lit(0.02))
 
+    def move(acc: Column) -> Column:
+        # total and at are P(X <= k) and P(X = k) at the current rate; on a whole line k is the push.
+        lam, total, at = acc["lam"], acc["s"]["total"], acc["s"]["term"]
+        push = F.when(whole, at).otherwise(F.lit(0.0))
+        under, over = total - push, 1.0 - total
+        d_under = F.when(whole, -at * k / lam).otherwise(-at)
+        both = 1.0 - push
+        slope = (at * under - over * d_under) / (both * both)
+        tiny = F.lit(1e-300)
+        log_odds = F.log(F.greatest(over, tiny) / F.greatest(under, tiny))
+        rate = F.greatest(slope * lam * both * both / F.greatest(over * under, tiny), F.lit(1e-12))
+        change = (F.log(p_over / (1.0 - p_over)) - log_odds) / rate
+        return lam * F.exp(F.greatest(F.lit(-1.5), F.least(F.lit(1.5), change)))
+
     def step(lam: Column, _: Column) -> Column:
-        push = F.when(whole, poisson_pmf(k, lam)).otherwise(F.lit(0.0))
-        under = poisson_cdf(below, lam)
-        over = 1.0 - under - push
-        d_under, d_over = -poisson_pmf(below, lam), poisson_pmf(k, lam)
-        both = over + under
-        slope = (d_over * under - over * d_under) / (both * both)
-        moved = lam - (over / both - p_over) / F.greatest(slope, F.lit(1e-12))
-        return F.greatest(lam / 4.0, F.least(lam * 4.0, moved), F.lit(1e-6))
+        # transform() over one element binds the struct once instead of repeating its computation per use.
+        here = F.array(F.struct(lam.alias("lam"), _poisson_terms(k, lam).alias("s")))
+        return F.transform(here, move)[0]
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)
 

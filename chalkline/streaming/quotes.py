@@ -6,13 +6,10 @@ each gives what its batch twin gives.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from typing import Any
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from chalkline.operators.filters import locked_teams
 
@@ -71,42 +68,27 @@ def read_closing(spark: SparkSession, root: str) -> DataFrame:
         *KEY, "team", "kickoff", "q.scraped_at", "q.line", "q.over_odds")
 
 
-MOVE_SCHEMA = ("player_name string, category string, book string, scraped_at timestamp, baseline double, line double, "
-               "move double")
+def baseline_sink(root: str, threshold: float = 1.0):
+    """foreachBatch writer for moves since baseline: the first quote of every key is kept in `root`/baseline, each batch
+    writes the quotes at least `threshold` away from it to `root`/moves.
 
+    State is a table of one row per key, combined and joined like any other table, so a key that fills a third of a batch
+    is not walked by one task. Each batch overwrites its own folders, so replaying it changes nothing."""
 
-class MoveSinceBaseline(StatefulProcessor):
-    """Keeps the first line of a key and emits each quote that is at least `threshold` away from it."""
-
-    def __init__(self, threshold: float):
-        self.threshold = threshold
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", "at timestamp, line double")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        # Rows of one micro-batch arrive in pieces; the earliest quote of the first batch is the baseline.
-        state = self.first.get() if self.first.exists() else None
-        pieces = [p.sort_values(["scraped_at", "line"]) for p in rows]
-        merged = pd.concat(pieces).sort_values(["scraped_at", "line"]) if len(pieces) > 1 else pieces[0]
-        if state is None:
-            at, line = merged["scraped_at"].iloc[0], float(merged["line"].iloc[0])
-            self.first.update((at.to_pydatetime(), line))
-        else:
-            line = float(state[1])
-        moved = merged.assign(baseline=line, move=merged["line"] - line)
-        moved = moved[moved["move"].abs() >= self.threshold]
-        yield moved[["player_name", "category", "book", "scraped_at", "baseline", "line", "move"]]
-
-    def close(self) -> None:
-        pass
-
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select(*KEY, "scraped_at", "line").where(F.col("line").isNotNull())
+        known = spark.createDataFrame([], batch.select(*KEY, F.struct("scraped_at", "line").alias("f")).schema)
+        if batch_id > 0:
+            known = spark.read.parquet(f"{root}/baseline").where(F.col("batch_id") < batch_id).drop("batch_id")
+        first = rows.groupBy(*KEY).agg(F.min(F.struct("scraped_at", "line")).alias("f"))
+        first.join(known.select(*KEY), KEY, "left_anti").write.mode("overwrite").parquet(f"{root}/baseline/batch_id={batch_id}")
+        fresh = spark.read.parquet(f"{root}/baseline/batch_id={batch_id}")
+        baseline = known.unionByName(fresh).select(*KEY, F.col("f.line").alias("baseline"))
+        moved = rows.join(baseline, KEY).withColumn("move", F.col("line") - F.col("baseline"))
+        moved.where(F.abs("move") >= threshold).write.mode("overwrite").parquet(f"{root}/moves/batch_id={batch_id}")
 
-def moves_since_baseline(quotes: DataFrame, threshold: float = 1.0) -> DataFrame:
-    """Streaming form; needs the RocksDB state store (`spark.sql.streaming.stateStore.providerClass`)."""
-    rows = quotes.select(*KEY, "scraped_at", "line").where(F.col("line").isNotNull())
-    return rows.groupBy(*KEY).transformWithStateInPandas(
-        statefulProcessor=MoveSinceBaseline(threshold), outputStructType=MOVE_SCHEMA, outputMode="Append", timeMode="None")
+    return write
 
 
 def moves_since_baseline_batch(quotes: DataFrame, threshold: float = 1.0) -> DataFrame:
