@@ -170,18 +170,22 @@ def fit_normal_mean(line: Column, sd: Column, p_over: Column, steps: int = 4) ->
     start = line + sd * normal_ppf(p_over)
 
     def step(mu: Column, _: Column) -> Column:
-        zu, zl = (line + 0.5 - mu) / sd, (line - 0.5 - mu) / sd
-        over, under = 1.0 - normal_cdf(zu), normal_cdf(zl)
-        density = 0.3989422804014327 / sd
-        d_over, d_under = F.exp(-zu * zu / 2.0) * density, -F.exp(-zl * zl / 2.0) * density
+        # transform() binds each edge once, so its CDF is computed once however often it is used.
+        edges = F.transform(F.array((line + 0.5 - mu) / sd, (line - 0.5 - mu) / sd), lambda z: F.struct(
+            normal_cdf(z).alias("cdf"), (F.exp(-z * z / 2.0) * 0.3989422804014327 / sd).alias("density")))
+        return F.transform(F.array(F.struct(mu.alias("mu"), edges.alias("e"))), move)[0]
+
+    def move(acc: Column) -> Column:
+        hi, lo = acc["e"][0], acc["e"][1]
+        over, under = 1.0 - hi["cdf"], lo["cdf"]
         both = over + under
-        slope = (d_over * under - over * d_under) / (both * both)
-        return mu - (over / both - p_over) / F.greatest(slope, F.lit(1e-12))
+        slope = (hi["density"] * under + over * lo["density"]) / (both * both)
+        return acc["mu"] - (over / both - p_over) / F.greatest(slope, F.lit(1e-12))
 
     return F.when(is_whole(line), F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)).otherwise(start)
 
 
-def fit_poisson_rate(line: Column, p_over: Column, steps: int = 6) -> Column:
+def fit_poisson_rate(line: Column, p_over: Column, steps: int = 4) -> Column:
     """Rate at which the no-push P(over) equals p_over: Newton on the log-odds as a function of the log rate, which is
     close to a straight line in both tails, from a cube-root start.
 
