@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from chalkline.catalog.registry import query
 from chalkline.catalog.views import dec, fair, hu, ip, offense_sql
 from chalkline.functions import clock, conditions as C, names as N, odds as O, scoring as S, teams as T, values as V
+from chalkline.functions.fits import fit_param
 from chalkline.functions.scoring import FIELD_PARTS, GRADING_PARTS, LOW_LINE_PARTS
 from chalkline.plans.reports import implied_points
 
@@ -186,7 +187,7 @@ def _horner(coefficients, x):
 def phi_sql(z: str) -> str:
     """Normal CDF as SQL arithmetic; callers keep |z| below seven."""
     a = f"abs({z})"
-    up = f"(exp(-{a} * {a} / 2.0E0) * {_horner(O._CDF_NUM, a)} / {_horner(O._CDF_DEN, a)})"
+    up = f"(exp(-{a} * {a} / 2.0E0) * {_horner(O.CDF_NUM, a)} / {_horner(O.CDF_DEN, a)})"
     return f"(CASE WHEN ({z}) > 0 THEN 1.0E0 - {up} ELSE {up} END)"
 
 
@@ -220,7 +221,7 @@ def _(t):
     """The fitted parameter must give the de-vigged probability back through the outcome model."""
     q = t.quotes.where(F.col("under_odds").isNotNull()).withColumns(
         {"p": O.novig_over("over_odds", "under_odds"), "sd": 2.0 + F.sqrt(F.col("line")), "small": F.col("line") % 9})
-    q = q.withColumns({"mu": O.fit_normal_mean(F.col("line"), F.col("sd"), F.col("p")), "lam": O.fit_poisson_rate(F.col("small"), F.col("p"))})
+    q = q.withColumns({"mu": fit_param(F.lit("normal"), F.col("sd"), F.col("line"), F.col("p")), "lam": fit_param(F.lit("poisson"), F.col("sd"), F.col("small"), F.col("p"))})
     q = q.withColumns({"n": O.outcome_probs(F.lit("normal"), F.col("mu"), F.col("sd"), F.col("line")),
                        "o": O.outcome_probs(F.lit("poisson"), F.col("lam"), F.lit(1.0), F.col("small"))})
     gap = lambda s: F.abs(F.col(f"{s}.over") / (F.col(f"{s}.over") + F.col(f"{s}.under")) - F.col("p")) < 1e-9

@@ -35,9 +35,10 @@ def dec(odds: str) -> str:
 
 
 def fair(p: str) -> str:
-    """Probability -> American odds."""
-    return (f"CAST(CASE WHEN ({p}) <= 0 OR ({p}) >= 1 THEN NULL WHEN ({p}) >= 0.5E0 THEN floor(-100.0E0 * ({p}) / (1.0E0 - ({p})) + 0.5E0) "
-            f"ELSE floor(100.0E0 * (1.0E0 - ({p})) / ({p}) + 0.5E0) END AS BIGINT)")
+    """Probability -> American odds, decided on nine digits."""
+    q = hu(p, 9)
+    return (f"CAST(CASE WHEN {q} <= 0 OR {q} >= 1 THEN NULL WHEN {q} >= 0.5E0 THEN floor(-100.0E0 * {q} / (1.0E0 - {q}) + 0.5E0) "
+            f"ELSE floor(100.0E0 * (1.0E0 - {q}) / {q} + 0.5E0) END AS BIGINT)")
 
 
 def pick(expr: str, values: list[str]) -> str:
@@ -76,7 +77,7 @@ WEEK = "CAST(floor((dayofyear(o_orderdate) - 1) / 21) AS INT) + 1"
 Q = "CAST(l_quantity AS INT)"
 NAME = "concat('P', CAST({0} AS STRING), ' Last', CAST({0} % 200 AS STRING), CASE WHEN {0} % 7 = 0 THEN ' Jr.' ELSE '' END)"
 KEY = "concat('p', CAST({0} AS STRING), ' last', CAST({0} % 200 AS STRING))"
-BASE_LINE = ("(CASE l_partkey % 16 WHEN 3 THEN l_partkey % 5 WHEN 6 THEN l_partkey % 2 WHEN 13 THEN l_partkey % 3 "
+BASE_LINE = ("(CASE l_partkey % 16 WHEN 3 THEN 1 + l_partkey % 5 WHEN 6 THEN 1 + l_partkey % 2 WHEN 13 THEN 1 + l_partkey % 3 "
              "WHEN 12 THEN l_partkey % 2 ELSE 3 + (l_partkey * 7) % 80 END)")
 WIGGLE = f"(CASE WHEN l_partkey % 16 IN (3, 6, 12, 13) THEN {Q} % 2 ELSE {Q} % 5 - 2 END)"
 QUOTE_ORDER = "l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax"

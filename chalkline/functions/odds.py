@@ -2,7 +2,7 @@
 
 Spark SQL has no normal or Poisson distribution, so both are built from Column arithmetic and stay in the JVM:
 the normal CDF is Hart's rational approximation, its inverse is Wichura's AS 241, the Poisson CDF is the term
-recurrence inside `aggregate`. Parameters are fitted in closed form where one exists, else by a few Newton steps.
+recurrence inside `aggregate`. Fitting a parameter to a price is in `fits`.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from chalkline.functions.teams import map_literal
-from chalkline.functions.values import as_col
+from chalkline.functions.values import as_col, half_up
 
 # Fixed-payout pick'em apps, never a reference price.
 PICKEM_BOOKS = ["prizepicks", "underdog", "sleeper"]
@@ -36,23 +36,23 @@ MAX_POISSON_SHIFT = 1.5
 REF_SPREAD_SD = 0.75
 
 # Published coefficients, highest power first.
-_CDF_NUM = [3.52624965998911e-2, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871,
+CDF_NUM = [3.52624965998911e-2, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871,
             221.213596169931, 220.206867912376]
-_CDF_DEN = [8.83883476483184e-2, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674,
+CDF_DEN = [8.83883476483184e-2, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674,
             637.333633378831, 793.826512519948, 440.413735824752]
-_INV_CENTRE = (
+INV_CENTRE = (
     [2509.0809287301226727, 33430.575583588128105, 67265.770927008700853, 45921.953931549871457,
      13731.693765509461125, 1971.5909503065514427, 133.14166789178437745, 3.3871328727963666080],
     [5226.4952788528545610, 28729.085735721942674, 39307.895800092710610, 21213.794301586595867,
      5394.1960214247511077, 687.18700749205790830, 42.313330701600911252, 1.0],
 )
-_INV_MIDDLE = (
+INV_MIDDLE = (
     [7.74545014278341407640e-4, 2.27238449892691845833e-2, 2.41780725177450611770e-1, 1.27045825245236838258,
      3.64784832476320460504, 5.76949722146069140550, 4.63033784615654529590, 1.42343711074968357734],
     [1.05075007164441684324e-9, 5.47593808499534494600e-4, 1.51986665636164571966e-2, 1.48103976427480074590e-1,
      6.89767334985100004550e-1, 1.67638483018380384940, 2.05319162663775882187, 1.0],
 )
-_INV_TAIL = (
+INV_TAIL = (
     [2.01033439929228813265e-7, 2.71155556874348757815e-5, 1.24266094738807843860e-3, 2.65321895265761230930e-2,
      2.96560571828504891230e-1, 1.78482653991729133580, 5.46378491116411436990, 6.65790464350110377720],
     [2.04426310338993978564e-15, 1.42151175831644588870e-7, 1.84631831751005468180e-5, 7.86869131145613259100e-4,
@@ -76,8 +76,9 @@ def novig_over(over_odds: Column | str, under_odds: Column | str) -> Column:
 
 
 def fair_american(p: Column | str) -> Column:
-    """Probability -> American odds as a whole number; NULL outside (0, 1)."""
-    q = as_col(p)
+    """Probability -> American odds as a whole number; NULL outside (0, 1). Nine digits decide, so an even chance does
+    not flip its sign on the last bit."""
+    q = half_up(p, 9)
     favourite = F.floor(-100.0 * q / (1.0 - q) + 0.5)
     underdog = F.floor(100.0 * (1.0 - q) / q + 0.5)
     return F.when((q > 0) & (q < 1), F.when(q >= 0.5, favourite).otherwise(underdog)).cast("bigint")
@@ -99,7 +100,7 @@ def _horner(coefficients: Sequence[float], x: Column) -> Column:
 def normal_cdf(z: Column) -> Column:
     a = F.abs(z)
     e = F.exp(-a * a / 2.0)
-    body = e * _horner(_CDF_NUM, a) / _horner(_CDF_DEN, a)
+    body = e * _horner(CDF_NUM, a) / _horner(CDF_DEN, a)
     tail = a + 0.65
     for k in (4.0, 3.0, 2.0, 1.0):
         tail = a + F.lit(k) / tail
@@ -111,11 +112,11 @@ def normal_ppf(p: Column) -> Column:
     """Inverse normal CDF for p in (0, 1)."""
     q = p - 0.5
     r0 = F.lit(0.180625) - q * q
-    centre = q * _horner(_INV_CENTRE[0], r0) / _horner(_INV_CENTRE[1], r0)
+    centre = q * _horner(INV_CENTRE[0], r0) / _horner(INV_CENTRE[1], r0)
     r = F.sqrt(-F.log(F.least(p, 1.0 - p)))
     rm, rt = r - 1.6, r - 5.0
-    middle = _horner(_INV_MIDDLE[0], rm) / _horner(_INV_MIDDLE[1], rm)
-    tail = _horner(_INV_TAIL[0], rt) / _horner(_INV_TAIL[1], rt)
+    middle = _horner(INV_MIDDLE[0], rm) / _horner(INV_MIDDLE[1], rm)
+    tail = _horner(INV_TAIL[0], rt) / _horner(INV_TAIL[1], rt)
     side = F.when(r <= 5.0, middle).otherwise(tail)
     return F.when(F.abs(q) <= 0.425, centre).otherwise(F.when(q < 0, -side).otherwise(side))
 
@@ -165,65 +166,6 @@ def outcome_probs(model: Column, param: Column, sd: Column, line: Column) -> Col
     return F.struct(over.alias("over"), under.alias("under"), push.alias("push"))
 
 
-def fit_normal_mean(line: Column, sd: Column, p_over: Column, steps: int = 4) -> Column:
-    """Mean at which the no-push P(over) equals p_over: closed form on half lines, Newton from it on whole lines."""
-    start = line + sd * normal_ppf(p_over)
-
-    def step(mu: Column, _: Column) -> Column:
-        # transform() binds each edge once, so its CDF is computed once however often it is used.
-        edges = F.transform(F.array((line + 0.5 - mu) / sd, (line - 0.5 - mu) / sd), lambda z: F.struct(
-            normal_cdf(z).alias("cdf"), (F.exp(-z * z / 2.0) * 0.3989422804014327 / sd).alias("density")))
-        return F.transform(F.array(F.struct(mu.alias("mu"), edges.alias("e"))), move)[0]
-
-    def move(acc: Column) -> Column:
-        hi, lo = acc["e"][0], acc["e"][1]
-        over, under = 1.0 - hi["cdf"], lo["cdf"]
-        both = over + under
-        slope = (hi["density"] * under + over * lo["density"]) / (both * both)
-        return acc["mu"] - (over / both - p_over) / F.greatest(slope, F.lit(1e-12))
-
-    return F.when(is_whole(line), F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)).otherwise(start)
-
-
-def fit_poisson_rate(line: Column, p_over: Column, steps: int = 4) -> Column:
-    """Rate at which the no-push P(over) equals p_over: Newton on the log-odds as a function of the log rate, which is
-    close to a straight line in both tails, from a cube-root start.
-
-    One pass over the terms gives P(X <= k) and P(X = k); the push and both derivatives follow from these two."""
-    whole = is_whole(line)
-    k = F.floor(line + F.when(whole, F.lit(0.5)).otherwise(F.lit(0.0))).cast("int")
-    shape = (k + 1).cast("double")
-    start = F.greatest(
-        shape * F.pow(1.0 - 1.0 / (9.0 * shape) + normal_ppf(p_over) / (3.0 * F.sqrt(shape)), F.lit(3.0)),
-        F.lit(0.02))
-
-    def move(acc: Column) -> Column:
-        # total and at are P(X <= k) and P(X = k) at the current rate; on a whole line k is the push.
-        lam, total, at = acc["lam"], acc["s"]["total"], acc["s"]["term"]
-        push = F.when(whole, at).otherwise(F.lit(0.0))
-        under, over = total - push, 1.0 - total
-        d_under = F.when(whole, -at * k / lam).otherwise(-at)
-        both = 1.0 - push
-        slope = (at * under - over * d_under) / (both * both)
-        tiny = F.lit(1e-300)
-        log_odds = F.log(F.greatest(over, tiny) / F.greatest(under, tiny))
-        rate = F.greatest(slope * lam * both * both / F.greatest(over * under, tiny), F.lit(1e-12))
-        change = (F.log(p_over / (1.0 - p_over)) - log_odds) / rate
-        return lam * F.exp(F.greatest(F.lit(-1.5), F.least(F.lit(1.5), change)))
-
-    def step(lam: Column, _: Column) -> Column:
-        # transform() over one element binds the struct once instead of repeating its computation per use.
-        here = F.array(F.struct(lam.alias("lam"), _poisson_terms(k, lam).alias("s")))
-        return F.transform(here, move)[0]
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)
-
-
-def fit_param(model: Column, sd: Column, line: Column, p_over: Column) -> Column:
-    """Model parameter implied by a de-vigged price: normal mean, or Poisson rate."""
-    return F.when(model == "poisson", fit_poisson_rate(line, p_over)).otherwise(fit_normal_mean(line, sd, p_over))
-
-
 def category_model(category: Column | str) -> Column:
     """'normal', 'poisson' or 'same_line' (no calibrated spread)."""
     c = as_col(category)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chalkline.functions import odds as O
+from chalkline.functions.fits import fit_param, outcome_batch
 from chalkline.functions.names import normalize_name, signed_odds
 from chalkline.functions.scoring import CATEGORY_FIELDS, LOW_LINE_PARTS, unpivot_stats
 from chalkline.functions.values import half_up
@@ -157,13 +158,13 @@ def _fair_lines(two_way: DataFrame, target_books: Sequence[str], min_refs: int,
     # Same-line props compare quotes at one exact line, so the line joins their group key.
     line_key = F.when(F.col("model") == "same_line", F.col("line"))
     sd = F.when(F.col("model") == "normal", O.normal_sd("category", F.col("__all_median")))
-    novig = O.novig_over("over_odds", "under_odds")
-    param = F.when(F.col("model") == "same_line", novig).otherwise(O.fit_param(F.col("model"), sd, F.col("line"), novig))
     refs = refs.withColumn("line_key", line_key)
     # Fits depend on the price alone, so each distinct price of a group is fitted once and weighted by its rows.
     prices = refs.groupBy(*by_target, "line_key", "model", "__all_median", "line", "over_odds", "under_odds").agg(
         F.count(F.lit(1)).alias("__rows"))
-    fitted = prices.withColumn("param", param)
+    prices = prices.withColumns({"__sd": sd, "__p": O.novig_over("over_odds", "under_odds")})
+    fit = fit_param(F.col("model"), F.col("__sd"), F.col("line"), F.col("__p"))
+    fitted = prices.withColumn("param", F.when(F.col("model") == "same_line", F.col("__p")).otherwise(fit))
     text = F.format_string("%s", F.regexp_replace(F.col("line").cast("string"), r"\.0$", ""))
     consensus = fitted.groupBy(*by_target, "line_key").agg(
         F.percentile("param", F.lit(0.5), F.col("__rows")).alias("param"), F.sum("__rows").alias("ref_books"),
@@ -220,9 +221,8 @@ def find_ev_two_way(quotes: DataFrame, target_books: Sequence[str] = TARGET_BOOK
         & ~F.col("category").isin(O.ONE_WAY_CATEGORIES))
     rows = _fair_lines(two_way, target_books, min_refs, max_shift_sd)
     same = F.col("model") == "same_line"
-    probs = O.outcome_probs(F.col("model"), F.col("param"), F.col("sd"), F.col("line"))
-    rows = rows.withColumn("__o", F.when(~same, probs)).withColumns({
-        "p_over": F.when(same, F.col("param")).otherwise(F.col("__o.over")),
+    rows = rows.withColumn("__o", outcome_batch(F.col("model"), F.col("param"), F.col("sd"), F.col("line"))).withColumns({
+        "p_over": F.when(same, F.col("param")).otherwise(1.0 - F.col("__o.under") - F.col("__o.push")),
         "p_under": F.when(same, 1.0 - F.col("param")).otherwise(F.col("__o.under")),
         "p_push": F.when(same, F.lit(0.0)).otherwise(F.col("__o.push")),
         "same_line_refs": F.coalesce(F.col("same_line_refs"), F.lit(0)),
@@ -441,13 +441,17 @@ def line_moves(baseline: DataFrame, current: DataFrame) -> DataFrame:
     both = both.where((td & ok(priced)) | (~F.col("category").isin(O.ONE_WAY_CATEGORIES) & ok(full)))
     mid = both.groupBy(*PROP).agg(F.median("line_b").alias("__mid"))
     both = attach(both, mid, PROP)
-    sd = O.stat_sd("category", F.col("__mid"))
-    model = F.when(O.category_model("category") == "poisson", F.lit("poisson")).otherwise(F.lit("normal"))
-    centre = lambda line, o, u: O.fit_param(model, sd, F.col(line), O.novig_over(o, u))
+    td = F.col("category") == "touchdowns"
+    both = both.withColumns({
+        "__sd": O.stat_sd("category", F.col("__mid")),
+        "__model": F.when(O.category_model("category") == "poisson", F.lit("poisson")).otherwise(F.lit("normal")),
+        "__pb": O.novig_over("over_b", "under_b"), "__pc": O.novig_over("over_c", "under_c")})
+    both = both.where(td | F.col("__sd").isNotNull())
     pp = 100.0 * (O.implied_prob("over_c") - O.implied_prob("over_b"))
-    move = F.when(td, pp).otherwise((centre("line_c", "over_c", "under_c") - centre("line_b", "over_b", "under_b")) / sd)
-    return both.withColumn("move", move).where(F.col("move").isNotNull()).drop("__mid").withColumn(
-        "unit", F.when(td, F.lit("pp")).otherwise(F.lit("sd")))
+    centre = lambda x: fit_param(F.col("__model"), F.col("__sd"), F.col(f"line_{x}"), F.col(f"__p{x}"))
+    move = F.when(td, pp).otherwise((centre("c") - centre("b")) / F.col("__sd"))
+    return both.withColumn("move", move).where(F.col("move").isNotNull()).withColumn(
+        "unit", F.when(td, F.lit("pp")).otherwise(F.lit("sd"))).drop("__mid", "__sd", "__model", "__pb", "__pc")
 
 
 def consensus_moves(moves: DataFrame, current: DataFrame, target_books: Sequence[str] = TARGET_BOOKS) -> DataFrame:
@@ -470,7 +474,8 @@ def stale_lines(baseline: DataFrame, current: DataFrame, target_books: Sequence[
     mine = attach(moves.where(F.col("book").isin(list(target_books))), cons.drop("unit"), PROP, "inner")
     direction = F.when(F.col("consensus") > 0, F.lit(1.0)).otherwise(F.lit(-1.0))
     lag = mine.where(F.col("move") * direction < LAG_RATIO * F.abs("consensus"))
-    live = with_lower_book(current).where(is_available())
+    # Only props with a lagging quote are priced.
+    live = with_lower_book(current).where(is_available()).join(lag.select(*PROP), PROP, "left_semi")
     ev = find_ev_two_way(live, target_books, min_refs=2, max_shift_sd=10.0).groupBy("book", *PROP, "side", "line").agg(
         F.max("ev_pct").alias("__ev"))
     td, up = F.col("category") == "touchdowns", F.col("consensus") > 0
