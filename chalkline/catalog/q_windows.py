@@ -150,5 +150,5 @@ def _(t):
     min(v) OVER () AS lo, max(v) OVER () AS hi FROM a) SELECT name_key, {hu('(hi - v) / nullif(hi - lo, 0)', 6)} AS value_fraction, {hu('(rank - 1.0E0) / (total - 1.0E0)', 6)} AS rank_fraction FROM r""")
 def _(t):
     a = t.player_stats.groupBy("name_key").agg(F.avg("rush_yds").alias("v")).withColumn("league", F.lit(1))
-    f = W.minmax_fraction(W.rank_in_group(a, ["league"], "v", "name_key"), "v", "value_fraction")
+    f = W.minmax_fraction(W.rank_in_group(a, ["league"], "v", "name_key"), {"v": "value_fraction"})
     return f.select("name_key", half_up("value_fraction", 6).alias("value_fraction"), half_up(W.rank_fraction("rank", "rank_total"), 6).alias("rank_fraction"))

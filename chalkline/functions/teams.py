@@ -48,7 +48,9 @@ def spellings() -> dict[str, str]:
 
 
 def map_literal(pairs: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+    """A constant map as one parsed expression (keys are text, values text or numbers)."""
+    text = lambda x: "'" + x.replace("'", "\\'") + "'" if isinstance(x, str) else f"{float(x)!r}D"
+    return F.expr("map(" + ", ".join(f"{text(k)}, {text(v)}" for k, v in pairs.items()) + ")")
 
 
 def normalize_team(raw: Column | str) -> Column:

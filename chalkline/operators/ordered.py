@@ -223,10 +223,13 @@ def robust_median(df: DataFrame, keys: Cols, value: str, outlier_ratio: float =
                       F.when(F.col("__na") > 0, F.col("__na")).otherwise(F.col("__nb")).alias(count))
 
 
-def minmax_fraction(df: DataFrame, column: str, out: str) -> DataFrame:
-    """0 at the maximum, 1 at the minimum of the whole result; NULL when all values are equal."""
-    lo, hi = df.agg(F.min(column)).scalar(), df.agg(F.max(column)).scalar()
-    return df.withColumn(out, (hi - F.col(column)) / F.nullif(hi - lo, F.lit(0.0)))
+def minmax_fraction(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Per column -> output: 0 at the maximum, 1 at the minimum of the whole result; NULL when all values are equal.
+
+    The bounds of all columns come from one scalar subquery."""
+    bounds = df.agg(F.struct(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])).scalar()
+    fraction = lambda c: (bounds[f"hi_{c}"] - F.col(c)) / F.nullif(bounds[f"hi_{c}"] - bounds[f"lo_{c}"], F.lit(0.0))
+    return df.withColumns({out: fraction(c) for c, out in columns.items()})
 
 
 def rank_fraction(rank: Column | str, total: Column | str) -> Column:

@@ -15,6 +15,7 @@ from chalkline.functions import odds as O
 from chalkline.functions.fits import fit_param, outcome_batch
 from chalkline.functions.names import normalize_name, signed_odds
 from chalkline.functions.scoring import CATEGORY_FIELDS, LOW_LINE_PARTS, unpivot_stats
+from chalkline.functions.teams import map_literal
 from chalkline.functions.values import half_up
 from chalkline.operators.aggregates import team_context
 from chalkline.operators.filters import drop_pickem, exclude_books, is_available, only_available
@@ -96,7 +97,7 @@ def middle_ev(middles: DataFrame, quotes: DataFrame, history: DataFrame, exclude
     """Chance that a middle hits and its expected value. `history` is (name_key, stat_field, history_games,
     history_sd) with the sample deviation over the player's whole history."""
     mean = exclude_books(with_lower_book(quotes), list(excluded)).groupBy(*PROP).agg(F.avg("line").alias("market_mean"))
-    fields = F.create_map(*[F.lit(x) for kv in CATEGORY_FIELDS.items() for x in kv])
+    fields = map_literal(CATEGORY_FIELDS)
     rows = (attach(middles, mean, PROP).withColumn("stat_field", fields[F.col("category")])
             .withColumn("name_key", normalize_name("player_name")))
     rows = rows.join(history, ["name_key", "stat_field"], "left")
@@ -241,7 +242,7 @@ def find_ev_one_way(quotes: DataFrame, target_books: Sequence[str] = TARGET_BOOK
                     holds: dict[str, float] | None = None) -> DataFrame:
     """Yes-only markets: fair probability = median implied probability of the other books less an assumed margin."""
     holds = holds or DEFAULT_HOLDS
-    hold_of = F.create_map(*[F.lit(x) for kv in holds.items() for x in kv])
+    hold_of = map_literal(holds)
     one_way = drop_pickem(with_lower_book(quotes)).where(
         F.col("category").isin(list(holds)) & F.col("over_odds").isNotNull())
     by_target = [*PROP, "target_book"]
@@ -567,13 +568,13 @@ UNSUPPORTED_REASONS = {
 
 def to_candidates(props: DataFrame) -> DataFrame:
     """Props of supported categories with their contest field; over line first, touchdowns become over 0.5."""
-    fields = F.create_map(*[F.lit(x) for kv in CATEGORY_FIELDS.items() for x in kv])
+    fields = map_literal(CATEGORY_FIELDS)
     line = F.when(F.col("category") == "touchdowns", F.lit(0.5)).otherwise(F.coalesce("over_line", "under_line"))
     return props.withColumn("stat_field", fields[F.col("category")]).where(F.col("stat_field").isNotNull()).withColumn("line", line)
 
 
 def skipped_categories(props: DataFrame) -> DataFrame:
-    known = F.create_map(*[F.lit(x) for kv in UNSUPPORTED_REASONS.items() for x in kv])
+    known = map_literal(UNSUPPORTED_REASONS)
     rest = props.where(~F.col("category").isin(list(CATEGORY_FIELDS)))
     return rest.groupBy("category").agg(F.count(F.lit(1)).alias("n_rows")).withColumn(
         "reason", F.coalesce(known[F.col("category")], F.lit("unknown category")))

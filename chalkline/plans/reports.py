@@ -165,8 +165,7 @@ def best_matchups(players: DataFrame, stats: DataFrame, depth: DataFrame, schedu
 
 def with_value_fractions(rows: DataFrame) -> DataFrame:
     """Min-max fractions over the rows shown (kept apart: it scans the result once more for its two bounds)."""
-    rows = minmax_fraction(rows, "implied_points", "implied_fraction")
-    return minmax_fraction(rows, "team_implied_total", "team_total_fraction")
+    return minmax_fraction(rows, {"implied_points": "implied_fraction", "team_implied_total": "team_total_fraction"})
 
 
 def depth_charts(depth: DataFrame, injuries: DataFrame, positions: Sequence[str] = ("QB", "RB", "LWR", "RWR", "SWR", "TE")
