@@ -44,7 +44,7 @@ def _(t):
     return R.latest_n(t.player_stats, "year", 2).select("player_id", "year", "week")
 
 
-@query("src5_tolerant_read", "SELECT count(*) AS good_rows, count(*) FILTER (rec = 3) AS bad_rows FROM (SELECT rec FROM player_stats) x WHERE rec <> 3 OR true")
+@query("src5_tolerant_read", "SELECT count(*) AS good_rows, count(*) FILTER (rec = 3) AS bad_rows FROM player_stats")
 def _(t):
     """Every row once as it is, and rows with three catches once more with a broken number."""
     s = t.player_stats.select(*COLS, "rec")
@@ -55,11 +55,6 @@ def _(t):
     return tag(good, 1).unionByName(tag(broken, 0)).agg(F.count_if(F.col("g") == 1).alias("good_rows"), F.count_if(F.col("g") == 0).alias("bad_rows"))
 
 
-@query("src6_detect_layout", "SELECT cid, year, week, 'cheatsheet' AS layout FROM slate")
-def _(t):
-    return t.slate.select("cid", "year", "week", F.lit(R.detect_layout(["first_name", "ppg_projection", "game_date"])).alias("layout"))
-
-
 @query("src7_year_from_path", "SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 4 = 0 THEN 2000 + o_orderkey % 90 WHEN o_orderkey % 4 = 1 THEN 2003 WHEN o_orderkey % 4 = 2 THEN 2025 ELSE 1999 END AS INT) AS year FROM orders")
 def _(t):
     k = F.col("o_orderkey")
@@ -77,6 +72,17 @@ def _names():
     return parts[0].alias("first_name"), parts[1].alias("last_name")
 
 
+@query("src6_layout_dispatch", "SELECT 'cheatsheet' AS source, position, count(*) AS n FROM slate GROUP BY position UNION ALL SELECT 'export', position, count(*) FROM slate GROUP BY position")
+def _(t):
+    """Files of two layouts, each told apart by its columns, stacked in the canonical form."""
+    base = t.slate.select(*_names(), "position", F.col("week").cast("string").alias("week"), "year", "team", F.col("opponent").alias("opp"), "opponent", F.col("salary").cast("string").alias("salary"))
+    none = F.lit(None).cast("string")
+    one = base.withColumns({"ppg_projection": none, "ppg_actual": none, "game_date": none})
+    two = base.withColumns({"proj_points": none, "proj_rotowire": none, "ownership": none})
+    both = R.normalize_salaries(one, F.col("year")).unionByName(R.normalize_salaries(two, F.col("year")))
+    return both.groupBy("source", "position").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("src8_cheatsheet", SAL.format(name="name", key="name_key", pts="NULL", proj="cid % 20", own="NULL", src="cheatsheet") + " WHERE cid % 5 <> 3")
 def _(t):
     s = t.slate.select(*_names(), "position", F.col("week").cast("string").alias("week"), "year", F.when(F.col("cid") % 5 == 3, F.lit("Sun")).otherwise(F.lit("Thu-Mon")).alias("slate"), F.upper("team").alias("team"),

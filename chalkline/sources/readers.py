@@ -20,12 +20,14 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: str, colum
 
 
 def read_tolerant(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-8") -> tuple[DataFrame, DataFrame]:
-    """Good rows and malformed rows (kept in `_corrupt_record` for counting). Rows that do not decode as UTF-8 can be
-    read again with encoding='ISO-8859-1'."""
-    df = (spark.read.schema(f"{schema}, _corrupt_record string").option("header", True).option("encoding", encoding)
-          .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").csv(path))
-    bad = F.col("_corrupt_record").isNotNull()
-    return df.where(~bad).drop("_corrupt_record"), df.where(bad)
+    """(good rows, malformed lines). Lines are split by the scan and parsed as an expression, so one bad field never
+    hides the rest; text that is not UTF-8 is read with encoding='ISO-8859-1'. The header is a line naming the columns."""
+    lines = (spark.read.schema("value string").option("sep", "\u0001").option("quote", "").option("encoding", encoding).csv(path))
+    header = ",".join(part.split()[0] for part in schema.split(", "))
+    parsed = lines.where(F.col("value") != header).withColumn("r", F.from_csv(
+        "value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    bad = F.col("r._bad").isNotNull()
+    return parsed.where(~bad).select("r.*").drop("_bad"), parsed.where(bad).select("value")
 
 
 def latest_n(df: DataFrame, column: str, n: int) -> DataFrame:
