@@ -21,8 +21,13 @@ from chalkline.functions.values import as_col, half_up, ratio
 Cols = Sequence[str]
 
 
-def attach(df: DataFrame, side: DataFrame, keys: Cols, how: str = "left") -> DataFrame:
-    """Join `side` (unique on `keys`) to `df` null-safely and keep one copy of the keys."""
+def attach(df: DataFrame, side: DataFrame, keys: Cols, how: str = "left", null_safe: bool = False) -> DataFrame:
+    """Join `side` (unique on `keys`) to `df` and keep one copy of the keys.
+
+    The plain form lets an aggregate by `keys` be joined where it lies, without a second exchange; `null_safe` also
+    matches NULL to NULL."""
+    if not null_safe:
+        return df.join(side, list(keys), how)
     renamed = side.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *[c for c in side.columns if c not in keys])
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
     return df.join(renamed, on, how).drop(*[f"__k_{k}" for k in keys])
@@ -66,7 +71,7 @@ def chunked_row_number(df: DataFrame, group: Cols, order: Sequence[Column | str]
         sizes = sizes.withColumn(total, F.sum("__n").over(w))
     numbered = tagged.withColumn("__in", F.row_number().over(
         Window.partitionBy(*group, *names).orderBy(*_direction(order))))
-    joined = attach(numbered, sizes.drop("__n"), [*group, *names])
+    joined = attach(numbered, sizes.drop("__n"), [*group, *names], null_safe=True)
     return joined.withColumn(out, (F.col("__in") + F.col("__before")).cast("bigint")).drop("__in", "__before", *names)
 
 

@@ -24,6 +24,7 @@ from chalkline.operators.ordered import attach, first_rows, robust_median
 
 PROP = ["player_name", "category"]
 TARGET_BOOKS = ("draftkings", "caesars")
+NO_LINE = -1e9  # group key of props that are not compared line by line
 
 
 def with_lower_book(quotes: DataFrame) -> DataFrame:
@@ -155,14 +156,18 @@ def _fair_lines(two_way: DataFrame, target_books: Sequence[str], min_refs: int,
     model = O.category_model("category")
     resolved = F.when((model == "normal") & (F.col("__all_median") < O.MIN_NORMAL_LINE), F.lit("same_line")).otherwise(model)
     lines = lines.withColumn("model", resolved)
+    same = refs.groupBy(*by_target, "line").agg(
+        F.count(F.lit(1)).alias("same_line_refs"),
+        _best(O.implied_prob("over_odds"), "book", "over_odds").alias("bo"),
+        _best(O.implied_prob("under_odds"), "book", "under_odds").alias("bu"))
+    # Distinct prices are counted before they meet the consensus model.
+    refs = refs.groupBy(*by_target, "line", "over_odds", "under_odds").agg(F.count(F.lit(1)).alias("__rows"))
     refs = attach(refs, lines, by_target, "inner")
     # Same-line props compare quotes at one exact line, so the line joins their group key.
-    line_key = F.when(F.col("model") == "same_line", F.col("line"))
+    line_key = F.when(F.col("model") == "same_line", F.col("line")).otherwise(F.lit(NO_LINE))
     sd = F.when(F.col("model") == "normal", O.normal_sd("category", F.col("__all_median")))
-    refs = refs.withColumn("line_key", line_key)
     # Fits depend on the price alone, so each distinct price of a group is fitted once and weighted by its rows.
-    prices = refs.groupBy(*by_target, "line_key", "model", "__all_median", "line", "over_odds", "under_odds").agg(
-        F.count(F.lit(1)).alias("__rows"))
+    prices = refs.withColumn("line_key", line_key)
     prices = prices.withColumns({"__sd": sd, "__p": O.novig_over("over_odds", "under_odds")})
     fit = fit_param(F.col("model"), F.col("__sd"), F.col("line"), F.col("__p"))
     fitted = prices.withColumn("param", F.when(F.col("model") == "same_line", F.col("__p")).otherwise(fit))
@@ -172,10 +177,6 @@ def _fair_lines(two_way: DataFrame, target_books: Sequence[str], min_refs: int,
         F.percentile("line", F.lit(0.5), F.col("__rows")).alias("ref_line"),
         F.min("line").alias("ref_lo"), F.max("line").alias("ref_hi"),
         F.array_join(F.array_sort(F.collect_set(text)), ",").alias("ref_lines"))
-    same = refs.groupBy(*by_target, "line").agg(
-        F.count(F.lit(1)).alias("same_line_refs"),
-        _best(O.implied_prob("over_odds"), "book", "over_odds").alias("bo"),
-        _best(O.implied_prob("under_odds"), "book", "under_odds").alias("bu"))
     targets = two_way.where(F.col("book").isin(list(target_books))).withColumn("target_book", F.col("book"))
     targets = attach(targets, lines, by_target, "inner").withColumn("line_key", line_key)
     targets = attach(targets, consensus, [*by_target, "line_key"], "inner").where(F.col("ref_books") >= min_refs)
