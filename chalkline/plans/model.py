@@ -174,7 +174,7 @@ def _pass(train: DataFrame, theta: np.ndarray, a: float, b: float) -> tuple[floa
     return float(row[0]), g, h + np.triu(h, 1).T
 
 
-def fit_weights(train: DataFrame, a: float, b: float, iterations: int = 30, tolerance: float = 1e-7) -> tuple[dict, dict, float]:
+def fit_weights(train: DataFrame, a: float, b: float, iterations: int = 30, tolerance: float = 1e-6) -> tuple[dict, dict, float]:
     """Share weights >= 0 and adjustment coefficients in [-3, 3], jointly, by projected Gauss-Newton steps with
     backtracking; every trial point is one distributed aggregate of about 120 sums."""
     k, m = len(SHARES), len(ADJUSTMENTS)

@@ -145,6 +145,25 @@ def test_fit_recovers_weights(spark):
     assert weights["share_carries"] == pytest.approx(0.5, abs=0.12)
 
 
+def test_team_touchdown_fit_recovers_its_line(spark):
+    import math
+
+    rng = random.Random(2)
+    rows = []
+    for i in range(3000):
+        total = 14.0 + rng.random() * 20
+        lam, k, term = math.exp(-2.0 + 0.9 * math.log(total)), 0, rng.random()
+        cum = p = math.exp(-lam)
+        while cum < term and k < 60:
+            k += 1
+            p *= lam / k
+            cum += p
+        rows.append((1, i, "t", total, float(k)))
+    df = spark.createDataFrame(rows, "year int, week int, team string, implied_total double, tds double")
+    a, b = MD.fit_team_tds(df.drop("tds"), df.drop("implied_total"), [1])
+    assert a == pytest.approx(-2.0, abs=0.4) and b == pytest.approx(0.9, abs=0.12)
+
+
 def test_last_k_is_cut_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 7).alias("k"), "id")
     plan = W.first_rows(df, ["k"], [F.desc("id")], 3)._jdf.queryExecution().executedPlan().toString()
