@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import quality, simhash
+from chalkline.llm import automaton, counts, lines, quality, simhash, vocabulary
 from chalkline.llm.common import read_table
 
+WORD_VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -31,6 +33,35 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), simhash.hex_digits().alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def vocabulary_path(name: str) -> str:
+    """Where the installed package of public vocabularies keeps a file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op4_bpe_round_trip")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document and the text they decode to, as digests."""
+    vocab = vocabulary.load(vocabulary_path(WORD_VOCABULARY))
+    return automaton.encode_digests(read_table(spark, folder, "documents"), vocab).withColumnRenamed("id", "doc_id")
+
+
+@query("op5_token_counts")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts of every document."""
+    vocab = vocabulary.load(vocabulary_path(BYTE_VOCABULARY))
+    return counts.count_tokens(read_table(spark, folder, "documents"), vocab).withColumnRenamed("id", "doc_id")
+
+
+@query("op6_line_dedup")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the passages that an earlier document has cut from its text."""
+    docs = read_table(spark, folder, "documents")
+    return lines.drop_repeated(docs.withColumnRenamed("n_chars", "n_chars_before"), length_col=None).select(
+        "doc_id", "text", "n_chars_before", F.length("text").cast("long").alias("n_chars"))
+
+
 @query("op10_quality_scores")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of every document by a model fitted on the labelled documents that are not held out."""
