@@ -1,7 +1,8 @@
 """Byte-pair encoding and decoding by a tokenization automaton.
 
 The automaton reads token labels; its state is the token last read, and it accepts exactly the token sequences that the merges produce. It is
-built gadget by gadget in merge order. The gadget of the merge (u, v) -> w
+built gadget by gadget in merge order. The gadget of the merge (u, v) -> w does nothing if state u has no arc v at this time (u and v never
+meet, or are never made); otherwise it
 
 * adds the state w, whose row is the row that v has at this time (what may follow w is what may follow v then),
 * adds the arc w to every state that has the arc u at this time (after the cut below, which matters where u = v),
@@ -54,11 +55,12 @@ class Automaton:
         if known is None:
             if len(self.table) >= TABLE_ROWS:
                 self.table.clear()
-            known = self.table[key] = self._fill(state, label)
+            known = self.table[key] = self.arc(state, label, len(self.labels))
         return known
 
-    def _fill(self, state: int, label: int) -> bool:
-        rank, limit = self.rank, len(self.labels)
+    def arc(self, state: int, label: int, limit: int) -> bool:
+        """Had `state` an arc `label` when the gadgets below rank `limit` were in place?"""
+        rank = self.rank
         while True:
             k = self.cut.get((state, label))
             if k is not None and k < limit:
@@ -127,11 +129,16 @@ def compile_merges(vocab: Vocabulary) -> Automaton:
             raise ValueError(f"merge {n} is out of order")
         left[w], right[w], rank[w], cut[u, v] = u, v, n, n
     auto = Automaton(labels, left, right, rank, cut, [{}], [-1], [-1])
+    void: set[int] = set()
+    for a, b in vocab.merges:
+        w = vocab.ids[a + b]
+        if left[w] in void or right[w] in void or not auto.arc(left[w], right[w], rank[w]):
+            void.add(w)
     singles = set(byte_symbols())
     for s, k in vocab.ids.items():
         ends = vocab.suffix and s.endswith(vocab.suffix)
         body = s[: -len(vocab.suffix)] if ends else s
-        if rank[k] < 0 and body not in singles:
+        if k in void or rank[k] < 0 and body not in singles:
             continue
         node = 0
         for c in body:
