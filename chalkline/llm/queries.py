@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import automaton, counts, lines, quality, simhash, vocabulary
+from chalkline.llm import automaton, counts, decontam, lines, quality, simhash, vocabulary
 from chalkline.llm.common import read_table
 
 WORD_VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -62,6 +62,14 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "text", "n_chars_before", F.length("text").cast("long").alias("n_chars"))
 
 
+@query("op9_benchmark_leaks", decontam.ORACLE)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the words that agree at the best offset."""
+    found = decontam.overlaps(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+    return found.groupBy(F.col("id").alias("doc_id"), F.col("item").alias("item_id")).agg(
+        F.max("matched").cast("long").alias("matched"), F.max("n_words").cast("long").alias("n_words"))
+
+
 @query("op10_quality_scores")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of every document by a model fitted on the labelled documents that are not held out."""

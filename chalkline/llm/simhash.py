@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chalkline.llm.common import rows_of, stage, text_of
 from chalkline.llm.graph import connected_components
@@ -116,5 +117,25 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return marked.join(stage(of_fp, "components"), "fp").select("id", "fp", "component")
 
 
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """The rows of `docs`, all columns, of which each component has one: the smallest id (null ids last), of repeated rows any one."""
+    row, fp = "_simhash_row", "_simhash_fp"
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint((t or "").encode("utf-8"), width) for (t,) in rows_of([batch], text_col)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], names=[*names, fp])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])
+    marked = stage(docs.mapInArrow(run, schema).withColumn(row, F.monotonically_increasing_id()), "marked")
+    place = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    distinct = stage(marked.groupBy(F.col(fp).alias("fp")).agg(F.min(place).alias("place")), "distinct")
+    parts = connected_components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
+    kept = distinct.join(parts, "fp", "left").groupBy(F.coalesce("component", "fp")).agg(F.min("place").alias("place"))
+    rows = stage(kept.select(F.col("place.row").alias(row)), "kept")
+    return marked.join(rows, row, "left_semi").select(*[F.col(f"`{c}`") for c in names])
+
+
 def hex_digits(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
