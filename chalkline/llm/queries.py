@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import automaton, counts, decontam, lines, quality, simhash, vocabulary
+from chalkline.llm import automaton, counts, decontam, lines, quality, simhash, topk, vocabulary
 from chalkline.llm.common import read_table
 
 WORD_VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -33,6 +33,13 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), simhash.hex_digits().alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+@query("op2_exact_top_k", topk.ORACLE)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 rows of largest inner product for every twentieth vector."""
+    found = topk.search(read_table(spark, folder, "embeddings"), F.col("id") % 20 == 0, 20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def vocabulary_path(name: str) -> str:
     """Where the installed package of public vocabularies keeps a file."""
     import public_tokenizers
