@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import automaton, counts, decontam, lines, quality, simhash, topk, vocabulary
+from chalkline.llm import automaton, counts, decontam, lines, quality, simhash, topk, vocabulary, warc
 from chalkline.llm.common import read_table
 
 WORD_VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -40,6 +40,14 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+@query("op3_warc_round_trip")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """What the archives hold of every page."""
+    records = warc.round_trip(read_table(spark, folder, "pages"), least=0)
+    return records.select(F.col("page").cast("long").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type",
+                          F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def vocabulary_path(name: str) -> str:
     """Where the installed package of public vocabularies keeps a file."""
     import public_tokenizers
