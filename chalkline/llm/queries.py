@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import automaton, counts, decontam, lines, quality, simhash, topk, vocabulary, warc
+from chalkline.llm import automaton, counts, decontam, html, lines, quality, simhash, topk, vocabulary, warc
 from chalkline.llm.common import read_table
 
 WORD_VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -77,6 +77,12 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "text", "n_chars_before", F.length("text").cast("long").alias("n_chars"))
 
 
+@query("op8_main_text")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract(read_table(spark, folder, "pages")).withColumnRenamed("id", "page_id")
+
+
 @query("op9_benchmark_leaks", decontam.ORACLE)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a benchmark item, with the words that agree at the best offset."""
