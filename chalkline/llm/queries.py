@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import automaton, counts, decontam, html, lines, quality, simhash, topk, vocabulary, warc
+from chalkline.llm import automaton, counts, decontam, html, lines, pii, quality, simhash, topk, vocabulary, warc
 from chalkline.llm.common import read_table
 
+SURROGATE_KEY = b"a key for tests; an owner of data brings one of their own"
 WORD_VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +78,14 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "text", "n_chars_before", F.length("text").cast("long").alias("n_chars"))
 
 
+@query("op7_pii_surrogates")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with surrogates for personal data and secrets."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text", F.xxhash64("text").alias("before"))
+    replaced, _ = pii.replace_entities(docs, SURROGATE_KEY)
+    return replaced.select("doc_id", "text", (~F.xxhash64("text").eqNullSafe(F.col("before"))).alias("replaced"))
+
+
 @query("op8_main_text")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
