@@ -8,7 +8,6 @@ from chalkline.catalog.q_functions import (WEATHER_SQL, phi_sql, pois_cdf_sql, p
 from chalkline.catalog.registry import query
 from chalkline.catalog.views import dec, fair, hu, ip
 from chalkline.functions import odds as O
-from chalkline.functions.conditions import total_value
 from chalkline.functions.scoring import CATEGORY_FIELDS, FIELD_PARTS, GRADING_PARTS, LOW_LINE_PARTS, unpivot_stats
 from chalkline.functions.values import half_up
 from chalkline.plans import market as M, model as MD, tracker as TR
@@ -397,7 +396,7 @@ def _(t):
     return graded(t).select("cid", "year", "week", "category", "result", "actual", "profit")
 
 
-CLOSE_SQL = f"""snap AS (SELECT a.* FROM archive a JOIN (SELECT year, week, team, max(scraped_at) AS last_at FROM archive WHERE scraped_at < kickoff GROUP BY year, week, team) m ON m.year = a.year AND m.week = a.week AND m.team = a.team AND a.scraped_at = m.last_at),
+CLOSE_SQL = f"""snap AS (SELECT a.* FROM archive a JOIN (SELECT s.year, s.week, s.team, max(x.scraped_at) AS last_at FROM schedule s JOIN (SELECT DISTINCT year, week, scraped_at FROM archive) x ON x.year = s.year AND x.week = s.week AND x.scraped_at < s.kickoff GROUP BY s.year, s.week, s.team) m ON m.year = a.year AND m.week = a.week AND m.team = a.team AND a.scraped_at = m.last_at),
     cl AS (SELECT * FROM snap WHERE available <> 'false'),
     cp AS (SELECT b.*, (SELECT min(CASE WHEN b.side = 'Over' THEN c.over_odds ELSE c.under_odds END) FROM cl c WHERE c.year = b.year AND c.week = b.week AND c.name_key = b.name_key AND c.category = b.category AND c.line = b.line AND c.book = b.book) AS close_odds,
       (SELECT CASE WHEN count(*) >= 2 THEN median({ip('c.over_odds')} / ({ip('c.over_odds')} + {ip('c.under_odds')})) END FROM cl c WHERE c.year = b.year AND c.week = b.week AND c.name_key = b.name_key AND c.category = b.category AND c.line = b.line AND c.book NOT IN {PICKEM}) AS po FROM bets b),
@@ -429,5 +428,3 @@ def _(t):
     s = t.schedule.select("year", "week", F.coalesce(day, F.date_format("kickoff", "yyyy-M-d")).alias("date"))
     return TR.current_week_from_dates(s, F.to_date(F.lit("1999-06-11")))
 
-
-_ = total_value

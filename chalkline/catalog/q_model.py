@@ -125,14 +125,14 @@ def _(t):
 
 @query("md8_fit_weights")
 def _(t):
-    weights, adj, loss = MD.fit_weights(dataset(t).where(F.col("year").isin(list(TRAIN))), PARAMS["team_a"], PARAMS["team_b"], iterations=8)
+    weights, adj, loss = MD.fit_weights(dataset(t).where(F.col("year").isin(list(TRAIN))), PARAMS["team_a"], PARAMS["team_b"])
     rows = ", ".join(f"('{k}', {v!r}D)" for k, v in {**weights, **adj, "train_log_loss": loss}.items())
     return t.spark.sql(f"SELECT * FROM VALUES {rows} AS v(parameter, value)")
 
 
 @query("md9_select_halflife")
 def _(t):
-    best = MD.select_halflife(pg(t), games(t), TRAIN, TEST, candidates=(3.0, 8.0))
+    best = MD.select_halflife(pg(t), games(t), TRAIN, TEST)
     return t.spark.sql(f"SELECT {best['halflife']!r}D AS halflife, {best['test_log_loss']!r}D AS test_log_loss")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -13,16 +12,18 @@ from chalkline.catalog.views import VIEWS
 from chalkline.streaming import quotes as Q
 
 
+FILES_PER_BATCH = 64
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's checkpoint folder; a local one only where none is configured (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chalkline-")
+    """A fresh folder under the cluster's checkpoint folder, or under the warehouse: folders that all executors share."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
     return f"{root.rstrip('/')}/{name}_{uuid.uuid4().hex}"
 
 
 def stream(t):
-    """The event file as a stream of quotes, shaped like the batch view."""
-    schema = t.events.schema
-    raw = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+    """The event table, one file or a folder of part files, as a stream of quotes, shaped like the batch view."""
+    raw = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(f"{t.folder}/event[s].parquet")
     name = f"events_stream_{uuid.uuid4().hex}"
     raw.createOrReplaceTempView(name)
     return t.spark.sql(VIEWS["quotes_t"].replace("FROM events", f"FROM {name}"))
@@ -97,8 +98,8 @@ MOVE_SQL = """SELECT player_name, book, line, base AS baseline, line - base AS m
 @query("ss5_move_since_baseline", MOVE_SQL)
 def _(t):
     root, ck = scratch(t.spark, "ss5"), scratch(t.spark, "ss5c")
-    Q.run_available(stream(t), root, ck, "append", Q.baseline_sink(root, 5.0))
-    return t.spark.read.parquet(f"{root}/moves").select("player_name", "book", "line", "baseline", "move")
+    Q.run_available(stream(t), root, ck, "append", Q.baseline_sink(root))
+    return Q.read_moves(t.spark, root, 5.0).select("player_name", "book", "line", "baseline", "move")
 
 
 @query("ss5_move_since_baseline_batch", MOVE_SQL)

@@ -11,9 +11,11 @@ def as_col(c: Column | str) -> Column:
 
 
 def half_up(c: Column | str, digits: int = 0) -> Column:
-    """Round half up on the binary value: floor(x * 10^d + 0.5) / 10^d, always a double."""
+    """Round half up on the binary value: floor(x * 10^d + 0.5) / 10^d, always a double; NaN stays NaN."""
     scale = float(10**digits)
-    return F.floor(as_col(c) * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+    x = as_col(c)
+    rounded = F.floor(x * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+    return F.when(F.isnan(x), x.cast("double")).otherwise(rounded)
 
 
 def blank_to_null(c: Column | str) -> Column:

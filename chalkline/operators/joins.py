@@ -142,10 +142,11 @@ def match_player(left: DataFrame, right: DataFrame, key: str = "name_key", last:
 
 
 def score_slots(slots: DataFrame, stats: DataFrame, defense: DataFrame) -> DataFrame:
-    """Points per lineup slot: defences by team, everyone else by name. `stats` is unique on (year, week, name_key),
-    `defense` on (year, week, team)."""
-    s = stats.select("year", "week", "name_key", F.col("points").alias("__sp"), F.col("team").alias("__st"))
-    d = defense.select("year", "week", F.col("team").alias("dst_team"), F.col("points").alias("__dp"))
+    """Points per lineup slot: defences by team, everyone else by name. Where a name (or team) has several rows in a week, the first by
+    team and then by most points counts, so a slot stays one row."""
+    s = first_rows(stats, ["year", "week", "name_key"], ["team", F.desc("points")])
+    s = s.select("year", "week", "name_key", F.col("points").alias("__sp"), F.col("team").alias("__st"))
+    d = first_rows(defense, ["year", "week", "team"], [F.desc("points")]).select("year", "week", F.col("team").alias("dst_team"), F.col("points").alias("__dp"))
     joined = slots.join(s, ["year", "week", "name_key"], "left").join(d, ["year", "week", "dst_team"], "left")
     is_dst = F.upper("slot") == "DST"
     return (joined.withColumn("actual_pts", F.when(is_dst, F.col("__dp")).otherwise(F.col("__sp")))

@@ -92,21 +92,40 @@ def rank_in_group(df: DataFrame, group: Cols, value: str, tiebreak: str, step: f
     return chunked_row_number(df, group, [F.col(value).desc_nulls_last(), F.col(tiebreak)], chunk, rank, total)
 
 
+EWM_EXPONENT = 256  # largest exponent of a weight of two inside one block
+
+
 def ewm_mean(df: DataFrame, keys: Cols, order: Cols, columns: Cols, halflife: float, shift: bool = True,
              prefix: str = "ewm_") -> DataFrame:
     """Exponentially weighted mean with a half-life in rows, NULLs skipped; `shift` leaves the current row out.
 
-    With k the running count of non-null values, weight 2^(k/halflife) makes the mean a ratio of two running sums.
+    With k the running count of non-null values, weight 2^(k/halflife) makes the mean a ratio of two running sums. The weights of a block of
+    histories restart at 1, and the sums of the block before are carried over scaled down, so no weight grows with the
+    history. (What lies two blocks back weighs 2^-256 and is left out.)
     """
-    base = Window.partitionBy(*keys).orderBy(*order)
-    upto = base.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    frame = base.rowsBetween(Window.unboundedPreceding, -1) if shift else upto
-    ks = {f"__k_{c}": F.count(c).over(upto) for c in columns}
-    ws = {f"__w_{c}": F.when(F.col(c).isNotNull(), F.pow(F.lit(2.0), F.col(f"__k_{c}") / F.lit(float(halflife))))
-          for c in columns}
-    means = {f"{prefix}{c}": F.sum(F.col(c) * F.col(f"__w_{c}")).over(frame) / F.sum(F.col(f"__w_{c}")).over(frame)
-             for c in columns}
-    return df.withColumns(ks).withColumns(ws).withColumns(means).drop(*ks, *ws)
+    size = max(1, int(halflife * EWM_EXPONENT))
+    half = F.lit(float(halflife))
+    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = df.withColumns({"__b": F.floor(F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) / size),
+                          **{f"__k_{c}": F.count(c).over(upto) for c in columns}})
+    inside = Window.partitionBy(*keys, "__b").orderBy(*order)
+    through = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    frame = inside.rowsBetween(Window.unboundedPreceding, -1) if shift else through
+    # Counts at the start of the block, where its weights are 1.
+    out = out.withColumns({f"__s_{c}": F.first(f"__k_{c}").over(through) for c in columns})
+    out = out.withColumns({f"__w_{c}": F.when(F.col(c).isNotNull(), F.pow(F.lit(2.0), (F.col(f"__k_{c}") - F.col(f"__s_{c}")) / half)) for c in columns})
+    weighted = {c: F.col(c) * F.col(f"__w_{c}") for c in columns}
+    out = out.withColumns({f"__t_{c}": F.struct("__b", F.col(f"__k_{c}").alias("k"), F.sum(f"__w_{c}").over(through).alias("d"), F.sum(weighted[c]).over(through).alias("n"),
+                                               F.col(f"__s_{c}").alias("s")) for c in columns})
+    earlier = Window.partitionBy(*keys).orderBy("__b").rangeBetween(Window.unboundedPreceding, -1)
+    out = out.withColumns({f"__c_{c}": F.max(F.when(F.col(f"__t_{c}.d").isNotNull(), F.col(f"__t_{c}"))).over(earlier) for c in columns})
+
+    def part(c: str, value: Column | str, field: str) -> Column:
+        faded = F.col(f"__c_{c}.{field}") * F.pow(F.lit(2.0), (F.col(f"__c_{c}.s") - F.col(f"__s_{c}")) / half)
+        return F.coalesce(F.sum(value).over(frame), F.lit(0.0)) + F.coalesce(faded, F.lit(0.0))
+
+    means = {f"{prefix}{c}": part(c, weighted[c], "n") / F.nullif(part(c, f"__w_{c}", "d"), F.lit(0.0)) for c in columns}
+    return out.withColumns(means).drop("__b", *[f"__{x}_{c}" for c in columns for x in "kswtc"])
 
 
 def group_total(df: DataFrame, keys: Cols, column: str, out: str) -> DataFrame:

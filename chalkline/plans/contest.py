@@ -14,7 +14,7 @@ from chalkline.functions.teams import normalize_team
 from chalkline.functions.values import half_up, zero_if_null
 from chalkline.operators.aggregates import lineup_total
 from chalkline.operators.joins import resolve_team, score_slots
-from chalkline.operators.ordered import attach, dropped_week, weekly_top
+from chalkline.operators.ordered import attach, dropped_week, first_rows, weekly_top
 
 WEEK = ["year", "week"]
 LINEUP_SCHEMA = "array<struct<slot:string,name:string,position:string,salary:int>>"
@@ -25,12 +25,18 @@ LINEUP_SIZE, SALARY_CAP, PICKS_PER_WEEK = 9, 50_000, 5
 UNGRADED = ["push", "void"]
 
 
+def one_per_name(stats: DataFrame) -> DataFrame:
+    """One row per name and week, the first by team and player id, where the table has them."""
+    order = [c for c in ("team", "player_id") if c in stats.columns] or ["name_key"]
+    return first_rows(stats, [*WEEK, "name_key"], order)
+
+
 def score_props(bets: DataFrame, stats: DataFrame, teams: Sequence[DataFrame], results: DataFrame) -> DataFrame:
     """actual and result (over / under / push / void / NULL) per prop.
 
-    `bets`(prop_id, year, week, name_key, stat_field, line); `stats` unique on (year, week, name_key); `teams` are
-    priority sources of (year, week, name_key, team); `results` lists (year, week, team) with a final score."""
-    values = S.unpivot_stats(stats, S.FIELD_PARTS, [*WEEK, "name_key"], name="stat_field", value="actual")
+    `bets`(prop_id, year, week, name_key, stat_field, line); of several `stats` rows of a name in a week the
+    first by `one_per_name` counts; `teams` are priority sources of (year, week, name_key, team); `results` lists (year, week, team) with a final score."""
+    values = S.unpivot_stats(one_per_name(stats), S.FIELD_PARTS, [*WEEK, "name_key"], name="stat_field", value="actual")
     rows = bets.join(values, [*WEEK, "name_key", "stat_field"], "left")
     sources = [t.select(F.concat_ws("|", *WEEK, "name_key").alias("__who"), "team") for t in teams]
     rows = resolve_team(rows.withColumn("__who", F.concat_ws("|", *WEEK, "name_key")), sources, "__who").drop("__who")
@@ -53,7 +59,7 @@ def lineup_rows(slots: DataFrame, stats: DataFrame, defense: DataFrame, slate: D
                 results: DataFrame) -> DataFrame:
     """Every lineup player with their result. A player without stats whose team's result is in scores 0 (dnp).
 
-    `stats`(year, week, name_key, team, points) and `defense`(year, week, team, points) are unique on their keys;
+    `stats`(year, week, name_key, team, points) and `defense`(year, week, team, points) count with one row per key;
     `slate` and `salaries` give the team of players without stats, the slate first."""
     rows = score_slots(slots, stats, defense)
     key = F.concat_ws("|", *WEEK, "name_key")
@@ -95,8 +101,9 @@ def weekly_winners(scores: DataFrame, excluded: dict | None = None) -> DataFrame
 
 
 def graded_picks(picks: DataFrame, scored: DataFrame) -> DataFrame:
-    """Picks with their prop's result; is_correct is NULL for push, void and pending."""
-    rows = picks.join(scored.select("prop_id", "player_name", "stat_field", "line", "actual", "result"), "prop_id", "inner")
+    """Picks with their prop's result; is_correct is NULL for push, void and pending. A pick whose prop is gone is pending."""
+    props = first_rows(scored, ["prop_id"], ["player_name", "stat_field", "line"])
+    rows = picks.join(props.select("prop_id", "player_name", "stat_field", "line", "actual", "result"), "prop_id", "left")
     live = F.col("result").isNotNull() & ~F.col("result").isin(UNGRADED)
     return rows.withColumn("is_correct", F.when(live, F.col("result") == F.col("pick")))
 

@@ -41,7 +41,8 @@ def implied_points(props: DataFrame, keys: Sequence[str] = ("year", "week", "nam
 def implied_points_table(players: DataFrame, props: DataFrame, depth: DataFrame) -> DataFrame:
     """Slate players with implied points (NULL without props), value per $1000 and depth label, best first."""
     rows = attach(players, implied_points(props), [*WEEK, "name_key"])
-    rows = attach(rows, depth.select("name_key", "string_rank"), ["name_key"])
+    listed = depth.groupBy("name_key").agg(F.min("string_rank").alias("string_rank"))  # a player listed twice keeps the higher place
+    rows = attach(rows, listed, ["name_key"])
     return rows.withColumn("value_per_1k", S.value_per_thousand("implied_points", "salary")).withColumn(
         "depth_label", C.depth_label("string_rank"))
 

@@ -17,6 +17,7 @@ from chalkline.operators.filters import is_available
 from chalkline.operators.joins import match_player
 from chalkline.operators.ordered import attach, first_rows
 from chalkline.operators.sets import stack_tables
+from chalkline.plans.contest import one_per_name
 
 BET_KEY = ["source", "book", "player_name", "category", "side", "line", "odds"]
 LOG_COLUMNS = ["logged_at", "source", "year", "week", "book", "player_name", "team", "category", "side", "line", "odds",
@@ -49,9 +50,10 @@ def log_bets(found: DataFrame, log: DataFrame, source: str, year: int, week: int
 def grade(bets: DataFrame, stats: DataFrame, final_teams: DataFrame) -> DataFrame:
     """win / loss / push / void / pending / ungradeable with the actual value and profit in units.
 
-    `stats` has one row per (name_key, year, week); `final_teams` lists (year, week, team) with a result."""
+    Of several `stats` rows of a name in a week the first by `one_per_name` counts; `final_teams` lists (year, week, team) with a result."""
     b = bets.withColumn("name_key", normalize_name("player_name"))
     week = ["year", "week"]
+    stats = one_per_name(stats)
     values = unpivot_stats(stats, GRADING_PARTS, ["name_key", "team", *week])
     exact = values.select(*week, "name_key", "category", F.col("value").alias("__exact"))
     # Last name + team takes the first player of the week in key order when the exact key is absent that week.
@@ -78,13 +80,16 @@ def grade(bets: DataFrame, stats: DataFrame, final_teams: DataFrame) -> DataFram
 
 
 def closing_snapshots(archive: DataFrame, kickoffs: DataFrame) -> DataFrame:
-    """Quotes of the last snapshot strictly before each team's kickoff.
-
-    All quotes of a team share one kickoff per week, so the as-of join is a filter and a maximum."""
-    quotes = archive.join(kickoffs.select("year", "week", "team", "kickoff"), ["year", "week", "team"])
-    before = quotes.where(F.col("scraped_at") < F.col("kickoff"))
-    last = before.groupBy("year", "week", "team").agg(F.max("scraped_at").alias("__last"))
-    return attach(before, last, ["year", "week", "team"], "inner").where(F.col("scraped_at") == F.col("__last")).drop("__last")
+    """Quotes of the week's last scrape strictly before each team's kickoff; a market taken down before that scrape has
+    no close.
+
+    A week has few scrapes (distinct times), so they are found first and joined to the kickoffs; quotes then meet the one
+    time of their team by an equi-join."""
+    scrapes = archive.select("year", "week", F.col("scraped_at").alias("__at")).distinct()
+    games = kickoffs.select("year", "week", "team", "kickoff")
+    last = games.join(scrapes, ["year", "week"]).where(F.col("__at") < F.col("kickoff"))
+    last = last.groupBy("year", "week", "team", "kickoff").agg(F.max("__at").alias("scraped_at"))
+    return archive.join(last, ["year", "week", "team", "scraped_at"])
 
 
 def closing(bets: DataFrame, snapshots: DataFrame) -> DataFrame:

@@ -8,11 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.operators.filters import locked_teams
-
 KEY = ["player_name", "category", "book"]
 SNAPSHOT_KEY = [*KEY, "line", "over_odds", "scraped_at"]
 
@@ -68,39 +66,41 @@ def read_closing(spark: SparkSession, root: str) -> DataFrame:
         *KEY, "team", "kickoff", "q.scraped_at", "q.line", "q.over_odds")
 
 
-def baseline_sink(root: str, threshold: float = 1.0):
-    """foreachBatch writer for moves since baseline: the first quote of every key is kept in `root`/baseline, each batch
-    writes the quotes at least `threshold` away from it to `root`/moves.
+def baseline_sink(root: str):
+    """foreachBatch writer for moves since baseline: each batch adds its quotes to `root`/quotes and its first quote per
+    key to `root`/first, without reading what earlier batches wrote.
 
-    State is a table of one row per key, combined and joined like any other table, so a key that fills a third of a batch
-    is not walked by one task. Each batch overwrites its own folders, so replaying it changes nothing."""
+    Each batch overwrites its own folders, so replaying it changes nothing. A late, older quote is one more row of
+    `first`, so it corrects the baseline for readers."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         rows = batch.select(*KEY, "scraped_at", "line").where(F.col("line").isNotNull())
-        known = spark.createDataFrame([], batch.select(*KEY, F.struct("scraped_at", "line").alias("f")).schema)
-        if batch_id > 0:
-            known = spark.read.parquet(f"{root}/baseline").where(F.col("batch_id") < batch_id).drop("batch_id")
-        first = rows.groupBy(*KEY).agg(F.min(F.struct("scraped_at", "line")).alias("f"))
-        first.join(known.select(*KEY), KEY, "left_anti").write.mode("overwrite").parquet(f"{root}/baseline/batch_id={batch_id}")
-        fresh = spark.read.parquet(f"{root}/baseline/batch_id={batch_id}")
-        baseline = known.unionByName(fresh).select(*KEY, F.col("f.line").alias("baseline"))
-        moved = rows.join(baseline, KEY).withColumn("move", F.col("line") - F.col("baseline"))
-        moved.where(F.abs("move") >= threshold).write.mode("overwrite").parquet(f"{root}/moves/batch_id={batch_id}")
+        rows.write.mode("overwrite").parquet(f"{root}/quotes/batch_id={batch_id}")
+        first_quotes(batch.sparkSession.read.parquet(f"{root}/quotes/batch_id={batch_id}")).write.mode("overwrite").parquet(
+            f"{root}/first/batch_id={batch_id}")
 
     return write
 
 
-def moves_since_baseline_batch(quotes: DataFrame, threshold: float = 1.0) -> DataFrame:
-    """Batch twin: the baseline is a map-side combined minimum joined back, so a hot key is never in one task."""
-    rows = quotes.select(*KEY, "scraped_at", "line").where(F.col("line").isNotNull())
-    first = rows.groupBy(*KEY).agg(F.min(F.struct("scraped_at", "line")).alias("f"))
+def first_quotes(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*KEY).agg(F.min(F.struct("scraped_at", "line")).alias("f"))
+
+
+def _moves(rows: DataFrame, first: DataFrame, threshold: float) -> DataFrame:
     moved = rows.join(first.select(*KEY, F.col("f.line").alias("baseline")), KEY)
     return moved.withColumn("move", F.col("line") - F.col("baseline")).where(F.abs("move") >= threshold)
 
 
-def locks_at(schedule: DataFrame, now: Column) -> DataFrame:
-    return locked_teams(schedule, now)
+def read_moves(spark: SparkSession, root: str, threshold: float = 1.0) -> DataFrame:
+    """Quotes at least `threshold` away from the earliest quote of their key over all batches so far."""
+    first = spark.read.parquet(f"{root}/first").groupBy(*KEY).agg(F.min("f").alias("f"))
+    return _moves(spark.read.parquet(f"{root}/quotes").drop("batch_id"), first, threshold)
+
+
+def moves_since_baseline_batch(quotes: DataFrame, threshold: float = 1.0) -> DataFrame:
+    """Batch twin: the baseline is a map-side combined minimum joined back, so a hot key is never in one task."""
+    rows = quotes.select(*KEY, "scraped_at", "line").where(F.col("line").isNotNull())
+    return _moves(rows, first_quotes(rows), threshold)
 
 
 def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", for_each=None) -> None:

@@ -1,4 +1,4 @@
-"""The seeded contest: known arithmetic of lineups, standings, props, breakdowns and usage."""
+"""An invented contest with hand-computed lineups, standings, props, breakdowns and usage."""
 
 import json
 
@@ -7,121 +7,157 @@ from pyspark.sql import functions as F
 
 from chalkline.plans import contest as C, reports as R
 
-YEAR = 2026
-LINEUP = [("QB", "Patrick Mahomes", "QB", 20.0), ("RB", "Raheem Mostert", "RB", 10.0), ("RB", "James Cook", "RB", 5.0),
-          ("WR", "Stefon Diggs", "WR", 12.0), ("WR", "Tyreek Hill", "WR", 15.0), ("WR", "Jaylen Waddle", "WR", 3.0),
-          ("TE", "Travis Kelce", "TE", 7.0), ("FLEX", "Rashee Rice", "WR", 8.0), ("DST", "Buffalo Bills", "DST", 9.0)]
+YEAR = 2031
+#: slot, name, position, points in week 3 and in week 4
+TEAM_SHEET = [("QB", "Tobin Ashgrove", "QB", 18.5, 22.0), ("RB", "Milo Quenby", "RB", 11.0, 4.0), ("RB", "Oren Fell Jr.", "RB", 6.5, 9.5),
+              ("WR", "Ansel Wick", "WR", 14.0, 0.0), ("WR", "Rudd Harlan", "WR", 8.0, 16.0), ("WR", "Casper Lund", "WR", 2.5, 7.0),
+              ("TE", "Ivo Brandt", "TE", 5.0, 3.5), ("FLEX", "Nils Okoro", "RB", 9.0, 12.0), ("DST", "Denver Broncos", "DST", 7.0, -1.0)]
+WEEK_3, WEEK_4 = 81.5, 73.0
+KEYS = {n: n.lower().removesuffix(" jr.") for _, n, *_ in TEAM_SHEET}
 
 
 @pytest.fixture(scope="module")
 def parts(spark):
-    doc = json.dumps([{"slot": s, "name": n, "position": p, "salary": 5000} for s, n, p, _ in LINEUP])
-    lineups = spark.createDataFrame([(w, YEAR, "tester", doc, 45000) for w in (1, 2)], "week int, year int, submitter string, lineup_json string, total_salary int")
-    rows = [(YEAR, w, n.lower(), "kan", pts / w) for w in (1, 2) for _, n, p, pts in LINEUP if p != "DST"]
+    doc = json.dumps([{"slot": s, "name": n, "position": p, "salary": 5100} for s, n, p, _, _ in TEAM_SHEET])
+    lineups = spark.createDataFrame([(w, YEAR, "orchid", doc, 45900) for w in (3, 4)], "week int, year int, submitter string, lineup_json string, total_salary int")
+    rows = [(YEAR, w, KEYS[n], "sea", pts[w - 3]) for _, n, p, *pts in TEAM_SHEET for w in (3, 4) if p != "DST"]
     stats = spark.createDataFrame(rows, "year int, week int, name_key string, team string, points double")
-    dst = spark.createDataFrame([(YEAR, 1, "buf", 9.0), (YEAR, 2, "buf", 4.5)], "year int, week int, team string, points double")
+    dst = spark.createDataFrame([(YEAR, 3, "den", 7.0), (YEAR, 4, "den", -1.0)], "year int, week int, team string, points double")
     none = spark.createDataFrame([], "year int, week int, name_key string, team string")
     return lineups, stats, dst, none
 
 
 def totals(parts, stats=None, results=None, slate=None):
     lineups, all_stats, dst, none = parts
-    res = results if results is not None else none.select("year", "week", "team")
-    return C.lineup_totals(C.lineup_rows(C.parse_lineups(lineups), stats if stats is not None else all_stats, dst, slate if slate is not None else none, none, res))
+    done = none.select("year", "week", "team") if results is None else results
+    rows = C.lineup_rows(C.parse_lineups(lineups), all_stats if stats is None else stats, dst, none if slate is None else slate, none, done)
+    return C.lineup_totals(rows)
 
 
 def scores(df):
     return {r.week: r.score for r in df.collect()}
 
 
-def test_week_totals(parts):
-    assert scores(totals(parts)) == {1: 89.0, 2: 44.5}
+def test_nine_results_make_a_total(parts):
+    assert scores(totals(parts)) == {3: WEEK_3, 4: WEEK_4}
+    assert scores(totals(parts, parts[1].where("name_key <> 'casper lund'"))) == {3: None, 4: None}
 
 
-def test_pending_until_all_nine(parts):
-    assert scores(totals(parts, parts[1].where("name_key <> 'tyreek hill'"))) == {1: None, 2: None}
+def test_a_repeated_name_keeps_one_slot(spark, parts):
+    """A second player of the same name in the same week must not add a scored slot."""
+    twin = spark.createDataFrame([(YEAR, 3, "milo quenby", "tam", 40.0)], parts[1].schema)
+    got = totals(parts, parts[1].unionByName(twin)).collect()
+    assert {r.week: (r.matched, r.score) for r in got} == {3: (9, WEEK_3), 4: (9, WEEK_4)}
 
 
-def test_absent_player_scores_zero_once_the_result_is_in(spark, parts):
-    missing = parts[1].where("NOT (name_key = 'patrick mahomes' AND week = 1)")
-    slate = spark.createDataFrame([(YEAR, 1, "patrick mahomes", "kan")], "year int, week int, name_key string, team string")
-    done = spark.createDataFrame([(YEAR, 1, "kan")], "year int, week int, team string")
-    assert scores(totals(parts, missing, slate=slate))[1] is None
-    assert scores(totals(parts, missing, done, slate))[1] == 69.0
+def test_absence_counts_zero_after_the_final_whistle(spark, parts):
+    without = parts[1].where("NOT (name_key = 'rudd harlan' AND week = 4)")
+    slate = spark.createDataFrame([(YEAR, 4, "rudd harlan", "sea")], "year int, week int, name_key string, team string")
+    final = spark.createDataFrame([(YEAR, 4, "sea")], "year int, week int, team string")
+    assert scores(totals(parts, without, slate=slate)) == {3: WEEK_3, 4: None}
+    assert scores(totals(parts, without, final, slate)) == {3: WEEK_3, 4: 57.0}
 
 
-def test_non_counting_week(parts):
+def test_weeks_that_do_not_count(parts):
     t = totals(parts)
-    row = C.season_standings(t, False, {YEAR: [1]}).first()
-    assert (row.total, row.weeks_scored) == (44.5, 1)
-    row = C.season_standings(t, True, {YEAR: [1]}).first()
-    assert row.dropped_week is None and row.total == 44.5
-    row = C.season_standings(t, True, {}).first()
-    assert row.dropped_week == 2 and row.total == 89.0
-
-
-def test_prop_results(spark):
-    bets = spark.createDataFrame([("a", YEAR, 1, "josh allen", "pass_yds", 260.5), ("b", YEAR, 1, "bo nix", "pass_yds", 210.5), ("c", YEAR, 1, "x y", "nope", 1.0)],
-                                 "prop_id string, year int, week int, name_key string, stat_field string, line double")
-    cols = sorted({c for parts in C.S.FIELD_PARTS.values() for c in parts})
-    stats = spark.createDataFrame([(YEAR, 1, "josh allen")], "year int, week int, name_key string").withColumns(
-        {c: F.lit(300 if c == "pass_yds" else 0) for c in cols})
-    teams = spark.createDataFrame([(YEAR, 1, "bo nix", "den"), (YEAR, 1, "x y", "den")], "year int, week int, name_key string, team string")
-    res = spark.createDataFrame([(YEAR, 1, "den")], "year int, week int, team string")
-    got = {r.prop_id: r.result for r in C.score_props(bets, stats, [teams], res).collect()}
-    assert got == {"a": "over", "b": "void", "c": None}
-    got = {r.prop_id: r.result for r in C.score_props(bets, stats, [teams], res.limit(0)).collect()}
-    assert got == {"a": "over", "b": None, "c": None}
-
-
-def test_breakdown_adds_other_line(spark):
+    plain = C.season_standings(t, False, {YEAR: [3]}).first()
+    assert (plain.total, plain.weeks_scored) == (WEEK_4, 1)
+    only = C.season_standings(t, True, {YEAR: [3]}).first()
+    assert only.dropped_week is None and only.total == WEEK_4
+    both = C.season_standings(t, True, {}).first()
+    assert both.dropped_week == 4 and both.total == WEEK_3
+
+
+@pytest.fixture(scope="module")
+def scored_props(spark):
+    bets = spark.createDataFrame([("over", YEAR, 3, "tobin ashgrove", "pass_yds", 199.5), ("push", YEAR, 3, "tobin ashgrove", "rush_att", 4.0), ("out", YEAR, 3, "zed marrow", "rec_yds", 31.5),
+                                  ("odd", YEAR, 3, "zed marrow", "no_such_field", 2.0)], "prop_id string, year int, week int, name_key string, stat_field string, line double")
+    cols = sorted({c for p in C.S.FIELD_PARTS.values() for c in p})
+    rows = spark.createDataFrame([(YEAR, 3, "tobin ashgrove", "sea"), (YEAR, 3, "tobin ashgrove", "tam")], "year int, week int, name_key string, team string")
+    stats = rows.withColumns({c: F.when(F.col("team") == "sea", F.lit(4 if c == "rush_att" else 214)).otherwise(F.lit(1)) for c in cols})
+    teams = spark.createDataFrame([(YEAR, 3, "zed marrow", "chi")], "year int, week int, name_key string, team string")
+    final = spark.createDataFrame([(YEAR, 3, "chi")], "year int, week int, team string")
+    return bets, stats, teams, final
+
+
+def test_props_with_a_repeated_name(scored_props):
+    bets, stats, teams, final = scored_props
+    rows = C.score_props(bets, stats, [teams], final).collect()
+    assert len(rows) == 4 and {r.prop_id: r.result for r in rows} == {"over": "over", "push": "push", "out": "void", "odd": None}
+    pending = {r.prop_id: r.result for r in C.score_props(bets, stats, [teams], final.limit(0)).collect()}
+    assert pending == {"over": "over", "push": "push", "out": None, "odd": None}
+
+
+def test_picks_of_a_prop_that_is_gone_are_pending(spark, scored_props):
+    bets, stats, teams, final = scored_props
+    scored = C.score_props(bets, stats, [teams], final).withColumn("player_name", F.initcap("name_key"))
+    picks = spark.createDataFrame([(YEAR, 3, "orchid", "over", "over"), (YEAR, 3, "orchid", "deleted", "under"), (YEAR, 3, "thistle", "deleted", "over")],
+                                  "year int, week int, submitter string, prop_id string, pick string")
+    graded = C.graded_picks(picks, scored)
+    got = {(r.submitter, r.prop_id): (r.result, r.is_correct) for r in graded.collect()}
+    assert got == {("orchid", "over"): ("over", True), ("orchid", "deleted"): (None, None), ("thistle", "deleted"): (None, None)}
+    assert {r.submitter: (r.picks, r.matched, r.correct) for r in C.pick_totals(graded).collect()} == {"orchid": (2, 1, None), "thistle": (1, 0, None)}
+
+
+def test_breakdown_explains_the_official_points(spark):
     cols = [c for c, _, _ in C.S.OFFENSE_RATES]
-    row = spark.createDataFrame([("rb", 60, 1, 2, 10, 17.0)], "k string, rush_yds int, rush_td int, rec int, rec_yds int, actual_pts double")
+    row = spark.createDataFrame([("x", 40, 2, 3, 25, 22.5)], "k string, rush_yds int, rush_td int, rec int, rec_yds int, actual_pts double")
     row = row.withColumns({c: F.lit(0) for c in cols if c not in row.columns})
     lines = {r.label: r.pts for r in C.offense_breakdown(row, ["k"]).collect()}
-    assert lines == {"Rushing yards": 6.0, "Rushing TD": 6.0, "Receptions": 2.0, "Receiving yards": 1.0, "Other": 2.0}
-    dst = spark.createDataFrame([("cin", 17, 3, 1, 0, 0, 0, 0, 6.0)], "k string, points_allowed int, sack int, interception int, fumble_rec int, def_td int, safety int, special_teams_td int, actual_pts double")
-    lines = {r.label: r.pts for r in C.defense_breakdown(dst, ["k"]).collect()}
-    assert lines == {"Sack": 3.0, "Interception": 2.0, "Points allowed": 1.0}
+    assert lines == {"Rushing yards": 4.0, "Rushing TD": 12.0, "Receptions": 3.0, "Receiving yards": 2.5, "Other": 1.0}
+    dst = spark.createDataFrame([("y", 0, 2, 0, 1, 1, 0, 0, 20.0)], "k string, points_allowed int, sack int, interception int, fumble_rec int, def_td int, safety int, special_teams_td int, actual_pts double")
+    got = {r.label: r.pts for r in C.defense_breakdown(dst, ["k"]).collect()}
+    assert got["Sack"] == 2.0 and got["Points allowed"] == 10.0 and sum(got.values()) == 20.0
 
 
-def test_pick_lock_rules(spark):
+def test_pick_submissions_against_locks(spark):
     schema = "year int, week int, submitter string, prop_id string, pick string"
-    five = [(YEAR, 1, "s", p, "over") for p in "abcde"]
-    board = spark.createDataFrame([(YEAR, 1, p) for p in "abcdefg"], "year int, week int, prop_id string")
-    locked = spark.createDataFrame([(YEAR, 1, "a"), (YEAR, 1, "f")], "year int, week int, prop_id string")
-    reason = lambda now, before: C.validate_picks(spark.createDataFrame(now, schema), spark.createDataFrame(before, schema), board, locked).first().reason
-    assert reason(five, five) is None
-    assert reason(five, []) == "locked change"
-    assert reason([(*five[0][:4], "under"), *five[1:]], five) == "locked change"
-    assert reason([(YEAR, 1, "s", p, "over") for p in "bcdeg"], five) == "locked removal"
-    assert reason(five[:4], five) == "pick count"
+    stored = [(YEAR, 3, "orchid", p, "under") for p in ("p1", "p2", "p3", "p4", "p5")]
+    board = spark.createDataFrame([(YEAR, 3, f"p{k}") for k in range(1, 9)], "year int, week int, prop_id string")
+    locked = spark.createDataFrame([(YEAR, 3, "p2"), (YEAR, 3, "p8")], "year int, week int, prop_id string")
+
+    def verdict(sent, before):
+        return C.validate_picks(spark.createDataFrame(sent, schema), spark.createDataFrame(before, schema), board, locked).first().reason
+
+    swapped = [(*r[:3], "p6", "over") if r[3] == "p4" else r for r in stored]
+    assert verdict(stored, stored) is None and verdict(swapped, stored) is None
+    assert verdict(stored, []) == "locked change"
+    assert verdict([(*r[:4], "over") if r[3] == "p2" else r for r in stored], stored) == "locked change"
+    assert verdict([(*r[:3], "p7", "over") if r[3] == "p2" else r for r in stored], stored) == "locked removal"
+    assert verdict([(*r[:3], "p9", "over") if r[3] == "p1" else r for r in stored], stored) == "not on board"
+    assert verdict(stored[1:], stored) == "pick count"
 
 
 def test_usage_shares(spark):
-    u = spark.createDataFrame([
-        (YEAR, 11, "puka nacua", "lar", 60, 95.0, 10, 100.0, 60.0, 0.9, 0, 7, 2, 0, 0, 0, 3), (YEAR, 12, "puka nacua", "lar", 55, 85.0, 5, 50.0, 55.0, 0.8, 0, 4, 1, 0, 0, 0, 1),
-        (YEAR, 11, "kyren williams", "lar", 0, None, 4, 5.0, 3.0, 0.3, 20, 3, 0, 5, 3, 2, 0), (YEAR, 12, "kyren williams", "lar", 50, 68.1, 2, 7.0, 4.0, 0.2, 15, 2, 0, 3, 1, 0, 0)],
-        "year int, week int, name_key string, team string, offense_snaps int, offense_pct double, targets int, air_yards double, air_yards_share double, wopr double, carries int, receptions int, "
-        "rz_targets int, rz_carries int, i10_carries int, i5_carries int, third_down_targets int")
-    s = spark.createDataFrame([
-        ("Puka Nacua", "puka nacua", "WR", 11, 10, 7, 0, 90.0), ("Puka Nacua", "puka nacua", "WR", 12, 5, 4, 0, 80.0), ("Kyren Williams", "kyren williams", "RB", 11, 4, 3, 20, 71.9),
-        ("Kyren Williams", "kyren williams", "RB", 12, 2, 2, 15, 60.0), ("Tutu Atwell", "tutu atwell", "WR", 11, 3, 2, 0, None)],
-        "name string, name_key string, position string, week int, rec_tgt int, rec int, rush_att int, snap_pct double").withColumns({"year": F.lit(YEAR), "team": F.lit("lar")})
+    """Two receivers and a back over two weeks; shares are of the team's sums over both."""
+    usage = [(w, k, snaps, pct, tgt, air, 50.0, 0.5, car, rec, 1, 1, 0, 0, 0) for w, k, snaps, pct, tgt, air, car, rec in [
+        (5, "ansel wick", 50, 80.0, 8, 96.0, 0, 6), (6, "ansel wick", 40, 60.0, 4, 24.0, 0, 2), (5, "milo quenby", 30, 50.0, 2, 4.0, 10, 2), (6, "milo quenby", 34, 54.0, 6, 6.0, 14, 4)]]
+    u = spark.createDataFrame(usage, "week int, name_key string, offense_snaps int, offense_pct double, targets int, air_yards double, air_yards_share double, wopr double, carries int, receptions int, "
+                              "rz_targets int, rz_carries int, i10_carries int, i5_carries int, third_down_targets int").withColumns({"year": F.lit(YEAR), "team": F.lit("sea")})
+    s = spark.createDataFrame([("Ansel Wick", "ansel wick", "WR", 5, 8, 6, 0, 80.0), ("Ansel Wick", "ansel wick", "WR", 6, 4, 2, 0, 60.0), ("Milo Quenby", "milo quenby", "RB", 5, 2, 2, 10, 50.0),
+                               ("Milo Quenby", "milo quenby", "RB", 6, 6, 4, 14, 54.0)],
+                              "name string, name_key string, position string, week int, rec_tgt int, rec int, rush_att int, snap_pct double").withColumns({"year": F.lit(YEAR), "team": F.lit("sea")})
     r = {x.name: x for x in R.usage_rows(s, u).collect()}
-    puka, kyren, tutu = r["Puka Nacua"], r["Kyren Williams"], r["Tutu Atwell"]
-    assert (puka.target_share, puka.touch_share, puka.snap_pct, puka.adot, puka.air_yards_share, puka.wopr) == (71.4, 21.6, 90.0, 10.0, 92.6, 1.72)
-    assert kyren.snap_pct == 70.0 and (kyren.rz_carries, kyren.i10_carries, kyren.i5_carries) == (8, 4, 2)
-    assert tutu.target_share == 14.3 and tutu.snap_pct is None and tutu.wopr is None
-    w = {x.name: x for x in R.usage_rows(s.where("week = 11"), u.where("week = 11"), ("year", "week")).collect()}
-    assert (w["Puka Nacua"].target_share, w["Puka Nacua"].touch_share, w["Puka Nacua"].snap_pct, w["Kyren Williams"].snap_pct) == (71.4, 23.3, 95.0, 71.9)
-
-
-def test_odds_week_vote(spark):
-    sch = spark.createDataFrame([(YEAR, 1, "buf", "2026-09-13 17:00:00"), (YEAR, 1, "mia", "2026-09-13 17:00:00"), (YEAR, 2, "buf", "2026-09-20 17:00:00")], "year int, week int, team string, k string").withColumn("kickoff", F.to_timestamp("k"))
-    odds = spark.createDataFrame([("buf", "2026-09-13 17:05:00"), ("mia", "2026-09-13 17:05:00")], "team string, k string").withColumn("kickoff", F.to_timestamp("k"))
-    r = R.odds_week(odds, sch).first()
-    assert (r.year, r.week) == (YEAR, 1)
-    assert R.odds_for_week(odds, sch, YEAR, 2).count() == 0 and R.odds_for_week(odds, sch, YEAR, 1).count() == 2
-    unknown = odds.withColumn("kickoff", F.lit(None).cast("timestamp"))
-    assert R.odds_for_week(unknown, sch, YEAR, 2).count() == 2
+    wick, quenby = r["Ansel Wick"], r["Milo Quenby"]
+    assert (wick.target_share, quenby.target_share) == (60.0, 40.0)
+    assert (wick.snap_pct, quenby.snap_pct) == (70.0, 52.0)
+    assert wick.adot == 10.0 and (quenby.rz_carries, quenby.i10_carries) == (2, 0)
+
+
+def test_odds_are_of_the_week_of_their_kickoffs(spark):
+    schedule = spark.createDataFrame([(YEAR, w, t, f"2031-10-{d} 18:00:00") for w, d in ((5, "05"), (6, "12")) for t in ("chi", "sea", "tam")],
+                                     "year int, week int, team string, k string").withColumn("kickoff", F.to_timestamp("k"))
+    odds = spark.createDataFrame([("sea", "2031-10-12 18:10:00"), ("tam", "2031-10-12 18:10:00")], "team string, k string").withColumn("kickoff", F.to_timestamp("k"))
+    found = R.odds_week(odds, schedule).first()
+    assert (found.year, found.week) == (YEAR, 6)
+    assert R.odds_for_week(odds, schedule, YEAR, 5).count() == 0 and R.odds_for_week(odds, schedule, YEAR, 6).count() == 2
+    undated = odds.withColumn("kickoff", F.lit(None).cast("timestamp"))
+    assert R.odds_for_week(undated, schedule, YEAR, 5).count() == 2
+
+
+def test_a_player_listed_twice_on_the_depth_chart_stays_one_row(spark):
+    players = spark.createDataFrame([(YEAR, 3, "ivo brandt", 4000)], "year int, week int, name_key string, salary int")
+    props = spark.createDataFrame([(YEAR, 3, "ivo brandt", "receiving-yards", 50.0)], "year int, week int, name_key string, category string, line double")
+    depth = spark.createDataFrame([("ivo brandt", 3), ("ivo brandt", 1)], "name_key string, string_rank int")
+    rows = R.implied_points_table(players, props, depth).collect()
+    assert len(rows) == 1 and rows[0].string_rank == 1 and rows[0].implied_points == 5.0
