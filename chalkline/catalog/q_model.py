@@ -186,19 +186,19 @@ def _(t):
 _OI = "(SELECT median(q) FROM (SELECT unnest(ps) AS q))"
 
 
-@query("mk17_td_bets", f"""WITH {CURRENT_SQL}, {GAMES_SQL}, m AS (SELECT player_name, team, lower(book) AS book, over_odds, {_KEY} AS k FROM quotes WHERE category = 'touchdowns' AND lower(book) NOT IN {PICKEM} AND (available IS NULL OR available)),
+@query("mk17_td_bets", f"""WITH {CURRENT_SQL}, {GAMES_SQL}, m AS (SELECT snapshot, player_name, team, lower(book) AS book, over_odds, {_KEY} AS k FROM quotes WHERE category = 'touchdowns' AND lower(book) NOT IN {PICKEM} AND (available IS NULL OR available)),
     tot AS (SELECT team, avg(implied_total) AS implied_total FROM tg WHERE year = 2001 GROUP BY team), pl AS (SELECT DISTINCT k, team FROM m), fb AS (SELECT split_part(name_key, ' ', 2) AS ln, last_team, min(name_key) AS alt FROM curf GROUP BY 1, 2 HAVING count(*) = 1),
     mt AS (SELECT pl.k, pl.team, CASE WHEN EXISTS (SELECT 1 FROM curf WHERE curf.name_key = pl.k) THEN pl.k ELSE fb.alt END AS mk FROM pl LEFT JOIN fb ON fb.ln = split_part(pl.k, ' ', 2) AND fb.last_team = pl.team),
     src AS (SELECT mt.k, mt.team, tot.implied_total, c.* FROM mt JOIN curf c ON c.name_key = mt.mk JOIN tot ON tot.team = mt.team WHERE c.prior_games >= 3 AND c.last_year >= 2000),
     {next_adj_sql('src', 'team', 2001)}, pr AS (SELECT *, {_predict()} AS p, concat_ws('; ', CASE WHEN last_year < 2001 THEN 'no game this season' END, CASE WHEN offense_pct IS NULL OR offense_pct <= 20 THEN concat(coalesce(CAST(CAST(floor(offense_pct + 0.5E0) AS BIGINT) AS STRING), 'nan'), '% snaps last game') END,
       CASE WHEN adj_new_team > 0.25E0 THEN 'new team' END) AS why FROM nx),
-    o AS (SELECT t.k, t.team, t.book, list({ip('r.over_odds')}) AS ps FROM m t JOIN m r ON r.k = t.k AND r.team = t.team AND r.book <> t.book WHERE t.book IN {TARGETS} GROUP BY t.k, t.team, t.book),
+    o AS (SELECT t.snapshot, t.k, t.team, t.book, list({ip('r.over_odds')}) AS ps FROM m t JOIN m r ON r.snapshot = t.snapshot AND r.k = t.k AND r.team = t.team AND r.book <> t.book WHERE t.book IN {TARGETS} GROUP BY t.snapshot, t.k, t.team, t.book),
     oo AS (SELECT *, list_median0 AS md, CASE WHEN len(ps) < 3 THEN ps ELSE list_filter(ps, lambda x: x <= list_median0 * 2.5E0 AND x >= list_median0 / 2.5E0) END AS kept FROM (SELECT *, list_aggregate(ps, 'median') AS list_median0 FROM o) z),
-    ol AS (SELECT k, team, book, list_aggregate(CASE WHEN len(kept) > 0 THEN kept ELSE ps END, 'median') AS oi, len(CASE WHEN len(kept) > 0 THEN kept ELSE ps END) AS n FROM oo)
-    SELECT m.book, m.player_name, m.team, r.position, m.over_odds AS odds, {hu(ip('m.over_odds'), 3)} AS implied_prob, {hu('r.p', 3)} AS model_prob, {fair('r.p')} AS fair_odds, {hu(f"(r.p * {dec('m.over_odds')} - 1.0E0) * 100.0E0", 1)} AS ev_pct, {hu('ol.oi', 3)} AS other_books_implied,
+    ol AS (SELECT snapshot, k, team, book, list_aggregate(CASE WHEN len(kept) > 0 THEN kept ELSE ps END, 'median') AS oi, len(CASE WHEN len(kept) > 0 THEN kept ELSE ps END) AS n FROM oo)
+    SELECT m.snapshot, m.book, m.player_name, m.team, r.position, m.over_odds AS odds, {hu(ip('m.over_odds'), 3)} AS implied_prob, {hu('r.p', 3)} AS model_prob, {fair('r.p')} AS fair_odds, {hu(f"(r.p * {dec('m.over_odds')} - 1.0E0) * 100.0E0", 1)} AS ev_pct, {hu('ol.oi', 3)} AS other_books_implied,
       coalesce(ol.n, 0) AS other_books, {hu('(r.p - ol.oi) * 100.0E0', 1)} AS gap_pp, {hu('r.implied_total', 1)} AS implied_team_total, {hu('r.share_carries', 3)} AS carry_share, {hu('r.share_targets', 3)} AS target_share, {hu('r.share_tds', 3)} AS td_share, r.prior_games AS games,
       concat(CAST(r.last_year AS STRING), ' wk', CAST(r.last_week AS STRING), ' ', r.last_team) AS last_game, r.offense_pct AS last_snap_pct, r.adj_new_team > 0.25E0 AS new_team, CASE WHEN why = '' THEN 'clean' ELSE 'check' END AS confidence, why AS check_reason
-    FROM m JOIN pr r ON r.k = m.k AND r.team = m.team LEFT JOIN ol ON ol.k = m.k AND ol.team = m.team AND ol.book = m.book WHERE m.book IN {TARGETS}""")
+    FROM m JOIN pr r ON r.k = m.k AND r.team = m.team LEFT JOIN ol ON ol.snapshot = m.snapshot AND ol.k = m.k AND ol.team = m.team AND ol.book = m.book WHERE m.book IN {TARGETS}""")
 def _(t):
     totals = games(t).where("year = 2001").groupBy("team").agg(F.avg("implied_total").alias("implied_total"))
     feats = MD.current_features(pg(t), PARAMS["halflife"])

@@ -143,18 +143,18 @@ def _(t):
     return J.only_in(t.usage.select("name_key").distinct(), t.depth.select("name_key"), ["name_key"])
 
 
-@query("jn7_compare_join", "SELECT player_id, book, a.line AS line_b, b.line AS line_c FROM quotes a JOIN quotes_now b USING (player_id, book)")
+@query("jn7_compare_join", "SELECT player_id, book, snapshot, a.line AS line_b, b.line AS line_c FROM quotes a JOIN quotes_now b USING (player_id, book, snapshot)")
 def _(t):
-    c = ["player_id", "book", "line"]
-    return J.compare_join(t.quotes.select(*c), t.quotes_now.select(*c), ["player_id", "book"], ("_b", "_c"))
+    c = ["player_id", "book", "snapshot", "line"]
+    return J.compare_join(t.quotes.select(*c), t.quotes_now.select(*c), ["player_id", "book", "snapshot"], ("_b", "_c"))
 
 
-@query("jn8_other_books", f"""SELECT a.player_id, a.book, count(b.line) AS others, {hu('avg(b.line)', 4)} AS mean_line, {hu('median(b.line)', 4)} AS median_line
-    FROM quotes a JOIN quotes b ON a.player_id = b.player_id AND a.book <> b.book WHERE a.book IN ('draftkings', 'caesars') GROUP BY a.player_id, a.book""")
+@query("jn8_other_books", f"""SELECT a.player_id, a.snapshot, a.book, count(b.line) AS others, {hu('avg(b.line)', 4)} AS mean_line, {hu('median(b.line)', 4)} AS median_line
+    FROM quotes a JOIN quotes b ON a.player_id = b.player_id AND a.snapshot = b.snapshot AND a.book <> b.book WHERE a.book IN ('draftkings', 'caesars') GROUP BY a.player_id, a.snapshot, a.book""")
 def _(t):
-    refs = J.quotes_against_targets(t.quotes, ["draftkings", "caesars"]).groupBy("player_id", F.col("target_book").alias("book")).agg(
+    refs = J.quotes_against_targets(t.quotes, ["draftkings", "caesars"]).groupBy("player_id", "snapshot", F.col("target_book").alias("book")).agg(
         F.count("line").alias("others"), half_up(F.avg("line"), 4).alias("mean_line"), half_up(F.median("line"), 4).alias("median_line"))
-    return refs.join(t.quotes.select("player_id", "book"), ["player_id", "book"], "left_semi")
+    return refs.join(t.quotes.select("player_id", "snapshot", "book"), ["player_id", "snapshot", "book"], "left_semi")
 
 
 @query("jn9_asof_before", """WITH l AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chalkline.catalog.registry import query
 from chalkline.sources import tables as S
 
-KEY = ["player_id", "book"]
+KEY = ["player_id", "book", "snapshot"]
 COLS = [*KEY, "line", "over_odds"]
 
 
@@ -24,20 +24,23 @@ def _(t):
     return t.spark.read.schema("team string, pos string, name_key string, string_rank int").option("header", True).csv(root)
 
 
-@query("snk2_upsert", """SELECT coalesce(n.player_id, q.player_id) AS player_id, coalesce(n.book, q.book) AS book, coalesce(n.line, q.line) AS line, coalesce(n.over_odds, q.over_odds) AS over_odds
-    FROM quotes q FULL OUTER JOIN quotes_now n ON q.player_id = n.player_id AND q.book = n.book""")
+@query("snk2_upsert", """SELECT coalesce(n.player_id, q.player_id) AS player_id, coalesce(n.book, q.book) AS book, coalesce(n.snapshot, q.snapshot) AS snapshot, coalesce(n.line, q.line) AS line, coalesce(n.over_odds, q.over_odds) AS over_odds
+    FROM quotes q FULL OUTER JOIN quotes_now n ON q.player_id = n.player_id AND q.book = n.book AND q.snapshot = n.snapshot""")
 def _(t):
     return S.upsert(*pair(t), KEY)
 
 
 @query("snk2_upsert_batch_duplicates", """SELECT player_id, book, line, over_odds FROM (SELECT *, row_number() OVER (PARTITION BY player_id, book ORDER BY occurrence DESC) AS rn FROM quotes_all) x WHERE rn = 1""")
 def _(t):
-    all_rows = t.quotes_all.select(*COLS, "occurrence")
-    return S.upsert(t.quotes.select(*COLS).withColumn("occurrence", F.lit(0).cast("bigint")), all_rows, KEY, ["occurrence"]).drop("occurrence")
+    """All scrapes are one batch in which every (player, book) repeats; the first scrape is what the table holds."""
+    key = ["player_id", "book"]
+    all_rows = t.quotes_all.select(*key, "line", "over_odds", "occurrence")
+    held = all_rows.where("occurrence = 1").withColumn("occurrence", F.lit(0).cast("bigint"))
+    return S.upsert(held, all_rows, key, ["occurrence"]).drop("occurrence")
 
 
-@query("snk3_upsert_columns", """SELECT coalesce(q.player_id, n.player_id) AS player_id, coalesce(q.book, n.book) AS book, coalesce(n.line, q.line) AS line, coalesce(q.over_odds, n.over_odds) AS over_odds
-    FROM quotes q FULL OUTER JOIN quotes_now n ON q.player_id = n.player_id AND q.book = n.book""")
+@query("snk3_upsert_columns", """SELECT coalesce(q.player_id, n.player_id) AS player_id, coalesce(q.book, n.book) AS book, coalesce(q.snapshot, n.snapshot) AS snapshot, coalesce(n.line, q.line) AS line, coalesce(q.over_odds, n.over_odds) AS over_odds
+    FROM quotes q FULL OUTER JOIN quotes_now n ON q.player_id = n.player_id AND q.book = n.book AND q.snapshot = n.snapshot""")
 def _(t):
     return S.upsert_columns(*pair(t), KEY, ["line"])
 
@@ -59,13 +62,13 @@ def _(t):
     return S.replace_partition(p, t.team_points.where("year >= 2000").select("year", "week", "team", F.col("points_allowed").alias("points_scored")))
 
 
-@query("snk7_append_keep_last", """SELECT player_id, book, line FROM (SELECT *, row_number() OVER (PARTITION BY player_id, book ORDER BY p DESC) AS rn FROM (SELECT player_id, book, line, 1 AS p FROM quotes UNION ALL SELECT player_id, book, line, 2 FROM quotes_now) x) y WHERE rn = 1""")
+@query("snk7_append_keep_last", """SELECT player_id, book, snapshot, line FROM (SELECT *, row_number() OVER (PARTITION BY player_id, book, snapshot ORDER BY p DESC) AS rn FROM (SELECT player_id, book, snapshot, line, 1 AS p FROM quotes UNION ALL SELECT player_id, book, snapshot, line, 2 FROM quotes_now) x) y WHERE rn = 1""")
 def _(t):
     a, b = pair(t)
     return S.append_keep_last(a.select(*KEY, "line"), b.select(*KEY, "line"), KEY)
 
 
-@query("snk8_append_keep_first", """SELECT player_id, book, line FROM (SELECT *, row_number() OVER (PARTITION BY player_id, book ORDER BY p) AS rn FROM (SELECT player_id, book, line, 1 AS p FROM quotes UNION ALL SELECT player_id, book, line, 2 FROM quotes_now) x) y WHERE rn = 1""")
+@query("snk8_append_keep_first", """SELECT player_id, book, snapshot, line FROM (SELECT *, row_number() OVER (PARTITION BY player_id, book, snapshot ORDER BY p) AS rn FROM (SELECT player_id, book, snapshot, line, 1 AS p FROM quotes UNION ALL SELECT player_id, book, snapshot, line, 2 FROM quotes_now) x) y WHERE rn = 1""")
 def _(t):
     a, b = pair(t)
     return S.append_keep_first(a.select(*KEY, "line"), b.select(*KEY, "line"), KEY)

@@ -83,28 +83,28 @@ def _(t):
 
 
 def _others(how_sql: str) -> str:
-    return f"""WITH q AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY book) AS i FROM quotes)
-        SELECT a.player_id, a.book, {how_sql} AS others FROM q a LEFT JOIN q b ON a.player_id = b.player_id AND a.i <> b.i GROUP BY a.player_id, a.book"""
+    return f"""WITH q AS (SELECT *, row_number() OVER (PARTITION BY player_id, snapshot ORDER BY book) AS i FROM quotes)
+        SELECT a.player_id, a.snapshot, a.book, {how_sql} AS others FROM q a LEFT JOIN q b ON a.player_id = b.player_id AND a.snapshot = b.snapshot AND a.i <> b.i GROUP BY a.player_id, a.snapshot, a.book"""
 
 
 @query("wn9_leave_one_out_mean", _others(hu("avg(b.line)", 6)))
 def _(t):
-    return W.leave_one_out(t.quotes, ["player_id"], "line", "mean").select("player_id", "book", half_up("others", 6).alias("others"))
+    return W.leave_one_out(t.quotes, ["player_id", "snapshot"], "line", "mean").select("player_id", "snapshot", "book", half_up("others", 6).alias("others"))
 
 
 @query("wn9_leave_one_out_median", _others(hu("median(b.line)", 6)))
 def _(t):
-    return W.leave_one_out(t.quotes, ["player_id"], "line", "median").select("player_id", "book", half_up("others", 6).alias("others"))
+    return W.leave_one_out(t.quotes, ["player_id", "snapshot"], "line", "median").select("player_id", "snapshot", "book", half_up("others", 6).alias("others"))
 
 
 @query("wn9_leave_one_out_min", _others("min(b.line)"))
 def _(t):
-    return W.leave_one_out(t.quotes, ["player_id"], "line", "min").select("player_id", "book", "others")
+    return W.leave_one_out(t.quotes, ["player_id", "snapshot"], "line", "min").select("player_id", "snapshot", "book", "others")
 
 
 @query("wn9_leave_one_out_count", _others("count(b.line)"))
 def _(t):
-    return W.leave_one_out(t.quotes, ["player_id"], "line", "count").select("player_id", "book", "others")
+    return W.leave_one_out(t.quotes, ["player_id", "snapshot"], "line", "count").select("player_id", "snapshot", "book", "others")
 
 
 @query("wn10_best_row", f"""SELECT player_id, line, book, over_odds FROM (SELECT *, row_number() OVER (PARTITION BY player_id, line ORDER BY {ip('over_odds')}, book) AS rn FROM quotes) x WHERE rn = 1""")

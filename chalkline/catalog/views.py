@@ -97,12 +97,14 @@ VIEWS: dict[str, str] = {
                CASE WHEN l_orderkey % 17 = 0 THEN NULL ELSE CAST({AMERICAN.format(UNDER_V)} AS DOUBLE) END AS under_odds,
                CASE WHEN l_orderkey % 13 = 0 THEN NULL ELSE CAST({BASE_LINE} AS DOUBLE) + (l_orderkey % 7) * 0.25E0 END AS site_projection,
                CASE WHEN l_tax >= 0.08E0 AND l_discount >= 0.05E0 THEN false WHEN l_discount = 0.0E0 THEN NULL ELSE true END AS available,
-               ROW_NUMBER() OVER (PARTITION BY l_partkey, l_suppkey % 12 ORDER BY {QUOTE_ORDER}) AS occurrence
+               CAST(ROW_NUMBER() OVER (PARTITION BY l_partkey, l_suppkey % 12 ORDER BY {QUOTE_ORDER}) AS BIGINT) AS occurrence
         FROM lineitem""",
-    "quotes": """SELECT player_id, player_name, category, team, book, line, over_odds, under_odds, site_projection, available
-        FROM quotes_all WHERE occurrence = 1""",
-    "quotes_now": """SELECT player_id, player_name, category, team, book, line, over_odds, under_odds, site_projection, available
-        FROM quotes_all WHERE occurrence = 2""",
+    # All rows, by snapshot: the n-th quote of a (player, book) belongs to the n-th scrape.
+    "quotes": """SELECT player_id, player_name, category, team, book, line, over_odds, under_odds, site_projection, available, occurrence AS snapshot
+        FROM quotes_all""",
+    # The scrape after each snapshot, under the number of the snapshot it is compared with.
+    "quotes_now": """SELECT player_id, player_name, category, team, book, line, over_odds, under_odds, site_projection, available, occurrence - 1 AS snapshot
+        FROM quotes_all WHERE occurrence >= 2""",
     # Player-weeks: one row per customer, season and three-week block.
     "player_weeks": f"""
         SELECT g.cid, g.year, g.week, g.status, CAST(g.n AS INT) AS n, CAST(g.s7 AS INT) AS s7, CAST(g.s11 AS INT) AS s11, CAST(g.s3 AS INT) AS s3,

@@ -23,10 +23,21 @@ from chalkline.operators.joins import match_player, quotes_against_targets
 from chalkline.operators.ordered import attach, first_rows, robust_median
 
 PROP = ["player_name", "category"]
+SNAPSHOT = "snapshot"
 TARGET_BOOKS = ("draftkings", "caesars")
 NO_LINE = -1e9  # group key of props that are not compared line by line
 
 
+def prop_of(quotes: DataFrame) -> list[str]:
+    """Key of a prop. Where the quotes carry a `snapshot` (one number per scrape), every operator works per snapshot: quotes of different
+    scrapes are never compared, and a prop quoted in many scrapes is many small groups."""
+    return [*PROP, *snapshot_of(quotes)]
+
+
+def snapshot_of(quotes: DataFrame) -> list[str]:
+    return [SNAPSHOT] if SNAPSHOT in quotes.columns else []
+
+
 def with_lower_book(quotes: DataFrame) -> DataFrame:
     return quotes.withColumn("book", F.lower("book"))
 
@@ -39,8 +50,9 @@ def _best(prefer: Column, *payload: str) -> Column:
 def find_arbitrage(quotes: DataFrame, min_profit_pct: float = 1.0, total_stake: float = 100.0,
                    excluded: Sequence[str] = ()) -> DataFrame:
     """Opposite sides of one line at two books whose implied probabilities sum below 1."""
+    prop = prop_of(quotes)
     q = exclude_books(with_lower_book(quotes), list(excluded)).where(F.col("line").isNotNull())
-    best = q.groupBy(*PROP, "line").agg(
+    best = q.groupBy(*prop, "line").agg(
         F.count(F.lit(1)).alias("__n"), F.min("team").alias("team"),
         _best(O.implied_prob("over_odds"), "book", "over_odds").alias("o"),
         _best(O.implied_prob("under_odds"), "book", "under_odds").alias("u"))
@@ -53,7 +65,7 @@ def find_arbitrage(quotes: DataFrame, min_profit_pct: float = 1.0, total_stake:
              .withColumn("profit", (1.0 - F.col("combined")) / F.col("combined") * 100.0)
              .where(F.col("profit") >= min_profit_pct))
     return found.select(
-        *PROP, "team", "line", F.col("o.book").alias("over_book"), F.col("o.over_odds").alias("over_odds"),
+        *prop, "team", "line", F.col("o.book").alias("over_book"), F.col("o.over_odds").alias("over_odds"),
         F.col("u.book").alias("under_book"), F.col("u.under_odds").alias("under_odds"),
         half_up("combined", 4).alias("combined_prob"), half_up("profit", 2).alias("profit_pct"),
         half_up(stake_o, 2).alias("stake_over"), half_up(stake_u, 2).alias("stake_under"),
@@ -73,8 +85,9 @@ def balanced_stakes(over_odds: Column | str, under_odds: Column | str, total: fl
 def find_middles(quotes: DataFrame, min_width: float = 1.0, total_stake: float = 100.0,
                  excluded: Sequence[str] = (), excluded_pairs: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """Over at the lowest line and under at the highest line of one prop at different books."""
+    prop = prop_of(quotes)
     q = exclude_books(with_lower_book(quotes), list(excluded), list(excluded_pairs)).where(F.col("line").isNotNull())
-    ends = q.groupBy(*PROP).agg(
+    ends = q.groupBy(*prop).agg(
         F.count(F.lit(1)).alias("books_compared"),
         F.min(F.struct("line", "book", "team", "over_odds")).alias("lo"),
         F.min(F.struct((-F.col("line")).alias("neg"), "book", "under_odds", "line")).alias("hi"))
@@ -82,7 +95,7 @@ def find_middles(quotes: DataFrame, min_width: float = 1.0, total_stake: float =
     found = ends.where((F.col("books_compared") >= 2) & (F.col("lo.book") != F.col("hi.book")) & (width >= min_width))
     found = found.withColumn("s", balanced_stakes(F.col("lo.over_odds"), F.col("hi.under_odds"), total_stake))
     return found.select(
-        *PROP, F.col("lo.team").alias("team"), F.col("lo.book").alias("low_book"), F.col("lo.line").alias("low_line"),
+        *prop, F.col("lo.team").alias("team"), F.col("lo.book").alias("low_book"), F.col("lo.line").alias("low_line"),
         F.col("lo.over_odds").alias("low_over_odds"), F.col("hi.book").alias("high_book"),
         F.col("hi.line").alias("high_line"), F.col("hi.under_odds").alias("high_under_odds"),
         half_up(width, 2).alias("middle_width"), "books_compared",
@@ -97,9 +110,10 @@ def middle_ev(middles: DataFrame, quotes: DataFrame, history: DataFrame, exclude
               min_games: int = 6) -> DataFrame:
     """Chance that a middle hits and its expected value. `history` is (name_key, stat_field, history_games,
     history_sd) with the sample deviation over the player's whole history."""
-    mean = exclude_books(with_lower_book(quotes), list(excluded)).groupBy(*PROP).agg(F.avg("line").alias("market_mean"))
+    prop = prop_of(middles)
+    mean = exclude_books(with_lower_book(quotes), list(excluded)).groupBy(*prop).agg(F.avg("line").alias("market_mean"))
     fields = map_literal(CATEGORY_FIELDS)
-    rows = (attach(middles, mean, PROP).withColumn("stat_field", fields[F.col("category")])
+    rows = (attach(middles, mean, prop).withColumn("stat_field", fields[F.col("category")])
             .withColumn("name_key", normalize_name("player_name")))
     rows = rows.join(history, ["name_key", "stat_field"], "left")
     games = F.coalesce(F.col("history_games"), F.lit(0))
@@ -124,33 +138,36 @@ def middle_ev(middles: DataFrame, quotes: DataFrame, history: DataFrame, exclude
 def find_outliers(quotes: DataFrame, min_diff_pct: float = 10.0, min_books: int = 3,
                   excluded: Sequence[str] = ()) -> DataFrame:
     """Lines far from the mean of the prop's other rows."""
+    prop = prop_of(quotes)
     q = exclude_books(with_lower_book(quotes), list(excluded)).where(F.col("line").isNotNull() & (F.col("line") != 0))
-    sums = q.groupBy(*PROP).agg(F.count(F.lit(1)).alias("__n"), F.sum("line").alias("__s")).where(F.col("__n") >= max(min_books, 2))
-    rows = attach(q, sums, PROP, "inner")
+    sums = q.groupBy(*prop).agg(F.count(F.lit(1)).alias("__n"), F.sum("line").alias("__s")).where(F.col("__n") >= max(min_books, 2))
+    rows = attach(q, sums, prop, "inner")
     mean = (F.col("__s") - F.col("line")) / (F.col("__n") - 1)
     rows = rows.withColumn("__m", mean).where(F.col("__m") != 0)
     diff = F.col("line") - F.col("__m")
     pct = diff / F.col("__m") * 100.0
     return rows.where(F.abs(pct) >= min_diff_pct).select(
-        *PROP, "team", "book", "line", half_up("__m", 2).alias("consensus_mean"),
+        *prop, "team", "book", "line", half_up("__m", 2).alias("consensus_mean"),
         (F.col("__n") - 1).alias("other_books_count"), half_up(diff, 2).alias("diff"), half_up(pct, 2).alias("diff_pct"),
         F.when(diff > 0, F.lit("Higher than consensus")).otherwise(F.lit("Lower than consensus")).alias("direction"))
 
 
 def find_value(quotes: DataFrame, min_diff_pct: float = 8.0, excluded: Sequence[str] = ()) -> DataFrame:
     """Lines away from the site projection; the percentage is rounded before the threshold is applied."""
+    prop = prop_of(quotes)
     q = exclude_books(with_lower_book(quotes), list(excluded)).where(
         F.col("site_projection").isNotNull() & F.col("line").isNotNull() & (F.col("line") != 0))
     diff = F.col("site_projection") - F.col("line")
     rows = q.withColumn("diff", half_up(diff, 2)).withColumn("diff_pct", half_up(diff / F.col("line") * 100.0, 2))
     return rows.where(F.abs("diff_pct") >= min_diff_pct).select(
-        *PROP, "team", "book", "line", "site_projection", "diff", "diff_pct",
+        *prop, "team", "book", "line", "site_projection", "diff", "diff_pct",
         F.when(F.col("diff") > 0, F.lit("Over")).otherwise(F.lit("Under")).alias("direction"))
 
 
 def _fair_lines(two_way: DataFrame, target_books: Sequence[str], min_refs: int, max_shift_sd: float) -> DataFrame:
     """Target quotes with the other books' consensus: model, parameter, median line, reference counts and texts."""
-    by_target = [*PROP, "target_book"]
+    prop = prop_of(two_way)
+    by_target = [*prop, "target_book"]
     refs = quotes_against_targets(two_way, target_books)
     lines = refs.groupBy(*by_target).agg(F.median("line").alias("__all_median"))
     model = O.category_model("category")
@@ -218,6 +235,7 @@ EV_COLUMNS = ["book", "player_name", "category", "team", "side", "line", "odds",
 def find_ev_two_way(quotes: DataFrame, target_books: Sequence[str] = TARGET_BOOKS, min_refs: int = 3,
                     max_shift_sd: float = 0.5) -> DataFrame:
     """Fair price of every target quote from the other books, both sides, with expected value and stake size."""
+    prop = prop_of(quotes)
     two_way = drop_pickem(with_lower_book(quotes)).where(
         F.col("line").isNotNull() & F.col("over_odds").isNotNull() & F.col("under_odds").isNotNull()
         & ~F.col("category").isin(O.ONE_WAY_CATEGORIES))
@@ -230,10 +248,10 @@ def find_ev_two_way(quotes: DataFrame, target_books: Sequence[str] = TARGET_BOOK
         "same_line_refs": F.coalesce(F.col("same_line_refs"), F.lit(0)),
         "line_adjusted": ~same & ((F.col("ref_lo") != F.col("line")) | (F.col("ref_hi") != F.col("line"))),
         "market": F.lit("two-way")})
-    keep = ["book", *PROP, "team", "line", "ref_books", "ref_lines", "ref_lo", "ref_hi", "ref_line", "same_line_refs",
+    keep = ["book", *prop, "team", "line", "ref_books", "ref_lines", "ref_lo", "ref_hi", "ref_line", "same_line_refs",
             "line_adjusted", "market", "model"]
     sides = _both_sides(rows, keep)
-    return sides.withColumns(_priced(sides)).select(*EV_COLUMNS)
+    return sides.withColumns(_priced(sides)).select(*EV_COLUMNS, *snapshot_of(quotes))
 
 
 DEFAULT_HOLDS = {"touchdowns": 0.06, "first-touchdown-scorer": 0.20, "last-touchdown-scorer": 0.20}
@@ -242,11 +260,12 @@ DEFAULT_HOLDS = {"touchdowns": 0.06, "first-touchdown-scorer": 0.20, "last-touch
 def find_ev_one_way(quotes: DataFrame, target_books: Sequence[str] = TARGET_BOOKS, min_refs: int = 3,
                     holds: dict[str, float] | None = None) -> DataFrame:
     """Yes-only markets: fair probability = median implied probability of the other books less an assumed margin."""
+    prop = prop_of(quotes)
     holds = holds or DEFAULT_HOLDS
     hold_of = map_literal(holds)
     one_way = drop_pickem(with_lower_book(quotes)).where(
         F.col("category").isin(list(holds)) & F.col("over_odds").isNotNull())
-    by_target = [*PROP, "target_book"]
+    by_target = [*prop, "target_book"]
     fair = quotes_against_targets(one_way, target_books).groupBy(*by_target).agg(
         F.median(O.implied_prob("over_odds")).alias("__fair"), F.count(F.lit(1)).alias("ref_books"),
         _best(O.implied_prob("over_odds"), "book", "over_odds").alias("b")).where(F.col("ref_books") >= min_refs)
@@ -261,7 +280,7 @@ def find_ev_one_way(quotes: DataFrame, target_books: Sequence[str] = TARGET_BOOK
         "best_other_same_line": F.concat_ws(" ", F.col("b.book"), signed_odds("b.over_odds")),
         "line_adjusted": F.lit(False), "market": F.lit("one-way"),
         "model": F.concat(F.lit("hold="), F.round(hold_of[F.col("category")] * 100).cast("int").cast("string"), F.lit("%"))})
-    return rows.select(*EV_COLUMNS)
+    return rows.select(*EV_COLUMNS, *snapshot_of(quotes))
 
 
 def overround(quotes: DataFrame, games: DataFrame, min_players: int = 10) -> DataFrame:
@@ -271,7 +290,7 @@ def overround(quotes: DataFrame, games: DataFrame, min_players: int = 10) -> Dat
     home = first_rows(games.where(F.col("team").isNotNull() & F.col("opponent").isNotNull()), ["player_name"],
                       ["team", "opponent"])
     home = home.select("player_name", F.concat_ws("-", F.least("team", "opponent"), F.greatest("team", "opponent")).alias("game"))
-    sums = sub.join(home, "player_name").groupBy("category", "book", "game").agg(
+    sums = sub.join(home, "player_name").groupBy("category", "book", "game", *snapshot_of(quotes)).agg(
         F.sum(O.implied_prob("over_odds")).alias("__s"), F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_players)
     return sums.groupBy("category", "book").agg(half_up(F.median("__s"), 3).alias("overround"), F.count(F.lit(1)).alias("games"))
 
@@ -364,7 +383,7 @@ def low_lines(quotes: DataFrame, stats: DataFrame, target_books: Sequence[str] =
     market = drop_pickem(only_available(with_lower_book(quotes))).where(
         F.col("category").isin(list(LOW_LINE_PARTS)) & F.col("line").isNotNull() & F.col("over_odds").isNotNull())
     market = market.withColumn("name_key", normalize_name("player_name"))
-    prop = ["name_key", "category", "line", "target_book"]
+    prop = ["name_key", "category", "line", "target_book", *snapshot_of(quotes)]
     refs = quotes_against_targets(market.where(F.col("under_odds").isNotNull()), target_books).groupBy(*prop).agg(
         F.median(O.novig_over("over_odds", "under_odds")).alias("__ref"), F.count(F.lit(1)).alias("__refs"))
     targets = market.where(F.col("book").isin(list(target_books)) & (F.col("line") <= max_line)).withColumn(
@@ -420,7 +439,7 @@ def low_lines(quotes: DataFrame, stats: DataFrame, target_books: Sequence[str] =
         frac(F.col("s.h"), F.col("n")).alias("hist_rate"), half_up(wh / weight, 3).alias("weighted_rate"),
         frac(F.col("s.h3"), F.least(F.col("n"), F.lit(3))).alias("last3_rate"), half_up(m, 3).alias("market_prob"),
         "market_source", "avg_targets", "avg_carries", "last_snap_pct", "team_changed", "team_pass_att_pg",
-        "players_with_catch_pg")
+        "players_with_catch_pg", *snapshot_of(quotes))
 
 
 # --- stale lines --------------------------------------------------------------------------------------------------
@@ -431,18 +450,19 @@ PULLED_SHARE, PULLED_MIN_BOOKS, NEWS_MIN_PROPS = 0.67, 3, 3
 
 def line_moves(baseline: DataFrame, current: DataFrame) -> DataFrame:
     """Move of every (prop, book) quoted live in both snapshots, in standard deviations or percentage points."""
+    prop = prop_of(baseline)
     b = drop_pickem(only_available(with_lower_book(baseline))).select(
-        *PROP, "book", F.col("line").alias("line_b"), F.col("over_odds").alias("over_b"), F.col("under_odds").alias("under_b"))
+        *prop, "book", F.col("line").alias("line_b"), F.col("over_odds").alias("over_b"), F.col("under_odds").alias("under_b"))
     c = drop_pickem(with_lower_book(current)).where(is_available()).select(
-        *PROP, "book", F.col("line").alias("line_c"), F.col("over_odds").alias("over_c"), F.col("under_odds").alias("under_c"))
-    both = b.join(c, [*PROP, "book"])
+        *prop, "book", F.col("line").alias("line_c"), F.col("over_odds").alias("over_c"), F.col("under_odds").alias("under_c"))
+    both = b.join(c, [*prop, "book"])
     td = F.col("category") == "touchdowns"
     priced = ["over_b", "over_c"]
     full = [*priced, "line_b", "line_c", "under_b", "under_c"]
     ok = lambda cols: F.array_min(F.array(*[F.col(x).isNotNull() for x in cols]))
     both = both.where((td & ok(priced)) | (~F.col("category").isin(O.ONE_WAY_CATEGORIES) & ok(full)))
-    mid = both.groupBy(*PROP).agg(F.median("line_b").alias("__mid"))
-    both = attach(both, mid, PROP)
+    mid = both.groupBy(*prop).agg(F.median("line_b").alias("__mid"))
+    both = attach(both, mid, prop)
     td = F.col("category") == "touchdowns"
     both = both.withColumns({
         "__sd": O.stat_sd("category", F.col("__mid")),
@@ -458,36 +478,35 @@ def line_moves(baseline: DataFrame, current: DataFrame) -> DataFrame:
 
 def consensus_moves(moves: DataFrame, current: DataFrame, target_books: Sequence[str] = TARGET_BOOKS) -> DataFrame:
     """Median move of the non-target books per prop with at least two of them, above the news threshold."""
-    others = moves.where(~F.col("book").isin(list(target_books))).groupBy(*PROP, "unit").agg(
+    prop = prop_of(moves)
+    others = moves.where(~F.col("book").isin(list(target_books))).groupBy(*prop, "unit").agg(
         F.median("move").alias("consensus"), F.count(F.lit(1)).alias("others"),
         F.median(O.implied_prob("over_c")).alias("others_implied"))
     limit = F.when(F.col("unit") == "pp", F.lit(MIN_TD_PP)).otherwise(F.lit(MIN_MOVE_SD))
-    team = current.groupBy(*PROP).agg(F.min("team").alias("team"))
-    return attach(others.where((F.col("others") >= 2) & (F.abs("consensus") >= limit)), team, PROP)
-
-
-STALE_COLUMNS = ["flag", "book", *PROP, "team", "side", "line", "odds", "ev_pct", "market_move", "book_move", "unit"]
+    team = current.groupBy(*prop).agg(F.min("team").alias("team"))
+    return attach(others.where((F.col("others") >= 2) & (F.abs("consensus") >= limit)), team, prop)
 
 
 def stale_lines(baseline: DataFrame, current: DataFrame, target_books: Sequence[str] = TARGET_BOOKS) -> DataFrame:
     """Target quotes lagging a market move, quotes still priced for an old role, and props pulled elsewhere."""
+    prop = prop_of(baseline)
     moves = line_moves(baseline, current)
     cons = consensus_moves(moves, current, target_books)
-    mine = attach(moves.where(F.col("book").isin(list(target_books))), cons.drop("unit"), PROP, "inner")
+    mine = attach(moves.where(F.col("book").isin(list(target_books))), cons.drop("unit"), prop, "inner")
     direction = F.when(F.col("consensus") > 0, F.lit(1.0)).otherwise(F.lit(-1.0))
     lag = mine.where(F.col("move") * direction < LAG_RATIO * F.abs("consensus"))
     # Only props with a lagging quote are priced.
-    live = with_lower_book(current).where(is_available()).join(lag.select(*PROP), PROP, "left_semi")
-    ev = find_ev_two_way(live, target_books, min_refs=2, max_shift_sd=10.0).groupBy("book", *PROP, "side", "line").agg(
+    live = with_lower_book(current).where(is_available()).join(lag.select(*prop), prop, "left_semi")
+    ev = find_ev_two_way(live, target_books, min_refs=2, max_shift_sd=10.0).groupBy("book", *prop, "side", "line").agg(
         F.max("ev_pct").alias("__ev"))
     td, up = F.col("category") == "touchdowns", F.col("consensus") > 0
     lag = lag.withColumns({
         "side": F.when(td | up, F.lit("Over")).otherwise(F.lit("Under")),
         "line": F.when(td, F.lit(0.5)).otherwise(F.col("line_c"))})
-    lag = attach(lag, ev, ["book", *PROP, "side", "line"])
+    lag = attach(lag, ev, ["book", *prop, "side", "line"])
     td_ev = half_up((F.col("others_implied") * O.decimal_odds("over_c") - 1.0) * 100.0, 1)
     lagging = lag.select(
-        F.when(td & ~up, F.lit("lagging, avoid")).otherwise(F.lit("lagging")).alias("flag"), "book", *PROP, "team", "side",
+        F.when(td & ~up, F.lit("lagging, avoid")).otherwise(F.lit("lagging")).alias("flag"), "book", *prop, "team", "side",
         "line", F.when(F.col("side") == "Over", F.col("over_c")).otherwise(F.col("under_c")).alias("odds"),
         F.when(~td, F.col("__ev")).when(up, td_ev).alias("ev_pct"),
         half_up("consensus", 2).alias("market_move"), half_up("move", 2).alias("book_move"), "unit")
@@ -496,15 +515,16 @@ def stale_lines(baseline: DataFrame, current: DataFrame, target_books: Sequence[
 
 def pulled_elsewhere(baseline: DataFrame, current: DataFrame, target_books: Sequence[str] = TARGET_BOOKS) -> DataFrame:
     """Target books still offering a prop that at least two thirds of three or more other books took down."""
+    prop = prop_of(baseline)
     cur = drop_pickem(with_lower_book(current)).withColumn("__live", is_available())
-    known = drop_pickem(only_available(with_lower_book(baseline))).select(*PROP).distinct()
+    known = drop_pickem(only_available(with_lower_book(baseline))).select(*prop).distinct()
     mine = F.col("book").isin(list(target_books))
-    share = cur.groupBy(*PROP).agg(
+    share = cur.groupBy(*prop).agg(
         F.count_if(~mine).alias("__n"), F.count_if(~mine & ~F.col("__live")).alias("__down"), F.min("team").alias("__team"))
     share = share.where((F.col("__n") >= PULLED_MIN_BOOKS) & (F.col("__down") >= PULLED_SHARE * F.col("__n")))
-    rows = attach(cur.where(mine & F.col("__live")), share, PROP, "inner").join(known, PROP, "left_semi")
+    rows = attach(cur.where(mine & F.col("__live")), share, prop, "inner").join(known, prop, "left_semi")
     null = F.lit(None)
-    return rows.select(F.lit("pulled elsewhere").alias("flag"), "book", *PROP, F.col("__team").alias("team"),
+    return rows.select(F.lit("pulled elsewhere").alias("flag"), "book", *prop, F.col("__team").alias("team"),
                        F.lit("Over").alias("side"), "line", F.col("over_odds").alias("odds"),
                        null.cast("double").alias("ev_pct"), null.cast("double").alias("market_move"),
                        null.cast("double").alias("book_move"), null.cast("string").alias("unit"))
@@ -512,15 +532,16 @@ def pulled_elsewhere(baseline: DataFrame, current: DataFrame, target_books: Sequ
 
 def news_clusters(cons: DataFrame, top: int = 4) -> DataFrame:
     """Teams with three or more moved props, with their largest movers."""
-    sizes = cons.groupBy("team").agg(F.count(F.lit(1)).alias("props")).where(F.col("props") >= NEWS_MIN_PROPS)
-    big = first_rows(cons, ["team"], [F.abs("consensus").desc(), *PROP], top, rank_col="mover_rank")
-    return attach(big, sizes, ["team"], "inner").select(
-        "team", "props", "mover_rank", *PROP, half_up("consensus", 2).alias("move"), "unit")
+    prop = prop_of(cons)
+    sizes = cons.groupBy("team", *snapshot_of(cons)).agg(F.count(F.lit(1)).alias("props")).where(F.col("props") >= NEWS_MIN_PROPS)
+    big = first_rows(cons, ["team", *snapshot_of(cons)], [F.abs("consensus").desc(), *prop], top, rank_col="mover_rank")
+    return attach(big, sizes, ["team", *snapshot_of(cons)], "inner").select(
+        "team", "props", "mover_rank", *prop, half_up("consensus", 2).alias("move"), "unit")
 
 
 def pulled_players(flags: DataFrame, news_teams: DataFrame) -> DataFrame:
     """Per player: books that still list a prop the others pulled, markets concerned, and whether the team has news."""
-    pulled = flags.where(F.col("flag") == "pulled elsewhere").groupBy("player_name", "team").agg(
+    pulled = flags.where(F.col("flag") == "pulled elsewhere").groupBy("player_name", "team", *snapshot_of(flags)).agg(
         F.array_join(F.array_sort(F.collect_set("book")), ", ").alias("books"), F.countDistinct("category").alias("markets"))
     teams = news_teams.select("team").distinct().withColumn("__news", F.lit(True))
     return attach(pulled, teams, ["team"]).withColumn("team_news", F.coalesce("__news", F.lit(False))).drop("__news")
@@ -616,7 +637,7 @@ def td_bets(quotes: DataFrame, features: DataFrame, params: dict, totals: DataFr
         F.when(F.col("adj_new_team") > 0.25, F.lit("new team")), F.col("news"))
     rows = rows.withColumn("check_reason", reasons)
 
-    by_target = [*group, "target_book"]
+    by_target = [*group, "target_book", *snapshot_of(quotes)]
     others = quotes_against_targets(market, target_books).withColumn("__p", O.implied_prob("over_odds"))
     med = robust_median(others, by_target, "__p", 2.5, "other_implied", "other_books")
     t = market.where(F.col("book").isin(list(target_books))).withColumn("target_book", F.col("book"))
@@ -634,4 +655,4 @@ def td_bets(quotes: DataFrame, features: DataFrame, params: dict, totals: DataFr
         F.concat(F.col("last_year").cast("string"), F.lit(" wk"), F.col("last_week").cast("string"), F.lit(" "),
                  F.col("last_team")).alias("last_game"),
         F.col("offense_pct").alias("last_snap_pct"), (F.col("adj_new_team") > 0.25).alias("new_team"),
-        F.when(F.col("check_reason") == "", F.lit("clean")).otherwise(F.lit("check")).alias("confidence"), "check_reason")
+        F.when(F.col("check_reason") == "", F.lit("clean")).otherwise(F.lit("check")).alias("confidence"), "check_reason", *snapshot_of(quotes))
