@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BROADCAST_NUMBERS = 2_000_000
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or the warehouse where that is unset (tests)."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stage"
@@ -27,6 +30,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(table: DataFrame, size: Column | None = None, limit: int = BROADCAST_NUMBERS) -> DataFrame:
+    """A staged table for the small side of a join: marked for broadcast if its measured size (rows, or the sum `size` of numbers in them) is at most
+    `limit`; beyond that the join shuffles both sides."""
+    measured = table.agg(F.coalesce(size if size is not None else F.count("*"), F.lit(0))).first()[0]
+    return F.broadcast(table) if measured <= limit else table
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Remove a superseded intermediate table."""
     jvm = spark._jvm

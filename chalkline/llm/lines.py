@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import rows_of, stage, text_of
+from chalkline.llm.common import rows_of, small_side, stage, text_of
 
 LONG_WORDS = 40
 CHUNK_WORDS = 8
@@ -130,6 +130,11 @@ def _row(id_col: str, text_col: str) -> Column:
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, cuts): the line ranges to remove, for each row that has any, by a hash of its id and text."""
 
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [c[2] for _, _, text in rows_of([batch], "row", "id", "body") for c in chunks_of(text)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["hash"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["row", "id", "start", "stop", "hash", "body", "before", "after"]
         kinds = [pa.int64(), None, pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
@@ -148,8 +153,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     source = docs.select(_row(id_col, text_col).alias("row"), F.col(id_col).alias("id"), text_of(text_col).alias("body"))
     kind = dict(source.dtypes)["id"]
-    chunks = stage(source.mapInArrow(run, f"row long, id {kind}, start int, stop int, hash long, body string, before array<long>, after array<long>"), "chunks")
-    again = stage(chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "again")
+    again = source.mapInArrow(hashes, "hash long").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    again = small_side(stage(again, "again"))
+    chunks = source.mapInArrow(run, f"row long, id {kind}, start int, stop int, hash long, body string, before array<long>, after array<long>")
     seen = stage(chunks.join(again, "hash"), "seen")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "row", "start", "before", "after")
     first = stage(seen.groupBy("hash", "body").agg(F.min(place).alias("first")), "first")
@@ -168,6 +174,7 @@ def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     marked = docs.withColumn(ROW, _row(id_col, text_col))
     cuts = stage(repeated_lines(docs, id_col, text_col).select(F.col("row").alias(ROW), F.col("cuts").alias(CUT)), "cuts")
+    cuts = small_side(cuts, F.sum(F.size(CUT) + 2))
     names = docs.columns
     at = names.index(text_col)
 
