@@ -201,14 +201,14 @@ def pois_pmf_sql(k: str, lam: str) -> str:
 
 
 @query("fn22_outcome_probs", f"""WITH p AS (SELECT player_id, book, line, line = floor(line) AS whole, 1.0E0 + (player_id % 9) AS mu, 2.0E0 + (player_id % 5) AS sd,
-      CAST(floor(line) AS INT) AS k FROM quotes WHERE line <= 10),
+      CAST(floor(line) AS INT) AS k FROM quotes),
     n AS (SELECT *, CASE WHEN whole THEN 1.0E0 - {phi_sql("((line + 0.5E0 - mu) / sd)")} ELSE 1.0E0 - {phi_sql("((line - mu) / sd)")} END AS n_over,
       CASE WHEN whole THEN {phi_sql("((line - 0.5E0 - mu) / sd)")} ELSE {phi_sql("((line - mu) / sd)")} END AS n_under,
       CASE WHEN whole THEN {pois_cdf_sql("k - 1", "mu")} ELSE {pois_cdf_sql("k", "mu")} END AS p_under, CASE WHEN whole THEN {pois_pmf_sql("k", "mu")} ELSE 0.0E0 END AS p_push FROM p)
     SELECT player_id, book, {hu("n_over", 6)} AS normal_over, {hu("n_under", 6)} AS normal_under, {hu("1.0E0 - p_under - p_push", 6)} AS poisson_over,
       {hu("p_under", 6)} AS poisson_under, {hu("p_push", 6)} AS poisson_push FROM n""")
 def _(t):
-    q = t.quotes.where(F.col("line") <= 10).withColumns({"mu": 1.0 + F.col("player_id") % 9, "sd": 2.0 + F.col("player_id") % 5})
+    q = t.quotes.withColumns({"mu": 1.0 + F.col("player_id") % 9, "sd": 2.0 + F.col("player_id") % 5})
     q = q.withColumns({"n": O.outcome_probs(F.lit("normal"), F.col("mu"), F.col("sd"), F.col("line")),
                        "p": O.outcome_probs(F.lit("poisson"), F.col("mu"), F.col("sd"), F.col("line"))})
     r = lambda c, n: V.half_up(c, 6).alias(n)
