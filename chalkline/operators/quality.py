@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from chalkline.functions.names import normalize_name
 from chalkline.functions.values import half_up
-from chalkline.operators.ordered import attach_totals
+from chalkline.operators.ordered import attach, attach_totals, split_median
 
 Cols = Sequence[str]
 
@@ -88,12 +88,17 @@ def compare_points(old: DataFrame, new: DataFrame, on: Cols, value: str, thresho
     both = o.join(n, list(on), "full_outer")
     matched = F.col("__ho").isNotNull() & F.col("__hn").isNotNull()
     gap = F.when(matched, F.abs(F.col("__n") - F.col("__o")))
-    return both.agg(
+    # The median has one group; it is read off the counts around the middle.
+    median = split_median(both.select(F.lit(1).alias("__all"), gap.alias("__gap")), ["__all"], "__gap", "__median")
+    totals = both.agg(
         F.count_if(matched).alias("matched"), F.count_if(F.col("__hn").isNull()).alias("only_old"),
         F.count_if(F.col("__ho").isNull()).alias("only_new"), half_up(F.avg(gap), 4).alias("mean_gap"),
-        half_up(F.median(gap), 4).alias("median_gap"), half_up(F.max(gap), 4).alias("max_gap"),
+        half_up(F.max(gap), 4).alias("max_gap"),
         F.count_if(gap == 0).alias("exact"), F.count_if(gap <= 0.5).alias("within_half"),
-        F.count_if(gap > threshold).alias("over_threshold"))
+        F.count_if(gap > threshold).alias("over_threshold")).withColumn("__all", F.lit(1))
+    return attach(totals, median, ["__all"]).select(
+        "matched", "only_old", "only_new", "mean_gap", half_up("__median", 4).alias("median_gap"), "max_gap", "exact",
+        "within_half", "over_threshold")
 
 
 def worst_gaps(old: DataFrame, new: DataFrame, on: Cols, value: str, n: int = 20) -> DataFrame:

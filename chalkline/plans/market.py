@@ -20,7 +20,7 @@ from chalkline.functions.values import half_up
 from chalkline.operators.aggregates import team_context
 from chalkline.operators.filters import drop_pickem, exclude_books, is_available, only_available
 from chalkline.operators.joins import match_player, quotes_against_targets
-from chalkline.operators.ordered import attach, first_rows, robust_median
+from chalkline.operators.ordered import attach, first_rows, robust_median, split_median
 
 PROP = ["player_name", "category"]
 SNAPSHOT = "snapshot"
@@ -292,7 +292,9 @@ def overround(quotes: DataFrame, games: DataFrame, min_players: int = 10) -> Dat
     home = home.select("player_name", F.concat_ws("-", F.least("team", "opponent"), F.greatest("team", "opponent")).alias("game"))
     sums = sub.join(home, "player_name").groupBy("category", "book", "game", *snapshot_of(quotes)).agg(
         F.sum(O.implied_prob("over_odds")).alias("__s"), F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_players)
-    return sums.groupBy("category", "book").agg(half_up(F.median("__s"), 3).alias("overround"), F.count(F.lit(1)).alias("games"))
+    games = sums.groupBy("category", "book").agg(F.count(F.lit(1)).alias("games"))
+    return attach(games, split_median(sums, ["category", "book"], "__s", "__m"), ["category", "book"]).select(
+        "category", "book", half_up("__m", 3).alias("overround"), "games")
 
 
 def confidence(bets: DataFrame, news: DataFrame | None = None, min_ev_pct: float | None = 2.0,

@@ -102,3 +102,33 @@ def test_a_bet_on_a_repeated_name_is_graded_once(spark):
     final = spark.createDataFrame([(2031, 5, "sea")], "year int, week int, team string")
     rows = TR.grade(bet, stats, final).collect()
     assert [(r.result, r.actual) for r in rows] == [("win", 90.0)]
+
+
+def test_split_medians_of_a_hot_key(spark, monkeypatch):
+    import random
+    import statistics
+
+    from chalkline.operators import ordered
+    from chalkline.operators.aggregates import grouped_stats
+    from chalkline.operators.quality import compare_points
+
+    rng = random.Random(3)
+    rows = [("hot" if k % 10 else f"k{k % 70}", float(rng.choice([rng.randrange(9), rng.randrange(100_000)]) / 8)) for k in range(20_000)] + [("one", 3.0), ("two", 1.0), ("two", 2.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    groups = {}
+    for g, v in rows:
+        groups.setdefault(g, []).append(v)
+    for limit in (4000, 0, 10**9):
+        monkeypatch.setattr(ordered, "SMALL_GROUP", max(limit, 100))
+        got = {r.g: r.median for r in ordered.split_median(df, ["g"], "v").collect()}
+        assert got == {g: statistics.median(v) for g, v in groups.items() if g != "none"}
+    others = {(r.g, r.v): r.others for r in ordered.leave_one_out(df, ["g"], "v", "median").collect()}
+    hot = sorted(groups["hot"])
+    for v in (hot[0], hot[len(hot) // 2], hot[-1]):
+        rest = list(hot)
+        rest.remove(v)
+        assert others["hot", v] == statistics.median(rest)
+    assert others["one", 3.0] is None and others["two", 1.0] == 2.0
+    assert {r.g: r.n for r in grouped_stats(df, ["g"], "v", "v").collect()}["none"] == 1
+    empty = spark.createDataFrame([], "k int, v double")
+    assert compare_points(empty, empty, ["k"], "v").first().median_gap is None
