@@ -112,8 +112,9 @@ def _(t):
 PICK_TOTALS = """SELECT year, week, submitter, count(*) AS picks, count(result) AS matched, count(is_correct) AS scored, CASE WHEN count(result) = count(*) THEN count(*) FILTER (is_correct) END AS correct FROM gp GROUP BY year, week, submitter"""
 
 
-@query("rp14_long_export", f"""WITH {TOTALS_SQL}, {GRADED_SQL}, pk AS ({PICK_TOTALS}), u AS (SELECT year, week, submitter, 'lineup' AS contest, score AS points, CASE WHEN score IS NULL THEN 'pending' ELSE 'final' END AS status FROM ltot
-    UNION ALL SELECT year, week, submitter, 'props', CAST(correct AS DOUBLE), CASE WHEN correct IS NULL THEN 'pending' ELSE 'final' END FROM pk) SELECT *, true AS counts FROM u""")
+@query("rp14_long_export", f"""WITH {TOTALS_SQL}, {GRADED_SQL}, pk AS ({PICK_TOTALS}), u AS (SELECT year, week, submitter, 'lineup' AS contest, score AS points, CASE WHEN score IS NULL THEN 'pending' ELSE 'final' END AS status,
+      score IS NOT NULL AND row_number() OVER (PARTITION BY year, submitter ORDER BY score NULLS LAST, week) = 1 AND count(score) OVER (PARTITION BY year, submitter) >= 2 AS is_dropped_week FROM ltot
+    UNION ALL SELECT year, week, submitter, 'props', CAST(correct AS DOUBLE), CASE WHEN correct IS NULL THEN 'pending' ELSE 'final' END, false FROM pk) SELECT *, true AS counts FROM u""")
 def _(t):
     return C.standings_long(totals(t), graded(t))
 

@@ -33,12 +33,16 @@ def lookup(df: DataFrame, dim: DataFrame, on: Cols, order: Sequence[Column]) ->
 
 
 def full_outer_fill(a: DataFrame, b: DataFrame, on: Cols, fill: Cols) -> DataFrame:
-    """Null-safe full outer join; columns in `fill` exist on both sides and take the left value first."""
-    right = b.select(*[F.col(c).alias(f"__r_{c}") if c in (*on, *fill) else F.col(c) for c in b.columns])
-    cond = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in on])
-    joined = a.join(right, cond, "full_outer")
+    """Full outer join; columns in `fill` exist on both sides and take the left value first.
+
+    A row with a NULL key matches nothing. Such rows go round the join, so they neither pair with each other nor meet in one task."""
+    complete = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in on])
+    right = b.where(complete).select(*[F.col(c).alias(f"__r_{c}") if c in (*on, *fill) else F.col(c) for c in b.columns])
+    cond = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"__r_{k}") for k in on])
+    joined = a.where(complete).join(right, cond, "full_outer")
     merged = {c: F.coalesce(F.col(c), F.col(f"__r_{c}")) for c in (*on, *fill)}
-    return joined.withColumns(merged).drop(*[f"__r_{c}" for c in (*on, *fill)])
+    matched = joined.withColumns(merged).drop(*[f"__r_{c}" for c in (*on, *fill)])
+    return matched.unionByName(a.where(~complete), allowMissingColumns=True).unionByName(b.where(~complete), allowMissingColumns=True)
 
 
 def on_depth_chart(slate: DataFrame, depth: DataFrame, key: str = "name_key") -> DataFrame:

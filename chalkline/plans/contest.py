@@ -127,14 +127,17 @@ def prop_standings(graded: DataFrame, excluded: dict | None = None) -> DataFrame
     return agg.withColumn("accuracy_pct", pct)
 
 
-def standings_long(scores: DataFrame, graded: DataFrame) -> DataFrame:
-    """Long export: one row per submitter, week and contest."""
-    lineups = scores.select(*WEEK, "submitter", F.lit("lineup").alias("contest"), F.col("score").alias("points"),
-                            F.when(F.col("score").isNull(), F.lit("pending")).otherwise(F.lit("final")).alias("status"))
+def standings_long(scores: DataFrame, graded: DataFrame, excluded: dict | None = None) -> DataFrame:
+    """Long export: one row per submitter, week and contest, with a flag on the lineup week that the season total drops."""
+    low = dropped_week(scores.where(F.col("score").isNotNull() & counts_toward_season("year", "week", excluded)), ("year", "submitter"))
+    flagged = attach(scores, low, ["year", "submitter"])
+    lineups = flagged.select(*WEEK, "submitter", F.lit("lineup").alias("contest"), F.col("score").alias("points"),
+                             F.when(F.col("score").isNull(), F.lit("pending")).otherwise(F.lit("final")).alias("status"),
+                             F.coalesce(F.col("week") == F.col("dropped_week"), F.lit(False)).alias("is_dropped_week"))
     picks = pick_totals(graded).select(
         *WEEK, "submitter", F.lit("props").alias("contest"), F.col("correct").cast("double").alias("points"),
-        F.when(F.col("correct").isNull(), F.lit("pending")).otherwise(F.lit("final")).alias("status"))
-    return lineups.unionByName(picks).withColumn("counts", counts_toward_season("year", "week"))
+        F.when(F.col("correct").isNull(), F.lit("pending")).otherwise(F.lit("final")).alias("status"), F.lit(False).alias("is_dropped_week"))
+    return lineups.unionByName(picks).withColumn("counts", counts_toward_season("year", "week", excluded))
 
 
 def _lines(rates: Sequence[tuple[str, str, float]]) -> list[Column]:

@@ -419,6 +419,9 @@ def low_lines(quotes: DataFrame, stats: DataFrame, target_books: Sequence[str] =
         F.sum(hit).alias("__hits"), F.sum(F.when(F.col("__yw") <= 3, hit)).alias("__hits3"),
         F.sum(w).alias("__w"), F.sum(w * hit).alias("__wh"))
 
+    # Unmatched quotes get keys of their own that match no player, so they do not meet in one task.
+    alone = F.concat(F.lit("~"), F.col("name_key"), F.lit("|"), F.col("book"), *[F.col(s).cast("string") for s in snapshot_of(quotes)])
+    t = t.withColumn("matched_key", F.coalesce("matched_key", alone))
     rows = attach(t.withColumnRenamed("name_key", "quote_key").withColumnRenamed("matched_key", "name_key"), base, ["name_key"])
     rows = attach(rows, hits, ["name_key", "category", "line"])
     rows = rows.withColumn("team", F.when(F.col("n").isNotNull(), F.col("team_now")).otherwise(F.col("team")))

@@ -125,6 +125,12 @@ def verify_manifest(saved: DataFrame, tables: dict[str, DataFrame]) -> DataFrame
     return both.select("table_name", "row_count", "live_count", same.alias("ok"))
 
 
+def restore(saved: DataFrame, live: DataFrame) -> DataFrame:
+    """A saved table in the columns of the live one, matched by name and cast to its types: columns the live table has gained are NULL, columns it
+    has lost are left out, and the order is the live one."""
+    return saved.select(*[(F.col(f.name) if f.name in saved.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in live.schema.fields])
+
+
 def save(df: DataFrame, path: str, partition_by: Cols = (), fmt: str = "parquet", mode: str = "overwrite") -> None:
     """Write a table; with partition columns and mode overwrite only the partitions in `df` are replaced."""
     writer = df.write.mode(mode).format(fmt)

@@ -132,3 +132,21 @@ def test_split_medians_of_a_hot_key(spark, monkeypatch):
     assert {r.g: r.n for r in grouped_stats(df, ["g"], "v", "v").collect()}["none"] == 1
     empty = spark.createDataFrame([], "k int, v double")
     assert compare_points(empty, empty, ["k"], "v").first().median_gap is None
+
+
+def test_null_keys_pair_with_nothing(spark):
+    from chalkline.operators.joins import full_outer_fill
+
+    a = spark.createDataFrame([("p", 1, "x", 1), (None, 1, "y", 2), (None, 1, "z", 3)], "k string, w int, t string, a int")
+    b = spark.createDataFrame([("p", 1, "q", 10), (None, 1, "v", 20), ("r", None, "u", 30)], "k string, w int, t string, b int")
+    got = sorted(map(str, map(tuple, full_outer_fill(a, b, ["k", "w"], ["t"]).select("k", "w", "t", "a", "b").collect())))
+    assert got == sorted(map(str, [("p", 1, "x", 1, 10), (None, 1, "y", 2, None), (None, 1, "z", 3, None), (None, 1, "v", None, 20), ("r", None, "u", None, 30)]))
+
+
+def test_restore_goes_by_column_names(spark):
+    from chalkline.sources.tables import restore
+
+    saved = spark.createDataFrame([("7", "a", 1.5)], "n string, gone string, v double")
+    live = spark.createDataFrame([], "v double, n int, added string")
+    out = restore(saved, live)
+    assert out.dtypes == live.dtypes and tuple(out.first()) == (1.5, 7, None)
