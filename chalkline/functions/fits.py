@@ -15,13 +15,39 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from chalkline.functions.odds import CDF_DEN, CDF_NUM, INV_CENTRE, INV_MIDDLE, INV_TAIL
 
-NORMAL_STEPS, POISSON_STEPS, MIN_RATE = 5, 6, 1e-6
+MAX_STEPS, RESIDUAL, MIN_RATE = 100, 1e-12, 1e-6
+
+
+def log_upper_array(z: np.ndarray) -> np.ndarray:
+    """log P(Z > z), also far out in the tail, where P itself is no longer a number."""
+    a = np.abs(z)
+    near = np.minimum(a, 7.07106781186547)
+    body = np.exp(-near * near / 2.0) * np.polyval(CDF_NUM, near) / np.polyval(CDF_DEN, near)
+    tail = a + 0.65
+    for k in (4.0, 3.0, 2.0, 1.0):
+        tail = a + k / tail
+    far = -a * a / 2.0 - np.log(tail) - np.log(2.506628274631)
+    upper = np.where(a < 7.07106781186547, np.log(body), far)
+    return np.where(z > 0, upper, np.log1p(-np.exp(upper)))
 
 
 def cdf_array(z: np.ndarray) -> np.ndarray:
-    a = np.minimum(np.abs(z), 7.0)
-    upper = np.exp(-a * a / 2.0) * np.polyval(CDF_NUM, a) / np.polyval(CDF_DEN, a)
-    return np.where(z > 0, 1.0 - upper, upper)
+    return np.exp(log_upper_array(-z))
+
+
+def bracketed_newton(f, x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Roots of increasing functions inside [low, high]: Newton steps, halving where one would leave the bracket, until all residuals vanish or the
+    bracket is closed. `f` gives value and slope."""
+    for _ in range(MAX_STEPS):
+        value, slope = f(x)
+        low, high = np.where(value <= 0, x, low), np.where(value >= 0, x, high)
+        open_ = (np.abs(value) > RESIDUAL) & (high - low > 1e-15 * np.maximum(1.0, np.abs(x)))
+        if not open_.any():
+            break
+        with np.errstate(divide="ignore", invalid="ignore"):
+            step = x - value / slope
+        x = np.where(open_, np.where((step > low) & (step < high), step, (low + high) / 2.0), x)
+    return x
 
 
 def ppf_array(p: np.ndarray) -> np.ndarray:
@@ -45,39 +71,46 @@ def poisson_array(k: np.ndarray, lam: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def fit_normal_array(line: np.ndarray, sd: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Mean whose no-push P(over) is p: closed form on half lines, Newton from it on whole lines."""
+    """Mean whose no-push P(over) is p: closed form on half lines, its log-odds solved for on whole lines."""
     mu = line + sd * ppf_array(p)
     whole = np.abs(line - np.round(line)) < 1e-9
     if whole.any():
-        l, s, want, m = line[whole], sd[whole], p[whole], mu[whole]
-        for _ in range(NORMAL_STEPS):
-            zu, zl = (l + 0.5 - m) / s, (l - 0.5 - m) / s
-            over, under = 1.0 - cdf_array(zu), cdf_array(zl)
-            du, dl = (np.exp(-z * z / 2.0) * 0.3989422804014327 / s for z in (zu, zl))
-            both = over + under
-            slope = (du * under + over * dl) / (both * both)
-            m = m - (over / both - want) / np.maximum(slope, 1e-12)
-        mu[whole] = m
+        l, s, want = line[whole], sd[whole], np.log(p[whole] / (1.0 - p[whole]))
+
+        def log_odds(m):
+            zu, zl = (l + 0.5 - m) / s, (m - l + 0.5) / s
+            over, under = log_upper_array(zu), log_upper_array(zl)
+            hazard = lambda z, upper: np.exp(-z * z / 2.0 - 0.918938533204673 - upper) / s
+            return over - under - want, hazard(zu, over) + hazard(zl, under)
+
+        reach = 0.5 + 40.0 * s
+        mu[whole] = bracketed_newton(log_odds, np.clip(mu[whole], l - reach, l + reach), l - reach, l + reach)
     return mu
 
 
 def fit_poisson_array(line: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Rate whose no-push P(over) is p: Newton on the log-odds over the log rate, nearly straight in both tails.
+    """Rate whose no-push P(over) is p: the log-odds are solved for over the log rate, nearly straight in both tails.
 
     At line 0 every price leaves only the over side, which the smallest rate explains."""
     whole = np.abs(line - np.round(line)) < 1e-9
     k = np.floor(line + np.where(whole, 0.5, 0.0)).astype(int)
     shape = k + 1.0
-    lam = np.maximum(shape * (1.0 - 1.0 / (9.0 * shape) + ppf_array(p) / (3.0 * np.sqrt(shape))) ** 3, 0.02)
+    start = np.maximum(shape * (1.0 - 1.0 / (9.0 * shape) + ppf_array(p) / (3.0 * np.sqrt(shape))) ** 3, 0.02)
     want = np.log(p / (1.0 - p))
-    for _ in range(POISSON_STEPS):
+    none_under = whole & (k == 0)
+
+    def log_odds(x):
+        lam = np.exp(x)
         total, at = poisson_array(k, lam)
         push = np.where(whole, at, 0.0)
         under, over = np.maximum(total - push, 1e-300), np.maximum(1.0 - total, 1e-300)
         d_under = np.where(whole, -at * k / lam, -at)
-        rate = np.maximum((at * under - over * d_under) * lam / (over * under), 1e-12)
-        lam = lam * np.exp(np.clip((want - np.log(over / under)) / rate, -1.5, 1.5))
-    return np.where(whole & (k == 0), MIN_RATE, lam)
+        slope = np.maximum((at * under - over * d_under) * lam / (over * under), 1e-12)
+        return np.where(none_under, 0.0, np.log(over / under) - want), slope
+
+    low, high = np.full(len(k), np.log(MIN_RATE)), np.log(10.0 * shape + 50.0)
+    lam = np.exp(bracketed_newton(log_odds, np.clip(np.log(start), low, high), low, high))
+    return np.where(none_under, MIN_RATE, lam)
 
 
 def fit_array(model: np.ndarray, sd: np.ndarray, line: np.ndarray, p: np.ndarray) -> np.ndarray:

@@ -150,3 +150,21 @@ def test_restore_goes_by_column_names(spark):
     live = spark.createDataFrame([], "v double, n int, added string")
     out = restore(saved, live)
     assert out.dtypes == live.dtypes and tuple(out.first()) == (1.5, 7, None)
+
+
+def test_price_fits_at_small_spreads():
+    import numpy as np
+
+    from chalkline.functions.fits import fit_normal_array, fit_poisson_array, log_upper_array, poisson_array
+
+    line, sd, p = (g.ravel() for g in np.meshgrid([0.0, 3.0, 40.0, 7.5], [0.02, 0.1, 0.5, 1.0, 9.0], [0.001, 0.05, 0.5, 0.93, 0.999]))
+    mu = fit_normal_array(line, sd, p)
+    half = np.where(line == np.round(line), 0.5, 0.0)
+    over, under = log_upper_array((line + half - mu) / sd), log_upper_array((mu - line + half) / sd)
+    assert np.abs(1 / (1 + np.exp(under - over)) - p).max() < 1e-9
+    line, p = (g.ravel() for g in np.meshgrid([0.5, 1.0, 3.0, 12.5, 60.0], [0.001, 0.05, 0.5, 0.93, 0.999]))
+    lam = fit_poisson_array(line, p)
+    k = np.floor(line).astype(int)
+    total, at = poisson_array(k, lam)
+    low = total - np.where(line == k, at, 0.0)
+    assert np.abs((1 - total) / (1 - total + low) - p).max() < 1e-8
