@@ -157,9 +157,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = small_side(stage(again, "again"))
     chunks = source.mapInArrow(run, f"row long, id {kind}, start int, stop int, hash long, body string, before array<long>, after array<long>")
     seen = stage(chunks.join(again, "hash"), "seen")
+    # Bytes are compared by grouping on them; what is joined back is found by two hashes, which tell the bodies apart (where they
+    # do not, nothing is cut).
+    seen = seen.withColumn("check", F.xxhash64("body", F.lit(1)))
     place = F.struct(F.col("id").isNull().alias("last"), "id", "row", "start", "before", "after")
-    first = stage(seen.groupBy("hash", "body").agg(F.min(place).alias("first")), "first")
-    both = seen.join(first, ["hash", "body"]).where("not (row = first.row and start = first.start)")
+    first = seen.groupBy("hash", "check", "body").agg(F.min(place).alias("first"))
+    first = stage(first.groupBy("hash", "check").agg(F.min("first").alias("first"), F.count("*").alias("bodies")).where("bodies = 1").drop("bodies"), "first")
+    both = seen.drop("body").join(first, ["hash", "check"]).where("not (row = first.row and start = first.start)")
     both = both.select("row", "start", "stop", "before", "after", F.col("first.before").alias("first_before"), F.col("first.after").alias("first_after"))
     cuts = both.select("row", F.struct((F.col("start") - _same_prefix("before", "first_before")).alias("start"),
                                        (F.col("stop") + _same_prefix("after", "first_after")).alias("stop")).alias("cut"))

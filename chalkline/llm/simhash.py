@@ -22,9 +22,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from chalkline.llm.common import rows_of, stage, text_of
+from chalkline.llm.common import rows_of, small_side, stage, text_of
 from chalkline.llm.graph import connected_components
 
 RADIUS = 2
@@ -118,23 +117,28 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """The rows of `docs`, all columns, of which each component has one: the smallest id (null ids last), of repeated rows any one."""
-    row, fp = "_simhash_row", "_simhash_fp"
-    names = docs.columns
+    """The rows of `docs`, all columns, of which each component has one: the smallest id (null ids last), of rows equal in id and text any one.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.array([fingerprint((t or "").encode("utf-8"), width) for (t,) in rows_of([batch], text_col)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], names=[*names, fp])
-
-    schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])
-    marked = stage(docs.mapInArrow(run, schema).withColumn(row, F.monotonically_increasing_id()), "marked")
-    place = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col(row).alias("row"))
-    distinct = stage(marked.groupBy(F.col(fp).alias("fp")).agg(F.min(place).alias("place")), "distinct")
+    Only ids, fingerprints and a hash of (id, text) are gathered; texts move for repeated rows alone.
+    """
+    row, drop = "_simhash_row", "_simhash_drop"
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    marked = fingerprints(docs.select(F.struct(key.alias("row"), F.col(id_col).alias("id")).alias("who"), F.col(text_col).alias("body_text")), "who", "body_text", width)
+    place = F.struct(F.col("who.id").isNull().alias("last"), F.col("who.id").alias("id"), F.col("who.row").alias("row"))
+    marked = stage(marked.withColumnRenamed("id", "who").select("fp", F.col("who.row").alias("row"), place.alias("place")), "marked")
+    distinct = stage(marked.groupBy("fp").agg(F.min("place").alias("place")), "distinct")
     parts = connected_components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
-    kept = distinct.join(parts, "fp", "left").groupBy(F.coalesce("component", "fp")).agg(F.min("place").alias("place"))
-    rows = stage(kept.select(F.col("place.row").alias(row)), "kept")
-    return marked.join(rows, row, "left_semi").select(*[F.col(f"`{c}`") for c in names])
+    joined = distinct.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    kept = joined.groupBy("component").agg(F.min("place").alias("kept"))
+    kept = stage(joined.join(stage(kept, "kept"), "component").select("fp", F.col("kept.row").alias("kept")), "kept-of")
+    rows = marked.groupBy("fp", "row").agg(F.count("*").alias("n")).join(kept, "fp")
+    special = rows.where("row <> kept or n > 1").select(F.col("row").alias(row), (F.col("row") != F.col("kept")).alias(drop)).distinct()
+    special = small_side(stage(special, "special"))
+    flagged = docs.withColumn(row, key).join(special, row, "left")
+    single = flagged.where(F.col(drop).isNull()).select(*names)
+    repeated = flagged.where(~F.col(drop)).dropDuplicates([row]).select(*names)
+    return single.unionByName(repeated)
 
 
 def hex_digits(fp: str = "fp"):

@@ -84,3 +84,16 @@ def test_empty_table_and_clashing_columns(spark, make_docs):
     assert simhash.near_groups(make_docs([])).count() == 0
     extra = make_docs([(1, "a b c"), (2, "a b c")]).withColumn("fp", F.lit("x")).withColumn("component", F.lit(9)).withColumn("id", F.lit(5))
     assert sorted((r.id, r.component) for r in simhash.near_groups(extra).collect()) == [(1, 1), (2, 1)]
+
+
+def test_one_row_of_each_group_stays(spark, make_docs):
+    rng = random.Random(7)
+    base = [" ".join(f"v{rng.randrange(500)}" for _ in range(rng.randint(1, 90))) for _ in range(25)]
+    rows = [(k, base[k % 25]) for k in range(60)] + [(3, base[3]), (3, base[3]), (None, base[4]), (None, "only null ids"), (None, "only null ids"), (70, None), (71, ""), (71, "")]
+    docs = make_docs(rows).withColumn("fp", F.lit(1)).withColumn("row", F.lit(2)).withColumn("who", F.lit("w"))
+    out = simhash.first_of_groups(docs)
+    assert out.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    least = dict.fromkeys(c for _, c in slow_components([(i, slow_fingerprint(t)) for i, t in rows]))
+    assert sorted((i for i, _ in got), key=str) == sorted(least, key=str) and len(got) == len(least)
+    assert simhash.first_of_groups(make_docs([])).count() == 0
