@@ -167,6 +167,14 @@ def _(t):
         "prop_id", "stat_field", "line", "actual", "result", "locked", "submitters")
 
 
+@query("rp17_board_picks", """WITH w AS (SELECT * FROM prop_bets WHERE year * 100 + week = (SELECT max(year * 100 + week) FROM prop_bets)),
+    who AS (SELECT DISTINCT p.submitter FROM prop_picks p JOIN w ON w.prop_id = p.prop_id)
+    SELECT who.submitter, w.prop_id, p.pick FROM w CROSS JOIN who LEFT JOIN prop_picks p ON p.prop_id = w.prop_id AND p.submitter = who.submitter""")
+def _(t):
+    board = R.props_board(t.prop_bets, scored_props(t), t.schedule, ts("2001-07-01 20:00:00"), t.prop_picks)
+    return R.board_picks(board, t.prop_picks).select("submitter", "prop_id", "pick")
+
+
 @query("rp22_validate_lineups", f"""WITH lk AS (SELECT DISTINCT year, week, team FROM schedule WHERE kickoff <= {NOW}), tn AS (SELECT year, week, name, max(team) AS team FROM slate GROUP BY year, week, name),
     r AS (SELECT s.*, l.team IS NOT NULL AND NOT (s.status = 'F') AS late, CASE s.slot WHEN 'QB' THEN s.position = 'QB' WHEN 'RB' THEN s.position = 'RB' WHEN 'WR' THEN s.position = 'WR' WHEN 'TE' THEN s.position = 'TE'
       WHEN 'FLEX' THEN s.position IN ('RB', 'WR', 'TE') WHEN 'DST' THEN s.position = 'DST' ELSE false END AS ok FROM slots s LEFT JOIN tn ON tn.year = s.year AND tn.week = s.week AND tn.name = s.name

@@ -187,6 +187,15 @@ def props_board(bets: DataFrame, scored: DataFrame, schedule: DataFrame, now: Co
     return attach(board, counts, ["prop_id"]).withColumn("submitters", zero_if_null("submitters"))
 
 
+def board_picks(board: DataFrame, picks: DataFrame) -> DataFrame:
+    """The board once per submitter who has picks on it, with each prop's stored pick (NULL where there is none)."""
+    stored = first_rows(picks.select("submitter", "prop_id", "pick"), ["submitter", "prop_id"], ["pick"])
+    on_board = stored.join(board.select("prop_id", *WEEK), "prop_id")
+    who = on_board.select("submitter", *WEEK).distinct()
+    rows = board.join(who, WEEK)  # a week has few submitters' boards, each of the week's few props
+    return attach(rows, on_board.select("submitter", "prop_id", "pick"), ["submitter", "prop_id"])
+
+
 def season_schedule(schedule: DataFrame, current: DataFrame) -> DataFrame:
     """Home rows with Eastern day and time; the current week is flagged."""
     flag = current.select(*WEEK, F.lit(True).alias("__c"))
