@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import stage
+from chalkline.llm.common import stage_path
 
 QUERY_BLOCK = 1024
 ROW_BLOCK = 8192
@@ -26,47 +26,52 @@ EXACT_32, EXACT_64 = 1 << 24, 1 << 53
 
 
 def segments(v: np.ndarray) -> list[tuple[float, float]]:
-    """(above, up to) bounds of the impact segments, descending: halves of the largest impact, and the rest in a last one."""
+    """(above, up to) bounds of the impact segments, descending: two halvings of the largest impact, and the rest in a last one."""
     top = float(np.abs(v).max(initial=0))
-    bounds = [top / 2 ** k for k in range(4)]
-    return [(low, high) for high, low in zip(bounds, [*bounds[1:], -1.0])] if top else []
+    bounds = [top / 2 ** k for k in range(3)]
+    return list(zip([*bounds[1:], -1.0], bounds))
 
 
-def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Exact q x v^T: in floating point where no sum can leave its whole numbers, else in 64-bit integers."""
+def _number_type(q: np.ndarray, v: np.ndarray) -> type:
+    """Floating point where no sum can leave its whole numbers, else 64-bit integers."""
     most = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * max(q.shape[1], 1)
-    kind = np.float32 if most < EXACT_32 else np.float64 if most < EXACT_64 else np.int64
-    return q.astype(kind) @ v.astype(kind).T
+    return np.float32 if most < EXACT_32 else np.float64 if most < EXACT_64 else np.int64
 
 
 def best_in_block(q: np.ndarray, q_rows: np.ndarray, v: np.ndarray, v_rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, score): for each query, its k best rows of the block but its own, ties to the smaller id (`ids` are ranks of ids)."""
     nq, nv = len(q), len(v)
-    own = q_rows[:, None] == v_rows[None, :]
-    partial = np.zeros((nq, nv), np.float64)
+    kind = _number_type(q, v)
+    least = np.iinfo(np.int64).min if kind is np.int64 else -np.inf
+    _, own_q, own_v = np.intersect1d(q_rows, v_rows, return_indices=True)
     length = np.sqrt((q.astype(float) ** 2).sum(axis=1))
-    impact = np.abs(v)
-    possible = ~own
+    energy = (v.astype(float) ** 2).sum()
+    impact, numbers = np.abs(v), q.astype(kind)
+    partial = np.zeros((nq, nv), kind)
     for low, high in segments(v):
-        now = (impact > low) & (impact <= high)
-        partial += _products(q, np.where(now, v, 0))
-        left = np.sqrt((np.where(impact <= low, v, 0).astype(float) ** 2).sum(axis=1))
-        slack = length[:, None] * left[None, :] * (1 + 1e-9)
-        if low > 0 and nv > k:
-            lower = np.where(own, -np.inf, partial - slack)
-            kth = np.partition(lower, nv - k, axis=1)[:, nv - k]
-            possible = (partial + slack >= kth[:, None]) & ~own
-            if possible.sum() <= FEW * k * nq:
-                break
+        partial += numbers @ np.where((impact > low) & (impact <= high), v, 0).astype(kind).T
+        unread = np.where(impact <= low, v, 0).astype(float)
+        over = low <= 0
+        if not over and (kind is np.int64 or nv <= k or (unread ** 2).sum() > energy / 4):
+            continue  # too much is unread for a proof
+        # Once all is read, the bounds are the scores.
+        slack = np.zeros((1, nv), kind) if over else (length[:, None] * (np.sqrt((unread ** 2).sum(axis=1)) * (1 + 1e-5) + 1e-3)[None, :]).astype(kind)
+        partial[own_q, own_v] = least
+        if nv <= k:
+            possible = np.ones((nq, nv), bool)
+        else:
+            best = np.argpartition(partial, nv - k, axis=1)[:, nv - k:]
+            sure = np.take_along_axis(partial, best, axis=1) - np.take_along_axis(np.broadcast_to(slack, partial.shape), best, axis=1)
+            possible = partial + slack >= sure.min(axis=1)[:, None]
+        possible[own_q, own_v] = False
+        if over or possible.sum() <= FEW * k * nq:
+            break
+        partial[own_q, own_v] = 0
     at_q, at_v = np.nonzero(possible)
-    if len(at_q) > 4 * FEW * k * nq:  # the index was read to its end
-        exact = _products(q, v)[at_q, at_v].astype(np.int64)
-    else:
-        exact = np.einsum("ij,ij->i", q[at_q], v[at_v])
+    exact = np.einsum("ij,ij->i", q[at_q], v[at_v])
     order = np.lexsort((v_rows[at_v], ids[at_v], -exact, at_q))
     at_q, at_v, exact = at_q[order], at_v[order], exact[order]
-    starts = np.searchsorted(at_q, at_q, side="left")
-    keep = np.arange(len(at_q)) - starts < k
+    keep = np.arange(len(at_q)) - np.searchsorted(at_q, at_q, side="left") < k
     return at_q[keep], at_v[keep], exact[keep]
 
 
@@ -84,8 +89,9 @@ def search(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_
     `is_query` is a condition on the column `id`. Vectors only meet those of their own number of components. Rows with the same id are rows of
     their own; ties go to the smaller id (null last), then to the earlier row. Fewer than k others: all of them. No usable vectors: no rows.
     """
-    rows = stage(quantised(df, id_col, vector_col, scale), "vectors")
-    queries = rows.where(is_query)
+    rows, path = stage_path(quantised(df, id_col, vector_col, scale), "vectors")
+    # The query side is a reading of its own: two sides of one reading share column ids, which a cogroup does not tell apart.
+    queries = df.sparkSession.read.schema(rows.schema).parquet(path).where(is_query)
     n, n_queries = rows.count(), queries.count()
     row_blocks = max(-(-n // ROW_BLOCK), min(LEAST_BLOCKS, -(-n // 64)), 1)
     query_blocks = max(-(-n_queries // QUERY_BLOCK), 1)
