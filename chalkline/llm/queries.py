@@ -41,7 +41,7 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
-@query("op3_warc_round_trip")
+@query("op3_warc_round_trip", warc.ORACLE)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """What the archives hold of every page."""
     records = warc.round_trip(read_table(spark, folder, "pages"), least=0)

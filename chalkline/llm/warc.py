@@ -1,8 +1,9 @@
 """WARC archives: an index of byte ranges first, then coalesced sorted range reads of the selected records.
 
-Writing: rows are dealt over archives by a hash of a row number; a record's length follows from its parts, so its offset is the sum of the lengths before
-it in its archive. The index (archive, offset, length, URL, digest) is written before the records. Records are written by Spark's text writer
-with the blank line that ends a WARC record as the line separator, so an archive is committed whole or not at all, on any file system.
+Writing: every record is a gzip member of its own, as in .warc.gz files. Rows are dealt over archives by a hash of a row number; a record's
+offset is the sum of the lengths before it in its archive, so the index (archive, offset, length, URL, digest) is written before the records.
+Records are written by Spark's text writer with a zero byte as the line separator (gzip readers skip zeros between members), so an archive is committed
+whole or not at all, on any file system.
 
 Reading: the index rows of the selected records are sorted by archive and offset; ranges that lie next to each other (or at most `GAP` bytes
 apart) are fetched in one read of at most `READ` bytes, and the records are cut out of it.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,12 +21,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import new_folder, rows_of, stage
+from chalkline.llm.common import new_folder, rows_of, small_side, stage
 
 ARCHIVE_BYTES = 256 << 20
 READ = 4 << 20
 GAP = 64 << 10
+LEVEL = 3
 END = "\r\n\r\n"
+PAD = "\0"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -36,16 +40,16 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def described(pages: DataFrame, id_col: str, url_col: str, body_col: str, least: int) -> DataFrame:
-    """(row, id, url, body, payload_bytes, payload_digest, record_type, refers_to) of each row, staged.
+    """(row, id, url, body, payload_bytes, payload_digest, record_type, refers_to) of each row.
 
     Of rows with equal payloads (digest and length) of at least `least` bytes, those with the smallest id are responses and the others revisits
     of it. Null bodies are empty payloads; null ids come last: a null id is a response where all of its group are null.
     """
     body = F.coalesce(F.col(body_col), F.lit("")).cast("string")
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), body.alias("body"))
-    rows = stage(rows.select("*", F.octet_length("body").cast("long").alias("payload_bytes"), base32_sha1(F.col("body").cast("binary")).alias("payload_digest")), "payloads")
+    rows = rows.select("*", F.octet_length("body").cast("long").alias("payload_bytes"), base32_sha1(F.col("body").cast("binary")).alias("payload_digest"))
     first = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
-    first = stage(first.where("n > 1").drop("n"), "first")
+    first = small_side(stage(first.where("n > 1").drop("n"), "first"))
     joined = rows.join(first, ["payload_digest", "payload_bytes"], "left")
     again = F.col("first_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id"))
     return joined.select("row", "id", "url", "body", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"),
@@ -71,6 +75,23 @@ def _record(day: str) -> Column:
                     F.when(revisit, F.lit("")).otherwise(F.col("body")))
 
 
+def _compressed(records: DataFrame) -> DataFrame:
+    """`value`, the record, as a gzip member of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("value")
+            members = []
+            for (value,) in rows_of([batch], "value"):
+                packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+                members.append(packer.compress(value) + packer.flush())
+            columns = list(batch.columns)
+            columns[at] = pa.array(members, pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return records.mapInArrow(run, records.schema)
+
+
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least: int = 0,
                    day: str = "2000-01-01T00:00:00Z") -> DataFrame:
     """Write a record per row under `path` and return its index: (archive, file, offset, length, id, url, digest, record_type).
@@ -79,18 +100,18 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     shuffle partitions, as far as there are rows. Repeated rows are records of their own.
     """
     spark = pages.sparkSession
-    rows = stage(described(pages, id_col, url_col, body_col, least), "records")
-    n, size = rows.agg(F.count("*"), F.sum("payload_bytes")).first()
+    records = described(pages, id_col, url_col, body_col, least)
+    value = F.concat(_record(day), F.lit(END)).cast("binary").alias("value")
+    rows = stage(_compressed(records.select("row", "id", "url", "payload_digest", "record_type", value)), "records")
+    n, size = rows.agg(F.count("*"), F.sum(F.octet_length("value"))).first()
     archives = max(1, -(-(size or 0) // ARCHIVE_BYTES), min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    records = rows.select("row", "id", "url", "payload_digest", "record_type", _record(day).alias("value"),
-                          F.pmod(F.xxhash64("row"), F.lit(archives)).cast("int").alias("archive"))
+    dealt = rows.withColumn("archive", F.pmod(F.xxhash64("row"), F.lit(archives)).cast("int"))
     order = Window.partitionBy("archive").orderBy("row")
-    length = F.octet_length("value").cast("long") + len(END)
-    index = records.select("archive", "row", "id", F.col("url"), F.col("payload_digest").alias("digest"), "record_type", length.alias("length"))
-    index = index.withColumn("offset", F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    index.withColumn("offset", F.coalesce("offset", F.lit(0)).cast("long")).drop("row").write.parquet(f"{path}/index")
-    dealt = records.select("archive", "row", "value").repartition(archives, "archive").sortWithinPartitions("archive", "row")
-    dealt.select("archive", "value").write.partitionBy("archive").option("lineSep", END).text(f"{path}/archives")
+    index = dealt.select("archive", "row", "id", "url", F.col("payload_digest").alias("digest"), "record_type", F.octet_length("value").cast("long").alias("length"))
+    before = F.coalesce(F.sum(F.col("length") + len(PAD)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    index.withColumn("offset", before).drop("row").write.parquet(f"{path}/index")
+    placed = dealt.select("archive", "row", F.col("value").cast("string").alias("value")).repartition(archives, "archive").sortWithinPartitions("archive", "row")
+    placed.select("archive", "value").write.partitionBy("archive").option("lineSep", PAD).text(f"{path}/archives")
     return open_index(spark, path)
 
 
@@ -117,6 +138,13 @@ def runs_of(ranges: list[tuple[int, int]], gap: int = GAP, most: int = READ) ->
     return runs
 
 
+def unpacked(member: bytes) -> bytes:
+    try:
+        return zlib.decompress(member, 31)
+    except zlib.error as e:
+        raise ValueError(f"no record at this offset: {e}") from e
+
+
 def parse(record: bytes) -> tuple[dict[str, str], bytes]:
     """(headers, block) of a record with the blank line that ends it."""
     head, _, rest = record.partition(b"\r\n\r\n")
@@ -137,7 +165,7 @@ def read_records(selected: DataFrame) -> DataFrame:
         return None if urn is None else urn.removeprefix("<urn:page:").removesuffix(">") or None
 
     def decoded(record: bytes) -> tuple:
-        headers, block = parse(record)
+        headers, block = parse(unpacked(record))
         digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
         response = headers["WARC-Type"] == "response"
         if response and base64.b32encode(hashlib.sha1(block).digest()).decode() != digest:
@@ -174,3 +202,18 @@ def round_trip(pages: DataFrame, **columns) -> DataFrame:
     """Write the pages into new archives in the shared folder and read all their records back."""
     spark = pages.sparkSession
     return read_records(write_archives(pages, new_folder(spark, "warc"), **columns))
+
+
+def _base32_sql(digest: str) -> str:
+    """The base32 text of a hexadecimal SHA-1 in DuckDB."""
+    five = [f"CAST('0x' || substr({digest}, {1 + 5 * k}, 5) AS INTEGER)" for k in range(8)]
+    return " || ".join(f"substr('{BASE32}', (({v} >> {shift}) & 31) + 1, 1)" for v in five for shift in (15, 10, 5, 0))
+
+
+#: What the archives hold of every page, for DuckDB (unique ids).
+ORACLE = f"""
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+w AS (SELECT *, min(page_id) OVER (PARTITION BY h, payload_bytes) AS first_id FROM p)
+SELECT page_id, payload_bytes, {_base32_sql("h")} AS payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM w
+"""
