@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import rows_of, stage, text_of
+from chalkline.llm.common import rows_of, small_side, stage, text_of
 from chalkline.llm.entities import Finder, rendered, surrogate
 
 ROUNDS = 60
@@ -74,7 +74,7 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
     found = stage(mentions(docs, id_col, text_col), "mentions")
     table = stage(mapping(found.select("kind", "value").distinct(), key), "surrogates")
     per_row = found.distinct().join(table, ["kind", "value"]).groupBy("row").agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias(MAP))
-    per_row = stage(per_row.withColumnRenamed("row", ROW), "per-row")
+    per_row = small_side(stage(per_row.withColumnRenamed("row", ROW), "per-row"), F.sum(3 * F.size(MAP) + 2))
     names = docs.columns
     at = names.index(text_col)
 
