@@ -32,7 +32,7 @@ PATTERNS = [
     ("phone", re.compile(r"(?<![\d(+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{4}(?!\d)|(?<![\w.+-])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])")),
     ("card", re.compile(r"(?<![\w.-])(?:\d{4}[ -]){3}\d{1,7}(?![\w-])|(?<![\w.-])\d{13,19}(?![\w-])")),
     ("secret", re.compile(r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{30,}|\bsk-[A-Za-z0-9_-]{20,}|\bxox[abprs]-[A-Za-z0-9-]{10,}")),
-    ("secret", re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api_?key|access_?key)\b[\"']?\s*[=:]\s*[\"']?(?P<value>[^\s\"']*[0-9][^\s\"']*)")),
+    ("secret", re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api_?key|access_?key)\b[\"']?[^\w=:]{0,5}[=:][^\w]{0,5}(?P<value>[^\s\"']*[0-9][^\s\"']*)")),
 ]
 _ANY = re.compile(r"[0-9@]")
 
