@@ -162,18 +162,30 @@ def _script(value: str) -> str:
     return "CYRILLIC" if "Ѐ" <= c <= "ӿ" else "GREEK" if "Ͱ" <= c <= "Ͽ" else "LATIN"
 
 
+SAME_FORM = 12  # attempts that keep the value's length
+
+
+def _widened(value: str, more: int) -> str:
+    """`value` with room for `more` digits after its last letter or digit."""
+    at = next((k for k in range(len(value), 0, -1) if value[k - 1].isalnum()), len(value))
+    return value[:at] + "0" * more + value[at:]
+
+
 def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
-    """The replacement entity, in canonical form. Later attempts draw anew, names from ever more syllables."""
+    """The replacement entity, in canonical form. Later attempts draw anew, names from ever more syllables; from SAME_FORM on emails, secrets and
+    phones get a digit more each time (phones up to 15 digits) and IPs any four bytes, so that a small form cannot run out."""
     s = _Stream(key, kind, value, attempt)
+    more = max(0, attempt - SAME_FORM + 1)
     if kind == "email":
         local, _, domain = value.partition("@")
         labels = domain.split(".")
         d = _Stream(key, "domain", domain, attempt)
-        return f"{s.like(local)}@{'.'.join([*[d.like(p) for p in labels[:-1]], labels[-1]])}"
+        return f"{s.like(_widened(local, more))}@{'.'.join([*[d.like(p) for p in labels[:-1]], labels[-1]])}"
     if kind == "ip":
         parts = []
         for p in value.split("."):
             low, high = (0, 10) if len(p) == 1 else (10, 100) if len(p) == 2 else (100, 256)
+            low, high = (0, 256) if more else (low, high)
             parts.append(str(low + s.below(high - low)))
         return ".".join(parts)
     if kind == "card":
@@ -184,10 +196,12 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         rest = _iban_rest(value[:2] + "00" + body)
         return f"{value[:2]}{98 - rest:02d}{body}"
     if kind == "phone":
+        if more:  # no 1 in front, which would read as a country code
+            return "".join([str(2 + s.below(8)), *[str(s.below(10)) for _ in range(min(15, len(value) + more) - 1)]])
         return "".join(c if k == 0 and c == "0" else str(1 + s.below(9)) if k == 0 else str(s.below(10)) for k, c in enumerate(value))
     if kind == "secret":
         head = re.match(r"(?:AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-)?", value)[0]
-        return head + s.like(value[len(head):])
+        return head + s.like(_widened(value[len(head):], more))
     if kind == "surname" or kind.startswith("given_"):
         gender, script = kind[-1], _script(value)
         known = [n.lower() for n in GIVEN.get(gender, []) if _script(n.lower()) == script] if kind != "surname" else []
@@ -211,7 +225,7 @@ def rendered(kind: str, mention: str, value: str, replacement: str) -> str:
                 out.append(c)
             else:
                 out.append(next(rest, "") if c.isalnum() else c)
-        return "".join(out)
+        return "".join([*out, *rest])
     if kind == "surname" or kind.startswith("given_"):
         tail = mention[len(value):]
         body = replacement.upper() if mention.isupper() and len(mention) > 1 else "-".join(p[:1].upper() + p[1:] for p in replacement.split("-"))

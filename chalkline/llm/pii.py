@@ -2,7 +2,7 @@
 
 The distinct entities are a table; each draws a surrogate by a keyed hash. Where two entities of a type draw the same, or one draws an entity that
 occurs in the corpus, all but the first draw again, in rounds over the colliding ones alone, until none collide: replacements are distinct
-exactly where entities are. The mapping is joined to the documents' mentions, so all mentions of an entity, in whatever format, get the same.
+exactly where entities are. Late rounds draw longer surrogates, so a form with few values (one-digit secrets) does not run out. The mapping is joined to the documents' mentions, so all mentions of an entity, in whatever format, get the same.
 """
 
 from __future__ import annotations
@@ -59,7 +59,8 @@ def mapping(entities: DataFrame, key: bytes) -> DataFrame:
         free = drawn.join(taken, ["family", "surrogate"], "left_anti")
         first = free.groupBy("family", "surrogate").agg(F.min(F.struct("kind", "value")).alias("e"))
         won = first.select("family", "surrogate", "e.kind", "e.value")
-        done = stage(won if done is None else done.unionByName(won), "mapping")
+        won = stage(won, "mapping")
+        done = won if done is None else done.unionByName(won)
         open_rows = stage(drawn.select("kind", "value").join(done.select("kind", "value"), ["kind", "value"], "left_anti"), "open")
         if open_rows.isEmpty():
             return done.select("kind", "value", "surrogate")

@@ -74,3 +74,23 @@ def test_small_spaces_are_used_without_collision(spark):
     table = pii.mapping(spark.createDataFrame(values, "kind string, value string"), KEY).collect()
     assert len({(r.kind, r.surrogate) for r in table}) == len(values)
     assert not {(r.kind, r.surrogate) for r in table} & set(values)
+
+
+def test_exhausted_forms_get_longer_surrogates(spark, make_docs):
+    values = [("secret", f"{k}") for k in range(10)] + [("secret", f"{k};") for k in range(10)] + [("email", f"{c}@b.co") for c in "abcdefghijklmnopqrstuvwxyz"]
+    values += [("email", f"{c}@{d}.co") for c in "abcdefghijklmnopqrstuvwxyz" for d in "acdefghijklmnopqrstuvwxyz"]
+    rows = [(k, f"token = {v}" if kind == "secret" else f"mail {v} now") for k, (kind, v) in enumerate(values)]
+    out, table = pii.replace_entities(make_docs(rows), KEY)
+    pairs = table.collect()
+    assert {(r.kind, r.value) for r in pairs} == set(values) and len({(r.kind, r.surrogate) for r in pairs}) == len(values)
+    assert not {(r.kind, r.surrogate) for r in pairs} & set(values)
+    assert len({r.text for r in out.collect()} - {t for _, t in rows}) == len(rows)
+
+
+def test_longer_surrogates_keep_the_kind():
+    for kind, value, mention in [("secret", "3;", "3;"), ("email", "a@b.co", "a@b.co"), ("ip", "1.2.3.4", "1.2.3.4"), ("phone", "0175557713", "(017) 555-7713")]:
+        for attempt in (12, 20):
+            s = entities.surrogate(KEY, kind, value, attempt)
+            shown = entities.rendered(kind, mention, value, s)
+            assert [m.kind for m in finder.find("token = " + shown if kind == "secret" else shown)] == [kind] or kind == "phone"
+            assert entities._canonical(kind, shown) == s
