@@ -1,22 +1,25 @@
 """Benchmark decontamination by spaced-seed hashing, on DataFrame functions only.
 
-A mask fixes which of `SPAN` neighbouring words count; a window of a benchmark item and one of a document meet if the words at those places
-are equal, whatever stands at the others. The masks' free places cover substitutions of every third, fourth and fifth word. Where windows meet,
-the item is laid along the document at that offset, and it leaks if in some stretch of `STRETCH` words (the whole item, if shorter) at least
-`SHARE` of the words are equal in place.
+A mask fixes which places count; a window of a benchmark item and one of a document meet if the words at those places are equal, whatever stands
+at the others. Where windows meet, the item is laid along the document at that offset, and it leaks if in some stretch of `STRETCH` words (the
+whole item, if shorter) at least `SHARE` of the words are equal in place. The masks `COVER` meet in every stretch that the rule accepts, wherever
+the substituted words stand (the tests go through all patterns), so no accepted overlap is lost.
 
-Items of fewer than `SPAN` words have no window and never leak.
+Items of fewer than `SPAN` words are found as a whole, by a window of their own length; in place of a share all their words must be equal.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chalkline.llm.common import stage
 
 SPAN = 11
-MASKS = ((0, 1, 3, 4, 6, 9, 10), (0, 1, 2, 5, 6, 8, 10))
+MASKS = ((0, 1, 3, 4, 6, 9, 10), (0, 1, 2, 5, 6, 8, 10))  # those of the SQL form
+COVER = ((0, 1, 2, 4), (0, 3, 6, 7), (0, 4, 5, 6))
 STRETCH = 20
 SHARE = 0.7
 BROADCAST_SEEDS = 2_000_000  # rows of 24 bytes
@@ -30,15 +33,14 @@ def words_of(text: Column) -> Column:
     return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " ", -1))
 
 
-def _seeds(df: DataFrame, keep: list[str]) -> DataFrame:
-    """(keep..., pos, seed): a row for each window and mask of the arrays `words`."""
-    used = sorted({p for m in MASKS for p in m})
-    hashed = df.where(F.size("words") >= SPAN).select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    count = F.size("hashes") - (SPAN - 1)
-    shifted = hashed.select(*keep, *[F.slice("hashes", F.lit(p + 1), count).alias(f"at{p}") for p in used])
+def _seeds(df: DataFrame, keep: list[str], masks: list[tuple[int, ...]]) -> DataFrame:
+    """(keep..., pos, seed): a row for each window and mask of the arrays `words`; masks end inside the words."""
+    used = sorted({p for m in masks for p in m})
+    hashed = df.select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    shifted = hashed.select(*keep, *[F.slice("hashes", F.lit(p + 1), F.size("hashes")).alias(f"at{p}") for p in used])
     windows = shifted.select(*keep, F.posexplode(F.arrays_zip(*[f"at{p}" for p in used])).alias("pos", "window"))
-    seeds = [F.xxhash64(F.lit(k), *[F.col(f"window.at{p}") for p in mask]) for k, mask in enumerate(MASKS)]
-    return windows.select(*keep, "pos", F.explode(F.array(*seeds)).alias("seed"))
+    seeds = [F.when(F.col(f"window.at{m[-1]}").isNotNull(), F.xxhash64(F.lit(",".join(map(str, m))), *[F.col(f"window.at{p}") for p in m])) for m in masks]
+    return windows.select(*keep, "pos", F.explode(F.array(*seeds)).alias("seed")).where("seed is not null")
 
 
 def _row(id_col: str, text_col: str) -> Column:
@@ -52,12 +54,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     `row` is a hash of id and text: rows equal in both count once. Null texts have no words; null ids and items are kept as null.
     """
     items = benchmark.select(F.col(item_col).alias("item"), words_of(F.col(item_text)).alias("words")).distinct()
-    items = stage(items.withColumn("item_row", F.xxhash64("item", "words")).where(F.size("words") >= SPAN), "items")
-    seeds = stage(_seeds(items, ["item_row"]).withColumnRenamed("pos", "item_pos").distinct(), "seeds")
+    items = stage(items.withColumn("item_row", F.xxhash64("item", "words")).where(F.size("words") > 0), "items")
+    cover, short = list(COVER), sorted(r.n for r in items.where(F.size("words") < SPAN).select(F.size("words").alias("n")).distinct().collect())
+    whole = [tuple(range(n)) for n in short]
+    parts = [_seeds(items.where(F.size("words") >= SPAN), ["item_row"], cover)]
+    parts += [_seeds(items.where(F.size("words") == len(m)), ["item_row"], [m]) for m in whole]
+    seeds = stage(reduce(DataFrame.unionByName, parts).withColumnRenamed("pos", "item_pos").distinct(), "seeds")
     if seeds.count() <= BROADCAST_SEEDS:
         seeds = F.broadcast(seeds)
     marked = docs.select(_row(id_col, text_col).alias("row"), F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
-    met = _seeds(marked, ["row"]).join(seeds, "seed").select("row", "item_row", (F.col("pos") - F.col("item_pos")).alias("at"))
+    met = _seeds(marked, ["row"], cover + whole).join(seeds, "seed").select("row", "item_row", (F.col("pos") - F.col("item_pos")).alias("at"))
     met = stage(met.distinct(), "met")
     laid = marked.join(met, "row").join(items.select("item_row", "item", F.col("words").alias("item_words")), "item_row")
     n = F.size("item_words")
@@ -66,7 +72,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
     length = F.least(F.lit(STRETCH), F.col("n_words"))
     stretches = F.transform(F.sequence(F.lit(1), F.col("n_words") - length + 1), lambda i: total(F.slice("equal", i, length)))
-    leaking = laid.withColumn("best", F.array_max(stretches)).where(F.col("best") >= F.lit(SHARE) * length)
+    leaking = laid.withColumn("best", F.array_max(stretches)).where(F.col("best") >= F.when(F.col("n_words") < SPAN, length).otherwise(F.lit(SHARE) * length))
     return leaking.select("row", "id", "item", "at", total("equal").alias("matched"), "n_words").distinct()
 
 

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -79,3 +80,38 @@ def test_query_against_its_sql(spark):
     folder = "/root/testdata/sf0.001"
     ok, message, _ = compare(spark, connect(folder), "op9", QUERIES["op9_benchmark_leaks"], ORACLES["op9_benchmark_leaks"], folder)
     assert ok, message
+
+
+def test_every_accepted_stretch_is_met():
+    for size in range(decontam.SPAN, decontam.STRETCH + 1):
+        least = next(n for n in range(size + 1) if n >= decontam.SHARE * size)
+        for equal in itertools.combinations(range(size), least):
+            have = set(equal)
+            assert any(all(at + p in have for p in m) for m in decontam.COVER for at in range(size)), (size, equal)
+
+
+def test_all_offsets_without_a_seed(spark, make_docs):
+    rng = random.Random(4)
+    items = [(k, rng.choices(WORDS, k=n)) for k, n in enumerate([1, 2, 5, 9, 10, 11, 11, 12, 13, 15, 15, 17, 19, 20, 20, 25, 40, 59])]
+    items[0] = (0, ["rareword"])
+    rows = []
+    for k in range(180):
+        b = list(items[k % 18][1])
+        for at in rng.sample(range(len(b)), rng.randint(0, max(1, len(b) * 2 // 5)) if len(b) > 1 and k % 5 else 0):
+            b[at] = "other"
+        body = rng.choices(WORDS, k=rng.randint(0, 60))
+        at = rng.randint(0, len(body))
+        rows.append((k, body[:at] + b + body[at:]))
+    want = {}
+    for i, d in rows:
+        for k, b in items:
+            size = min(20, len(b))
+            for at in range(-len(b) + 1, len(d)):
+                equal = [0 <= at + p < len(d) and d[at + p] == w for p, w in enumerate(b)]
+                if max(sum(equal[p:p + size]) for p in range(len(b) - size + 1)) >= (0.7 * size if len(b) >= 11 else size):
+                    want[i, k] = max(sum(equal), want.get((i, k), 0))
+    found = decontam.overlaps(make_docs([(i, " ".join(d)) for i, d in rows]), spark.createDataFrame([(k, " ".join(b)) for k, b in items], "item_id long, text string"))
+    got = {}
+    for r in found.collect():
+        got[r.id, r.item] = max(r.matched, got.get((r.id, r.item), 0))
+    assert got == want and len(want) > 80
