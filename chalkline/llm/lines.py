@@ -5,13 +5,19 @@ hash over the hashes of two neighbouring lines chooses the boundaries, so equal
 several sentences and lines of `LONG_WORDS` words and more stand apart from their neighbours, and only chunks of at least two lines (or one
 such long line) and `CHUNK_WORDS` words are looked at.
 
-Chunks whose hash occurs again anywhere in the corpus are compared byte by byte. The first occurrence (smallest id, then place) stays, all others
+Chunks alone would miss a passage that no whole chunk falls into, so from each line on the shortest run of neighbouring lines with `RUN_WORDS` words
+(two lines at least, or `LONG_WORDS` words in one) is looked at too, across all boundaries: every repeated passage of so many words holds such
+runs, and those from its first line to its end cover it.
+
+Chunks whose hash occurs again anywhere in the corpus are compared byte by byte, runs by 128-bit BLAKE2 digests (their bodies would move every line
+of a copy several times). The first occurrence (smallest id, then place) stays, all others
 go, together with the lines next to them that equal (by their 64-bit hashes) those next to the first occurrence: that covers the edges of a
 passage, whose boundaries depend on its neighbours. What goes must be a run of at least `RUN_WORDS` words.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -55,7 +61,7 @@ def units_of(text: str) -> tuple[list[str], list[int], list[int]]:
 
 
 def chunks_of(text: str) -> list[tuple[int, int, int, str, list[int], list[int]]]:
-    """(start, end, hash, body, hashes of the lines before it, of those after it, nearest first) of the chunks that are looked at."""
+    """(start, end, hash, body, hashes of the lines before it, of those after it, nearest first) of the chunks and runs that are looked at."""
     units, _, blocks = units_of(text)
     if not units:
         return []
@@ -77,6 +83,16 @@ def chunks_of(text: str) -> list[tuple[int, int, int, str, list[int], list[int]]
                     close(start, i + 1)
                     start = i + 1
             close(start, end)
+    b = total = 0
+    for a in range(n):
+        while b < n and not (total >= LONG_WORDS or total >= RUN_WORDS and b - a > 1):
+            total += words[b]
+            b += 1
+        if total < RUN_WORDS or total < LONG_WORDS and b - a < 2:
+            break
+        digest = hashlib.blake2b("\n".join(units[a:b]).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        found.append((a, b, int.from_bytes(digest[:8], "big", signed=True), digest.hex(), [], []))
+        total -= words[a]
     return found
 
 
@@ -160,10 +176,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Bytes are compared by grouping on them; what is joined back is found by two hashes, which tell the bodies apart (where they
     # do not, nothing is cut).
     seen = seen.withColumn("check", F.xxhash64("body", F.lit(1)))
-    place = F.struct(F.col("id").isNull().alias("last"), "id", "row", "start", "before", "after")
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "row", "start", "stop", "before", "after")
     first = seen.groupBy("hash", "check", "body").agg(F.min(place).alias("first"))
     first = stage(first.groupBy("hash", "check").agg(F.min("first").alias("first"), F.count("*").alias("bodies")).where("bodies = 1").drop("bodies"), "first")
-    both = seen.drop("body").join(first, ["hash", "check"]).where("not (row = first.row and start = first.start)")
+    both = seen.drop("body").join(first, ["hash", "check"]).where("not (row = first.row and start < first.stop)")
     both = both.select("row", "start", "stop", "before", "after", F.col("first.before").alias("first_before"), F.col("first.after").alias("first_after"))
     cuts = both.select("row", F.struct((F.col("start") - _same_prefix("before", "first_before")).alias("start"),
                                        (F.col("stop") + _same_prefix("after", "first_after")).alias("stop")).alias("cut"))

@@ -82,3 +82,31 @@ def test_odd_rows(spark, make_docs):
     assert out.columns == docs.columns
     got = sorted((r.doc_id, len(r.text)) for r in out.collect())
     assert got[:3] == [(1, len(long)), (1, len(long)), (2, 0)] and got[3] == (3, 9)
+
+
+def test_short_passages_between_foreign_neighbours(spark, make_docs):
+    """Every passage of 50 words and more, in one to six sentences or lines, is gone from all documents but the first."""
+    rng = random.Random(12)
+    rows, passages = [], []
+    for k in range(60):
+        n, between = 1 + k % 6, " " if k % 2 else "\n"
+        size = -(-54 // n)
+        p = between.join(sentence(rng, size, size) for _ in range(n))
+        passages.append(p)
+        for copy in range(2):
+            parts = [passage(rng, rng.randint(1, 4), between), p, passage(rng, rng.randint(1, 4), between)]
+            rows.append((2 * k + copy, between.join(parts)))
+    out = {r.doc_id: r.text for r in lines.drop_repeated(make_docs(rows)).collect()}
+    for k, p in enumerate(passages):
+        assert out[2 * k] == rows[2 * k][1]
+        words = p.split()
+        windows = {tuple(words[i:i + 20]) for i in range(len(words) - 19)}
+        left = out[2 * k + 1].split()
+        assert not windows & {tuple(left[i:i + 20]) for i in range(len(left) - 19)}
+        assert len(left) == len(rows[2 * k + 1][1].split()) - len(words)
+
+
+def test_first_occurrence_stays_in_periodic_texts(spark, make_docs):
+    out = lines.drop_repeated(make_docs([(1, "one two three four five. " * 40), (2, "a b c d e f g.\nh i j k l m n.\n" * 20)])).collect()
+    left = {r.doc_id: len(r.text.split()) for r in out}
+    assert 20 <= left[1] < 60 and 20 <= left[2] < 70
