@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import automaton, counts, decontam, html, lines, pii, quality, simhash, topk, vocabulary, warc
+from chalkline.llm import automaton, collocations, counts, decontam, html, lines, mixing, pii, quality, repair, simhash, topk, vocabulary, warc
 from chalkline.llm.common import read_table
 
 SURROGATE_KEY = b"a key for tests; an owner of data brings one of their own"
@@ -108,3 +108,21 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     scored = quality.score(docs, model)
     return scored.select(F.col("id").alias("doc_id"), quality.is_held_out("id").alias("held_out"), "score",
                          (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op11_phrase_collocations", collocations.ORACLE)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """The strongest phrases of every language."""
+    return collocations.collocations(read_table(spark, folder, "documents"))
+
+
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults of every damaged conversation and its cheapest repair."""
+    return repair.damaged_and_repaired(read_table(spark, folder, "conversations")).withColumnRenamed("conv", "conv_id")
+
+
+@query("op13_source_mixture", mixing.ORACLE)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words the mix takes of every document."""
+    return mixing.mix(read_table(spark, folder, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
