@@ -20,11 +20,12 @@ def slow(docs, items):
         d = tokens(t)
         for k, u in items:
             b = tokens(u)
+            if not b:
+                continue
             for at in range(-len(b) + 1, len(d)):
                 equal = [0 <= at + p < len(d) and d[at + p] == w for p, w in enumerate(b)]
-                met = any(0 <= at + p and at + p + 11 <= len(d) and all(equal[p + q] for q in m) for p in range(len(b) - 10) for m in decontam.MASKS)
                 size = min(20, len(b))
-                if met and max(sum(equal[p:p + size]) for p in range(len(b) - size + 1)) >= 0.7 * size:
+                if max(sum(equal[p:p + size]) for p in range(len(b) - size + 1)) >= (0.7 * size if len(b) >= 11 else size):
                     out[i, k] = max(sum(equal), out.get((i, k), 0))
     return out
 
@@ -50,13 +51,13 @@ def test_against_all_offsets(make_docs, items):
         rows.append((k, ", ".join(body[:at]) + " -- " + " ".join(b).title() + "! " + " ".join(body[at:])))
     rows += [(5, rows[5][1]), (None, items[0][3][1]), (70, None), (71, ""), (72, "?!"), (73, " ".join(items[0][2][1].split() * 50))]
     want = slow(rows, items[0])
-    docs = make_docs(rows).withColumn("row", F.lit(1)).withColumn("item", F.lit(2)).withColumn("words", F.lit("w"))
+    docs = make_docs(rows).withColumn("row", F.lit(1)).withColumn("item", F.lit(2)).withColumn("words", F.lit("w")).withColumn("leak_row", F.lit(7))
     got = {}
     for r in decontam.overlaps(docs, items[1]).collect():
         got[r.id, r.item] = max(r.matched, got.get((r.id, r.item), 0))
     assert got == want and len(want) > 20
     kept = decontam.without_leaks(docs, items[1])
-    assert kept.columns == docs.columns
+    assert kept.columns == docs.columns and all(r.leak_row == 7 for r in kept.collect())
     leaking = {i for i, _ in want}
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(i) for i, _ in rows if i not in leaking)
 
