@@ -48,6 +48,18 @@ def _(t):
     return e.select("player_id", "year", "week", half_up("ewm_snap_pct", 6).alias("ewm_snap_pct"), half_up("ewm_rush_yds", 6).alias("ewm_rush_yds"))
 
 
+# One value in 61 events, so histories run over many segments; the oracle weighs the last 300 values of each event directly.
+@query("wn3_sparse_history", f"""WITH e AS (SELECT event_id, event_type, CAST(ts AS TIMESTAMP) AS seen_at, CASE WHEN event_id % 61 = 0 THEN value END AS v FROM events),
+    k AS (SELECT *, count(v) OVER (PARTITION BY event_type ORDER BY seen_at, event_id ROWS UNBOUNDED PRECEDING) AS k FROM e),
+    held AS (SELECT event_type, k, v FROM k WHERE v IS NOT NULL)
+    SELECT k.event_id, {hu('sum(h.v * pow(0.5E0, (k.k - h.k) / 3.0E0)) / sum(pow(0.5E0, (k.k - h.k) / 3.0E0))', 6)} AS mean
+    FROM k LEFT JOIN held h ON h.event_type = k.event_type AND h.k <= k.k AND h.k > k.k - 300 GROUP BY k.event_id""")
+def _(t):
+    e = t.events.select("event_id", "event_type", F.col("ts").cast("timestamp").alias("seen_at"), F.when(F.col("event_id") % 61 == 0, F.col("value")).alias("v"))
+    means = W.ewm_mean(e, ["event_type"], ["seen_at", "event_id"], ["v"], 3.0, shift=False, chunk=F.date_trunc("day", "seen_at"))
+    return means.select("event_id", half_up("ewm_v", 6).alias("mean"))
+
+
 @query("wn4_group_total", "SELECT player_id, year, week, CAST(sum(carries) OVER (PARTITION BY team, year, week) AS BIGINT) AS team_carries FROM usage")
 def _(t):
     return W.group_total(t.usage, ["team", "year", "week"], "carries", "team_carries").select("player_id", "year", "week", "team_carries")

@@ -92,40 +92,64 @@ def rank_in_group(df: DataFrame, group: Cols, value: str, tiebreak: str, step: f
     return chunked_row_number(df, group, [F.col(value).desc_nulls_last(), F.col(tiebreak)], chunk, rank, total)
 
 
-EWM_EXPONENT = 256  # largest exponent of a weight of two inside one block
+EWM_EXPONENT = 256  # largest exponent of a weight of two inside one segment
 
 
 def ewm_mean(df: DataFrame, keys: Cols, order: Cols, columns: Cols, halflife: float, shift: bool = True,
-             prefix: str = "ewm_") -> DataFrame:
-    """Exponentially weighted mean with a half-life in rows, NULLs skipped; `shift` leaves the current row out.
+             prefix: str = "ewm_", chunk: Column | None = None) -> DataFrame:
+    """Exponentially weighted mean with a half-life in non-null values; `shift` leaves the current row out.
 
-    With k the running count of non-null values, weight 2^(k/halflife) makes the mean a ratio of two running sums. The weights of a block of
-    histories restart at 1, and the sums of the block before are carried over scaled down, so no weight grows with the
-    history. (What lies two blocks back weighs 2^-256 and is left out.)
+    The mean is a ratio of two sums, which are scanned in segments: a history is cut into segments of rows, each row takes the running sums of its
+    segment, and each segment the sums of all earlier ones, faded by the values in between. `chunk` (a monotone step of the order, such as a day of a
+    timestamp) deals a key's segments to different tasks; without it a key is one chunk. Only segments' sums of a key ever meet.
     """
     size = max(1, int(halflife * EWM_EXPONENT))
     half = F.lit(float(halflife))
-    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = df.withColumns({"__b": F.floor(F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) / size),
-                          **{f"__k_{c}": F.count(c).over(upto) for c in columns}})
-    inside = Window.partitionBy(*keys, "__b").orderBy(*order)
+    at = [*keys, "__chunk", "__sub"]
+    inside = Window.partitionBy(*at).orderBy(*order)
     through = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     frame = inside.rowsBetween(Window.unboundedPreceding, -1) if shift else through
-    # Counts at the start of the block, where its weights are 1.
-    out = out.withColumns({f"__s_{c}": F.first(f"__k_{c}").over(through) for c in columns})
-    out = out.withColumns({f"__w_{c}": F.when(F.col(c).isNotNull(), F.pow(F.lit(2.0), (F.col(f"__k_{c}") - F.col(f"__s_{c}")) / half)) for c in columns})
-    weighted = {c: F.col(c) * F.col(f"__w_{c}") for c in columns}
-    out = out.withColumns({f"__t_{c}": F.struct("__b", F.col(f"__k_{c}").alias("k"), F.sum(f"__w_{c}").over(through).alias("d"), F.sum(weighted[c]).over(through).alias("n"),
-                                               F.col(f"__s_{c}").alias("s")) for c in columns})
-    earlier = Window.partitionBy(*keys).orderBy("__b").rangeBetween(Window.unboundedPreceding, -1)
-    out = out.withColumns({f"__c_{c}": F.max(F.when(F.col(f"__t_{c}.d").isNotNull(), F.col(f"__t_{c}"))).over(earlier) for c in columns})
-
-    def part(c: str, value: Column | str, field: str) -> Column:
-        faded = F.col(f"__c_{c}.{field}") * F.pow(F.lit(2.0), (F.col(f"__c_{c}.s") - F.col(f"__s_{c}")) / half)
-        return F.coalesce(F.sum(value).over(frame), F.lit(0.0)) + F.coalesce(faded, F.lit(0.0))
-
-    means = {f"{prefix}{c}": part(c, weighted[c], "n") / F.nullif(part(c, f"__w_{c}", "d"), F.lit(0.0)) for c in columns}
-    return out.withColumns(means).drop("__b", *[f"__{x}_{c}" for c in columns for x in "kswtc"])
+    out = df.withColumn("__chunk", chunk if chunk is not None else F.lit(0))
+    out = out.withColumn("__sub", F.floor((F.row_number().over(Window.partitionBy(*keys, "__chunk").orderBy(*order)) - 1) / size))
+    # A segment has at most `size` values, so its weights end at 2^EWM_EXPONENT.
+    out = out.withColumns({f"__w_{c}": F.when(F.col(c).isNotNull(), F.pow(F.lit(2.0), F.count(c).over(through) / half)) for c in columns})
+    sums = out.groupBy(*at).agg(*[a for c in columns for a in (F.count(c).alias(f"__k_{c}"), F.sum(f"__w_{c}").alias(f"__d_{c}"), F.sum(F.col(c) * F.col(f"__w_{c}")).alias(f"__n_{c}"))])
+    carried = _carried(sums, keys, columns, size, half)
+    out = out.withColumns({f"__{x}r_{c}": F.sum(v).over(frame) for c in columns for x, v in (("d", F.col(f"__w_{c}")), ("n", F.col(c) * F.col(f"__w_{c}")))})
+    out = attach(out, carried, at, null_safe=True)
+
+    def part(c: str, x: str) -> Column:
+        return F.coalesce(F.col(f"__{x}r_{c}"), F.lit(0.0)) + F.col(f"__{x}c_{c}")
+
+    means = {f"{prefix}{c}": part(c, "n") / F.nullif(part(c, "d"), F.lit(0.0)) for c in columns}
+    return out.withColumns(means).drop("__chunk", "__sub", *[f"__{x}_{c}" for c in columns for x in ("w", "dr", "nr", "dc", "nc")])
+
+
+def _carried(sums: DataFrame, keys: Cols, columns: Cols, size: int, half: Column) -> DataFrame:
+    """What each segment takes over from the earlier ones of its key, in terms of its own weights.
+
+    Sums are put in units of blocks of `size` values, counted over the whole history, so no weight grows with it. A segment stands in the block that it
+    begins in and may reach into the next one, so a segment takes the earlier ones of its block and the two blocks before, faded. What lies further
+    back is over `size` values older than the newest and weighs under 2^-256 of it.
+    """
+    earlier = Window.partitionBy(*keys).orderBy("__chunk", "__sub").rowsBetween(Window.unboundedPreceding, -1)
+    out = sums.withColumns({f"__s_{c}": F.coalesce(F.sum(f"__k_{c}").over(earlier), F.lit(0)) for c in columns})
+    out = out.withColumns({f"__b_{c}": F.floor(F.col(f"__s_{c}") / size) for c in columns})
+    scale = {c: F.pow(F.lit(2.0), (F.col(f"__s_{c}") - F.col(f"__b_{c}") * size) / half) for c in columns}
+    out = out.withColumns({f"__{x}s_{c}": F.coalesce(F.col(f"__{x}_{c}"), F.lit(0.0)) * scale[c] for c in columns for x in "dn"})
+    for c in columns:
+        same = Window.partitionBy(*keys, f"__b_{c}").orderBy("__chunk", "__sub").rowsBetween(Window.unboundedPreceding, -1)
+        blocks = Window.partitionBy(*keys).orderBy(f"__b_{c}")
+
+        def taken(x: str, c: str = c, same=same, blocks=blocks) -> Column:
+            parts = [F.coalesce(F.sum(f"__{x}s_{c}").over(same), F.lit(0.0))]
+            for back in (1, 2):
+                fade = F.pow(F.lit(2.0), F.lit(-float(back * size)) / half)
+                parts.append(F.coalesce(F.sum(f"__{x}s_{c}").over(blocks.rangeBetween(-back, -back)), F.lit(0.0)) * fade)
+            return reduce(lambda a, b: a + b, parts) / scale[c]
+
+        out = out.withColumns({f"__{x}c_{c}": taken(x) for x in "dn"})
+    return out.select(*keys, "__chunk", "__sub", *[f"__{x}c_{c}" for c in columns for x in "dn"])
 
 
 def group_total(df: DataFrame, keys: Cols, column: str, out: str) -> DataFrame:

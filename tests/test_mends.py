@@ -34,6 +34,47 @@ def test_ewm_of_a_long_history(spark, shift, halflife):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in range(n) if want[k] is not None)
 
 
+def running_mean(values, halflife, shift):
+    num = den = 0.0
+    out = []
+    for v in values:
+        before = num / den if den else None
+        if v is not None:
+            fade = 0.5 ** (1 / halflife)
+            num, den = num * fade + v, den * fade + 1.0
+        out.append(before if shift else num / den if den else None)
+    return out
+
+
+@pytest.mark.parametrize("shift", [True, False])
+def test_ewm_of_sparse_histories_in_chunks(spark, shift):
+    """Gaps longer than two segments, values that crowd at the end of a segment, several keys and columns, NULL keys."""
+    import random
+    rng = random.Random(3)
+    n, halflife = 3000, 0.25  # 64 values a segment
+    sparse = [float(k % 50) if k % 197 == 0 else None for k in range(n)]
+    crowded = [float(rng.randint(0, 9)) if (k // 64) % 3 == 1 or k % 190 == 0 else None for k in range(n)]
+    rows = [(p, k, sparse[k], crowded[k]) for p in (1, None) for k in range(n)]
+    df = spark.createDataFrame(rows, "p int, k int, a double, b double")
+    for chunk in (None, F.floor(F.col("k") / 100)):
+        got = ewm_mean(df, ["p"], ["k"], ["a", "b"], halflife, shift, chunk=chunk).collect()
+        for column, values in (("ewm_a", sparse), ("ewm_b", crowded)):
+            want = running_mean(values, halflife, shift)
+            for p in (1, None):
+                mine = {r.k: r[column] for r in got if r.p == p}
+                assert len(mine) == n
+                assert all((mine[k] is None) == (w is None) and (w is None or abs(mine[k] - w) < 1e-9) for k, w in enumerate(want))
+
+
+def test_ewm_over_gaps_of_a_thousand_rows(spark):
+    values = {0: 10.0, 1000: 20.0, 2000: 40.0}
+    df = spark.range(3000).selectExpr("1 AS p", "id AS k", "CASE id WHEN 0 THEN 10.0D WHEN 1000 THEN 20.0D WHEN 2000 THEN 40.0D END AS v")
+    for chunk in (None, F.floor(F.col("k") / 128)):
+        got = {r.k: r.ewm_v for r in ewm_mean(df, ["p"], ["k"], ["v"], 3.0, chunk=chunk).collect()}
+        want = running_mean([values.get(k) for k in range(3000)], 3.0, True)
+        assert round(got[2500], 2) == 25.65 and all(w is None and got[k] is None or abs(got[k] - w) < 1e-9 for k, w in enumerate(want))
+
+
 def test_half_up_keeps_what_is_no_number(spark):
     rows = spark.createDataFrame([(float("nan"),), (None,), (2.345,)], "x double").select(half_up("x", 2).alias("y")).collect()
     assert rows[0].y != rows[0].y and rows[1].y is None and rows[2].y == 2.35
