@@ -98,8 +98,9 @@ MOVE_SQL = """SELECT player_name, book, line, base AS baseline, line - base AS m
 @query("ss5_move_since_baseline", MOVE_SQL)
 def _(t):
     root, ck = scratch(t.spark, "ss5"), scratch(t.spark, "ss5c")
-    Q.run_available(stream(t), root, ck, "append", Q.baseline_sink(root))
-    return Q.read_moves(t.spark, root, 5.0).select("player_name", "book", "line", "baseline", "move")
+    with Q.with_state_store(t.spark):
+        Q.run_available(Q.moves_since_baseline(stream(t), 5.0), root, ck)
+    return Q.read_moves(t.spark, root).select("player_name", "book", "line", "baseline", "move")
 
 
 @query("ss5_move_since_baseline_batch", MOVE_SQL)

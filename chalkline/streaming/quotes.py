@@ -6,10 +6,14 @@ each gives what its batch twin gives.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
+
+from chalkline.sources.latest import EVERY, LatestTable
 
 KEY = ["player_name", "category", "book"]
 SNAPSHOT_KEY = [*KEY, "line", "over_odds", "scraped_at"]
@@ -48,40 +52,129 @@ def latest_before(quotes: DataFrame, kickoffs: DataFrame) -> DataFrame:
         *KEY, "team", "kickoff", "q.scraped_at", "q.line", "q.over_odds")
 
 
-def closing_sink(root: str, kickoffs: DataFrame):
-    """foreachBatch writer: each batch adds its newest quotes per key; readers take the newest over all batches.
-
-    A batch overwrites its own folder, so a replay after a lost executor or a restart changes nothing."""
+CLOSING_KEY, CLOSING_ORDER = [*KEY, "team", "kickoff"], ["scraped_at", "line", "over_odds"]
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        latest_before(batch, kickoffs).write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
 
-    return write
+def closing_table(spark: SparkSession, root: str, every: int = EVERY) -> LatestTable:
+    return LatestTable(spark, root, CLOSING_KEY, CLOSING_ORDER, every)
 
 
-def read_closing(spark: SparkSession, root: str) -> DataFrame:
-    rows = spark.read.parquet(root)
-    newest = F.max(F.struct("scraped_at", "line", "over_odds"))
-    return rows.groupBy(*KEY, "team", "kickoff").agg(newest.alias("q")).select(
-        *KEY, "team", "kickoff", "q.scraped_at", "q.line", "q.over_odds")
+def closing_sink(root: str, kickoffs: DataFrame, every: int = EVERY):
+    """foreachBatch writer: each batch is merged into one table of the newest quote per key, which is compacted as it grows.
 
-
-def baseline_sink(root: str):
-    """foreachBatch writer for moves since baseline: each batch adds its quotes to `root`/quotes and its first quote per
-    key to `root`/first, without reading what earlier batches wrote.
-
-    Each batch overwrites its own folders, so replaying it changes nothing. A late, older quote is one more row of
-    `first`, so it corrects the baseline for readers."""
+    A replayed batch changes nothing, and a late quote takes part by its time."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(*KEY, "scraped_at", "line").where(F.col("line").isNotNull())
-        rows.write.mode("overwrite").parquet(f"{root}/quotes/batch_id={batch_id}")
-        first_quotes(batch.sparkSession.read.parquet(f"{root}/quotes/batch_id={batch_id}")).write.mode("overwrite").parquet(
-            f"{root}/first/batch_id={batch_id}")
+        closing_table(batch.sparkSession, root, every).put(latest_before(batch, kickoffs), batch_id)
 
     return write
 
 
+def read_closing(spark: SparkSession, root: str) -> DataFrame:
+    return closing_table(spark, root).read()
+
+
+class Baseline(StatefulProcessor):
+    """Moves away from the first quote of a key, told as soon as a quote is `threshold` away.
+
+    State per key: first and newest quote, the number of quotes, and, until the watermark has passed the first quote, all of them: so long an older
+    quote may still turn up and become the first. Then what was told is told anew under the next version, with a null move where a quote no longer
+    counts. Once the first quote is certain its timer fires and only the two quotes stay. A key without quotes for `forget_ms` is dropped."""
+
+    STATE = "first_at long, first_line double, settled boolean, n long, version long, newest_at long, newest_line double"
+
+    def __init__(self, threshold: float, forget_ms: int | None):
+        self.threshold, self.forget_ms = threshold, forget_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("quotes", self.STATE)
+        self.open = handle.getListState("open", "n long, at long, line double")
+
+    def _told(self, key: tuple, quote: tuple, first: tuple, version: int) -> Row:
+        n, at, line = quote
+        move = line - first[1]
+        return Row(*KEY, "n", "at", "line", "baseline", "move", "version")(*key, n, at, line, first[1], move if abs(move) >= self.threshold else None, version)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        first_at, first_line, settled, n, version, newest_at, newest_line = self.state.get() or (None, None, False, 0, 0, None, None)
+        first = before = None if first_at is None else (first_at, first_line)
+        fresh, newest_quote = [], (newest_at, newest_line)
+        for at, line in sorted((r["at"], r["line"]) for r in rows):
+            n += 1
+            fresh.append((n, at, line))
+            if not settled and (first is None or (at, line) < first):
+                first = (at, line)
+            if newest_quote[0] is None or (at, line) > newest_quote:
+                newest_quote = (at, line)
+        again = []
+        if first != before:
+            if before is not None:
+                version += 1
+                again = [q for q in map(tuple, self.open.get()) if max(abs(q[2] - before[1]), abs(q[2] - first[1])) >= self.threshold]
+                self.handle.deleteTimer(_after(before[0]))
+            self.handle.registerTimer(_after(first[0]))
+        if not settled:
+            self.open.appendList(fresh)
+        if self.forget_ms is not None:
+            self.handle.registerTimer(_after(newest_quote[0]) + self.forget_ms)
+        self.state.update((*first, settled, n, version, *newest_quote))
+        for q in again:
+            yield self._told(key, q, first, version)
+        for q in fresh:
+            if abs(q[2] - first[1]) >= self.threshold:
+                yield self._told(key, q, first, version)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.state.get()
+        if held is not None:
+            now = timerValues.getCurrentWatermarkInMs()
+            if self.forget_ms is not None and _after(held[5]) + self.forget_ms <= now:
+                self.state.clear()
+                self.open.clear()
+            elif not held[2] and _after(held[0]) <= now:
+                self.state.update((held[0], held[1], True, *held[3:]))
+                self.open.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _after(micros: int) -> int:
+    """The millisecond after a time."""
+    return micros // 1000 + 1
+
+
+def moves_since_baseline(quotes: DataFrame, threshold: float = 1.0, delay: str = "1 day", forget_ms: int | None = None) -> DataFrame:
+    """Stream of (key, n, at, line, baseline, move, version) rows: the n-th quote of a key is `move` away from the key's first quote. The highest version of a
+    quote holds; a null move takes an earlier one back. Quotes later than `delay` are dropped. Needs the state store of `with_state_store`."""
+    stream = quotes.withWatermark("scraped_at", delay).where(F.col("line").isNotNull() & F.col("scraped_at").isNotNull())
+    stream = stream.select(*[F.coalesce(c, F.lit("")).alias(c) for c in KEY], "scraped_at", F.unix_micros("scraped_at").alias("at"), F.col("line").cast("double").alias("line"))
+    kinds = dict(quotes.dtypes)
+    out = f"{', '.join(f'{c} {kinds[c]}' for c in KEY)}, n long, at long, line double, baseline double, move double, version long"
+    return stream.groupBy(*KEY).transformWithState(Baseline(threshold, forget_ms), out, "append", "eventTime")
+
+
+@contextmanager
+def with_state_store(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, which holds more keys than memory does."""
+    name, held = "spark.sql.streaming.stateStore.providerClass", None
+    held = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, held)
+
+
+def read_moves(spark: SparkSession, root: str) -> DataFrame:
+    """What a stream of moves has told so far: of each quote its highest version, unless that takes it back."""
+    told = spark.read.parquet(root)
+    last = told.groupBy(*KEY, "n").agg(F.max(F.struct("version", "at", "line", "baseline", "move")).alias("q"))
+    return last.where("q.move is not null").select(*KEY, F.timestamp_micros("q.at").alias("scraped_at"), "q.line", "q.baseline", "q.move")
+
+
 def first_quotes(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*KEY).agg(F.min(F.struct("scraped_at", "line")).alias("f"))
 
@@ -91,12 +184,6 @@ def _moves(rows: DataFrame, first: DataFrame, threshold: float) -> DataFrame:
     return moved.withColumn("move", F.col("line") - F.col("baseline")).where(F.abs("move") >= threshold)
 
 
-def read_moves(spark: SparkSession, root: str, threshold: float = 1.0) -> DataFrame:
-    """Quotes at least `threshold` away from the earliest quote of their key over all batches so far."""
-    first = spark.read.parquet(f"{root}/first").groupBy(*KEY).agg(F.min("f").alias("f"))
-    return _moves(spark.read.parquet(f"{root}/quotes").drop("batch_id"), first, threshold)
-
-
 def moves_since_baseline_batch(quotes: DataFrame, threshold: float = 1.0) -> DataFrame:
     """Batch twin: the baseline is a map-side combined minimum joined back, so a hot key is never in one task."""
     rows = quotes.select(*KEY, "scraped_at", "line").where(F.col("line").isNotNull())

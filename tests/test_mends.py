@@ -104,20 +104,6 @@ def q_streams_window():
 def test_streams_read_folders_in_several_batches(spark, part_files, monkeypatch):
     monkeypatch.setattr(q_streams, "FILES_PER_BATCH", 1)
     t = Tables(spark, part_files)
-    root, ck = q_streams.scratch(spark, "t5"), q_streams.scratch(spark, "t5c")
-    sink, seen = Q.baseline_sink(root), []
-
-    def write(batch, batch_id):
-        seen.append(batch_id)
-        sink(batch, batch_id)
-        sink(batch, batch_id)  # a replay changes nothing
-
-    Q.run_available(q_streams.stream(t), root, ck, "append", write)
-    assert len(seen) == 4
-    key = ["player_name", "book", "line", "baseline", "move"]
-    got = sorted(map(tuple, Q.read_moves(spark, root, 5.0).select(*key).collect()))
-    want = sorted(map(tuple, Q.moves_since_baseline_batch(t.quotes_t, 5.0).select(*key).collect()))
-    assert got == want and any(r[3] == 900.0 for r in got)
     closing, ck2 = q_streams.scratch(spark, "t4"), q_streams.scratch(spark, "t4c")
     Q.run_available(q_streams.stream(t), closing, ck2, "append", Q.closing_sink(closing, t.kickoffs_t))
     assert sorted(map(tuple, Q.read_closing(spark, closing).collect())) == sorted(map(tuple, Q.latest_before(t.quotes_t, t.kickoffs_t).select(
