@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +31,9 @@ from chalkline.llm.vocabulary import Vocabulary, byte_symbols, special_pattern,
 
 #: Split of the lower-case word vocabulary (fixed value of its file format).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-TABLE_ROWS = 400_000
-CACHE_ROWS = 400_000
+TABLE_ROWS = 100_000
+CACHE_BYTES = 48 << 20  # a worker's, both generations
+ENTRY_BYTES = 190  # of a key, a value and their place in the table, beside their characters
 START = -1
 _CONTROL = dict.fromkeys(range(0x1C, 0x20))  # Python splits words there, Unicode white space does not
 
@@ -157,43 +159,55 @@ def compile_merges(vocab: Vocabulary) -> Automaton:
 
 
 class WordCodec(dict):
-    """Codes of text chunks between white space: chunk -> (ids as little-endian 32-bit bytes, labels joined by spaces)."""
+    """Ids of text chunks between white space, as little-endian 32-bit bytes: the one cache of a worker, bounded by its bytes.
+
+    Two generations: what is met goes into the young one (this dict); when that is full it becomes the old one, and what is met there again moves up.
+    Words inside a chunk are kept beside the chunks, under a space and the word (no chunk holds a space).
+    """
 
     def __init__(self, auto: Automaton, special: dict[str, int]):
         super().__init__()
         self.auto, self.special = auto, special
-        self.known: dict[str, list[int]] = {}  # paths of single words
+        self.old: dict[str, bytes] = {}
+        self.room = CACHE_BYTES // 2
         self.words, self.wide, self.cuts, self.symbols = splitter(WORDS), splitter(r"\S+"), special_pattern(special), byte_symbols()
 
     def __reduce__(self):
         return WordCodec, (self.auto, self.special)
 
-    def __missing__(self, chunk: str) -> tuple[bytes, str]:
-        if len(self) >= CACHE_ROWS:
-            self.clear()
-        path = self.path(chunk)
-        code = (b"".join([k.to_bytes(4, "little") for k in path]), self.auto.decode(path))
-        if len(chunk) <= 64:
-            self[chunk] = code
+    def keep(self, key: str, code: bytes) -> bytes:
+        if len(key) <= 64:
+            self.room -= len(key) + len(code) + ENTRY_BYTES
+            if self.room < 0:
+                self.old = dict(self)
+                self.clear()
+                self.room = CACHE_BYTES // 2
+            self[key] = code
         return code
 
-    def path(self, chunk: str) -> list[int]:
-        out: list[int] = []
+    def __missing__(self, key: str) -> bytes:
+        code = self.old.get(key)
+        if code is None:
+            code = self.word(key[1:]) if key[0] == " " else self.chunk(key)
+        return self.keep(key, code)
+
+    def word(self, word: str) -> bytes:
+        path = self.auto.encode("".join([self.symbols[b] for b in word.encode("utf-8", "surrogatepass")]))
+        return b"".join([k.to_bytes(4, "little") for k in path])
+
+    def chunk(self, chunk: str) -> bytes:
+        out: list[bytes] = []
         for k, part in enumerate(self.cuts.split(chunk) if self.cuts else [chunk]):
             if k % 2:
-                out.append(self.special[part])
+                out.append(self.special[part].to_bytes(4, "little"))
                 continue
             plain = part.lower() if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            for word in self.words.findall(plain):
-                path = self.known.get(word)
-                if path is None:
-                    path = self.auto.encode("".join([self.symbols[b] for b in word.encode("utf-8", "surrogatepass")]))
-                    if len(self.known) >= CACHE_ROWS:
-                        self.known.clear()
-                    if len(word) <= 64:
-                        self.known[word] = path
-                out += path
-        return out
+            words = self.words.findall(plain)
+            if words == [chunk]:  # kept as the chunk already
+                out.append(self.word(chunk))
+            else:
+                out += [self[" " + word] for word in words]
+        return b"".join(out)
 
     def chunks(self, text: str) -> list[str]:
         """Nothing the encoding joins spans white space."""
@@ -202,9 +216,9 @@ class WordCodec(dict):
         return text.split()
 
     def code(self, text: str) -> tuple[bytes, str]:
-        """(ids, decoded text) of a whole text; chunks that give no token take no part."""
-        codes = [self[c] for c in self.chunks(text)]
-        return b"".join([c[0] for c in codes]), " ".join([c[1] for c in codes if c[0]])
+        """(ids, decoded text) of a whole text."""
+        ids = b"".join([self[c] for c in self.chunks(text)])
+        return ids, self.auto.decode(np.frombuffer(ids, "<u4").tolist())
 
 
 def _broadcast(docs: DataFrame, vocab: Vocabulary):
