@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chalkline.catalog.registry import query
 from chalkline.catalog.views import VIEWS
+from chalkline.sources.derived import shared_root
 from chalkline.streaming import quotes as Q
 
 
@@ -16,9 +17,8 @@ FILES_PER_BATCH = 64
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's checkpoint folder, or under the warehouse: folders that all executors share."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
-    return f"{root.rstrip('/')}/{name}_{uuid.uuid4().hex}"
+    """A fresh folder in shared storage."""
+    return f"{shared_root(spark)}/{name}_{uuid.uuid4().hex}"
 
 
 def stream(t):

@@ -12,10 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chalkline.functions.scoring import OFFENSE_BONUSES, OFFENSE_RATES
 from chalkline.functions.teams import TEAMS
+from chalkline.sources.derived import derived_table
 
 BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
                "pages", "benchmark", "labels", "conversations"]
-N_TEAMS = 25
+N_TEAMS = len(TEAMS)
+#: Views that many queries start from and that join, group or rank: written once a session, bucketed by these keys.
+STAGED = {"quotes_all": ["player_name", "category", "occurrence"], "player_weeks": ["cid"], "schedule": ["team"], "prop_lines": ["cid"],
+          "archive": ["player_name", "category"]}
+#: One row per team, as DuckDB says it; `Tables` has Spark's word for it.
+EACH_TEAM, EACH_TEAM_SPARK = f"unnest(range(0, {N_TEAMS}))", f"explode(sequence(0, {N_TEAMS - 1}))"
 
 
 def hu(expr: str, digits: int = 0) -> str:
@@ -47,11 +53,11 @@ def pick(expr: str, values: list[str]) -> str:
 
 
 def team_code(expr: str) -> str:
-    return pick(expr, [code for _, _, code in TEAMS[:N_TEAMS]])
+    return pick(expr, [code for _, _, code in TEAMS])
 
 
 def team_name(expr: str) -> str:
-    return pick(expr, [full for full, _, _ in TEAMS[:N_TEAMS]])
+    return pick(expr, [full for full, _, _ in TEAMS])
 
 
 def offense_sql(prefix: str = "") -> str:
@@ -80,6 +86,8 @@ KEY = "concat('p', CAST({0} AS STRING), ' last', CAST({0} % 200 AS STRING))"
 BASE_LINE = ("(CASE l_partkey % 16 WHEN 3 THEN 1 + l_partkey % 5 WHEN 6 THEN 1 + l_partkey % 2 WHEN 13 THEN 1 + l_partkey % 3 "
              "WHEN 12 THEN l_partkey % 2 ELSE 3 + (l_partkey * 7) % 80 END)")
 WIGGLE = f"(CASE WHEN l_partkey % 16 IN (3, 6, 12, 13) THEN {Q} % 2 ELSE {Q} % 5 - 2 END)"
+OPPONENT = f"(CASE WHEN (week + {N_TEAMS} - t) % {N_TEAMS} = t THEN (t + 1) % {N_TEAMS} ELSE (week + {N_TEAMS} - t) % {N_TEAMS} END)"
+CUSTOMER_TEAM = f"CAST((c_nationkey + c_custkey % 8) % {N_TEAMS} AS INT)"
 QUOTE_ORDER = "l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax"
 AMERICAN = "(CASE WHEN {0} < 60 THEN {0} - 160 ELSE {0} + 40 END)"
 OVER_V = "((l_orderkey * 13 + l_linenumber * 29) % 120)"
@@ -89,7 +97,7 @@ VIEWS: dict[str, str] = {
     # Market quotes: one row per (player, book) and occurrence number; players are parts, books are supplier groups.
     "quotes_all": f"""
         SELECT l_partkey AS player_id, {NAME.format("CASE WHEN l_partkey % 6 = 5 THEN l_partkey + 1000000 ELSE l_partkey END")} AS player_name,
-               {pick("l_partkey % 16", CATEGORIES)} AS category, {team_code("CAST(l_partkey % 25 AS INT)")} AS team,
+               {pick("l_partkey % 16", CATEGORIES)} AS category, {team_code(f"CAST(l_partkey % {N_TEAMS} AS INT)")} AS team,
                {pick("l_suppkey % 12", BOOKS)} AS book,
                CASE WHEN l_partkey % 16 IN (4, 11, 14) THEN 0.5E0
                     ELSE CAST({BASE_LINE} + {WIGGLE} AS DOUBLE) + CASE WHEN l_orderkey % 2 = 0 THEN 0.5E0 ELSE 0.0E0 END END AS line,
@@ -109,7 +117,7 @@ VIEWS: dict[str, str] = {
     "player_weeks": f"""
         SELECT g.cid, g.year, g.week, g.status, CAST(g.n AS INT) AS n, CAST(g.s7 AS INT) AS s7, CAST(g.s11 AS INT) AS s11, CAST(g.s3 AS INT) AS s3,
                CAST(g.qty AS INT) AS qty, CAST(g.returned AS INT) AS returned, c_mktsegment AS segment, c_acctbal AS balance,
-               CAST((c_nationkey + CASE WHEN g.cid % 4 = 0 THEN g.year - 1995 ELSE 0 END) % 25 AS INT) AS t
+               CAST((c_nationkey + g.cid % 8 + CASE WHEN g.cid % 4 = 0 THEN g.year - 1992 ELSE 0 END) % {N_TEAMS} AS INT) AS t
         FROM (SELECT o_custkey AS cid, CAST(year(o_orderdate) AS INT) AS year, {WEEK} AS week, max(o_orderstatus) AS status,
                      count(*) AS n, sum({Q} % 7) AS s7, sum({Q} % 11) AS s11, sum({Q} % 3) AS s3, sum({Q}) AS qty,
                      sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS returned
@@ -118,7 +126,7 @@ VIEWS: dict[str, str] = {
     # Box scores; weeks whose orders are all in status 'F' or 'O' have one, a 'P' week is a missed game.
     "player_stats": f"""
         SELECT concat('c', CAST(cid AS STRING)) AS player_id, cid, {NAME.format("cid")} AS name, {KEY.format("cid")} AS name_key, year, week,
-               {team_code("t")} AS team, {team_code("(CASE WHEN (week + 25 - t) % 25 = t THEN (t + 1) % 25 ELSE (week + 25 - t) % 25 END)")} AS opponent,
+               {team_code("t")} AS team, {team_code(OPPONENT)} AS opponent,
                {pick("cid % 5", POSITIONS)} AS position,
                CASE WHEN cid % 5 = 0 THEN s11 ELSE 0 END AS pass_cmp, CASE WHEN cid % 5 = 0 THEN s11 + s7 ELSE 0 END AS pass_att,
                CASE WHEN cid % 5 = 0 THEN qty * 2 ELSE 0 END AS pass_yds, CASE WHEN cid % 5 = 0 THEN returned ELSE 0 END AS pass_td,
@@ -140,15 +148,14 @@ VIEWS: dict[str, str] = {
                s3 % 4 AS rz_targets, s7 % 5 AS rz_carries, s3 % 2 AS i10_targets, s7 % 3 AS i10_carries, 0 AS i5_targets, s7 % 2 AS i5_carries,
                s11 % 3 AS third_down_targets
         FROM player_weeks WHERE segment <> 'MACHINERY'""",
-    # Schedule: teams paired by rotation, one bye a week, kickoff in UTC.
+    # Schedule: teams paired by rotation, byes in even weeks, kickoff in UTC.
     "schedule": f"""
-        SELECT w.year, w.week, {team_code("n_nationkey")} AS team, {team_code("(w.week + 25 - n_nationkey) % 25")} AS opponent,
-               CASE WHEN n_nationkey < (w.week + 25 - n_nationkey) % 25 THEN 'h' ELSE 'a' END AS home_away, n_nationkey AS t,
-               CAST((w.week + 25 - n_nationkey) % 25 AS INT) AS o,
-               make_timestamp(w.year, 1, 1, 17, 0, 0) + INTERVAL '1' DAY * (21 * (w.week - 1))
-                 + INTERVAL '1' HOUR * (3 * (least(n_nationkey, CAST((w.week + 25 - n_nationkey) % 25 AS INT)) % 9)) AS kickoff
-        FROM (SELECT DISTINCT CAST(year(o_orderdate) AS INT) AS year, {WEEK} AS week FROM orders) w JOIN nation
-          ON n_nationkey <> (w.week + 25 - n_nationkey) % 25""",
+        SELECT year, week, {team_code("t")} AS team, {team_code("o")} AS opponent, CASE WHEN t < o THEN 'h' ELSE 'a' END AS home_away, t, o,
+               make_timestamp(year, 1, 1, 17, 0, 0) + INTERVAL '1' DAY * (21 * (week - 1)) + INTERVAL '1' HOUR * (3 * (least(t, o) % 9)) AS kickoff
+        FROM (SELECT year, week, t, CAST((week + {N_TEAMS} - t) % {N_TEAMS} AS INT) AS o
+              FROM (SELECT year, week, CAST(e AS INT) AS t FROM (SELECT year, week, {EACH_TEAM} AS e
+                    FROM (SELECT DISTINCT CAST(year(o_orderdate) AS INT) AS year, {WEEK} AS week FROM orders) w) x) y) z
+        WHERE t <> o""",
     # Results: teams whose game has been played (everything up to the last season's week ten).
     "team_points": """
         SELECT year, week, team, opponent, home_away, CAST((year * 7 + week * 13 + t * 29) % 45 AS INT) AS points_scored,
@@ -180,19 +187,19 @@ VIEWS: dict[str, str] = {
     # Slate: every player-week, played or not.
     "slate": f"""
         SELECT year, week, {NAME.format("cid")} AS name, {KEY.format("cid")} AS name_key, {pick("cid % 5", ["QB", "RB", "WR", "TE", "DST"])} AS position,
-               {team_code("t")} AS team, {team_code("(CASE WHEN (week + 25 - t) % 25 = t THEN (t + 1) % 25 ELSE (week + 25 - t) % 25 END)")} AS opponent,
+               {team_code("t")} AS team, {team_code(OPPONENT)} AS opponent,
                CAST(2500 + (cid * 37) % 60 * 80 AS INT) AS salary, cid
         FROM player_weeks""",
     "depth": f"""
-        SELECT {team_code("c_nationkey")} AS team, {pick("CAST(c_custkey % 7 AS INT)", ["QB", "RB", "LWR", "RWR", "SWR", "TE", "K"])} AS pos,
+        SELECT {team_code(CUSTOMER_TEAM)} AS team, {pick("CAST(c_custkey % 7 AS INT)", ["QB", "RB", "LWR", "RWR", "SWR", "TE", "K"])} AS pos,
                CAST(1 + CAST(floor(abs(c_acctbal)) AS INT) % 4 AS INT) AS string_rank, {NAME.format("c_custkey")} AS player_name, {KEY.format("c_custkey")} AS name_key
         FROM customer WHERE c_mktsegment <> 'FURNITURE'""",
     "injuries_depth": f"""
-        SELECT {NAME.format("c_custkey")} AS player_name, {KEY.format("c_custkey")} AS name_key, {team_code("c_nationkey")} AS team,
+        SELECT {NAME.format("c_custkey")} AS player_name, {KEY.format("c_custkey")} AS name_key, {team_code(CUSTOMER_TEAM)} AS team,
                CASE WHEN c_acctbal < -500 THEN 'Out' WHEN c_acctbal < 0 THEN 'Questionable' ELSE 'Doubtful' END AS status, c_custkey AS src_pos
         FROM customer WHERE c_acctbal < 1000""",
     "injuries_edge": f"""
-        SELECT {NAME.format("c_custkey")} AS player_name, {KEY.format("c_custkey")} AS name_key, {team_code("c_nationkey")} AS team, 'Questionable' AS status,
+        SELECT {NAME.format("c_custkey")} AS player_name, {KEY.format("c_custkey")} AS name_key, {team_code(CUSTOMER_TEAM)} AS team, 'Questionable' AS status,
                c_custkey AS src_pos FROM customer WHERE c_acctbal < 2000 AND c_mktsegment <> 'BUILDING'""",
     # Prop lines per player-week: one category per line number.
     "prop_lines": f"""
@@ -249,22 +256,23 @@ VIEWS: dict[str, str] = {
         FROM orders JOIN lineitem ON o_orderkey = l_orderkey""",
     # Quote time series.
     "quotes_t": f"""
-        SELECT event_id, concat('u', CAST(user_id AS STRING)) AS player_name, 'rushing-yards' AS category, event_type AS book, {team_code("CAST(user_id % 25 AS INT)")} AS team,
+        SELECT event_id, concat('u', CAST(user_id AS STRING)) AS player_name, 'rushing-yards' AS category, event_type AS book, {team_code(f"CAST(user_id % {N_TEAMS} AS INT)")} AS team,
                value AS line, CAST({AMERICAN.format("((event_id * 13) % 120)")} AS DOUBLE) AS over_odds, CAST(ts AS TIMESTAMP) AS scraped_at, props
         FROM events""",
     "kickoffs_t": f"""
-        SELECT {team_code("n_nationkey")} AS team, CAST((SELECT date_trunc('day', min(ts)) FROM events) AS TIMESTAMP) + INTERVAL '15' DAY + INTERVAL '1' HOUR * n_nationkey AS kickoff
-        FROM nation""",
+        SELECT {team_code("t")} AS team, day + INTERVAL '15' DAY + INTERVAL '1' HOUR * t AS kickoff
+        FROM (SELECT day, CAST(e AS INT) AS t FROM (SELECT day, {EACH_TEAM} AS e
+              FROM (SELECT CAST(date_trunc('day', min(ts)) AS TIMESTAMP) AS day FROM events) x) y) z""",
 }
 
 
-def needed(text: str) -> list[str]:
-    """Views a text uses, dependencies first."""
+def needed(text: str, own: tuple[str, ...] = ()) -> list[str]:
+    """Views a text uses, dependencies first; those in `own` are tables already."""
     out: list[str] = []
 
     def visit(body: str) -> None:
         for name in VIEWS:
-            if name not in out and re.search(rf"\b{name}\b", body):
+            if name not in out and name not in own and re.search(rf"\b{name}\b", body):
                 visit(VIEWS[name])
                 if name not in out:
                     out.append(name)
@@ -276,7 +284,7 @@ def needed(text: str) -> list[str]:
 def with_views(body: str, own: tuple[str, ...] = ()) -> str:
     """Put the needed views in front of a SELECT (or of a WITH list)."""
     body = body.strip()
-    ctes = [f"{n} AS ({VIEWS[n].strip()})" for n in needed(body) if n not in own]
+    ctes = [f"{n} AS ({VIEWS[n].strip()})" for n in needed(body, own)]
     if body.upper().startswith("WITH "):
         ctes.append(body[5:].strip())
         return "WITH RECURSIVE " + ",\n".join(ctes)
@@ -289,16 +297,29 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    def path(self, name: str) -> str:
+        return f"{self.folder}/{name}.parquet"
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            return self.spark.read.parquet(self.path(name))
+        if name in STAGED:
+            return self.staged(name)
         if name in VIEWS:
             return self.sql(f"SELECT * FROM {name}")
         raise AttributeError(name)
 
+    def staged(self, name: str) -> DataFrame:
+        text = " ".join([VIEWS[name], *[VIEWS[v] for v in needed(VIEWS[name])]])
+        sources = [self.path(b) for b in BASE_TABLES if re.search(rf"\b{b}\b", text)]
+        return derived_table(self.spark, name, text, lambda: self.sql(VIEWS[name]), sources, STAGED[name])
+
     def sql(self, body: str) -> DataFrame:
-        text = with_views(body).replace("WITH RECURSIVE", "WITH", 1)
+        text = with_views(body, tuple(STAGED)).replace("WITH RECURSIVE", "WITH", 1).replace(EACH_TEAM, EACH_TEAM_SPARK)
         for base in BASE_TABLES:
             if re.search(rf"\b{base}\b", text):
-                self.spark.read.parquet(f"{self.folder}/{base}.parquet").createOrReplaceTempView(base)
+                self.spark.read.parquet(self.path(base)).createOrReplaceTempView(base)
+        for name in STAGED:
+            if re.search(rf"\b{name}\b", text):
+                self.staged(name).createOrReplaceTempView(name)
         return self.spark.sql(text)
