@@ -1,5 +1,7 @@
 import random
+import re
 
+import xxhash
 from pyspark.sql import functions as F
 
 from chalkline.llm import lines
@@ -15,20 +17,60 @@ def passage(rng, n=8, between=" "):
     return between.join(sentence(rng) for _ in range(n))
 
 
+def slow_units(text):
+    """(unit, its block) in order: sentences of lines that have several, else lines; neighbouring short lines are one block."""
+    units, block, joined = [], 0, False
+    for line in text.split("\n"):
+        if not line.strip():
+            continue
+        parts = [line] if "\0" in line else re.split(r"(?<=[.?!]) ", line)
+        alone = len(parts) > 1 or len(line.split(" ")) >= 40
+        if alone or not joined:
+            block += 1
+        joined = not alone
+        units += [(p, block) for p in parts]
+    return units
+
+
+def slow_chunks(text):
+    """(start, end, body, hashes before, hashes after): chunks between the boundaries of every block, then the shortest run from every unit."""
+    units = slow_units(text)
+    texts, words = [u for u, _ in units], [len(u.split(" ")) for u, _ in units]
+    h = [xxhash.xxh64_intdigest(t) for t in texts]
+    found = []
+    for block in sorted({b for _, b in units}):
+        mine = [i for i, (_, b) in enumerate(units) if b == block]
+        ends, start = [], mine[0]
+        for i in mine[1:-1]:
+            if i > start and ((h[i - 1] * 31 + h[i]) >> 17) % 2 == 0:
+                ends.append(i + 1)
+                start = i + 1
+        for a, b in zip([mine[0], *ends], [*ends, mine[-1] + 1]):
+            if sum(words[a:b]) >= 8 and (b - a > 1 or words[a] >= 40):
+                found.append((a, b, "\n".join(texts[a:b]), h[max(0, a - 6):a][::-1], h[b:b + 6]))
+    for a in range(len(units)):
+        b = next((b for b in range(a + 1, len(units) + 1) if sum(words[a:b]) >= (20 if b - a > 1 else 40)), None)
+        if b:
+            found.append((a, b, ("run", "\n".join(texts[a:b])), [], []))
+    return found
+
+
 def slow_cuts(rows):
-    """Occurrences that go, by plain dictionaries: every chunk of equal bytes but the first, with its margins."""
+    """Occurrences that go, by plain dictionaries: every chunk of equal bytes but the first, with its margins; what overlaps the first in its own text stays."""
     places = {}
     for order, (i, t) in enumerate(rows):
-        for a, b, _, body, before, after in lines.chunks_of(t or ""):
+        for a, b, body, before, after in slow_chunks(t or ""):
             places.setdefault(body, []).append(((i is None, i or 0, order), a, b, before, after))
     cuts = {}
     for seen in places.values():
         seen.sort(key=lambda x: (x[0], x[1]))
-        _, _, _, before0, after0 = seen[0]
-        for (_, _, order), a, b, before, after in seen[1:]:
+        first, _, end, before0, after0 = seen[0]
+        for key, a, b, before, after in seen[1:]:
+            if key == first and a < end:
+                continue
             left = next((k for k in range(max(len(before), len(before0))) if before[k:k + 1] != before0[k:k + 1]), len(before))
             right = next((k for k in range(max(len(after), len(after0))) if after[k:k + 1] != after0[k:k + 1]), len(after))
-            cuts.setdefault(order, []).append((a - left, b + right))
+            cuts.setdefault(key[2], []).append((a - left, b + right))
     return [t if t is None or k not in cuts else lines.without(t, cuts[k]) for k, (_, t) in enumerate(rows)]
 
 
