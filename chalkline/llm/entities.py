@@ -34,7 +34,9 @@ PATTERNS = [
     ("secret", re.compile(r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{30,}|\bsk-[A-Za-z0-9_-]{20,}|\bxox[abprs]-[A-Za-z0-9-]{10,}")),
     ("secret", re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api_?key|access_?key)\b[\"']?[^\w=:]{0,5}[=:][^\w]{0,5}(?P<value>[^\s\"']*[0-9][^\s\"']*)")),
 ]
-_ANY = re.compile(r"[0-9@]")
+_DIGIT = re.compile("[0-9]")
+#: What every match of a kind holds (fixed by the patterns above), so texts without it need no search.
+_HOLDS = {"email": "@", "iban": "0", "ip": "0", "ssn": "0", "phone": "0", "card": "0"}
 
 
 @dataclass(frozen=True)
@@ -120,17 +122,35 @@ class Finder:
             out.append(Mention(surname[0], surname[1], "surname", surname[2].removesuffix("'s").removesuffix("’s").lower()))
         return out
 
+    def again(self, text: str, named: list[Mention]) -> list[Mention]:
+        """Bare mentions of the names that the text has given in full elsewhere, in their form or in capitals."""
+        forms: dict[str, tuple[str, str]] = {}
+        for m in named:
+            form = text[m.start:m.start + len(m.value)]
+            for f in (form, form.upper()):
+                if len(f) > 1:
+                    forms.setdefault(f, (m.kind, m.value))
+        if not forms:
+            return []
+        bare = re.compile(rf"(?<![\w'’-])(?:{'|'.join(map(re.escape, sorted(forms, key=len, reverse=True)))})(?![\w-])")
+        return [Mention(m.start(), m.end(), *forms[m[0]]) for m in bare.finditer(text)]
+
     def find(self, text: str) -> list[Mention]:
         found: list[Mention] = []
-        if _ANY.search(text):
-            for kind, pattern in PATTERNS:
-                for m in pattern.finditer(text):
-                    group = "value" if "value" in m.groupdict() else 0
-                    value = _canonical(kind, m[group])
-                    if value is not None:
-                        found.append(Mention(m.start(group), m.end(group), kind, value))
+        digit = _DIGIT.search(text) is not None
+        for kind, pattern in PATTERNS:
+            needs = _HOLDS.get(kind)
+            if needs == "0" and not digit or needs == "@" and "@" not in text:
+                continue
+            for m in pattern.finditer(text):
+                group = "value" if "value" in m.groupdict() else 0
+                value = _canonical(kind, m[group])
+                if value is not None:
+                    found.append(Mention(m.start(group), m.end(group), kind, value))
+        named = self.names(text)
+        found += [*named, *self.again(text, named)]
         out: list[Mention] = []
-        for _, m in sorted(enumerate([*found, *self.names(text)]), key=lambda x: (x[1].start, x[0])):
+        for _, m in sorted(enumerate(found), key=lambda x: (x[1].start, x[0])):
             if not out or m.start >= out[-1].end:
                 out.append(m)
         return out

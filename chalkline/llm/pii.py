@@ -13,11 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import rows_of, small_side, stage, text_of
+from chalkline.llm.common import free_name, rows_of, small_side, stage, text_of
 from chalkline.llm.entities import Finder, rendered, surrogate
 
 ROUNDS = 60
-ROW, MAP = "_pii_row", "_pii_map"
 
 
 def _row(id_col: str, text_col: str):
@@ -72,10 +71,11 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
 
     The key must be kept secret and makes the result repeatable; the mapping tells the originals and is for the owner of the data only.
     """
+    row_name, map_name = free_name(docs, "pii_row"), free_name(docs, "pii_map")
     found = stage(mentions(docs, id_col, text_col), "mentions")
     table = stage(mapping(found.select("kind", "value").distinct(), key), "surrogates")
-    per_row = found.distinct().join(table, ["kind", "value"]).groupBy("row").agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias(MAP))
-    per_row = small_side(stage(per_row.withColumnRenamed("row", ROW), "per-row"), F.sum(3 * F.size(MAP) + 2))
+    per_row = found.distinct().join(table, ["kind", "value"]).groupBy("row").agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias(map_name))
+    per_row = small_side(stage(per_row.withColumnRenamed("row", row_name), "per-row"), F.sum(3 * F.size(map_name) + 2))
     names = docs.columns
     at = names.index(text_col)
 
@@ -83,7 +83,7 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
         finder = Finder()
         for batch in batches:
             texts = []
-            for text, entries in rows_of([batch], text_col, MAP):
+            for text, entries in rows_of([batch], text_col, map_name):
                 if text is not None and entries:
                     known = {(e["kind"], e["value"]): e["surrogate"] for e in entries}
                     out, done = [], 0
@@ -96,5 +96,5 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    joined = docs.withColumn(ROW, _row(id_col, text_col)).join(per_row, ROW, "left").select(*[F.col(f"`{c}`") for c in names], MAP)
+    joined = docs.withColumn(row_name, _row(id_col, text_col)).join(per_row, row_name, "left").select(*[F.col(f"`{c}`") for c in names], map_name)
     return joined.mapInArrow(run, docs.schema), table
