@@ -11,7 +11,8 @@ BLOCKS = frozenset("""address article aside blockquote body button caption cente
 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot
 th thead title tr ul video""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg iframe object math canvas".split())
+RAW = frozenset("script style template iframe".split())  # skipped with what they hold
+KEEPS = frozenset("button caption object table td th".split())  # an open paragraph outside them isn't closed by what begins inside
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table div article section main body td th blockquote aside nav form select".split())
 
@@ -50,7 +51,7 @@ class Block:
 
 
 def _bits(tag: str, attributes: str) -> int:
-    bits = _ABOVE.get(tag, 0)
+    bits = _ABOVE.get(tag, 0) | (_FAMILY["notice"] if tag == "noscript" else 0)
     if attributes:
         for m in _NAMES.finditer(attributes):
             for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower()):
@@ -116,8 +117,12 @@ def blocks_of(html: str) -> list[Block]:
             continue
         if tag in BLOCKS:
             close()
-            if stack and any(t == "p" for t, _ in stack[-8:]):
-                pop(max(k for k in range(len(stack)) if stack[k][0] == "p"))
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == "p":
+                    pop(k)
+                    break
+                if stack[k][0] in KEEPS:
+                    break
             if tag in CLOSES:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] in CLOSES[tag]:

@@ -64,3 +64,14 @@ def test_odd_rows(spark, chain):
     n = 20_000 * 21 - 1
     assert got == sorted([(1, "u", 0, 0), (1, "u", 0, 0), (2, None, 0, 0), (None, "v", 26, 26), (3, "w", n, n)], key=str)
     assert html.extract(df.limit(0), chain=chain).count() == 0
+
+
+def test_only_scripts_and_styles_are_skipped():
+    texts = lambda page: [b.text for b in dom.blocks_of(page)]
+    assert texts("<article><p>Before</p><svg viewBox='0 0 1 1'><path d='M0'><p>After</p></article><p>End</p>") == ["Before", "After", "End"]
+    assert texts("<p>We write <math>x=2</math> for the <object>sum</object></p>") == ["We write x=2 for the sum"]
+    assert texts("<p>a<canvas>b</p><p>c</p>") == ["ab", "c"]
+    assert texts("<p>a<script>var x = '<p>';</script>b<style>p{}</style>c<iframe>d</iframe></p><template>e</template>") == ["abc"]
+    assert texts("<p>a" + "<b>" * 20 + "b<div>c</div>") == ["ab", "c"]
+    notice = dom.blocks_of("<noscript><p>Please enable it</p></noscript>")[0]
+    assert notice.above & dom._FAMILY["notice"]
