@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import rows_of, small_side, stage, text_of
+from chalkline.llm.common import free_name, rows_of, small_side, stage, text_of
 from chalkline.llm.graph import connected_components
 
 RADIUS = 2
@@ -121,7 +121,7 @@ def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Only ids, fingerprints and a hash of (id, text) are gathered; texts move for repeated rows alone.
     """
-    row, drop = "_simhash_row", "_simhash_drop"
+    row, drop = free_name(docs, "simhash_row"), free_name(docs, "simhash_drop")
     names = [F.col(f"`{c}`") for c in docs.columns]
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     marked = fingerprints(docs.select(F.struct(key.alias("row"), F.col(id_col).alias("id")).alias("who"), F.col(text_col).alias("body_text")), "who", "body_text", width)
