@@ -307,8 +307,12 @@ def _(t):
     lg AS (SELECT l.*, e.ev_pct AS ev FROM lag l LEFT JOIN ev e ON e.book = l.book AND e.snapshot = l.snapshot AND e.player_name = l.player_name AND e.category = l.category AND e.side = l.side AND e.line = l.line),
     sh AS (SELECT snapshot, player_name, category, count(*) FILTER (book NOT IN {TARGETS}) AS n, count(*) FILTER (book NOT IN {TARGETS} AND available = false) AS down, min(team) AS tm FROM lc WHERE book NOT IN {PICKEM} GROUP BY snapshot, player_name, category)
     SELECT CASE WHEN category = 'touchdowns' AND consensus <= 0 THEN 'lagging, avoid' ELSE 'lagging' END AS flag, book, snapshot, player_name, category, team, side, line, CASE WHEN side = 'Over' THEN over_c ELSE under_c END AS odds,
-      CASE WHEN category <> 'touchdowns' THEN ev WHEN consensus > 0 THEN {hu(f"(oi * {dec('over_c')} - 1.0E0) * 100.0E0", 1)} END AS ev_pct, {hu('consensus', 2)} AS market_move, {hu('move', 2)} AS book_move, unit FROM lg
-    UNION ALL SELECT 'pulled elsewhere', c.book, c.snapshot, c.player_name, c.category, s.tm, 'Over', c.line, c.over_odds, NULL, NULL, NULL, NULL FROM live c JOIN sh s USING (snapshot, player_name, category)
+      CASE WHEN category <> 'touchdowns' THEN ev WHEN consensus > 0 THEN {hu(f"(oi * {dec('over_c')} - 1.0E0) * 100.0E0", 1)} END AS ev_pct, {hu('consensus', 2)} AS market_move, {hu('move', 2)} AS book_move, unit,
+      CASE WHEN category = 'touchdowns' AND consensus > 0 THEN printf('other books %+.1f pts, this book %+.1f; EV vs other books'' vig-included price', {hu('consensus', 1)}, {hu('move', 1)})
+        WHEN category = 'touchdowns' THEN printf('other books %.1f pts (role shrank?), this book %+.1f; still priced for the old role', {hu('consensus', 1)}, {hu('move', 1)})
+        ELSE printf('other books moved %+.2f sd, this book %+.2f sd (line %g -> %g)', {hu('consensus', 2)}, {hu('move', 2)}, line_b, line_c) END AS note, CAST(NULL AS DOUBLE) AS pulled_share FROM lg
+    UNION ALL SELECT 'pulled elsewhere', c.book, c.snapshot, c.player_name, c.category, s.tm, 'Over', c.line, c.over_odds, NULL, NULL, NULL, NULL,
+      concat(CAST(CAST({hu('s.down * 100.0E0 / s.n')} AS INT) AS VARCHAR), '% of other books pulled this prop; check news'), {hu('s.down / s.n', 4)} FROM live c JOIN sh s USING (snapshot, player_name, category)
       WHERE c.book IN {TARGETS} AND s.n >= 3 AND s.down >= 0.67E0 * s.n AND EXISTS (SELECT 1 FROM lb WHERE lb.snapshot = c.snapshot AND lb.player_name = c.player_name AND lb.category = c.category AND (lb.available IS NULL OR lb.available) AND lb.book NOT IN {PICKEM})""")
 def _(t):
     return M.stale_lines(t.quotes, t.quotes_now)

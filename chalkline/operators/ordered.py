@@ -132,24 +132,27 @@ def _carried(sums: DataFrame, keys: Cols, columns: Cols, size: int, half: Column
     begins in and may reach into the next one, so a segment takes the earlier ones of its block and the two blocks before, faded. What lies further
     back is over `size` values older than the newest and weighs under 2^-256 of it.
     """
-    earlier = Window.partitionBy(*keys).orderBy("__chunk", "__sub").rowsBetween(Window.unboundedPreceding, -1)
-    out = sums.withColumns({f"__s_{c}": F.coalesce(F.sum(f"__k_{c}").over(earlier), F.lit(0)) for c in columns})
-    out = out.withColumns({f"__b_{c}": F.floor(F.col(f"__s_{c}") / size) for c in columns})
-    scale = {c: F.pow(F.lit(2.0), (F.col(f"__s_{c}") - F.col(f"__b_{c}") * size) / half) for c in columns}
-    out = out.withColumns({f"__{x}s_{c}": F.coalesce(F.col(f"__{x}_{c}"), F.lit(0.0)) * scale[c] for c in columns for x in "dn"})
-    for c in columns:
-        same = Window.partitionBy(*keys, f"__b_{c}").orderBy("__chunk", "__sub").rowsBetween(Window.unboundedPreceding, -1)
-        blocks = Window.partitionBy(*keys).orderBy(f"__b_{c}")
-
-        def taken(x: str, c: str = c, same=same, blocks=blocks) -> Column:
-            parts = [F.coalesce(F.sum(f"__{x}s_{c}").over(same), F.lit(0.0))]
-            for back in (1, 2):
-                fade = F.pow(F.lit(2.0), F.lit(-float(back * size)) / half)
-                parts.append(F.coalesce(F.sum(f"__{x}s_{c}").over(blocks.rangeBetween(-back, -back)), F.lit(0.0)) * fade)
-            return reduce(lambda a, b: a + b, parts) / scale[c]
-
-        out = out.withColumns({f"__{x}c_{c}": taken(x) for x in "dn"})
-    return out.select(*keys, "__chunk", "__sub", *[f"__{x}c_{c}" for c in columns for x in "dn"])
+    # One row per column, so all columns share their windows.
+    each = F.inline(F.array(*[F.struct(F.lit(i).alias("__c"), F.col(f"__k_{c}").alias("__k"), F.col(f"__d_{c}").alias("__d"), F.col(f"__n_{c}").alias("__n"))
+                              for i, c in enumerate(columns)]))
+    out = sums.select(*keys, "__chunk", "__sub", each)
+    in_order = Window.partitionBy(*keys, "__c").orderBy("__chunk", "__sub").rowsBetween(Window.unboundedPreceding, -1)
+    out = out.withColumn("__s", F.coalesce(F.sum("__k").over(in_order), F.lit(0)))
+    out = out.withColumn("__b", F.floor(F.col("__s") / size))
+    scale = F.pow(F.lit(2.0), (F.col("__s") - F.col("__b") * size) / half)
+    out = out.withColumns({f"__{x}s": F.coalesce(F.col(f"__{x}"), F.lit(0.0)) * scale for x in "dn"})
+    same = Window.partitionBy(*keys, "__c", "__b").orderBy("__chunk", "__sub").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = Window.partitionBy(*keys, "__c").orderBy("__b")
+
+    def taken(x: str) -> Column:
+        parts = [F.coalesce(F.sum(f"__{x}s").over(same), F.lit(0.0))]
+        for back in (1, 2):
+            fade = F.pow(F.lit(2.0), F.lit(-float(back * size)) / half)
+            parts.append(F.coalesce(F.sum(f"__{x}s").over(blocks.rangeBetween(-back, -back)), F.lit(0.0)) * fade)
+        return reduce(lambda a, b: a + b, parts) / scale
+
+    out = out.withColumns({f"__{x}t": taken(x) for x in "dn"})
+    return out.groupBy(*keys, "__chunk", "__sub").agg(*[F.max(F.when(F.col("__c") == i, F.col(f"__{x}t"))).alias(f"__{x}c_{c}") for i, c in enumerate(columns) for x in "dn"])
 
 
 def group_total(df: DataFrame, keys: Cols, column: str, out: str) -> DataFrame:

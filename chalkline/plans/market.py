@@ -21,6 +21,7 @@ from chalkline.operators.aggregates import team_context
 from chalkline.operators.filters import drop_pickem, exclude_books, is_available, only_available
 from chalkline.operators.joins import match_player, quotes_against_targets
 from chalkline.operators.ordered import attach, first_rows, robust_median, split_median
+from chalkline.sources.derived import settled
 
 PROP = ["player_name", "category"]
 SNAPSHOT = "snapshot"
@@ -168,23 +169,23 @@ def _fair_lines(two_way: DataFrame, target_books: Sequence[str], min_refs: int,
     """Target quotes with the other books' consensus: model, parameter, median line, reference counts and texts."""
     prop = prop_of(two_way)
     by_target = [*prop, "target_book"]
-    refs = quotes_against_targets(two_way, target_books)
-    lines = refs.groupBy(*by_target).agg(F.median("line").alias("__all_median"))
+    # Distinct prices with their rows: everything below is told from them, so the quotes are read once for the references and once for the targets.
+    prices = quotes_against_targets(two_way, target_books).groupBy(*by_target, "line", "over_odds", "under_odds").agg(
+        F.count(F.lit(1)).alias("__rows"), F.min("book").alias("book"))
+    prices = settled(prices, "prices")
+    lines = prices.groupBy(*by_target).agg(F.percentile("line", F.lit(0.5), F.col("__rows")).alias("__all_median"))
     model = O.category_model("category")
     resolved = F.when((model == "normal") & (F.col("__all_median") < O.MIN_NORMAL_LINE), F.lit("same_line")).otherwise(model)
-    lines = lines.withColumn("model", resolved)
-    same = refs.groupBy(*by_target, "line").agg(
-        F.count(F.lit(1)).alias("same_line_refs"),
+    lines = settled(lines.withColumn("model", resolved), "line-models")
+    same = prices.groupBy(*by_target, "line").agg(
+        F.sum("__rows").alias("same_line_refs"),
         _best(O.implied_prob("over_odds"), "book", "over_odds").alias("bo"),
         _best(O.implied_prob("under_odds"), "book", "under_odds").alias("bu"))
-    # Distinct prices are counted before they meet the consensus model.
-    refs = refs.groupBy(*by_target, "line", "over_odds", "under_odds").agg(F.count(F.lit(1)).alias("__rows"))
-    refs = attach(refs, lines, by_target, "inner")
     # Same-line props compare quotes at one exact line, so the line joins their group key.
     line_key = F.when(F.col("model") == "same_line", F.col("line")).otherwise(F.lit(NO_LINE))
     sd = F.when(F.col("model") == "normal", O.normal_sd("category", F.col("__all_median")))
     # Fits depend on the price alone, so each distinct price of a group is fitted once and weighted by its rows.
-    prices = refs.withColumn("line_key", line_key)
+    prices = attach(prices, lines, by_target, "inner").withColumn("line_key", line_key)
     prices = prices.withColumns({"__sd": sd, "__p": O.novig_over("over_odds", "under_odds")})
     fit = fit_param(F.col("model"), F.col("__sd"), F.col("line"), F.col("__p"))
     fitted = prices.withColumn("param", F.when(F.col("model") == "same_line", F.col("__p")).otherwise(fit))
@@ -451,6 +452,11 @@ def low_lines(quotes: DataFrame, stats: DataFrame, target_books: Sequence[str] =
 
 MIN_MOVE_SD, MIN_TD_PP, LAG_RATIO = 0.5, 4.0, 0.34
 PULLED_SHARE, PULLED_MIN_BOOKS, NEWS_MIN_PROPS = 0.67, 3, 3
+# Texts of the notes.
+NOTE_UP = "other books %s pts, this book %s; EV vs other books' vig-included price"
+NOTE_DOWN = "other books %s pts (role shrank?), this book %s; still priced for the old role"
+NOTE_LINE = "other books moved %s sd, this book %s sd (line %s -> %s)"
+NOTE_PULLED = "%d%% of other books pulled this prop; check news"
 
 
 def line_moves(baseline: DataFrame, current: DataFrame) -> DataFrame:
@@ -465,7 +471,7 @@ def line_moves(baseline: DataFrame, current: DataFrame) -> DataFrame:
     priced = ["over_b", "over_c"]
     full = [*priced, "line_b", "line_c", "under_b", "under_c"]
     ok = lambda cols: F.array_min(F.array(*[F.col(x).isNotNull() for x in cols]))
-    both = both.where((td & ok(priced)) | (~F.col("category").isin(O.ONE_WAY_CATEGORIES) & ok(full)))
+    both = settled(both.where((td & ok(priced)) | (~F.col("category").isin(O.ONE_WAY_CATEGORIES) & ok(full))), "quote-pairs")
     mid = both.groupBy(*prop).agg(F.median("line_b").alias("__mid"))
     both = attach(both, mid, prop)
     td = F.col("category") == "touchdowns"
@@ -493,13 +499,16 @@ def consensus_moves(moves: DataFrame, current: DataFrame, target_books: Sequence
 
 
 def stale_lines(baseline: DataFrame, current: DataFrame, target_books: Sequence[str] = TARGET_BOOKS) -> DataFrame:
-    """Target quotes lagging a market move, quotes still priced for an old role, and props pulled elsewhere."""
+    """Target quotes lagging a market move, quotes still priced for an old role, and props pulled elsewhere, each with a note.
+
+    The moves and the current quotes are settled once; consensus, lag, prices and pulled shares are told from them."""
     prop = prop_of(baseline)
-    moves = line_moves(baseline, current)
+    current = settled(current.select(*prop, "team", "book", "line", "over_odds", "under_odds", "available"), "current-quotes")
+    moves = settled(line_moves(baseline, current), "moves")
     cons = consensus_moves(moves, current, target_books)
     mine = attach(moves.where(F.col("book").isin(list(target_books))), cons.drop("unit"), prop, "inner")
     direction = F.when(F.col("consensus") > 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-    lag = mine.where(F.col("move") * direction < LAG_RATIO * F.abs("consensus"))
+    lag = settled(mine.where(F.col("move") * direction < LAG_RATIO * F.abs("consensus")), "lagging")
     # Only props with a lagging quote are priced.
     live = with_lower_book(current).where(is_available()).join(lag.select(*prop), prop, "left_semi")
     ev = find_ev_two_way(live, target_books, min_refs=2, max_shift_sd=10.0).groupBy("book", *prop, "side", "line").agg(
@@ -510,16 +519,22 @@ def stale_lines(baseline: DataFrame, current: DataFrame, target_books: Sequence[
         "line": F.when(td, F.lit(0.5)).otherwise(F.col("line_c"))})
     lag = attach(lag, ev, ["book", *prop, "side", "line"])
     td_ev = half_up((F.col("others_implied") * O.decimal_odds("over_c") - 1.0) * 100.0, 1)
+    number = lambda c, digits, sign="+": F.format_string(f"%{sign}.{digits}f", half_up(c, digits))
+    plain = lambda c: F.regexp_replace(F.col(c).cast("string"), r"\.0$", "")
+    note = (F.when(td & up, F.format_string(NOTE_UP, number("consensus", 1), number("move", 1)))
+            .when(td, F.format_string(NOTE_DOWN, number("consensus", 1, ""), number("move", 1)))
+            .otherwise(F.format_string(NOTE_LINE, number("consensus", 2), number("move", 2), plain("line_b"), plain("line_c"))))
     lagging = lag.select(
         F.when(td & ~up, F.lit("lagging, avoid")).otherwise(F.lit("lagging")).alias("flag"), "book", *prop, "team", "side",
         "line", F.when(F.col("side") == "Over", F.col("over_c")).otherwise(F.col("under_c")).alias("odds"),
         F.when(~td, F.col("__ev")).when(up, td_ev).alias("ev_pct"),
-        half_up("consensus", 2).alias("market_move"), half_up("move", 2).alias("book_move"), "unit")
+        half_up("consensus", 2).alias("market_move"), half_up("move", 2).alias("book_move"), "unit", note.alias("note"),
+        F.lit(None).cast("double").alias("pulled_share"))
     return lagging.unionByName(pulled_elsewhere(baseline, current, target_books))
 
 
 def pulled_elsewhere(baseline: DataFrame, current: DataFrame, target_books: Sequence[str] = TARGET_BOOKS) -> DataFrame:
-    """Target books still offering a prop that at least two thirds of three or more other books took down."""
+    """Target books still offering a prop that at least two thirds of three or more other books took down, with that share."""
     prop = prop_of(baseline)
     cur = drop_pickem(with_lower_book(current)).withColumn("__live", is_available())
     known = drop_pickem(only_available(with_lower_book(baseline))).select(*prop).distinct()
@@ -529,10 +544,13 @@ def pulled_elsewhere(baseline: DataFrame, current: DataFrame, target_books: Sequ
     share = share.where((F.col("__n") >= PULLED_MIN_BOOKS) & (F.col("__down") >= PULLED_SHARE * F.col("__n")))
     rows = attach(cur.where(mine & F.col("__live")), share, prop, "inner").join(known, prop, "left_semi")
     null = F.lit(None)
+    pulled = F.col("__down") / F.col("__n")
+    note = F.format_string(NOTE_PULLED, half_up(pulled * 100.0, 0).cast("int"))
     return rows.select(F.lit("pulled elsewhere").alias("flag"), "book", *prop, F.col("__team").alias("team"),
                        F.lit("Over").alias("side"), "line", F.col("over_odds").alias("odds"),
                        null.cast("double").alias("ev_pct"), null.cast("double").alias("market_move"),
-                       null.cast("double").alias("book_move"), null.cast("string").alias("unit"))
+                       null.cast("double").alias("book_move"), null.cast("string").alias("unit"), note.alias("note"),
+                       half_up(pulled, 4).alias("pulled_share"))
 
 
 def news_clusters(cons: DataFrame, top: int = 4) -> DataFrame:

@@ -9,16 +9,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chalkline.functions.conditions import home_spread, implied_team_total, total_value
-from chalkline.functions.teams import normalize_team
+from chalkline.functions.teams import map_literal, normalize_team
 from chalkline.functions.values import half_up, ratio, zero_if_null
 from chalkline.operators.aggregates import calibration, log_loss_of
 from chalkline.operators.ordered import attach, attach_totals, ewm_mean, first_rows, stint_features
+from chalkline.sources.derived import settled
 
 POSITIONS = ["QB", "RB", "WR", "TE", "FB"]
 COUNTS = ["carries", "targets", "rz_carries", "rz_targets", "i10_carries", "i10_targets", "tds"]
@@ -116,8 +118,9 @@ def next_game_adjustments(rows: DataFrame, next_team: Column, next_year: Column,
 
 def expected_rate(params: dict) -> Column:
     team = F.exp(F.lit(params["team_a"]) + F.lit(params["team_b"]) * F.log("implied_total"))
-    share = sum((F.lit(params["weights"][s]) * F.col(s) for s in SHARES), F.lit(0.0))
-    adj = sum((F.lit(params["adjustments"][a]) * F.col(a) for a in ADJUSTMENTS), F.lit(0.0))
+    as_lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    share = sum((as_lit(params["weights"][s]) * F.col(s) for s in SHARES), F.lit(0.0))
+    adj = sum((as_lit(params["adjustments"][a]) * F.col(a) for a in ADJUSTMENTS), F.lit(0.0))
     return team * share * F.exp(adj)
 
 
@@ -147,16 +150,19 @@ def fit_team_tds(games: DataFrame, pg: DataFrame, years: Sequence[int]) -> tuple
     return float(fitted.intercept), float(fitted.coefficients[0])
 
 
-def _pass(train: DataFrame, theta: np.ndarray, a: float, b: float) -> tuple[float, np.ndarray, np.ndarray]:
-    """Mean loss, gradient and Gauss-Newton curvature from one aggregate over the training rows."""
+Fit = tuple[float, np.ndarray, np.ndarray]
+
+
+def _passes(train: DataFrame, thetas: dict[int, np.ndarray], a: float, b: float) -> dict[int, Fit]:
+    """Mean loss, gradient and Gauss-Newton curvature of every candidate in `thetas` from one aggregate over its training rows."""
     k = len(SHARES)
-    params = {"team_a": a, "team_b": b, "weights": dict(zip(SHARES, map(float, theta[:k]))),
-              "adjustments": dict(zip(ADJUSTMENTS, map(float, theta[k:])))}
+    of = lambda i: map_literal({c: float(t[i]) for c, t in thetas.items()})[F.col("candidate")]
+    params = {"team_a": a, "team_b": b, "weights": {s: of(i) for i, s in enumerate(SHARES)}, "adjustments": {s: of(k + i) for i, s in enumerate(ADJUSTMENTS)}}
     lam = F.greatest(expected_rate(params), F.lit(RATE_FLOOR))
-    p = F.least(F.greatest(1.0 - F.exp(-lam), F.lit(CLIP)), F.lit(1.0 - CLIP))
-    y = F.when(F.col("tds") > 0, F.lit(1.0)).otherwise(F.lit(0.0))
-    rows = train.select(lam.alias("lam"), p.alias("p"), y.alias("y"), *SHARES, *ADJUSTMENTS,
-                        sum((F.lit(float(w)) * F.col(s) for s, w in zip(SHARES, theta[:k])), F.lit(0.0)).alias("xw"))
+    rows = train.where(F.col("candidate").isin(list(thetas)))
+    rows = rows.select("candidate", lam.alias("lam"), F.when(F.col("tds") > 0, F.lit(1.0)).otherwise(F.lit(0.0)).alias("y"), *SHARES, *ADJUSTMENTS,
+                       sum((of(i) * F.col(s) for i, s in enumerate(SHARES)), F.lit(0.0)).alias("xw"))
+    rows = rows.withColumn("p", F.least(F.greatest(1.0 - F.exp(-F.col("lam")), F.lit(CLIP)), F.lit(1.0 - CLIP)))
     live = (F.col("lam") > RATE_FLOOR) & (F.col("p") > CLIP) & (F.col("p") < 1.0 - CLIP)
     d_lam = F.when(live, ((F.col("p") - F.col("y")) / (F.col("p") * (1.0 - F.col("p")))) * F.exp(-F.col("lam"))).otherwise(F.lit(0.0))
     h_lam = F.when(live, F.exp(-2.0 * F.col("lam")) / (F.col("p") * (1.0 - F.col("p")))).otherwise(F.lit(0.0))
@@ -167,63 +173,99 @@ def _pass(train: DataFrame, theta: np.ndarray, a: float, b: float) -> tuple[floa
     loss = -F.avg(F.col("y") * F.log("p") + (1.0 - F.col("y")) * F.log(1.0 - F.col("p")))
     grads = [F.avg(F.col("d") * c) for c in j]
     curve = [F.avg(F.col("h") * j[r] * j[c]) for r in range(n) for c in range(r, n)]
-    row = rows.agg(loss, *grads, *curve).head()
-    g = np.array(row[1:1 + n], dtype=float)
-    h = np.zeros((n, n))
-    h[np.triu_indices(n)] = row[1 + n:]
-    return float(row[0]), g, h + np.triu(h, 1).T
+    out = {}
+    for row in rows.groupBy("candidate").agg(loss, *grads, *curve).collect():  # a row per candidate
+        h = np.zeros((n, n))
+        h[np.triu_indices(n)] = row[2 + n:]
+        out[row[0]] = float(row[1]), np.array(row[2:2 + n], dtype=float), h + np.triu(h, 1).T
+    return out
+
+
+LOW = np.array([0.0] * len(SHARES) + [-3.0] * len(ADJUSTMENTS))
+HIGH = np.array([np.inf] * len(SHARES) + [3.0] * len(ADJUSTMENTS))
+
 
+def projected_gradient(theta: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """The gradient without what points out of the bounds: zero exactly where the optimality conditions hold."""
+    return np.where((theta <= LOW) & (g > 0) | (theta >= HIGH) & (g < 0), 0.0, g)
 
-def fit_weights(train: DataFrame, a: float, b: float, iterations: int = 30, tolerance: float = 1e-6) -> tuple[dict, dict, float]:
-    """Share weights >= 0 and adjustment coefficients in [-3, 3], jointly, by projected Gauss-Newton steps with
-    backtracking; every trial point is one distributed aggregate of about 120 sums."""
+
+def fit_candidates(train: DataFrame, a: float, b: float, iterations: int = 60, tolerance: float = 1e-8) -> dict[int, tuple[np.ndarray, float, np.ndarray]]:
+    """(parameters, mean loss, projected gradient) for each `candidate` of the settled training rows: share weights >= 0 and adjustment coefficients in [-3, 3], jointly,
+    by projected Gauss-Newton steps with backtracking.
+
+    All candidates step together: a step is one distributed aggregate of about 120 sums a candidate. One is done when no entry of its projected gradient exceeds
+    `tolerance`, or when no step improves it."""
     k, m = len(SHARES), len(ADJUSTMENTS)
-    low = np.array([0.0] * k + [-3.0] * m)
-    high = np.array([np.inf] * k + [3.0] * m)
-    train = train.select("tds", "implied_total", *SHARES, *ADJUSTMENTS).cache()
-    try:
-        theta = np.array([1.0 / k] * k + [0.0] * m)
-        loss, g, h = _pass(train, theta, a, b)
-        damping = 1e-6
-        for _ in range(iterations):
-            pinned = ((theta <= low) & (g > 0)) | ((theta >= high) & (g < 0))
-            free = ~pinned
-            step = np.zeros_like(theta)
+    found = sorted(r[0] for r in train.select("candidate").distinct().collect())
+    at = {c: np.array([1.0 / k] * k + [0.0] * m) for c in found}
+    fits = _passes(train, at, a, b)
+    damping, open_ones = dict.fromkeys(found, 1e-6), set(found)
+    for _ in range(iterations):
+        open_ones -= {c for c in open_ones if np.abs(projected_gradient(at[c], fits[c][1])).max() <= tolerance or damping[c] > 1e6}
+        if not open_ones:
+            break
+        trials = {}
+        for c in open_ones:
+            _, g, h = fits[c]
+            free = ~((at[c] <= LOW) & (g > 0) | (at[c] >= HIGH) & (g < 0))
+            step = np.zeros_like(at[c])
             scale = np.diag(np.maximum(np.diag(h), 1e-9))
-            step[free] = np.linalg.solve((h + damping * scale)[np.ix_(free, free)], -g[free])
-            trial = np.clip(theta + step, low, high)
-            new_loss, new_g, new_h = _pass(train, trial, a, b)
-            if new_loss < loss:
-                gain = loss - new_loss
-                theta, loss, g, h = trial, new_loss, new_g, new_h
-                damping = max(damping / 4, 1e-9)
-                if gain < tolerance:
-                    break
+            step[free] = np.linalg.solve((h + damping[c] * scale)[np.ix_(free, free)], -g[free])
+            trials[c] = np.clip(at[c] + step, LOW, HIGH)
+        for c, fit in _passes(train, trials, a, b).items():
+            if fit[0] < fits[c][0] or fit[0] == fits[c][0] and np.abs(projected_gradient(trials[c], fit[1])).max() < np.abs(projected_gradient(at[c], fits[c][1])).max():
+                at[c], fits[c] = trials[c], fit
+                damping[c] = max(damping[c] / 4, 1e-9)
             else:
-                damping = max(damping * 10, 1e-4)
-                if damping > 1e6:
-                    break
-    finally:
-        train.unpersist()
-    return (dict(zip(SHARES, map(float, theta[:k]))), dict(zip(ADJUSTMENTS, map(float, theta[k:]))), loss)
+                damping[c] = max(damping[c] * 10, 1e-4)
+    return {c: (at[c], fits[c][0], projected_gradient(at[c], fits[c][1])) for c in found}
+
+
+def as_params(theta: np.ndarray) -> tuple[dict, dict]:
+    k = len(SHARES)
+    return dict(zip(SHARES, map(float, theta[:k]))), dict(zip(ADJUSTMENTS, map(float, theta[k:])))
+
+
+TRAIN_COLUMNS = ["tds", "implied_total", *SHARES, *ADJUSTMENTS]
+
+
+def fit_weights(train: DataFrame, a: float, b: float, iterations: int = 60, tolerance: float = 1e-8) -> tuple[dict, dict, float]:
+    """(share weights, adjustment coefficients, mean loss) of one set of training rows."""
+    rows = settled(train.select(F.lit(0).alias("candidate"), *TRAIN_COLUMNS), "training")
+    theta, loss, _ = fit_candidates(rows, a, b, iterations, tolerance)[0]
+    return *as_params(theta), loss
+
+
+def halflife_candidates(pg: DataFrame, games: DataFrame, train_years: Sequence[int], test_years: Sequence[int],
+                        candidates: Sequence[float] = (3.0, 5.0, 8.0, 12.0), min_prior: int = 3) -> list[dict]:
+    """For each half-life its parameters, fitted together with all others, the largest entry of the projected gradient and the test log loss."""
+    pg, games = settled(pg, "player-games"), settled(games, "games")
+    a, b = fit_team_tds(games, pg, train_years)
+    data = [build_dataset(pg, games, h, min_prior).select(F.lit(i).alias("candidate"), "year", *TRAIN_COLUMNS) for i, h in enumerate(candidates)]
+    data = settled(reduce(DataFrame.unionByName, data), "candidates")
+    fitted = fit_candidates(data.where(F.col("year").isin(list(train_years))), a, b)
+    test = data.where(F.col("year").isin(list(test_years)))
+    of = lambda i: map_literal({c: float(t[0][i]) for c, t in fitted.items()})[F.col("candidate")]
+    k = len(SHARES)
+    params = {"team_a": a, "team_b": b, "weights": {s: of(i) for i, s in enumerate(SHARES)}, "adjustments": {s: of(k + i) for i, s in enumerate(ADJUSTMENTS)}}
+    y = F.when(F.col("tds") > 0, F.lit(1.0)).otherwise(F.lit(0.0))
+    losses = {r[0]: r[1:] for r in predict(test, params).groupBy("candidate").agg(log_loss_of(y, F.col("p")), F.count(F.lit(1))).collect()}
+    sizes = {r[0]: r[1] for r in data.where(F.col("year").isin(list(train_years))).groupBy("candidate").agg(F.count(F.lit(1))).collect()}
+    out = []
+    for c, (theta, _, gradient) in fitted.items():
+        weights, adjustments_ = as_params(theta)
+        loss, n_test = losses.get(c, (None, 0))
+        out.append({"halflife": float(candidates[c]), "team_a": a, "team_b": b, "weights": weights, "adjustments": adjustments_, "min_prior_games": min_prior,
+                    "test_log_loss": loss, "n_train": sizes.get(c, 0), "n_test": n_test, "gradient": float(np.abs(gradient).max())})
+    return out
 
 
 def select_halflife(pg: DataFrame, games: DataFrame, train_years: Sequence[int], test_years: Sequence[int],
                     candidates: Sequence[float] = (3.0, 5.0, 8.0, 12.0), min_prior: int = 3) -> dict:
-    """Parameters of the half-life with the lowest test log loss."""
-    best: dict = {"test_log_loss": math.inf}
-    a, b = fit_team_tds(games, pg, train_years)
-    for halflife in candidates:
-        data = build_dataset(pg, games, halflife, min_prior)
-        weights, adj, _ = fit_weights(data.where(F.col("year").isin(list(train_years))), a, b)
-        params = {"halflife": float(halflife), "team_a": a, "team_b": b, "weights": weights, "adjustments": adj,
-                  "min_prior_games": min_prior}
-        test = predict(data.where(F.col("year").isin(list(test_years))), params)
-        y = F.when(F.col("tds") > 0, F.lit(1.0)).otherwise(F.lit(0.0))
-        loss = test.agg(log_loss_of(y, F.col("p"))).head()[0]
-        if loss is not None and loss < best["test_log_loss"]:
-            best = {**params, "test_log_loss": float(loss)}
-    return best
+    """Parameters of the half-life with the lowest test log loss, the first of equal ones."""
+    fitted = halflife_candidates(pg, games, train_years, test_years, candidates, min_prior)
+    return min(fitted, key=lambda f: math.inf if f["test_log_loss"] is None else f["test_log_loss"], default={"test_log_loss": math.inf})
 
 
 def evaluate(train: DataFrame, test: DataFrame, params: dict) -> DataFrame:

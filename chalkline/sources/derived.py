@@ -7,6 +7,7 @@ Aggregates and windows by the bucket key need no exchange; the number of buckets
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,3 +45,11 @@ def derived_table(spark: SparkSession, name: str, definition: str, make, paths:
         rows = make().repartition(buckets, *keys)
         rows.write.bucketBy(buckets, *keys).mode("overwrite").option("path", where).saveAsTable(table)
     return spark.table(table)
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to the shared folder and read again: several uses read rows instead of repeating the plan, and a lost executor costs a reread."""
+    spark = df.sparkSession
+    where = f"{shared_root(spark)}/settled/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    return spark.read.schema(df.schema).parquet(where)

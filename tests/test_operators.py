@@ -138,8 +138,11 @@ def test_fit_recovers_weights(spark):
     import math
 
     a, b = math.log(2.5) - math.log(21.0), 1.0
-    start = MD._pass(df, __import__("numpy").array([1 / 7] * 7 + [0.0] * 7), a, b)[0]
-    weights, adjustments, loss = MD.fit_weights(df, a, b, iterations=10)
+    tagged = df.withColumn("candidate", F.lit(0))
+    start = MD._passes(tagged, {0: __import__("numpy").array([1 / 7] * 7 + [0.0] * 7)}, a, b)[0][0]
+    weights, adjustments, loss = MD.fit_weights(df, a, b)
+    both = MD.fit_candidates(tagged.unionByName(df.where("rand(1) < 0.5").withColumn("candidate", F.lit(4))), a, b)
+    assert sorted(both) == [0, 4] and both[0][1] == pytest.approx(loss, abs=1e-9) and all(abs(g).max() < 1e-5 for _, _, g in both.values())
     assert loss < start - 0.01
     assert all(v >= 0 for v in weights.values()) and all(-3 <= v <= 3 for v in adjustments.values())
     assert weights["share_carries"] == pytest.approx(0.5, abs=0.12)
