@@ -229,16 +229,20 @@ def _(t):
     return key_players(t).withColumns({"target_share": half_up("target_share", 4), "carry_share": half_up("carry_share", 4)})
 
 
-NEWS_SQL = f"""{INJURY_SQL}, {KEY_SQL}, who AS (SELECT DISTINCT name AS player_name, team, name_key FROM slate WHERE year = 2001),
-    mates AS (SELECT k.team, k.name_key AS k, k.name AS n, i.status FROM kk k JOIN inj i ON i.name_key = k.name_key AND i.team = k.team WHERE k.is_key AND i.status IN ('out', 'doubtful', 'ir', 'inactive', 'suspended', 'pup')),
-    tm AS (SELECT w.player_name, w.team, string_agg(concat('teammate ', m.n, ' ', m.status), '; ' ORDER BY m.n, m.k, m.status) AS txt FROM who w JOIN mates m ON m.team = w.team AND m.k <> w.name_key GROUP BY w.player_name, w.team),
+# Rosters are bounded: a team has one in every league of a thousand players.
+LEAGUE = "CAST(floor(CAST(split_part(substr({0}, 2), ' ', 1) AS BIGINT) / 1000) AS BIGINT)"
+NEWS_SQL = f"""{INJURY_SQL}, {KEY_SQL}, who AS (SELECT DISTINCT name AS player_name, team, name_key, {LEAGUE.format('name_key')} AS league FROM slate),
+    mates AS (SELECT k.team, {LEAGUE.format('k.name_key')} AS league, k.name_key AS k, k.name AS n, i.status FROM kk k JOIN inj i ON i.name_key = k.name_key AND i.team = k.team WHERE k.is_key AND i.status IN ('out', 'doubtful', 'ir', 'inactive', 'suspended', 'pup')),
+    tm AS (SELECT w.player_name, w.team, string_agg(concat('teammate ', m.n, ' ', m.status), '; ' ORDER BY m.n, m.k, m.status) AS txt FROM who w JOIN mates m ON m.team = w.team AND m.league = w.league AND m.k <> w.name_key GROUP BY w.player_name, w.team),
     news AS (SELECT w.player_name, w.team, nullif(concat_ws('; ', CASE WHEN i.status IN ('out', 'doubtful', 'questionable', 'ir', 'inactive', 'suspended', 'pup') THEN concat(i.status, ' himself') END, tm.txt), '') AS news
       FROM who w LEFT JOIN inj i ON i.name_key = w.name_key AND i.team = w.team LEFT JOIN tm ON tm.player_name = w.player_name AND tm.team = w.team)"""
 
 
 def news(t):
-    who = t.slate.where(F.col("year") == 2001).select(F.col("name").alias("player_name"), "team")
-    return M.news_for(who, M.injury_status(t.injuries_edge, t.injuries_depth), key_players(t))
+    league = F.expr(LEAGUE.format("name_key")).alias("league")
+    who = t.slate.select(F.col("name").alias("player_name"), "team", league)
+    injuries = M.injury_status(t.injuries_edge, t.injuries_depth)
+    return M.news_for(who, injuries.select("*", league), key_players(t).select("*", league), ["league"]).drop("league")
 
 
 @query("mk13_news", f"WITH {NEWS_SQL} SELECT * FROM news")

@@ -96,10 +96,14 @@ def _(t):
     return select_scope(t.team_points, year=1999, week=5).select("year", "week", "team", "points_scored", "points_allowed")
 
 
-@query("rp7_implied_points_table", f"""WITH {IMPLIED_SQL}, {DEPTH_SQL} SELECT s.cid, s.year, s.week, i.implied_points, i.categories_used, {hu('i.implied_points / (s.salary / 1000.0E0)', 2)} AS value_per_1k, {LABEL} AS depth_label
-    FROM slate s LEFT JOIN ip_table i ON i.year = s.year AND i.week = s.week AND i.name_key = s.name_key LEFT JOIN dl ON dl.name_key = s.name_key""")
+@query("rp7_implied_points_table", f"""WITH {IMPLIED_SQL}, {DEPTH_SQL}, fd AS (SELECT name_key, max({hu('(salary - 2500) / 400.0E0 + length(name) / 8.0E0', 2)}) AS pts FROM slate WHERE cid % 5 <> 4 GROUP BY name_key)
+    SELECT s.cid, s.year, s.week, i.implied_points, i.categories_used, fd.pts AS comparison_points, {hu('i.implied_points - fd.pts', 2)} AS comparison_diff,
+      {hu('i.implied_points / (s.salary / 1000.0E0)', 2)} AS value_per_1k, {LABEL} AS depth_label
+    FROM slate s LEFT JOIN ip_table i ON i.year = s.year AND i.week = s.week AND i.name_key = s.name_key LEFT JOIN dl ON dl.name_key = s.name_key LEFT JOIN fd ON fd.name_key = s.name_key""")
 def _(t):
-    return R.implied_points_table(t.slate, lines(t), depth(t)).select("cid", "year", "week", "implied_points", "categories_used", "value_per_1k", "depth_label")
+    theirs = t.slate.where("cid % 5 <> 4").select("name_key", half_up((F.col("salary") - 2500) / 400.0 + F.length("name") / 8.0, 2).alias("pts"))
+    return R.implied_points_table(t.slate, lines(t), depth(t), theirs).select(
+        "cid", "year", "week", "implied_points", "categories_used", "comparison_points", "comparison_diff", "value_per_1k", "depth_label")
 
 
 Y, W = 2000, 9

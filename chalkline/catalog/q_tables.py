@@ -80,12 +80,27 @@ def _(t):
     return S.record_load("events", e, F.current_timestamp(), F.col("at")).select("source", F.col("file_time").cast("string").alias("file_time"), "row_count")
 
 
-@query("snk10_archive_snapshot", "SELECT year, week, count(*) AS n FROM player_stats WHERE year <= 1998 OR (year = 1999 AND week <= 9) GROUP BY year, week")
+@query("snk9_record_load_files", "SELECT 'events' AS source, count(*) AS row_count, true AS newest_file, true AS later_than_first FROM events")
 def _(t):
+    """Several files written one after the other: the audit row has the time of the newest, as the storage tells it."""
+    from chalkline.catalog.q_streams import scratch
+    from chalkline.sources.derived import input_files
+
+    root = scratch(t.spark, "snk9")
+    for k in range(3):
+        t.events.where(F.col("event_id") % 3 == k).write.mode("append").parquet(root)
+    times = [at for path, _, at in input_files(t.spark, [root]) if path.endswith(".parquet")]
+    row = S.record_load("events", t.spark.read.parquet(root), F.current_timestamp())
+    millis = F.unix_millis("file_time")
+    return row.select("source", "row_count", (millis == F.lit(max(times))).alias("newest_file"), (millis > F.lit(min(times))).alias("later_than_first"))
+
+
+@query("snk10_archive_snapshot", "SELECT year, week, count(*) AS n FROM player_stats GROUP BY year, week")
+def _(t):
+    """Seasons arrive one after the other, each with the last one again; only what is new is added."""
     s = t.player_stats.select("year", "week", "player_id")
-    old = s.where("year <= 1998")
-    snap = s.where("year = 1998 OR (year = 1999 AND week <= 9)")
-    return S.archive_snapshot(old, snap, ["year", "week"]).groupBy("year", "week").agg(F.count(F.lit(1)).alias("n"))
+    old = s.where("year <= 1996 OR week % 2 = 0")
+    return S.archive_snapshot(S.archive_snapshot(old, s.where("year <= 1999"), ["year", "week"]), s, ["year", "week"]).groupBy("year", "week").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("snk11_export_tables", "SELECT 'prop_bets' AS table_name, count(*) AS n FROM prop_bets UNION ALL SELECT 'prop_picks', count(*) FROM prop_picks")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chalkline.functions import odds as O
@@ -352,25 +352,33 @@ def key_players(usage: DataFrame, recent_games: int = 6, target_share: float = 1
     return agg.withColumn("is_key", is_key)
 
 
-def news_for(props: DataFrame, injuries: DataFrame, players: DataFrame) -> DataFrame:
-    """(player_name, team, news): the player's own status and key teammates who are out, joined by '; '.
+def news_for(props: DataFrame, injuries: DataFrame, players: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """(player_name, team, *scope, news): the player's own status and key teammates who are out, joined by '; '.
 
-    Teammate notes are built once per team; a team's key players who are out are few, so the note is a short text.
+    A team's note is written once, with the place of each player's part in it, and a player's own part is cut out by its place. `scope` names further
+    columns that tell rosters of one team apart (a league, a season); a roster is bounded, so texts grow with the rows.
     """
-    keyed = props.select("player_name", "team").distinct().withColumn("name_key", normalize_name("player_name"))
-    inj = injuries.select("name_key", F.col("team").alias("__team"), "status")
-    own = keyed.join(inj, (keyed.name_key == inj.name_key) & (F.lower(keyed.team) == inj["__team"]), "left").select(
-        keyed.player_name, keyed.team, keyed.name_key, "status")
-    out = players.where("is_key").join(inj, (players.name_key == inj.name_key) & (F.lower(players.team) == inj["__team"])
-                                       ).where(F.col("status").isin(OUT_STATUSES)).select(
-        players.team, players.name_key.alias("k"), players.name.alias("n"), "status")
-    by_team = out.groupBy("team").agg(F.array_sort(F.collect_list(F.struct("n", "k", "status"))).alias("mates"))
-    rows = attach(own, by_team, ["team"])
+    roster = ["team", *scope]
+    keyed = props.select("player_name", *roster).distinct().withColumn("name_key", normalize_name("player_name"))
+    inj = injuries.select("name_key", "status", F.col("team").alias("__team"), *[F.col(c).alias(f"__{c}") for c in scope])
+
+    def with_status(df: DataFrame, how: str) -> DataFrame:
+        on = [df.name_key == inj.name_key, F.lower(df.team) == inj["__team"], *[df[c] == inj[f"__{c}"] for c in scope]]
+        return df.join(inj, on, how).drop(inj.name_key).drop("__team", *[f"__{c}" for c in scope])
+
+    text = F.concat(F.lit("teammate "), F.col("name"), F.lit(" "), F.col("status"))
+    out = with_status(players.where("is_key").select("name_key", "name", *roster), "inner").where(F.col("status").isin(OUT_STATUSES)).withColumn("text", text)
+    order = ["name", "name_key", "status"]
+    note = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "text"))), lambda m: m["text"]), "; ")
+    notes = out.groupBy(*roster).agg(note.alias("note"))
+    before = F.sum(F.length("text") + 2).over(Window.partitionBy(*roster).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    places = out.select(*roster, "name_key", F.coalesce(before, F.lit(0)).alias("start"), F.length("text").alias("size"))
+    rows = attach(attach(with_status(keyed, "left"), notes, roster), places, [*roster, "name_key"])
+    head, tail = F.expr("substring(note, 1, start)"), F.expr("substring(note, start + size + 3)")
+    others = F.when(F.col("start").isNull(), F.col("note")).when(tail != "", F.concat(head, tail)).otherwise(F.expr("substring(note, 1, greatest(start - 2, 0))"))
     mine = F.when(F.col("status").isin(WATCH_STATUSES), F.concat(F.col("status"), F.lit(" himself")))
-    others = F.transform(F.filter("mates", lambda m: m["k"] != F.col("name_key")),
-                         lambda m: F.concat(F.lit("teammate "), m["n"], F.lit(" "), m["status"]))
-    news = F.concat_ws("; ", mine, others)
-    return rows.select("player_name", "team", F.when(news != "", news).alias("news"))
+    news = F.concat_ws("; ", mine, F.when(others != "", others))
+    return rows.select("player_name", *roster, F.when(news != "", news).alias("news"))
 
 
 # --- low lines ----------------------------------------------------------------------------------------------------

@@ -38,11 +38,15 @@ def implied_points(props: DataFrame, keys: Sequence[str] = ("year", "week", "nam
     return wide.select(*keys, half_up(total, 2).alias("implied_points"), listed.alias("categories_used"))
 
 
-def implied_points_table(players: DataFrame, props: DataFrame, depth: DataFrame) -> DataFrame:
-    """Slate players with implied points (NULL without props), value per $1000 and depth label, best first."""
+def implied_points_table(players: DataFrame, props: DataFrame, depth: DataFrame, comparison: DataFrame | None = None) -> DataFrame:
+    """Slate players with implied points (NULL without props), value per $1000 and depth label. `comparison` (name_key, pts) adds another
+    source's points beside them and the difference."""
     rows = attach(players, implied_points(props), [*WEEK, "name_key"])
     listed = depth.groupBy("name_key").agg(F.min("string_rank").alias("string_rank"))  # a player listed twice keeps the higher place
     rows = attach(rows, listed, ["name_key"])
+    if comparison is not None:
+        theirs = comparison.groupBy("name_key").agg(F.max("pts").alias("comparison_points"))
+        rows = attach(rows, theirs, ["name_key"]).withColumn("comparison_diff", half_up(F.col("implied_points") - F.col("comparison_points"), 2))
     return rows.withColumn("value_per_1k", S.value_per_thousand("implied_points", "salary")).withColumn(
         "depth_label", C.depth_label("string_rank"))
 
@@ -192,7 +196,11 @@ def board_picks(board: DataFrame, picks: DataFrame) -> DataFrame:
     stored = first_rows(picks.select("submitter", "prop_id", "pick"), ["submitter", "prop_id"], ["pick"])
     on_board = stored.join(board.select("prop_id", *WEEK), "prop_id")
     who = on_board.select("submitter", *WEEK).distinct()
-    rows = board.join(who, WEEK)  # a week has few submitters' boards, each of the week's few props
+    # Every submitter meets every prop of the week: submitters are dealt over all partitions, each with a copy of the board.
+    parts = int(board.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    who = who.withColumn("__part", F.pmod(F.xxhash64("submitter"), F.lit(parts)).cast("int"))
+    copies = board.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    rows = copies.join(who, [*WEEK, "__part"]).drop("__part")
     return attach(rows, on_board.select("submitter", "prop_id", "pick"), ["submitter", "prop_id"])
 
 
