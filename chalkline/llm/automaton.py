@@ -32,7 +32,7 @@ from chalkline.llm.vocabulary import Vocabulary, byte_symbols, special_pattern,
 #: Split of the lower-case word vocabulary (fixed value of its file format).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 TABLE_ROWS = 100_000
-CACHE_BYTES = 48 << 20  # a worker's, both generations
+CACHE_BYTES = 64 << 20  # a worker's, both generations
 ENTRY_BYTES = 190  # of a key, a value and their place in the table, beside their characters
 START = -1
 _CONTROL = dict.fromkeys(range(0x1C, 0x20))  # Python splits words there, Unicode white space does not
@@ -81,25 +81,33 @@ class Automaton:
         Longer labels are tried first. A place that no path leads on from is never tried again: only one accepted path leads to a place,
         so whatever was tried from there was all there is.
         """
-        n, arcs, inner, final, step = len(word), self.arcs, self.inner, self.final, self.step
+        n, arcs, inner, final, known, step = len(word), self.arcs, self.inner, self.final, self.table.get, self.step
         path: list[int] = []
         places: list[int] = []
-        choices: list[list[tuple[int, int]]] = []
+        choices: list[list[int]] = []
         dead = bytearray(n + 1)
         at, state, found = 0, START, None
         while at < n:
-            if found is None:
-                found, node = [], 0
-                for j in range(at, n):
-                    node = arcs[node].get(word[j], 0)
-                    if not node:
+            if found is None:  # ends and labels in turn
+                found, node, j = [], 0, at
+                while j < n:
+                    node = arcs[node].get(word[j])
+                    if node is None:
                         break
-                    label = inner[node] if j + 1 < n else final[node]
+                    j += 1
+                    label = inner[node] if j < n else final[node]
                     if label >= 0:
-                        found.append((j + 1, label))
+                        found += (j, label)
             while found:
-                end, label = found.pop()
-                if not dead[end] and (state < 0 or step(state, label)):
+                label, end = found.pop(), found.pop()
+                if dead[end]:
+                    continue
+                if state < 0:
+                    break
+                ok = known(state << 20 | label)
+                if ok is None:
+                    ok = step(state, label)
+                if ok:
                     break
             else:
                 dead[at] = 1
@@ -162,7 +170,8 @@ class WordCodec(dict):
     """Ids of text chunks between white space, as little-endian 32-bit bytes: the one cache of a worker, bounded by its bytes.
 
     Two generations: what is met goes into the young one (this dict); when that is full it becomes the old one, and what is met there again moves up.
-    Words inside a chunk are kept beside the chunks, under a space and the word (no chunk holds a space).
+    A word inside a chunk is looked up as the chunk that it would be alone; one beyond ASCII, which as a chunk would be normalised once more, is kept
+    under a space and the word (no chunk holds a space).
     """
 
     def __init__(self, auto: Automaton, special: dict[str, int]):
@@ -206,7 +215,7 @@ class WordCodec(dict):
             if words == [chunk]:  # kept as the chunk already
                 out.append(self.word(chunk))
             else:
-                out += [self[" " + word] for word in words]
+                out += [self[word] if word.isascii() else self[" " + word] for word in words]
         return b"".join(out)
 
     def chunks(self, text: str) -> list[str]:
