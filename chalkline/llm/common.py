@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 BROADCAST_NUMBERS = 2_000_000
+BATCH_ROWS = 1000
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -73,5 +75,19 @@ def rows_of(batches: Iterator, *columns: str) -> Iterator[tuple]:
             yield from zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in columns))
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs run inside send batches of at most so many rows to Python workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, held)
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of texts; what goes to Python workers comes in batches of at most BATCH_ROWS rows, for texts are long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{folder}/{name}.parquet")
