@@ -37,7 +37,7 @@ def cdf_array(z: np.ndarray) -> np.ndarray:
 
 def bracketed_newton(f, x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Roots of increasing functions inside [low, high]: Newton steps, halving where one would leave the bracket, until all residuals vanish or the
-    bracket is closed. `f` gives value and slope."""
+    bracket is closed; NaN for what is still open after MAX_STEPS. `f` gives value and slope."""
     for _ in range(MAX_STEPS):
         value, slope = f(x)
         low, high = np.where(value <= 0, x, low), np.where(value >= 0, x, high)
@@ -47,6 +47,8 @@ def bracketed_newton(f, x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.
         with np.errstate(divide="ignore", invalid="ignore"):
             step = x - value / slope
         x = np.where(open_, np.where((step > low) & (step < high), step, (low + high) / 2.0), x)
+    else:
+        x = np.where(open_, np.nan, x)
     return x
 
 
