@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from decimal import Decimal
 
 import numpy as np
@@ -22,14 +23,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import rows_of, small_side, stage, text_of
+from chalkline.llm.common import arrow_rows, rows_of, small_side, stage, text_of
 
 LONGEST = 5
 OVERLAP = LONGEST - 1
-EVERY = 8  # a trigger in so many windows
+EVERY = 8  # two in so many windows trigger, of those whose first word ends right
 LEAST = 100
 TOP = 2000
-BATCH_WORDS = 1 << 20
+WHOLE_WORDS = 12  # shorter pieces are one chunk
+BATCH_BYTES = 10 << 20
+HELD_BYTES = 16 << 20  # of text whose chunks a task gathers before it hands them on
+CHUNK_ROWS = 20_000  # of a batch of chunks
 FILTER_BITS = 1 << 28
 BLOCKS = 64
 NO_LANG = "und"
@@ -39,10 +43,10 @@ _PLAIN = bytes.maketrans(_CAPITAL + b".,;:!?\x0b\x0c\r\t", _SMALL + b"\n" * 9 +
 
 
 def chunks_of(words: list[bytes]) -> Iterator[tuple[bytes, bool]]:
-    """(chunk, is it the last one) of the words of a piece."""
+    """(chunk, is it the last one) of the words of a piece. A window triggers by the last byte of its first word and a hash of it all."""
     start = 0
     for k in range(1, len(words) - OVERLAP + 1):
-        if zlib.crc32(words[k]) % 2 == 0 and zlib.crc32(b" ".join(words[k:k + OVERLAP])) % EVERY < 2:
+        if words[k][-1] & 3 == 0 and zlib.crc32(b" ".join(words[k:k + OVERLAP])) % EVERY < 2:
             yield b" ".join(words[start:k + OVERLAP]), False
             start = k
     yield b" ".join(words[start:]), True
@@ -52,33 +56,32 @@ def dictionary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     """(lang, chunk, last, n): the distinct chunks of each language and how often the parse has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple, int] = {}
-        size = 0
+        counts: dict[tuple, dict[bytes, int]] = {}
+        held = 0
 
-        def flush() -> pa.RecordBatch:
-            keys = list(counts)
-            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()), pa.array([k[2] for k in keys], pa.bool_()),
-                       pa.array(counts.values(), pa.int64())]
+        def flush() -> Iterator[pa.RecordBatch]:
+            for (lang, last), found in counts.items():
+                columns = [pa.array([lang] * len(found), pa.string()), pa.array(found, pa.binary()), pa.array([last] * len(found), pa.bool_()), pa.array(found.values(), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "chunk", "last", "n"])
             counts.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["lang", "chunk", "last", "n"])
 
         for lang, body in rows_of(batches, "lang", "body"):
+            ends, inner = counts.setdefault((lang, True), {}), counts.setdefault((lang, False), {})
             for piece in body.translate(_PLAIN).split(b"\n"):
                 words = piece.split()
-                if not words:
-                    continue
-                for chunk, last in chunks_of(words) if len(words) > OVERLAP else [(b" ".join(words), True)]:
-                    key = (lang, chunk, last)
-                    had = counts.get(key)
-                    if had is None:
-                        counts[key] = 1
-                        size += len(chunk) + 200
-                    else:
-                        counts[key] = had + 1
-                if size > 32 << 20:
-                    yield flush()
-                    size = 0
-        yield flush()
+                if len(words) < WHOLE_WORDS:
+                    if words:
+                        chunk = b" ".join(words)
+                        ends[chunk] = ends.get(chunk, 0) + 1
+                else:
+                    for chunk, last in chunks_of(words):
+                        of = ends if last else inner
+                        of[chunk] = of.get(chunk, 0) + 1
+            held += len(body)
+            if held > HELD_BYTES:
+                yield from flush()
+                held = 0
+        yield from flush()
 
     source = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), text_of(text_col).cast("binary").alias("body"))
     found = source.mapInArrow(run, "lang string, chunk binary, last boolean, n long")
@@ -140,37 +143,71 @@ def longer(h: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _owned(lists: pa.ListArray, last: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words to the end of the chunk, weight) of each place; a weight of 0 where the next chunk counts what begins."""
-    sizes = np.diff(lists.offsets.to_numpy())
-    total = int(sizes.sum())
-    ends = np.repeat(np.cumsum(sizes), sizes)
-    room = ends - np.arange(total)
-    open_end = np.repeat(~last, sizes) & (room <= OVERLAP)
-    return room, np.where(open_end, 0, np.repeat(weights, sizes))
+_POWERS = np.cumprod(np.full(4096, np.uint64(0x9FB21C651E98DF25)))
+
+
+def hashes_of(texts: pa.Array, seed: int) -> np.ndarray:
+    """64-bit hashes of texts: a polynomial over their bytes, mixed. (Clashes are told apart later, so speed is what counts.)"""
+    if not len(texts):
+        return np.zeros(0, np.uint64)
+    raw = texts.cast(pa.large_binary())
+    _, offsets, data = raw.buffers()
+    ends = np.frombuffer(offsets, np.int64)[raw.offset:raw.offset + len(raw) + 1]
+    sizes = np.diff(ends)
+    octets = np.frombuffer(data, np.uint8)[ends[0]:ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    place = np.arange(len(octets)) - np.repeat(ends[:-1] - ends[0], sizes)
+    terms = (octets.astype(np.uint64) + np.uint64(seed)) * _POWERS[place % len(_POWERS)]
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms)))
+    h = (sums[ends[1:] - ends[0]] - sums[ends[:-1] - ends[0]] + sizes.astype(np.uint64)) * _STEP
+    return (h ^ (h >> np.uint64(31))) * _MIX
+
+
+@dataclass
+class Batch:
+    """About BATCH_BYTES of chunks, flat: `ids` into the distinct words `names`, hashes by language and word, words up to the chunk's end, and the
+    weight of what begins at each place (0 where the next chunk counts it)."""
 
+    names: pa.Array
+    ids: np.ndarray
+    hashes: np.ndarray
+    room: np.ndarray
+    weight: np.ndarray
+    langs: pa.Array
+    lang: np.ndarray
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches gathered up to about BATCH_WORDS words."""
+
+def _batch(held: list[pa.RecordBatch]) -> Batch:
+    column = lambda name: pa.concat_arrays([b.column(b.schema.get_field_index(name)) for b in held])
+    lists = pc.split_pattern(column("chunk"), " ")
+    sizes = np.diff(lists.offsets.to_numpy())
+    words = lists.flatten().dictionary_encode()
+    ids, names = words.indices.to_numpy(), words.dictionary
+    langs = column("lang").dictionary_encode()
+    lang = np.repeat(langs.indices.to_numpy(), sizes)
+    hashes = (hashes_of(names, 1)[ids] ^ hashes_of(langs.dictionary, 2)[lang]) * _MIX
+    room = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(ids))
+    last, n = column("last").to_numpy(zero_copy_only=False), column("n").to_numpy()
+    weight = np.where(np.repeat(~last, sizes) & (room <= OVERLAP), 0, np.repeat(n, sizes))
+    return Batch(names, ids, hashes, room, weight, langs.dictionary, lang)
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[Batch]:
     held, size = [], 0
     for batch in batches:
         held.append(batch)
-        size += len(batch.column(batch.schema.get_field_index("hashes")).values)
-        if size >= BATCH_WORDS:
-            yield pa.Table.from_batches(held).combine_chunks()
+        size += batch.column(batch.schema.get_field_index("chunk")).nbytes
+        if size >= BATCH_BYTES:
+            yield _batch(held)
             held, size = [], 0
     if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
+        yield _batch(held)
 
-def _column(t: pa.Table, name: str) -> pa.Array:
-    c = t.column(name)
-    return c.chunk(0) if c.num_chunks == 1 else pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type)
 
-
-def _hashed(chunks: DataFrame, *more: Column) -> DataFrame:
-    words = F.split("chunk", " ")
-    return chunks.select(*more, F.transform(words, lambda w: F.xxhash64("lang", w)).alias("hashes"), "last", "n")
+def _runs(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places `at` in order of their hashes, and where each new hash begins."""
+    at = at[np.argsort(h[at], kind="stable")]
+    sorted_h = h[at]
+    return at, np.flatnonzero(np.concatenate(([True], sorted_h[1:] != sorted_h[:-1])))
 
 
 def frequent_hashes(chunks: DataFrame, n: int, shorter: Filter | None, least: int) -> DataFrame:
@@ -179,26 +216,21 @@ def frequent_hashes(chunks: DataFrame, n: int, shorter: Filter | None, least: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for t in _batches(batches):
-            lists = _column(t, "hashes")
-            room, weight = _owned(lists, _column(t, "last").to_numpy(zero_copy_only=False), _column(t, "n").to_numpy())
-            words = lists.flatten().to_numpy().view(np.uint64)
-            h = words
+        for b in _batches(batches):
+            h = b.hashes
             for k in range(2, n):
-                h = longer(h, words, k)
-            fits = (room >= n) & (weight > 0)
+                h = longer(h, b.hashes, k)
+            fits = (b.room >= n) & (b.weight > 0)
             if n > 1:
                 alive = known.has(h)
                 fits[:-1] &= alive[:-1] & alive[1:]
-                h = longer(h, words, n)
-            h, weight = h[fits], weight[fits]
-            order = np.argsort(h, kind="stable")
-            h, weight = h[order], weight[order]
-            starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-            sums = np.add.reduceat(weight, starts) if len(h) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h[starts].view(np.int64)), pa.array(sums, pa.int64())], names=["hash", "count"])
-
-    counted = _hashed(chunks).mapInArrow(run, "hash long, count long")
+                h = longer(h, b.hashes, n)
+            at = np.flatnonzero(fits)
+            if len(at):
+                at, starts = _runs(h, at)
+                yield pa.RecordBatch.from_arrays([pa.array(h[at[starts]].view(np.int64)), pa.array(np.add.reduceat(b.weight[at], starts), pa.int64())], names=["hash", "count"])
+
+    counted = chunks.mapInArrow(run, "hash long, count long")
     return counted.groupBy("hash").agg(F.sum("count").alias("count")).where(F.col("count") >= least)
 
 
@@ -208,36 +240,27 @@ def phrase_counts(chunks: DataFrame, filters: list[Filter], least: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for t in _batches(batches):
-            lists = _column(t, "hashes")
-            room, weight = _owned(lists, _column(t, "last").to_numpy(zero_copy_only=False), _column(t, "n").to_numpy())
-            words = lists.flatten().to_numpy().view(np.uint64)
-            texts = _column(t, "words").flatten()
-            encoded = texts.dictionary_encode()
-            ids, names = encoded.indices.to_numpy(), encoded.dictionary
-            langs = _column(t, "lang").dictionary_encode()
-            lang_of = np.repeat(langs.indices.to_numpy(), np.diff(lists.offsets.to_numpy()))
-            h = words
-            for k in range(1, len(filters) + 1):
-                h = longer(h, words, k) if k > 1 else h
-                at = np.flatnonzero((room >= k) & (weight > 0) & known[k - 1].has(h))
+        for b in _batches(batches):
+            h = b.hashes
+            for k in range(1, len(known) + 1):
+                h = longer(h, b.hashes, k) if k > 1 else h
+                at = np.flatnonzero((b.room >= k) & (b.weight > 0) & known[k - 1].has(h))
                 if not len(at):
                     continue
-                at = at[np.argsort(h[at], kind="stable")]
-                starts = np.flatnonzero(np.concatenate(([True], h[at][1:] != h[at][:-1])))
+                at, starts = _runs(h, at)
                 first = np.repeat(at[starts], np.diff(np.append(starts, len(at))))
                 # Of equal hashes, places with other words than the first are rows of their own.
-                same = lang_of[at] == lang_of[first]
+                same = b.lang[at] == b.lang[first]
                 for j in range(k):
-                    same &= ids[at + j] == ids[first + j]
-                sums = np.add.reduceat(np.where(same, weight[at], 0), starts)
-                rows, sums = np.concatenate((at[starts], at[~same])), np.concatenate((sums, weight[at][~same]))
-                parts = [names.take(pa.array(ids[rows + j])) for j in range(k)]
+                    same &= b.ids[at + j] == b.ids[first + j]
+                sums = np.add.reduceat(np.where(same, b.weight[at], 0), starts)
+                rows, sums = np.concatenate((at[starts], at[~same])), np.concatenate((sums, b.weight[at][~same]))
+                parts = [b.names.take(pa.array(b.ids[rows + j])) for j in range(k)]
                 phrase = parts[0] if k == 1 else pc.binary_join_element_wise(*parts, " ")
-                lang = langs.dictionary.take(pa.array(lang_of[rows]))
+                lang = b.langs.take(pa.array(b.lang[rows]))
                 yield pa.RecordBatch.from_arrays([lang, phrase, pa.array(np.full(len(rows), k), pa.int32()), pa.array(sums, pa.int64())], names=["lang", "phrase", "size", "f"])
 
-    counted = _hashed(chunks, F.col("lang"), F.split("chunk", " ").alias("words")).mapInArrow(run, "lang string, phrase string, size int, f long")
+    counted = chunks.mapInArrow(run, "lang string, phrase string, size int, f long")
     return counted.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
@@ -270,12 +293,13 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     owned = F.size(F.split("chunk", " ")) - F.when(F.col("last"), 0).otherwise(OVERLAP)
     sizes = stage(chunks.groupBy("lang").agg(F.sum(owned * F.col("n")).alias("n")), "lang-sizes")
     filters: list[Filter] = []
-    for n in range(1, LONGEST + 1):
-        found = stage(frequent_hashes(chunks, n, filters[-1] if filters else None, least), f"frequent-{n}")
-        if found.isEmpty():
-            break
-        filters.append(make_filter(found))
-    counts = stage(phrase_counts(chunks, filters, least), "phrases")
+    with arrow_rows(docs.sparkSession, CHUNK_ROWS):
+        for n in range(1, LONGEST + 1):
+            found = stage(frequent_hashes(chunks, n, filters[-1] if filters else None, least), f"frequent-{n}")
+            if found.isEmpty():
+                break
+            filters.append(make_filter(found))
+        counts = stage(phrase_counts(chunks, filters, least), "phrases")
     # The longest phrases that hold a candidate have at most its count, so the largest of their counts decides.
     starts = F.explode(F.expr("flatten(transform(sequence(2, size - 1), k -> transform(sequence(1, size - k + 1), s -> struct(s as s, k as k))))"))
     inner = counts.where("size > 2").withColumn("at", starts).select("lang", _words(F.col("at.s"), F.col("at.k")).alias("phrase"), "f")
