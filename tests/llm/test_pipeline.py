@@ -65,6 +65,6 @@ def test_stages_keep_the_columns_of_documents(spark):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_read_their_whole_table(spark, name):
     rows = QUERIES[name](spark, FOLDER).count()
-    table = {"op2": None, "op3": "pages", "op8": "pages", "op9": None}.get(name.split("_")[0], "documents")
+    table = {"op2": None, "op3": "pages", "op8": "pages", "op9": None, "op11": None, "op12": None}.get(name.split("_")[0], "documents")
     if table:
         assert rows == spark.read.parquet(f"{FOLDER}/{table}.parquet").count()
