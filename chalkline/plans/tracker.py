@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chalkline.functions import odds as O
 from chalkline.functions.clock import parse_mixed_date
 from chalkline.functions.names import normalize_name
-from chalkline.functions.scoring import GRADING_PARTS, unpivot_stats
+from chalkline.functions.scoring import GRADING_PARTS, stat_of, stat_struct
 from chalkline.functions.values import half_up
 from chalkline.operators.aggregates import roi_summary
 from chalkline.operators.filters import is_available
@@ -54,8 +54,7 @@ def grade(bets: DataFrame, stats: DataFrame, final_teams: DataFrame) -> DataFram
     b = bets.withColumn("name_key", normalize_name("player_name"))
     week = ["year", "week"]
     stats = one_per_name(stats)
-    values = unpivot_stats(stats, GRADING_PARTS, ["name_key", "team", *week])
-    exact = values.select(*week, "name_key", "category", F.col("value").alias("__exact"))
+    exact = stats.select(*week, "name_key", stat_struct(GRADING_PARTS).alias("__stats"))
     # Last name + team takes the first player of the week in key order when the exact key is absent that week.
     by_last = stats.select(*week, F.element_at(F.split("name_key", " "), -1).alias("__last"), "team", "name_key")
     by_last = by_last.groupBy(*week, "__last", "team").agg(F.min("name_key").alias("__alt"))
@@ -63,7 +62,7 @@ def grade(bets: DataFrame, stats: DataFrame, final_teams: DataFrame) -> DataFram
     rows = attach(b, present, [*week, "name_key"]).withColumn("__last", F.element_at(F.split("name_key", " "), -1))
     rows = rows.join(by_last, [*week, "__last", "team"], "left")
     rows = rows.withColumn("name_key", F.when(F.col("__here"), F.col("name_key")).otherwise(F.col("__alt")))
-    rows = rows.join(exact, [*week, "name_key", "category"], "left").withColumnRenamed("__exact", "actual")
+    rows = attach(rows, exact, [*week, "name_key"]).withColumn("actual", stat_of(GRADING_PARTS, "category", "__stats")).drop("__stats")
     rows = attach(rows, final_teams.select(*week, "team").distinct().withColumn("__final", F.lit(True)), [*week, "team"])
     gradeable = F.col("category").isin(list(GRADING_PARTS))
     won = F.when(F.col("side") == "Over", F.col("actual") > F.col("line")).otherwise(F.col("actual") < F.col("line"))
