@@ -36,8 +36,9 @@ def score_props(bets: DataFrame, stats: DataFrame, teams: Sequence[DataFrame], r
 
     `bets`(prop_id, year, week, name_key, stat_field, line); of several `stats` rows of a name in a week the
     first by `one_per_name` counts; `teams` are priority sources of (year, week, name_key, team); `results` lists (year, week, team) with a final score."""
-    values = S.unpivot_stats(one_per_name(stats), S.FIELD_PARTS, [*WEEK, "name_key"], name="stat_field", value="actual")
-    rows = bets.join(values, [*WEEK, "name_key", "stat_field"], "left")
+    at = [*WEEK, "name_key"]
+    rows = attach(bets, one_per_name(stats).select(*at, S.stat_struct(S.FIELD_PARTS).alias("__stats")), at)
+    rows = rows.select(*at, "stat_field", *[c for c in bets.columns if c not in (*at, "stat_field")], S.stat_of(S.FIELD_PARTS, "stat_field", "__stats").alias("actual"))
     sources = [t.select(F.concat_ws("|", *WEEK, "name_key").alias("__who"), "team") for t in teams]
     rows = resolve_team(rows.withColumn("__who", F.concat_ws("|", *WEEK, "name_key")), sources, "__who").drop("__who")
     rows = attach(rows, results.select(*WEEK, "team").distinct().withColumn("__in", F.lit(True)), [*WEEK, "team"])
