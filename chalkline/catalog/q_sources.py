@@ -114,8 +114,8 @@ def _(t):
     q = t.quotes.withColumn("book", F.lower("book"))
     first, last = F.split("player_name", " ", 2)[0], F.split("player_name", " ", 2)[1]
     entry = F.struct(F.col("line").alias("value"), F.col("over_odds").alias("over"), F.col("under_odds").alias("under"), "available")
-    # A player's quotes are bounded by the number of books.
-    packed = q.groupBy("category", "player_name", "team", "site_projection", "snapshot").agg(F.map_from_entries(F.collect_list(F.struct("book", entry.alias("q")))).alias("comparison"))
+    # A player's quotes are bounded by the number of books. Players may share a name, so a payload is told by the player's id.
+    packed = q.groupBy("category", "player_id", "player_name", "team", "site_projection", "snapshot").agg(F.map_from_entries(F.collect_list(F.struct("book", entry.alias("q")))).alias("comparison"))
     player = F.struct(first.alias("first_name"), last.alias("last_name"), F.struct(F.upper("team").alias("key")).alias("team"))
     payload = F.to_json(F.struct(F.lit("1").alias("id"), F.col("site_projection").alias("projection"), player.alias("player"), "comparison"))
     return R.parse_markets(packed.select("category", payload.alias("payload")))
