@@ -61,7 +61,7 @@ _S3 = _stakes("over_odds", "under_odds")
     {hu(f"(100.0E0 - {_S3}) * ({dec('over_odds')} - 1.0E0) - {_S3}", 4)} AS loss_if_miss,
     {hu(f"(100.0E0 - {_S3}) * ({dec('over_odds')} - 1.0E0) + {_S3} * ({dec('under_odds')} - 1.0E0)", 4)} AS profit_if_middle_hits FROM quotes""")
 def _(t):
-    q = t.quotes.select("player_id", "book", M.balanced_stakes("over_odds", "under_odds").alias("s"))
+    q = t.unstaged("quotes").select("player_id", "book", M.balanced_stakes("over_odds", "under_odds").alias("s"))
     return q.select("player_id", "book", *[half_up(f"s.{c}", 4).alias(c) for c in ("stake_over", "stake_under", "loss_if_miss", "profit_if_middle_hits")])
 
 

@@ -42,7 +42,7 @@ def _(t):
 
 @query("flt3_exclude_books", f"""SELECT {QCOLS} FROM quotes WHERE book NOT IN ('betmgm', 'circa') AND NOT (book = 'bet365' AND category = 'touchdowns')""")
 def _(t):
-    return FL.exclude_books(t.quotes, ["betmgm", "circa"], [("bet365", "touchdowns")]).select("player_id", "book", "line")
+    return FL.exclude_books(t.unstaged("quotes"), ["betmgm", "circa"], [("bet365", "touchdowns")]).select("player_id", "book", "line")
 
 
 @query("flt4_drop_pickem", "SELECT player_id, lower(book) AS book, line FROM quotes WHERE lower(book) <> 'prizepicks'")

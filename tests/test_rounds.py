@@ -1,7 +1,10 @@
-"""Stats looked up as one wide row, players that share a name."""
+"""Stats looked up as one wide row, players that share a name, staged views."""
+
+import datetime as dt
 
 import pytest
 
+from chalkline.catalog import views as V
 from chalkline.functions.scoring import FIELD_PARTS, GRADING_PARTS, stat_of, stat_struct, unpivot_stats
 from chalkline.plans import contest as C, tracker as TR
 
@@ -57,3 +60,65 @@ def test_market_payloads_of_players_with_one_name(spark, tmp_path):
     rows = [(o, p, 1, 1, 10.0, 100.0, 0.01, 0.02, "N", None) for p in (5, 1_000_005) for o in (13, 26)]
     got = entry.queries()["src10_market_json"](spark, lineitem(spark, tmp_path, rows)).collect()
     assert len(got) == 4 and len({r.player_name for r in got}) == 1
+
+
+def shuffled_types(df):
+    """The column types of every shuffle in the plan."""
+    found = []
+
+    def walk(node):
+        if node.nodeName() == "Exchange":
+            found.append([node.output().apply(i).dataType().simpleString() for i in range(node.output().size())])
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
+
+
+ORDERS = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
+CUSTOMER = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+
+
+@pytest.fixture(scope="module")
+def odd_tables(spark, tmp_path_factory):
+    """Orders, lines and customers with repeated, unknown and NULL keys."""
+    folder = tmp_path_factory.mktemp("odd")
+    lines = [(o if o % 11 else None, o % 7 if o % 5 else None, o % 13, n, float(o * n % 40) if o % 3 else None, 1.0, 0.01 * (o % 9), 0.01 * (n % 9), "RAN"[o % 3], None)
+             for o in range(80) for n in (1, 2, 2, 5)]
+    lineitem(spark, folder, lines)
+    orders = [(o // 2 if o % 10 == 0 else o, o % 9 - 1 if o % 8 else None, None if o % 4 == 0 else "FOP"[o % 3], 1.0, dt.datetime(1995 + o % 2, 1 + o % 3, 5), "1-URGENT") for o in range(90)]
+    spark.createDataFrame(orders, ORDERS).write.parquet(f"{folder}/orders.parquet")
+    customers = [(c % 7, "c", c, 10.0, "BUILDING" if c % 2 else "FURNITURE") for c in range(8)] + [(None, "c", 1, 1.0, "BUILDING")]
+    spark.createDataFrame(customers, CUSTOMER).write.parquet(f"{folder}/customer.parquet")
+    return str(folder)
+
+
+@pytest.fixture
+def whole_plans(spark):
+    """Plans that show their shuffles before they run."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+@pytest.mark.parametrize("name", sorted(V.MADE))
+def test_staged_views_hold_the_rows_of_their_sql(spark, odd_tables, name):
+    t = V.Tables(spark, odd_tables)
+    staged, view = t.staged(name), t.unstaged(name)
+    assert staged.dtypes == view.dtypes and view.count() > 10
+    assert staged.exceptAll(view).isEmpty() and view.exceptAll(staged).isEmpty()
+
+
+@pytest.mark.parametrize("name", sorted(V.MADE))
+def test_staged_views_shuffle_numbers(spark, odd_tables, whole_plans, name):
+    """No text made of a key goes through a shuffle; the order status and the customer's segment are read texts, on rows per order or customer."""
+    shuffles = shuffled_types(V.MADE[name](V.Tables(spark, odd_tables), 4))
+    assert shuffles and all(types.count("string") <= (name == "player_weeks") for types in shuffles)
+
+
+@pytest.mark.parametrize("name", ["mk3_balanced_stakes", "fn22_outcome_probs", "flt3_exclude_books"])
+def test_row_by_row_queries_shuffle_nothing(spark, odd_tables, whole_plans, name):
+    import __spark_entry__ as entry
+
+    assert shuffled_types(entry.queries()[name](spark, odd_tables)) == []
