@@ -18,6 +18,7 @@ from chalkline.operators.joins import match_player
 from chalkline.operators.ordered import attach, first_rows
 from chalkline.operators.sets import stack_tables
 from chalkline.plans.contest import one_per_name
+from chalkline.sources.derived import settled
 
 BET_KEY = ["source", "book", "player_name", "category", "side", "line", "odds"]
 LOG_COLUMNS = ["logged_at", "source", "year", "week", "book", "player_name", "team", "category", "side", "line", "odds",
@@ -93,9 +94,10 @@ def closing_snapshots(archive: DataFrame, kickoffs: DataFrame) -> DataFrame:
 
 def closing(bets: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Closing price at the same book, line and side, closing-line value, and fair price from two or more books."""
-    close = snapshots.where(is_available()).withColumn("name_key", normalize_name("player_name")).withColumn(
-        "book", F.lower("book"))
     prop = ["year", "week", "name_key", "category", "line"]
+    # Used twice. Settled, so that names are normalised for closing rows alone: a key's NULL check would else go below the choice of the last scrape.
+    close = settled(snapshots.where(is_available()).withColumn("name_key", normalize_name("player_name")).withColumn(
+        "book", F.lower("book")).select(*prop, "book", "over_odds", "under_odds"), "closing")
     over = F.struct("over_odds", "under_odds")
     at_book = close.groupBy(*prop, "book").agg(
         F.min(F.when(F.col("over_odds").isNotNull(), over)).alias("__o"),
@@ -104,7 +106,8 @@ def closing(bets: DataFrame, snapshots: DataFrame) -> DataFrame:
     fair = close.where(usable).groupBy(*prop).agg(
         F.median(O.novig_over("over_odds", "under_odds")).alias("__p"), F.count(F.lit(1)).alias("__n"))
     b = bets.withColumn("name_key", normalize_name("player_name"))
-    rows = attach(attach(b, at_book, [*prop, "book"]), fair.where(F.col("__n") >= 2), prop)
+    # Merged: the sizes of compressed files tell too little of what a broadcast would hold.
+    rows = attach(attach(b, at_book.hint("merge"), [*prop, "book"]), fair.where(F.col("__n") >= 2).hint("merge"), prop)
     is_over = F.col("side") == "Over"
     odds = F.when(is_over, F.col("__o.over_odds")).otherwise(F.col("__u.under_odds"))
     p = F.when(is_over, F.col("__p")).otherwise(1.0 - F.col("__p"))

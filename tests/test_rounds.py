@@ -122,3 +122,16 @@ def test_row_by_row_queries_shuffle_nothing(spark, odd_tables, whole_plans, name
     import __spark_entry__ as entry
 
     assert shuffled_types(entry.queries()[name](spark, odd_tables)) == []
+
+
+def test_names_are_normalised_for_closing_rows_alone(spark, whole_plans):
+    """The plan that meets the bets reads closing rows with their keys; no name pattern runs over the archive a second time."""
+    at = dt.datetime(2001, 1, 1, 12)
+    quotes = [(2001, 1, "DEN", "P1 Last Jr.", "receptions", b, 4.5, 110.0, -120.0, at + dt.timedelta(hours=h), "true") for b in ("DraftKings", "bet365") for h in (-2, -1, 1)]
+    archive = spark.createDataFrame(quotes, "year int, week int, team string, player_name string, category string, book string, line double, over_odds double, under_odds double, scraped_at timestamp, available string")
+    games = spark.createDataFrame([(2001, 1, "DEN", at)], "year int, week int, team string, kickoff timestamp")
+    bets = spark.createDataFrame([(2001, 1, "P1 Last", "receptions", 4.5, "draftkings", "Over", 120.0)], "year int, week int, player_name string, category string, line double, book string, side string, odds double")
+    rows = TR.closing(bets, TR.closing_snapshots(archive, games))
+    assert "scraped_at" not in plan_of(rows)
+    got = rows.first()
+    assert (got.close_odds, got.clv_pct, got.close_fair_prob) == (110.0, 4.76, 0.4661)
