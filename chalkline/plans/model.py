@@ -154,30 +154,55 @@ Fit = tuple[float, np.ndarray, np.ndarray]
 
 
 def _passes(train: DataFrame, thetas: dict[int, np.ndarray], a: float, b: float) -> dict[int, Fit]:
-    """Mean loss, gradient and Gauss-Newton curvature of every candidate in `thetas` from one aggregate over its training rows."""
-    k = len(SHARES)
-    of = lambda i: map_literal({c: float(t[i]) for c, t in thetas.items()})[F.col("candidate")]
-    params = {"team_a": a, "team_b": b, "weights": {s: of(i) for i, s in enumerate(SHARES)}, "adjustments": {s: of(k + i) for i, s in enumerate(ADJUSTMENTS)}}
-    lam = F.greatest(expected_rate(params), F.lit(RATE_FLOOR))
-    rows = train.where(F.col("candidate").isin(list(thetas)))
-    rows = rows.select("candidate", lam.alias("lam"), F.when(F.col("tds") > 0, F.lit(1.0)).otherwise(F.lit(0.0)).alias("y"), *SHARES, *ADJUSTMENTS,
-                       sum((of(i) * F.col(s) for i, s in enumerate(SHARES)), F.lit(0.0)).alias("xw"))
-    rows = rows.withColumn("p", F.least(F.greatest(1.0 - F.exp(-F.col("lam")), F.lit(CLIP)), F.lit(1.0 - CLIP)))
-    live = (F.col("lam") > RATE_FLOOR) & (F.col("p") > CLIP) & (F.col("p") < 1.0 - CLIP)
-    d_lam = F.when(live, ((F.col("p") - F.col("y")) / (F.col("p") * (1.0 - F.col("p")))) * F.exp(-F.col("lam"))).otherwise(F.lit(0.0))
-    h_lam = F.when(live, F.exp(-2.0 * F.col("lam")) / (F.col("p") * (1.0 - F.col("p")))).otherwise(F.lit(0.0))
-    per_share = F.col("lam") / F.greatest(F.col("xw"), F.lit(1e-12))
-    rows = rows.withColumns({"d": d_lam, "h": h_lam, "per": per_share})
-    j = [F.col("per") * F.col(s) for s in SHARES] + [F.col("lam") * F.col(s) for s in ADJUSTMENTS]
-    n = len(j)
-    loss = -F.avg(F.col("y") * F.log("p") + (1.0 - F.col("y")) * F.log(1.0 - F.col("p")))
-    grads = [F.avg(F.col("d") * c) for c in j]
-    curve = [F.avg(F.col("h") * j[r] * j[c]) for r in range(n) for c in range(r, n)]
+    """Mean loss, gradient and Gauss-Newton curvature of every candidate in `thetas` from one pass over its training rows.
+
+    Arrow batches are summed by matrix products, a task gives its sums, and the sums are added up by an aggregate. A mean leaves out the rows where its term is NULL."""
+    k, n = len(SHARES), len(SHARES) + len(ADJUSTMENTS)
+    columns, floor, clip = [*SHARES, *ADJUSTMENTS], RATE_FLOOR, CLIP
+
+    def sums(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        upper, total = np.triu_indices(n), {}
+        for batch in batches:
+            read = lambda c: batch.column(c).to_numpy(zero_copy_only=False).astype(float)
+            of, tds, implied = read("candidate"), read("tds"), read("implied_total")
+            features = np.column_stack([read(c) for c in columns])
+            for c, theta in thetas.items():
+                at = of == c
+                if not at.any():
+                    continue
+                x, y = features[at], (tds[at] > 0).astype(float)
+                with np.errstate(all="ignore"):
+                    team = np.exp(a + b * np.log(np.where(implied[at] > 0, implied[at], np.nan)))
+                    xw = x[:, :k] @ theta[:k]
+                    lam = np.fmax(team * xw * np.exp(x[:, k:] @ theta[k:]), floor)
+                    p = np.clip(1.0 - np.exp(-lam), clip, 1.0 - clip)
+                    live = (lam > floor) & (p > clip) & (p < 1.0 - clip)
+                    d = np.where(live, (p - y) / (p * (1.0 - p)) * np.exp(-lam), 0.0)
+                    h = np.where(live, np.exp(-2.0 * lam) / (p * (1.0 - p)), 0.0)
+                    j = np.hstack([(lam / np.fmax(xw, 1e-12))[:, None] * x[:, :k], lam[:, None] * x[:, k:]])
+                known = (~np.isnan(j)).astype(float)
+                j = np.where(known > 0, j, 0.0)
+                loss = -np.sum(y * np.log(p) + (1.0 - y) * np.log(1.0 - p))
+                part = np.concatenate([[loss], d @ j, ((j * h[:, None]).T @ j)[upper], [len(y)], known.sum(axis=0), (known.T @ known)[upper]])
+                total[c] = total.get(c, 0.0) + part
+        for c, values in total.items():
+            yield pa.RecordBatch.from_pydict({"candidate": pa.array([c] * len(values), pa.int32()), "place": pa.array(range(len(values)), pa.int32()), "value": pa.array(values)})
+
+    rows = train.where(F.col("candidate").isin(list(thetas))).select("candidate", "tds", "implied_total", *columns)
+    found: dict[int, dict[int, float]] = {}
+    for c, place, value in rows.mapInArrow(sums, "candidate int, place int, value double").groupBy("candidate", "place").agg(F.sum("value")).collect():  # about 240 rows a candidate
+        found.setdefault(c, {})[place] = value
     out = {}
-    for row in rows.groupBy("candidate").agg(loss, *grads, *curve).collect():  # a row per candidate
+    for c, values in found.items():
+        every = np.array([values[i] for i in range(len(values))])
+        with np.errstate(invalid="ignore"):
+            means = every[:len(every) // 2] / every[len(every) // 2:]
         h = np.zeros((n, n))
-        h[np.triu_indices(n)] = row[2 + n:]
-        out[row[0]] = float(row[1]), np.array(row[2:2 + n], dtype=float), h + np.triu(h, 1).T
+        h[np.triu_indices(n)] = means[1 + n:]
+        out[c] = float(means[0]), means[1:1 + n], h + np.triu(h, 1).T
     return out
 
 

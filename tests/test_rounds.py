@@ -135,3 +135,30 @@ def test_names_are_normalised_for_closing_rows_alone(spark, whole_plans):
     assert "scraped_at" not in plan_of(rows)
     got = rows.first()
     assert (got.close_odds, got.clv_pct, got.close_fair_prob) == (110.0, 4.76, 0.4661)
+
+
+def test_fitting_passes_against_plain_sums(spark):
+    """NULL features leave their own terms out and nothing else."""
+    import numpy as np
+    from chalkline.plans import model as MD
+
+    columns = [*MD.SHARES, *MD.ADJUSTMENTS]
+    rows = [(0, float(i % 2), 20.0 + i % 5, *[None if (i + k) % 7 == 0 else 0.01 * ((i * (k + 3)) % 29) for k in range(len(columns))]) for i in range(60)]
+    train = spark.createDataFrame(rows, "candidate int, tds double, implied_total double, " + ", ".join(f"{c} double" for c in columns))
+    theta = np.linspace(0.1, 0.5, len(columns))
+    loss, gradient, curve = MD._passes(train, {0: theta}, -2.0, 0.9)[0]
+    k, want_loss, grads = len(MD.SHARES), [], [[] for _ in columns]
+    for _, tds, implied, *x in rows:
+        whole = all(v is not None for v in x)
+        xw = sum(t * v for t, v in zip(theta, x[:k])) if all(v is not None for v in x[:k]) else None
+        rate = np.exp(-2.0 + 0.9 * np.log(implied)) * xw * np.exp(sum(t * v for t, v in zip(theta[k:], x[k:]))) if whole else None
+        lam = max(rate, MD.RATE_FLOOR) if whole else MD.RATE_FLOOR
+        p, y = min(max(1 - np.exp(-lam), MD.CLIP), 1 - MD.CLIP), float(tds > 0)
+        want_loss.append(-(y * np.log(p) + (1 - y) * np.log(1 - p)))
+        d = (p - y) / (p * (1 - p)) * np.exp(-lam) if lam > MD.RATE_FLOOR and MD.CLIP < p < 1 - MD.CLIP else 0.0
+        for i, v in enumerate(x):
+            if v is not None:
+                grads[i].append(d * v * (lam / max(xw if xw is not None else 1e-12, 1e-12) if i < k else lam))
+    assert abs(loss - np.mean(want_loss)) < 1e-9
+    assert np.allclose(gradient, [np.mean(g) for g in grads], rtol=1e-9, atol=1e-12)
+    assert curve.shape == (len(columns), len(columns)) and np.allclose(curve, curve.T)
