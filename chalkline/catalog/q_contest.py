@@ -11,6 +11,7 @@ from chalkline.catalog.views import hu
 from chalkline.functions.scoring import DEFENSE_RATES, FIELD_PARTS, OFFENSE_BONUSES, OFFENSE_RATES
 from chalkline.functions.values import half_up
 from chalkline.operators.filters import locked_teams
+from chalkline.operators.ordered import shuffled
 from chalkline.plans import contest as C, reports as R
 
 _VALUE = "CASE b.stat_field " + " ".join(f"WHEN '{c}' THEN CAST({' + '.join('coalesce(s.' + x + ', 0)' for x in cols)} AS DOUBLE)" for c, cols in FIELD_PARTS.items()) + " END"
@@ -24,7 +25,7 @@ PROPS_SQL = f"""pt AS (SELECT name_key, max(team) AS team FROM depth GROUP BY na
 def scored_props(t):
     weeks = t.player_weeks.select("year", "week").distinct()
     depth = t.depth.groupBy("name_key").agg(F.max("team").alias("team"))
-    known = t.prop_bets.select("year", "week", "name_key").join(depth, "name_key").join(weeks, ["year", "week"], "left_semi")
+    known = t.prop_bets.select("year", "week", "name_key").join(shuffled(depth), "name_key").join(weeks, ["year", "week"], "left_semi")
     return C.score_props(t.prop_bets.drop("cid", "t"), t.player_stats, [t.slate.select("year", "week", "name_key", "team"), known], t.team_points)
 
 

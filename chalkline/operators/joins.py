@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chalkline.operators.ordered import attach, first_rows
+from chalkline.operators.ordered import attach, first_rows, shuffled
 
 Cols = Sequence[str]
 
@@ -125,7 +125,7 @@ def resolve_team(names: DataFrame, sources: Sequence[DataFrame], key: str = "nam
     best = stacked.groupBy(key).agg(*[F.max(F.when(F.col("__p") == i, F.col(team))).alias(f"__t{i}")
                                       for i in range(len(sources))])
     resolved = best.select(key, F.coalesce(*[F.col(f"__t{i}") for i in range(len(sources))]).alias(team))
-    return attach(names, resolved, [key])
+    return attach(names, shuffled(resolved), [key])
 
 
 def match_player(left: DataFrame, right: DataFrame, key: str = "name_key", last: str = "last_name",
@@ -151,7 +151,7 @@ def score_slots(slots: DataFrame, stats: DataFrame, defense: DataFrame) -> DataF
     s = first_rows(stats, ["year", "week", "name_key"], ["team", F.desc("points")])
     s = s.select("year", "week", "name_key", F.col("points").alias("__sp"), F.col("team").alias("__st"))
     d = first_rows(defense, ["year", "week", "team"], [F.desc("points")]).select("year", "week", F.col("team").alias("dst_team"), F.col("points").alias("__dp"))
-    joined = slots.join(s, ["year", "week", "name_key"], "left").join(d, ["year", "week", "dst_team"], "left")
+    joined = slots.join(shuffled(s), ["year", "week", "name_key"], "left").join(d, ["year", "week", "dst_team"], "left")
     is_dst = F.upper("slot") == "DST"
     return (joined.withColumn("actual_pts", F.when(is_dst, F.col("__dp")).otherwise(F.col("__sp")))
             .withColumn("stat_team", F.when(is_dst, F.col("dst_team")).otherwise(F.col("__st")))

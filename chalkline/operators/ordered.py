@@ -33,6 +33,12 @@ def attach(df: DataFrame, side: DataFrame, keys: Cols, how: str = "left", null_s
     return df.join(renamed, on, how).drop(*[f"__k_{k}" for k in keys])
 
 
+def shuffled(side: DataFrame) -> DataFrame:
+    """`side`, one row per player or prop, for a join that never broadcasts it. Spark judges a side by its compressed shuffle files, and ten times that
+    passes the driver; a plan with several such sides fills it long before any one of them is too large to broadcast."""
+    return side.hint("merge")
+
+
 def attach_totals(df: DataFrame, keys: Cols, **aggs: Column) -> DataFrame:
     """Group aggregates joined back to every row (the skew-safe form of an unordered window)."""
     return attach(df, df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()]), keys)
@@ -272,7 +278,7 @@ def dropped_week(scores: DataFrame, keys: Cols = ("submitter",), week: str = "we
     counted = scores.where(F.col(score).isNotNull())
     many = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= 2).drop("__n")
     low = first_rows(counted, keys, [F.col(score), F.col(week)])
-    return low.join(many, list(keys), "left_semi").select(*keys, F.col(week).alias("dropped_week"))
+    return low.join(shuffled(many), list(keys), "left_semi").select(*keys, F.col(week).alias("dropped_week"))
 
 
 def weekly_top(scores: DataFrame, keys: Cols = ("year", "week"), score: str = "score") -> DataFrame:

@@ -14,7 +14,7 @@ from chalkline.functions.teams import normalize_team
 from chalkline.functions.values import half_up, zero_if_null
 from chalkline.operators.aggregates import lineup_total
 from chalkline.operators.joins import resolve_team, score_slots
-from chalkline.operators.ordered import attach, dropped_week, first_rows, weekly_top
+from chalkline.operators.ordered import attach, dropped_week, first_rows, shuffled, weekly_top
 
 WEEK = ["year", "week"]
 LINEUP_SCHEMA = "array<struct<slot:string,name:string,position:string,salary:int>>"
@@ -37,7 +37,7 @@ def score_props(bets: DataFrame, stats: DataFrame, teams: Sequence[DataFrame], r
     `bets`(prop_id, year, week, name_key, stat_field, line); of several `stats` rows of a name in a week the
     first by `one_per_name` counts; `teams` are priority sources of (year, week, name_key, team); `results` lists (year, week, team) with a final score."""
     at = [*WEEK, "name_key"]
-    rows = attach(bets, one_per_name(stats).select(*at, S.stat_struct(S.FIELD_PARTS).alias("__stats")), at)
+    rows = attach(bets, shuffled(one_per_name(stats).select(*at, S.stat_struct(S.FIELD_PARTS).alias("__stats"))), at)
     rows = rows.select(*at, "stat_field", *[c for c in bets.columns if c not in (*at, "stat_field")], S.stat_of(S.FIELD_PARTS, "stat_field", "__stats").alias("actual"))
     sources = [t.select(F.concat_ws("|", *WEEK, "name_key").alias("__who"), "team") for t in teams]
     rows = resolve_team(rows.withColumn("__who", F.concat_ws("|", *WEEK, "name_key")), sources, "__who").drop("__who")
@@ -89,7 +89,7 @@ def season_standings(scores: DataFrame, drop_lowest: bool = True, excluded: dict
         return totals.withColumn("total", half_up("total", 2))
     low = dropped_week(counted.where(F.col("__s").isNotNull()), ("year", "submitter"), "week", "__s")
     worst = counted.groupBy("year", "submitter").agg(F.min("__s").alias("__low"))
-    rows = attach(attach(totals, low, ["year", "submitter"]), worst, ["year", "submitter"])
+    rows = attach(attach(totals, shuffled(low), ["year", "submitter"]), shuffled(worst), ["year", "submitter"])
     total = F.col("total") - F.when(F.col("dropped_week").isNotNull(), F.col("__low")).otherwise(F.lit(0.0))
     return rows.withColumn("total", half_up(total, 2)).drop("__low")
 
@@ -104,7 +104,7 @@ def weekly_winners(scores: DataFrame, excluded: dict | None = None) -> DataFrame
 def graded_picks(picks: DataFrame, scored: DataFrame) -> DataFrame:
     """Picks with their prop's result; is_correct is NULL for push, void and pending. A pick whose prop is gone is pending."""
     props = first_rows(scored, ["prop_id"], ["player_name", "stat_field", "line"])
-    rows = picks.join(props.select("prop_id", "player_name", "stat_field", "line", "actual", "result"), "prop_id", "left")
+    rows = picks.join(shuffled(props.select("prop_id", "player_name", "stat_field", "line", "actual", "result")), "prop_id", "left")
     live = F.col("result").isNotNull() & ~F.col("result").isin(UNGRADED)
     return rows.withColumn("is_correct", F.when(live, F.col("result") == F.col("pick")))
 
@@ -131,7 +131,7 @@ def prop_standings(graded: DataFrame, excluded: dict | None = None) -> DataFrame
 def standings_long(scores: DataFrame, graded: DataFrame, excluded: dict | None = None) -> DataFrame:
     """Long export: one row per submitter, week and contest, with a flag on the lineup week that the season total drops."""
     low = dropped_week(scores.where(F.col("score").isNotNull() & counts_toward_season("year", "week", excluded)), ("year", "submitter"))
-    flagged = attach(scores, low, ["year", "submitter"])
+    flagged = attach(scores, shuffled(low), ["year", "submitter"])
     lineups = flagged.select(*WEEK, "submitter", F.lit("lineup").alias("contest"), F.col("score").alias("points"),
                              F.when(F.col("score").isNull(), F.lit("pending")).otherwise(F.lit("final")).alias("status"),
                              F.coalesce(F.col("week") == F.col("dropped_week"), F.lit(False)).alias("is_dropped_week"))

@@ -13,7 +13,7 @@ from chalkline.functions.values import half_up, ratio, to_int, zero_if_null
 from chalkline.operators import aggregates as A
 from chalkline.operators.filters import before_week, locked_teams
 from chalkline.operators.joins import full_outer_fill, nearest_within, per_team
-from chalkline.operators.ordered import attach, attach_totals, first_rows, minmax_fraction, rank_fraction, rank_in_group, trailing_mean
+from chalkline.operators.ordered import attach, attach_totals, first_rows, minmax_fraction, rank_fraction, rank_in_group, shuffled, trailing_mean
 from chalkline.operators.sets import position_rank
 
 WEEK = ["year", "week"]
@@ -188,20 +188,20 @@ def props_board(bets: DataFrame, scored: DataFrame, schedule: DataFrame, now: Co
     locks = locked_teams(schedule, now).withColumn("__l", F.lit(True))
     board = attach(board, locks, [*WEEK, "team"]).withColumn("locked", F.coalesce("__l", F.lit(False))).drop("__l")
     counts = picks.groupBy("prop_id").agg(F.countDistinct("submitter").alias("submitters"))
-    return attach(board, counts, ["prop_id"]).withColumn("submitters", zero_if_null("submitters"))
+    return attach(board, shuffled(counts), ["prop_id"]).withColumn("submitters", zero_if_null("submitters"))
 
 
 def board_picks(board: DataFrame, picks: DataFrame) -> DataFrame:
     """The board once per submitter who has picks on it, with each prop's stored pick (NULL where there is none)."""
     stored = first_rows(picks.select("submitter", "prop_id", "pick"), ["submitter", "prop_id"], ["pick"])
-    on_board = stored.join(board.select("prop_id", *WEEK), "prop_id")
+    on_board = stored.join(shuffled(board.select("prop_id", *WEEK)), "prop_id")
     who = on_board.select("submitter", *WEEK).distinct()
     # Every submitter meets every prop of the week: submitters are dealt over all partitions, each with a copy of the board.
     parts = int(board.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     who = who.withColumn("__part", F.pmod(F.xxhash64("submitter"), F.lit(parts)).cast("int"))
     copies = board.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     rows = copies.join(who, [*WEEK, "__part"]).drop("__part")
-    return attach(rows, on_board.select("submitter", "prop_id", "pick"), ["submitter", "prop_id"])
+    return attach(rows, shuffled(on_board.select("submitter", "prop_id", "pick")), ["submitter", "prop_id"])
 
 
 def season_schedule(schedule: DataFrame, current: DataFrame) -> DataFrame:

@@ -161,3 +161,21 @@ def test_a_player_listed_twice_on_the_depth_chart_stays_one_row(spark):
     depth = spark.createDataFrame([("ivo brandt", 3), ("ivo brandt", 1)], "name_key string, string_rank int")
     rows = R.implied_points_table(players, props, depth).collect()
     assert len(rows) == 1 and rows[0].string_rank == 1 and rows[0].implied_points == 5.0
+
+
+def test_rows_per_player_are_not_broadcast(spark, scored_props):
+    """Sides of one row per player, prop or submitter are merged: several of them broadcast in one plan fill the driver."""
+    from chalkline.plans import reports as R
+
+    bets, stats, teams, final = scored_props
+    scored = C.score_props(bets, stats, [teams], final).withColumn("player_name", F.initcap("name_key"))
+    picks = spark.createDataFrame([(YEAR, 3, "orchid", "over", "over"), (YEAR, 3, "thistle", "out", "under")], "year int, week int, submitter string, prop_id string, pick string")
+    schedule = spark.createDataFrame([(YEAR, 3, "chi", None)], "year int, week int, team string, kickoff timestamp")
+    board = R.props_board(bets, scored, schedule, F.current_timestamp(), picks)
+    kinds = {"graded": (C.graded_picks(picks, scored), 1), "board": (board, 2), "picks": (R.board_picks(board, picks), 5)}
+    for name, (df, small) in kinds.items():
+        rows = df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+        assert rows and plan.count("BroadcastHashJoin") <= small, name
+        assert plan.count("SortMergeJoin") >= {"graded": 3, "board": 3, "picks": 2}[name], name
+    assert {(r.submitter, r.prop_id): r.pick for r in R.board_picks(board, picks).collect() if r.pick} == {("orchid", "over"): "over", ("thistle", "out"): "under"}
