@@ -117,6 +117,17 @@ def test_staged_views_shuffle_numbers(spark, odd_tables, whole_plans, name):
     assert shuffles and all(types.count("string") <= (name == "player_weeks") for types in shuffles)
 
 
+def test_player_weeks_are_joined_in_as_many_tasks_as_buckets(spark, odd_tables):
+    """Spark puts partitions of a small shuffle together, one per core; dealt by number they stay apart, so a task does not grow with the tables. Customers are not broadcast."""
+    weeks = V.staged_player_weeks(V.Tables(spark, odd_tables), 11)
+    assert weeks.collect()
+    plan = weeks._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+    for key in ("o_orderkey", "l_orderkey"):
+        assert any(f"hashpartitioning({key}#" in line and ", 11)" in line for line in plan.splitlines()), key
+    joins = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+    assert len(joins) == 2 and "BroadcastExchange" not in plan
+
+
 @pytest.mark.parametrize("name", ["mk3_balanced_stakes", "fn22_outcome_probs", "flt3_exclude_books"])
 def test_row_by_row_queries_shuffle_nothing(spark, odd_tables, whole_plans, name):
     import __spark_entry__ as entry
