@@ -20,8 +20,8 @@ from chalkline.functions.values import half_up
 from chalkline.operators.aggregates import team_context
 from chalkline.operators.filters import drop_pickem, exclude_books, is_available, only_available
 from chalkline.operators.joins import match_player, quotes_against_targets
-from chalkline.operators.ordered import attach, first_rows, robust_median, split_median
-from chalkline.sources.derived import settled
+from chalkline.operators.ordered import attach, first_rows, robust_median, shuffled, split_median
+from chalkline.sources.derived import dealt, settled
 
 PROP = ["player_name", "category"]
 SNAPSHOT = "snapshot"
@@ -165,18 +165,31 @@ def find_value(quotes: DataFrame, min_diff_pct: float = 8.0, excluded: Sequence[
         F.when(F.col("diff") > 0, F.lit("Over")).otherwise(F.lit("Under")).alias("direction"))
 
 
+def _attach_in_prop(df: DataFrame, side: DataFrame, prop: Sequence[str], keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """`attach` by `prop` and `keys` where both lie dealt by `prop`. A join by more than they are dealt by would shuffle both, so a prop's few rows of `side` (one per
+    target book, or per target book and line) are joined as one map."""
+    rest = [c for c in side.columns if c not in (*prop, *keys)]
+    entry = F.struct(F.struct(*keys).alias("k"), F.struct(*rest).alias("v"))
+    packed = side.groupBy(*prop).agg(F.map_from_entries(F.collect_list(entry)).alias("__of"))
+    found = attach(df, shuffled(packed), prop, how).withColumn("__found", F.col("__of")[F.struct(*keys)]).drop("__of")
+    found = found.where(F.col("__found").isNotNull()) if how == "inner" else found
+    return found.select("*", *[F.col("__found")[c].alias(c) for c in rest]).drop("__found")
+
+
 def _fair_lines(two_way: DataFrame, target_books: Sequence[str], min_refs: int, max_shift_sd: float) -> DataFrame:
     """Target quotes with the other books' consensus: model, parameter, median line, reference counts and texts."""
     prop = prop_of(two_way)
     by_target = [*prop, "target_book"]
+    # Every group and join below is within a prop: dealt by prop once, nothing is shuffled again. A prop has few rows, one per book and scrape.
+    two_way = dealt(two_way, prop)
     # Distinct prices with their rows: everything below is told from them, so the quotes are read once for the references and once for the targets.
     prices = quotes_against_targets(two_way, target_books).groupBy(*by_target, "line", "over_odds", "under_odds").agg(
         F.count(F.lit(1)).alias("__rows"), F.min("book").alias("book"))
-    prices = settled(prices, "prices")
+    prices = settled(prices, "prices", prop)
     lines = prices.groupBy(*by_target).agg(F.percentile("line", F.lit(0.5), F.col("__rows")).alias("__all_median"))
     model = O.category_model("category")
     resolved = F.when((model == "normal") & (F.col("__all_median") < O.MIN_NORMAL_LINE), F.lit("same_line")).otherwise(model)
-    lines = settled(lines.withColumn("model", resolved), "line-models")
+    lines = settled(lines.withColumn("model", resolved), "line-models", prop)
     same = prices.groupBy(*by_target, "line").agg(
         F.sum("__rows").alias("same_line_refs"),
         _best(O.implied_prob("over_odds"), "book", "over_odds").alias("bo"),
@@ -185,10 +198,12 @@ def _fair_lines(two_way: DataFrame, target_books: Sequence[str], min_refs: int,
     line_key = F.when(F.col("model") == "same_line", F.col("line")).otherwise(F.lit(NO_LINE))
     sd = F.when(F.col("model") == "normal", O.normal_sd("category", F.col("__all_median")))
     # Fits depend on the price alone, so each distinct price of a group is fitted once and weighted by its rows.
-    prices = attach(prices, lines, by_target, "inner").withColumn("line_key", line_key)
+    prices = _attach_in_prop(prices, lines, prop, ["target_book"]).withColumn("line_key", line_key)
     prices = prices.withColumns({"__sd": sd, "__p": O.novig_over("over_odds", "under_odds")})
     fit = fit_param(F.col("model"), F.col("__sd"), F.col("line"), F.col("__p"))
     fitted = prices.withColumn("param", F.when(F.col("model") == "same_line", F.col("__p")).otherwise(fit))
+    # Spark does not see that rows lie as before once they have been through Python.
+    fitted = dealt(fitted.select(*by_target, "line_key", "line", "param", "__rows"), prop)
     text = F.format_string("%s", F.regexp_replace(F.col("line").cast("string"), r"\.0$", ""))
     consensus = fitted.groupBy(*by_target, "line_key").agg(
         F.percentile("param", F.lit(0.5), F.col("__rows")).alias("param"), F.sum("__rows").alias("ref_books"),
@@ -196,9 +211,9 @@ def _fair_lines(two_way: DataFrame, target_books: Sequence[str], min_refs: int,
         F.min("line").alias("ref_lo"), F.max("line").alias("ref_hi"),
         F.array_join(F.array_sort(F.collect_set(text)), ",").alias("ref_lines"))
     targets = two_way.where(F.col("book").isin(list(target_books))).withColumn("target_book", F.col("book"))
-    targets = attach(targets, lines, by_target, "inner").withColumn("line_key", line_key)
-    targets = attach(targets, consensus, [*by_target, "line_key"], "inner").where(F.col("ref_books") >= min_refs)
-    targets = attach(targets, same, [*by_target, "line"])
+    targets = _attach_in_prop(targets, lines, prop, ["target_book"]).withColumn("line_key", line_key)
+    targets = _attach_in_prop(targets, consensus, prop, ["target_book", "line_key"]).where(F.col("ref_books") >= min_refs)
+    targets = _attach_in_prop(targets, same, prop, ["target_book", "line"], "left")
     spread = F.when(F.col("model") == "normal", O.normal_sd("category", F.col("ref_line")))
     shift = F.abs(F.col("line") - F.col("ref_line"))
     return targets.withColumn("sd", spread).where(

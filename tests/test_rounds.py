@@ -128,6 +128,14 @@ def test_player_weeks_are_joined_in_as_many_tasks_as_buckets(spark, odd_tables):
     assert len(joins) == 2 and "BroadcastExchange" not in plan
 
 
+def test_fair_prices_of_staged_quotes_shuffle_fitted_prices_alone(spark, odd_tables, whole_plans):
+    """Groups and joins within a prop stay where the staged quotes lie; only what comes back from Python is dealt again."""
+    from chalkline.plans import market as M
+
+    rows = M.find_ev_two_way(V.Tables(spark, odd_tables).quotes)
+    assert len(shuffled_types(rows)) == 1 and rows.count() >= 0
+
+
 @pytest.mark.parametrize("name", ["mk3_balanced_stakes", "fn22_outcome_probs", "flt3_exclude_books"])
 def test_row_by_row_queries_shuffle_nothing(spark, odd_tables, whole_plans, name):
     import __spark_entry__ as entry
