@@ -145,6 +145,15 @@ def match_player(left: DataFrame, right: DataFrame, key: str = "name_key", last:
         "__exact", "__last", "__team", "__fallback")
 
 
+def flag_teams(df: DataFrame, teams: DataFrame, out: str) -> DataFrame:
+    """`out`: whether `teams`(year, week, team) lists the row's week and team; not true otherwise.
+
+    A row per week carries its teams, so the broadcast follows the calendar and has number keys, which Spark packs into one long. A broadcast by text keys
+    takes a memory page of its own on the driver, up to 64 MB, however few rows it has."""
+    weeks = teams.groupBy("year", "week").agg(F.collect_set("team").alias("__teams"))
+    return attach(df, F.broadcast(weeks), ["year", "week"]).withColumn(out, F.array_contains("__teams", F.col("team"))).drop("__teams")
+
+
 def score_slots(slots: DataFrame, stats: DataFrame, defense: DataFrame) -> DataFrame:
     """Points per lineup slot: defences by team, everyone else by name. Where a name (or team) has several rows in a week, the first by
     team and then by most points counts, so a slot stays one row."""

@@ -13,7 +13,7 @@ from chalkline.functions.names import normalize_name
 from chalkline.functions.teams import normalize_team
 from chalkline.functions.values import half_up, zero_if_null
 from chalkline.operators.aggregates import lineup_total
-from chalkline.operators.joins import resolve_team, score_slots
+from chalkline.operators.joins import flag_teams, resolve_team, score_slots
 from chalkline.operators.ordered import attach, dropped_week, first_rows, shuffled, weekly_top
 
 WEEK = ["year", "week"]
@@ -41,7 +41,7 @@ def score_props(bets: DataFrame, stats: DataFrame, teams: Sequence[DataFrame], r
     rows = rows.select(*at, "stat_field", *[c for c in bets.columns if c not in (*at, "stat_field")], S.stat_of(S.FIELD_PARTS, "stat_field", "__stats").alias("actual"))
     sources = [t.select(F.concat_ws("|", *WEEK, "name_key").alias("__who"), "team") for t in teams]
     rows = resolve_team(rows.withColumn("__who", F.concat_ws("|", *WEEK, "name_key")), sources, "__who").drop("__who")
-    rows = attach(rows, results.select(*WEEK, "team").distinct().withColumn("__in", F.lit(True)), [*WEEK, "team"])
+    rows = flag_teams(rows, results, "__in")
     known = F.col("stat_field").isin(list(S.FIELD_PARTS))
     result = (F.when(F.col("actual") > F.col("line"), F.lit("over")).when(F.col("actual") < F.col("line"), F.lit("under"))
               .when(F.col("actual") == F.col("line"), F.lit("push")).when(known & F.col("__in"), F.lit("void")))
@@ -68,7 +68,7 @@ def lineup_rows(slots: DataFrame, stats: DataFrame, defense: DataFrame, slate: D
     rows = resolve_team(rows.withColumn("__who", key), sources, "__who").drop("__who")
     is_dst = F.upper("slot") == "DST"
     rows = rows.withColumn("team", F.when(is_dst, F.col("stat_team")).otherwise(F.coalesce("stat_team", "team"))).drop("stat_team")
-    rows = attach(rows, results.select(*WEEK, "team").distinct().withColumn("__in", F.lit(True)), [*WEEK, "team"])
+    rows = flag_teams(rows, results, "__in")
     dnp = ~is_dst & F.col("actual_pts").isNull() & F.coalesce(F.col("__in"), F.lit(False)) & F.col("team").isNotNull()
     return rows.withColumn("dnp", dnp).withColumn(
         "actual_pts", F.when(F.col("dnp"), F.lit(0.0)).otherwise(F.col("actual_pts"))).drop("__in")
