@@ -12,7 +12,7 @@ from chalkline.functions.teams import normalize_team, roof_type
 from chalkline.functions.values import half_up, ratio, to_int, zero_if_null
 from chalkline.operators import aggregates as A
 from chalkline.operators.filters import before_week, locked_teams
-from chalkline.operators.joins import full_outer_fill, nearest_within, per_team
+from chalkline.operators.joins import flag_teams, full_outer_fill, nearest_within, per_team
 from chalkline.operators.ordered import attach, attach_totals, first_rows, minmax_fraction, rank_fraction, rank_in_group, shuffled, trailing_mean
 from chalkline.operators.sets import position_rank
 
@@ -185,8 +185,7 @@ def props_board(bets: DataFrame, scored: DataFrame, schedule: DataFrame, now: Co
     """Latest board with results, locks and how many submitters picked each prop."""
     newest = bets.agg(F.max(F.struct(*WEEK))).scalar()
     board = scored.where(F.struct(*WEEK) == newest)
-    locks = locked_teams(schedule, now).withColumn("__l", F.lit(True))
-    board = attach(board, locks, [*WEEK, "team"]).withColumn("locked", F.coalesce("__l", F.lit(False))).drop("__l")
+    board = flag_teams(board, locked_teams(schedule, now), "locked").withColumn("locked", F.coalesce("locked", F.lit(False)))
     counts = picks.groupBy("prop_id").agg(F.countDistinct("submitter").alias("submitters"))
     return attach(board, shuffled(counts), ["prop_id"]).withColumn("submitters", zero_if_null("submitters"))
 
