@@ -199,7 +199,7 @@ def board_picks(board: DataFrame, picks: DataFrame) -> DataFrame:
     parts = int(board.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     who = who.withColumn("__part", F.pmod(F.xxhash64("submitter"), F.lit(parts)).cast("int"))
     copies = board.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    rows = copies.join(who, [*WEEK, "__part"]).drop("__part")
+    rows = copies.join(shuffled(who), [*WEEK, "__part"]).drop("__part")
     return attach(rows, shuffled(on_board.select("submitter", "prop_id", "pick")), ["submitter", "prop_id"])
 
 

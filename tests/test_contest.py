@@ -1,5 +1,6 @@
 """An invented contest with hand-computed lineups, standings, props, breakdowns and usage."""
 
+import datetime as dt
 import json
 
 import pytest
@@ -179,3 +180,46 @@ def test_rows_per_player_are_not_broadcast(spark, scored_props):
         assert rows and plan.count("BroadcastHashJoin") <= small, name
         assert plan.count("SortMergeJoin") >= {"graded": 3, "board": 3, "picks": 2}[name], name
     assert {(r.submitter, r.prop_id): r.pick for r in R.board_picks(board, picks).collect() if r.pick} == {("orchid", "over"): "over", ("thistle", "out"): "under"}
+
+
+def broadcast_keys(df):
+    """The modes of the broadcasts of the final plan."""
+    found = []
+
+    def walk(node):
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if node.nodeName().endswith("QueryStage"):
+            return walk(node.plan())
+        if node.nodeName() == "BroadcastExchange":
+            found.append((node.mode().toString(), node.output().mkString(",")))
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    df.collect()
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
+
+
+def test_broadcasts_of_props_and_boards_have_one_number_as_key(spark, scored_props):
+    """A broadcast by text keys takes a page of up to 64 MB on the driver however few rows it has; by year and week it takes what it holds."""
+    bets, stats, teams, final = scored_props
+    scored = C.score_props(bets, stats, [teams], final).withColumn("player_name", F.initcap("name_key"))
+    picks = spark.createDataFrame([(YEAR, 3, "orchid", "over", "over")], "year int, week int, submitter string, prop_id string, pick string")
+    schedule = spark.createDataFrame([(YEAR, 3, "chi", dt.datetime(2020, 1, 1))], "year int, week int, team string, kickoff timestamp")
+    board = R.props_board(bets, scored, schedule, F.current_timestamp(), picks)
+    for df in (C.graded_picks(picks, scored), board, R.board_picks(board, picks)):
+        found = broadcast_keys(df)
+        assert all(mode.startswith("HashedRelationBroadcastMode(List((shiftleft(cast(") for mode, _ in found)
+        assert not any("submitter" in columns for _, columns in found)
+
+
+def test_teams_of_a_week_are_flagged(spark):
+    """Repeated, null and unknown teams and weeks leave every row once; only listed teams are true."""
+    from chalkline.operators.joins import flag_teams
+
+    kinds = "year int, week int, team string"
+    teams = spark.createDataFrame([(YEAR, 3, "chi"), (YEAR, 3, "chi"), (YEAR, 3, None), (YEAR, None, "sea"), (YEAR, 4, None)], kinds)
+    rows = spark.createDataFrame([(YEAR, 3, "chi"), (YEAR, 3, "chi"), (YEAR, 3, "sea"), (YEAR, 3, None), (YEAR, None, "sea"), (YEAR, 4, "chi"), (YEAR, 5, "chi")], kinds)
+    found = sorted((r.week or 0, r.team or "", bool(r.hit)) for r in flag_teams(rows, teams, "hit").collect())
+    assert found == [(0, "sea", False), (3, "", False), (3, "chi", True), (3, "chi", True), (3, "sea", False), (4, "chi", False), (5, "chi", False)]
