@@ -18,13 +18,18 @@ passage, whose boundaries depend on its neighbours. What goes must be a run of a
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chalkline.llm.collocations import Filter, make_filter
 from chalkline.llm.common import rows_of, small_side, stage, text_of
 
 LONG_WORDS = 40
@@ -60,24 +65,30 @@ def units_of(text: str) -> tuple[list[str], list[int], list[int]]:
     return units, places, blocks
 
 
-def chunks_of(text: str) -> list[tuple[int, int, int, str, list[int], list[int]]]:
-    """(start, end, hash, body, hashes of the lines before it, of those after it, nearest first) of the chunks and runs that are looked at."""
+def items_of(text: str) -> tuple[list[tuple[int, int, int, int | None]], bytes, list[int], list[int]]:
+    """((start, end, hash, rest of the digest) of the chunks and runs that are looked at, the lines as bytes, where each begins there, their hashes).
+
+    Chunks have no rest: their bytes are compared.
+    """
     units, _, blocks = units_of(text)
     if not units:
-        return []
-    hashes = [xxhash.xxh64_intdigest(u) for u in units]
+        return [], b"", [0], []
+    joined = "\n".join(units)
+    data = joined.encode("utf-8", "surrogatepass")
+    sizes = map(len, units) if len(data) == len(joined) else (len(u.encode("utf-8", "surrogatepass")) for u in units)
+    at = [0, *accumulate(size + 1 for size in sizes)]
+    hashes = [xxhash.xxh64_intdigest(data[i:j - 1]) for i, j in pairwise(at)]
     words = [u.count(" ") + 1 for u in units]
-    found = []
+    found: list[tuple[int, int, int, int | None]] = []
     n = len(units)
 
     def close(a: int, b: int) -> None:
         if sum(words[a:b]) >= CHUNK_WORDS and (b - a > 1 or words[a] >= LONG_WORDS):
-            body = "\n".join(units[a:b])
-            found.append((a, b, xxhash.xxh64_intdigest(body) - (1 << 63), body, hashes[max(0, a - MARGIN):a][::-1], hashes[b:b + MARGIN]))
+            found.append((a, b, xxhash.xxh64_intdigest(data[at[a]:at[b] - 1]) - (1 << 63), None))
 
-    for at in range(n):
-        if blocks[at]:
-            start, end = at, at + blocks[at]
+    for start, size in enumerate(blocks):
+        if size:
+            end = start + size
             for i in range(start + 1, end - 1):
                 if i - start >= 1 and ((hashes[i - 1] * 31 + hashes[i]) >> 17) % EVERY == 0:
                     close(start, i + 1)
@@ -90,9 +101,25 @@ def chunks_of(text: str) -> list[tuple[int, int, int, str, list[int], list[int]]
             b += 1
         if total < RUN_WORDS or total < LONG_WORDS and b - a < 2:
             break
-        digest = hashlib.blake2b("\n".join(units[a:b]).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        found.append((a, b, int.from_bytes(digest[:8], "big", signed=True), digest.hex(), [], []))
+        found.append((a, b, *struct.unpack(">qq", hashlib.blake2b(data[at[a]:at[b] - 1], digest_size=16).digest())))
         total -= words[a]
+    return found, data, at, hashes
+
+
+def chunks_of(text: str, known: Filter | None = None) -> list[tuple[int, int, int, int, str | None, list[int], list[int]]]:
+    """(start, end, hash, second hash, body, hashes of the lines before it, of those after it, nearest first) of the chunks and runs that are looked at,
+    of those whose hash is in `known` if that is given. Runs are told by both hashes, their digest, and have no body."""
+    items, data, at, hashes = items_of(text)
+    if known is not None and items:
+        items = [items[i] for i in np.flatnonzero(known.has(np.array([x[2] for x in items], np.int64).view(np.uint64))).tolist()]
+    found = []
+    for a, b, h, rest in items:
+        if rest is None:
+            body = data[at[a]:at[b] - 1]
+            before, after = hashes[max(0, a - MARGIN):a][::-1], hashes[b:b + MARGIN]
+            found.append((a, b, h, xxhash.xxh64_intdigest(body, 1) - (1 << 63), body.decode("utf-8", "surrogatepass"), before, after))
+        else:
+            found.append((a, b, h, rest, None, [], []))
     return found
 
 
@@ -143,23 +170,39 @@ def _row(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cuts of a row that overlap or touch become one."""
+    for batch in batches:
+        lists = batch.column(batch.schema.get_field_index("cuts"))
+        row = np.repeat(np.arange(len(lists)) << 32, pc.list_value_length(lists).to_numpy())
+        start, stop = (row + x.to_numpy() for x in lists.flatten().flatten())
+        order = np.argsort(start, kind="stable")
+        start, reach = start[order], np.maximum.accumulate(stop[order])
+        heads = np.flatnonzero(np.append(True, start[1:] > reach[:-1])[:len(start)])
+        ends = np.append(heads[1:], len(start))[:len(heads)] - 1
+        offsets = np.searchsorted(start[heads], np.arange(len(lists) + 1) << 32)
+        cuts = pa.StructArray.from_arrays([pa.array(x & 0xFFFFFFFF, pa.int32()) for x in (start[heads], reach[ends])], names=["start", "stop"])
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("row")), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), cuts)], names=["row", "cuts"])
+
+
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, cuts): the line ranges to remove, for each row that has any, by a hash of its id and text."""
+    """(row, cuts): the line ranges to remove, apart from each other, for each row that has any, by a hash of its id and text."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [c[2] for _, _, text in rows_of([batch], "row", "id", "body") for c in chunks_of(text)]
+            found = [x[2] for _, _, text in rows_of([batch], "row", "id", "body") for x in items_of(text)[0]]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["hash"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["row", "id", "start", "stop", "hash", "body", "before", "after"]
-        kinds = [pa.int64(), None, pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        known = shared.value
+        names = ["row", "id", "start", "stop", "hash", "check", "body", "before", "after"]
+        kinds = [pa.int64(), None, pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         for batch in batches:
             kinds[1] = batch.schema.field("id").type
             columns: list[list] = [[] for _ in names]
             for row, key, text in rows_of([batch], "row", "id", "body"):
-                for a, b, h, body, before, after in chunks_of(text):
-                    values = (row, key, a, b, h, body, [x - (1 << 63) for x in before], [x - (1 << 63) for x in after])
+                for a, b, h, check, body, before, after in chunks_of(text, known):
+                    values = (row, key, a, b, h, check, body, [x - (1 << 63) for x in before], [x - (1 << 63) for x in after])
                     for column, v in zip(columns, values):
                         column.append(v)
                 if len(columns[0]) >= 20_000:
@@ -170,20 +213,21 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = docs.select(_row(id_col, text_col).alias("row"), F.col(id_col).alias("id"), text_of(text_col).alias("body"))
     kind = dict(source.dtypes)["id"]
     again = source.mapInArrow(hashes, "hash long").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    again = small_side(stage(again, "again"))
-    chunks = source.mapInArrow(run, f"row long, id {kind}, start int, stop int, hash long, body string, before array<long>, after array<long>")
-    seen = stage(chunks.join(again, "hash"), "seen")
-    # Bytes are compared by grouping on them; what is joined back is found by two hashes, which tell the bodies apart (where they
+    # The filter is of bounded size; what it lets through besides is counted out below.
+    shared = docs.sparkSession.sparkContext.broadcast(make_filter(stage(again, "again")))
+    fields = f"row long, id {kind}, start int, stop int, hash long, check long, body string, before array<long>, after array<long>"
+    seen = stage(source.mapInArrow(run, fields).withColumn("run", F.col("body").isNull()), "seen")
+    shared.unpersist()
+    # Bytes are compared by the least and the greatest body; what is joined back is found by two hashes, which tell the bodies apart (where they
     # do not, nothing is cut).
-    seen = seen.withColumn("check", F.xxhash64("body", F.lit(1)))
     place = F.struct(F.col("id").isNull().alias("last"), "id", "row", "start", "stop", "before", "after")
-    first = seen.groupBy("hash", "check", "body").agg(F.min(place).alias("first"))
-    first = stage(first.groupBy("hash", "check").agg(F.min("first").alias("first"), F.count("*").alias("bodies")).where("bodies = 1").drop("bodies"), "first")
-    both = seen.drop("body").join(first, ["hash", "check"]).where("not (row = first.row and start < first.stop)")
+    first = seen.groupBy("hash", "check", "run").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("body").alias("least"), F.max("body").alias("most"))
+    first = stage(first.where("n > 1 and least <=> most").select("hash", "check", "run", "first"), "first")
+    both = seen.drop("body").join(first, ["hash", "check", "run"]).where("not (row = first.row and start < first.stop)")
     both = both.select("row", "start", "stop", "before", "after", F.col("first.before").alias("first_before"), F.col("first.after").alias("first_after"))
     cuts = both.select("row", F.struct((F.col("start") - _same_prefix("before", "first_before")).alias("start"),
                                        (F.col("stop") + _same_prefix("after", "first_after")).alias("stop")).alias("cut"))
-    return cuts.groupBy("row").agg(F.collect_set("cut").alias("cuts"))
+    return cuts.groupBy("row").agg(F.collect_list("cut").alias("cuts")).mapInArrow(_merged, "row long, cuts array<struct<start int, stop int>>")
 
 
 def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
@@ -194,7 +238,7 @@ def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     marked = docs.withColumn(ROW, _row(id_col, text_col))
     cuts = stage(repeated_lines(docs, id_col, text_col).select(F.col("row").alias(ROW), F.col("cuts").alias(CUT)), "cuts")
-    cuts = small_side(cuts, F.sum(F.size(CUT) + 2))
+    cuts = small_side(cuts, F.sum(2 * F.size(CUT) + 2))
     names = docs.columns
     at = names.index(text_col)
 
