@@ -20,7 +20,6 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
-from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,9 @@ LONG_WORDS = 40
 CHUNK_WORDS = 8
 RUN_WORDS = 20
 MARGIN = 6
-EVERY = 2  # a boundary after one in so many lines, once two are gathered
+EVERY = 2  # a boundary after one in so many lines, once two are gathered; a power of two
+TEXTS = 256  # looked at together
+POWER = 0x9FB21C651E98DF25
 ROW = "_line_row"
 CUT = "_line_cut"
 
@@ -65,62 +66,87 @@ def units_of(text: str) -> tuple[list[str], list[int], list[int]]:
     return units, places, blocks
 
 
-def items_of(text: str) -> tuple[list[tuple[int, int, int, int | None]], bytes, list[int], list[int]]:
-    """((start, end, hash, rest of the digest) of the chunks and runs that are looked at, the lines as bytes, where each begins there, their hashes).
-
-    Chunks have no rest: their bytes are compared.
-    """
-    units, _, blocks = units_of(text)
-    if not units:
-        return [], b"", [0], []
-    joined = "\n".join(units)
-    data = joined.encode("utf-8", "surrogatepass")
-    sizes = map(len, units) if len(data) == len(joined) else (len(u.encode("utf-8", "surrogatepass")) for u in units)
-    at = [0, *accumulate(size + 1 for size in sizes)]
-    hashes = [xxhash.xxh64_intdigest(data[i:j - 1]) for i, j in pairwise(at)]
-    words = [u.count(" ") + 1 for u in units]
-    found: list[tuple[int, int, int, int | None]] = []
-    n = len(units)
-
-    def close(a: int, b: int) -> None:
-        if sum(words[a:b]) >= CHUNK_WORDS and (b - a > 1 or words[a] >= LONG_WORDS):
-            found.append((a, b, xxhash.xxh64_intdigest(data[at[a]:at[b] - 1]) - (1 << 63), None))
-
-    for start, size in enumerate(blocks):
-        if size:
-            end = start + size
-            for i in range(start + 1, end - 1):
-                if i - start >= 1 and ((hashes[i - 1] * 31 + hashes[i]) >> 17) % EVERY == 0:
-                    close(start, i + 1)
-                    start = i + 1
-            close(start, end)
-    b = total = 0
-    for a in range(n):
-        while b < n and not (total >= LONG_WORDS or total >= RUN_WORDS and b - a > 1):
-            total += words[b]
-            b += 1
-        if total < RUN_WORDS or total < LONG_WORDS and b - a < 2:
-            break
-        found.append((a, b, *struct.unpack(">qq", hashlib.blake2b(data[at[a]:at[b] - 1], digest_size=16).digest())))
-        total -= words[a]
-    return found, data, at, hashes
-
-
-def chunks_of(text: str, known: Filter | None = None) -> list[tuple[int, int, int, int, str | None, list[int], list[int]]]:
-    """(start, end, hash, second hash, body, hashes of the lines before it, of those after it, nearest first) of the chunks and runs that are looked at,
-    of those whose hash is in `known` if that is given. Runs are told by both hashes, their digest, and have no body."""
-    items, data, at, hashes = items_of(text)
-    if known is not None and items:
-        items = [items[i] for i in np.flatnonzero(known.has(np.array([x[2] for x in items], np.int64).view(np.uint64))).tolist()]
-    found = []
-    for a, b, h, rest in items:
-        if rest is None:
-            body = data[at[a]:at[b] - 1]
-            before, after = hashes[max(0, a - MARGIN):a][::-1], hashes[b:b + MARGIN]
-            found.append((a, b, h, xxhash.xxh64_intdigest(body, 1) - (1 << 63), body.decode("utf-8", "surrogatepass"), before, after))
-        else:
-            found.append((a, b, h, rest, None, [], []))
-    return found
+def _spans(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the line ranges a to b by the hashes of their lines, wherever they stand. They only choose what is looked at closely."""
+    powers, back = (np.cumprod(np.append(np.uint64(1), np.full(len(h), x, np.uint64))) for x in (POWER, pow(POWER, -1, 1 << 64)))
+    sums = np.append(np.uint64(0), np.cumsum(h * powers[:-1]))
+    x = (sums[b] - sums[a]) * back[a]
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+class Items:
+    """The chunks and then the runs of texts that are looked at: lines `a` to `b` of all lines `units`, with a hash and the text `doc` they stand in."""
+
+    def __init__(self, texts: list[str]):
+        self.units: list[str] = []
+        blocks: list[int] = []
+        self.ends = [0]  # of the texts, from the second place on
+        for text in texts:
+            units, _, sizes = units_of(text)
+            self.units += units
+            blocks += sizes
+            self.ends.append(len(self.units))
+        n = len(self.units)
+        self.lines = h = np.fromiter(map(xxhash.xxh64_intdigest, self.units), np.uint64, n)
+        words = np.fromiter((u.count(" ") + 1 for u in self.units), np.int64, n)
+        total = np.append(0, np.cumsum(words))
+        ends = np.array(self.ends)
+        doc = np.repeat(np.arange(len(texts)), np.diff(ends))
+
+        sizes = np.array(blocks, np.int64)
+        heads = np.flatnonzero(sizes)
+        head, tail = np.repeat(heads, sizes[heads]), np.repeat(heads + sizes[heads], sizes[heads])
+        place = np.arange(n)
+        pair = np.append(np.uint64(1 << 17), h[:-1] * np.uint64(31) + h[1:])[:n] >> np.uint64(17)
+        maybe = np.flatnonzero((pair % np.uint64(EVERY) == 0) & (place > head) & (place < tail - 1))
+        cuts, start = [], -1
+        for i, first in zip(maybe.tolist(), head[maybe].tolist()):
+            if i > max(start, first):
+                start = i + 1
+                cuts.append(start)
+        a = np.sort(np.append(heads, np.array(cuts, np.int64)))
+        b = np.append(a[1:], n)[:len(a)]
+        fits = (total[b] - total[a] >= CHUNK_WORDS) & ((b - a > 1) | (words[a] >= LONG_WORDS))
+        a, b = a[fits], b[fits]
+        self.chunks = len(a)
+
+        stop = np.minimum(np.searchsorted(total, total[:-1] + LONG_WORDS), np.maximum(np.searchsorted(total, total[:-1] + RUN_WORDS), place + 2))
+        runs = np.flatnonzero(stop <= ends[1:][doc])
+        self.a, self.b = np.append(a, runs), np.append(b, stop[runs])
+        self.doc = doc[self.a]
+        self.hash = _spans(h, self.a, self.b)
+        self.hash[self.chunks:] ^= np.uint64(POWER)
+
+    def near(self, places: np.ndarray, sizes: np.ndarray, step: int) -> pa.ListArray:
+        """The hashes of so many lines from each place on, forwards or backwards."""
+        offsets = np.append(0, np.cumsum(sizes))
+        at = np.repeat(places, sizes) + step * (np.arange(offsets[-1]) - np.repeat(offsets[:-1], sizes))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(self.lines[at].view(np.int64)))
+
+    def columns(self, kept: np.ndarray) -> dict[str, pa.Array]:
+        """Of the items `kept`, in order: place in the text, hash, a digest in two halves (chunks: another hash and zero), body of chunks, hashes of the lines before
+        and after them, nearest first."""
+        a, b = self.a[kept], self.b[kept]
+        texts = ["\n".join(self.units[i:j]) for i, j in zip(a.tolist(), b.tolist())]
+        n = int(np.searchsorted(kept, self.chunks))
+        bodies = texts[:n] + [None] * (len(texts) - n)
+        digests = b"".join(hashlib.blake2b(t.encode("utf-8"), digest_size=16).digest() for t in texts[n:])
+        check, rest = np.frombuffer(digests, ">i8").astype(np.int64).reshape(-1, 2).T
+        check = np.append(np.fromiter((xxhash.xxh64_intdigest(t, 1) for t in texts[:n]), np.uint64, n).view(np.int64), check)
+        rest = np.append(np.zeros(n, np.int64), rest)
+        doc, ends = self.doc[kept], np.array(self.ends)
+        begin, end = ends[:-1][doc], ends[1:][doc]
+        margin = np.where(kept < self.chunks, MARGIN, 0)
+        return {"start": pa.array(a - begin, pa.int32()), "stop": pa.array(b - begin, pa.int32()), "hash": pa.array(self.hash[kept].view(np.int64)),
+                "check": pa.array(check), "rest": pa.array(rest), "body": pa.array(bodies, pa.string()),
+                "before": self.near(a - 1, np.minimum(margin, a - begin), -1), "after": self.near(b, np.minimum(margin, end - b), 1)}
+
+
+def chunks_of(text: str) -> list[tuple]:
+    """(start, end, hash, check, rest, body, before, after) of the chunks and runs of one text."""
+    items = Items([text])
+    return list(zip(*(c.to_pylist() for c in items.columns(np.arange(len(items.a))).values())))
 
 
 def without(text: str, cuts: list[tuple[int, int]]) -> str:
@@ -190,40 +216,36 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x[2] for _, _, text in rows_of([batch], "row", "id", "body") for x in items_of(text)[0]]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["hash"])
+            for start in range(0, batch.num_rows, TEXTS):
+                items = Items(batch.column(2).slice(start, TEXTS).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(items.hash.view(np.int64))], names=["hash"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        names = ["row", "id", "start", "stop", "hash", "check", "body", "before", "after"]
-        kinds = [pa.int64(), None, pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         for batch in batches:
-            kinds[1] = batch.schema.field("id").type
-            columns: list[list] = [[] for _ in names]
-            for row, key, text in rows_of([batch], "row", "id", "body"):
-                for a, b, h, check, body, before, after in chunks_of(text, known):
-                    values = (row, key, a, b, h, check, body, [x - (1 << 63) for x in before], [x - (1 << 63) for x in after])
-                    for column, v in zip(columns, values):
-                        column.append(v)
-                if len(columns[0]) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
-                    columns = [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+            for start in range(0, batch.num_rows, TEXTS):
+                row, key, body = (c.slice(start, TEXTS) for c in batch.columns)
+                items = Items(body.to_pylist())
+                hits = np.flatnonzero(known.has(items.hash))
+                for some in np.array_split(hits, len(hits) // 20_000 + 1):
+                    doc = pa.array(items.doc[some])
+                    columns = {"row": row.take(doc), "id": key.take(doc), **items.columns(some)}
+                    yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     source = docs.select(_row(id_col, text_col).alias("row"), F.col(id_col).alias("id"), text_of(text_col).alias("body"))
     kind = dict(source.dtypes)["id"]
     again = source.mapInArrow(hashes, "hash long").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     # The filter is of bounded size; what it lets through besides is counted out below.
     shared = docs.sparkSession.sparkContext.broadcast(make_filter(stage(again, "again")))
-    fields = f"row long, id {kind}, start int, stop int, hash long, check long, body string, before array<long>, after array<long>"
-    seen = stage(source.mapInArrow(run, fields).withColumn("run", F.col("body").isNull()), "seen")
+    fields = f"row long, id {kind}, start int, stop int, hash long, check long, rest long, body string, before array<long>, after array<long>"
+    seen = stage(source.mapInArrow(run, fields), "seen")
     shared.unpersist()
     # Bytes are compared by the least and the greatest body; what is joined back is found by two hashes, which tell the bodies apart (where they
     # do not, nothing is cut).
     place = F.struct(F.col("id").isNull().alias("last"), "id", "row", "start", "stop", "before", "after")
-    first = seen.groupBy("hash", "check", "run").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("body").alias("least"), F.max("body").alias("most"))
-    first = stage(first.where("n > 1 and least <=> most").select("hash", "check", "run", "first"), "first")
-    both = seen.drop("body").join(first, ["hash", "check", "run"]).where("not (row = first.row and start < first.stop)")
+    first = seen.groupBy("hash", "check", "rest").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("body").alias("least"), F.max("body").alias("most"))
+    first = stage(first.where("n > 1 and least <=> most").select("hash", "check", "rest", "first"), "first")
+    both = seen.drop("body").join(first, ["hash", "check", "rest"]).where("not (row = first.row and start < first.stop)")
     both = both.select("row", "start", "stop", "before", "after", F.col("first.before").alias("first_before"), F.col("first.after").alias("first_after"))
     cuts = both.select("row", F.struct((F.col("start") - _same_prefix("before", "first_before")).alias("start"),
                                        (F.col("stop") + _same_prefix("after", "first_after")).alias("stop")).alias("cut"))

@@ -152,3 +152,44 @@ def test_first_occurrence_stays_in_periodic_texts(spark, make_docs):
     out = lines.drop_repeated(make_docs([(1, "one two three four five. " * 40), (2, "a b c d e f g.\nh i j k l m n.\n" * 20)])).collect()
     left = {r.doc_id: len(r.text.split()) for r in out}
     assert 20 <= left[1] < 60 and 20 <= left[2] < 70
+
+
+def staged(monkeypatch):
+    """Tables that the line search stages, by name."""
+    kept, write = {}, lines.stage
+
+    def keep(df, name):
+        kept[name] = write(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(lines, "stage", keep)
+    return kept
+
+
+def test_little_is_moved(spark, make_docs, monkeypatch):
+    """Cuts of one passage are one range, runs move as digests, and lines that never repeat are not moved."""
+    rng = random.Random(21)
+    p = passage(rng, 40, "\n")
+    rows = [(1, p), (2, p)] + [(k, passage(rng, 40, "\n")) for k in range(3, 60)]
+    kept = staged(monkeypatch)
+    out = {r.doc_id: r.text for r in lines.drop_repeated(make_docs(rows)).collect()}
+    assert out == dict(rows) | {2: ""}
+    assert [[tuple(c) for c in r[lines.CUT]] for r in kept["cuts"].collect()] == [[(0, 40)]]
+    seen = kept["seen"].collect()
+    copied = {(a, b) for a, b, *_ in slow_chunks(p)}
+    assert {(r.start, r.stop) for r in seen if r.id == 2} == copied
+    assert len(seen) < 2 * len(slow_chunks(p)) + 57 * 60 // 4
+    bodies = {body for _, _, body, *_ in slow_chunks(p) if isinstance(body, str)}
+    assert {r.body for r in seen if r.id == 2} == bodies | {None}
+
+
+def test_a_full_filter_changes_nothing(spark, make_docs, monkeypatch):
+    """What the filter lets through besides is counted out."""
+    full = lines.make_filter(spark.range(0).selectExpr("id as hash"))
+    full.table[:] = 255
+    monkeypatch.setattr(lines, "make_filter", lambda hashes: full)
+    rows, _ = corpus()
+    kept = staged(monkeypatch)
+    got = {r.doc_id: r.text for r in lines.drop_repeated(make_docs(rows)).collect()}
+    assert got == {i: t for (i, _), t in zip(rows, slow_cuts(rows))}
+    assert kept["seen"].count() == sum(len(slow_chunks(t)) for _, t in rows)
