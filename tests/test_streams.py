@@ -2,11 +2,14 @@
 
 import datetime as dt
 import random
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from chalkline.catalog import q_streams
+from chalkline.catalog.views import Tables
 from chalkline.sources.latest import LatestTable
 from chalkline.streaming import quotes as Q
 
@@ -106,3 +109,23 @@ def test_a_batch_that_broke_off_is_written_anew(spark, monkeypatch):
     assert [tuple(r) for r in table.read().collect()] == [(1, 1)]
     table.put(rows((1, 3), (2, 1)), 1)
     assert sorted(tuple(r) for r in table.read().collect()) == [(1, 3), (2, 1)]
+
+
+@pytest.mark.parametrize("name, slide", [("ss2_sliding_windows", ("6 hours", "1 hour")), ("ss2_tumbling_windows", ("1 hour", None))])
+def test_state_of_windows_is_on_disk(spark, tmp_path, monkeypatch, name, slide):
+    rng = random.Random(7)
+    for day in range(3):  # a file and a batch a day, in order of time, each reaching back into windows of the one before
+        rows = [(100 * day + n, START + dt.timedelta(hours=24 * day + rng.uniform(-5, 24)), rng.choice([1, 2]), rng.choice(["view", "click"]), float(rng.randint(0, 9)), "{}") for n in range(100)]
+        spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(q_streams, "FILES_PER_BATCH", 1)
+    monkeypatch.setattr(q_streams, "scratch", lambda spark, kind: str(tmp_path / kind))
+    settings = {k: spark.conf.get(k, None) for k in Q.STATE_STORE}
+    told = entry.queries()[name](spark, str(tmp_path))
+    twin = Q.line_windows(Tables(spark, str(tmp_path)).quotes_t, *slide, watermark=False).withColumn("window_start", F.col("window_start").cast("string"))
+    assert sorted(map(tuple, told.collect())) == sorted(map(tuple, twin.select(*told.columns).collect())) and told.agg(F.max("n")).first()[0] > 1
+    kept = [f for f in tmp_path.glob("ss2*c/state/0/[0-9]*/*") if not f.name.startswith(".")]
+    assert not any(f.suffix == ".delta" for f in kept)  # those are of a store on the heap
+    snapshot = zipfile.ZipFile(next(f for f in kept if f.suffix == ".zip"))
+    options = next(snapshot.read(n).decode() for n in snapshot.namelist() if "OPTIONS" in n)
+    assert "cache_index_and_filter_blocks=true" in options  # they count towards the bounded cache
+    assert {k: spark.conf.get(k, None) for k in Q.STATE_STORE} == settings
